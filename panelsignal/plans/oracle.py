@@ -225,6 +225,84 @@ SELECT date, {rnd('ic')} AS ic,
 FROM icr"""
 
 
+# ------------------------------------------------------------ rolling OLS
+
+OLS_WINDOW = 252
+
+
+def _det(m: list[list[str]]) -> str:
+    """Leibniz expansion of a small symbolic determinant."""
+    k = len(m)
+    terms = []
+    for perm in itertools.permutations(range(k)):
+        inv = sum(1 for i in range(k) for j in range(i + 1, k) if perm[i] > perm[j])
+        sign = "-" if inv % 2 else "+"
+        terms.append(sign + "*".join(m[i][perm[i]] for i in range(k)))
+    return "(" + "".join(terms) + ")"
+
+
+def rolling_ols_ctes(xs: list[str], window: int = OLS_WINDOW, src: str = "fj") -> list[str]:
+    """CTEs ``ols_m`` (window moments) and ``ols`` (src.* + B_const, B_<x>)."""
+    k = len(xs)
+    w = rows(window)
+    valid = " AND ".join(["return_rf IS NOT NULL"] + [f"{x} IS NOT NULL" for x in xs])
+    mom = [f"count(CASE WHEN {valid} THEN 1 END) OVER {w} AS ols_n"]
+    mom.append(f"avg(return_rf) OVER {w} AS m_y")
+    for i, x in enumerate(xs):
+        mom.append(f"avg({x}) OVER {w} AS m_{i}")
+        mom.append(f"covar_pop({x}, return_rf) OVER {w} AS c_{i}_y")
+        for j in range(i, k):
+            mom.append(f"covar_pop({xs[i]}, {xs[j]}) OVER {w} AS c_{i}_{j}")
+    cm = [[f"c_{min(i, j)}_{max(i, j)}" for j in range(k)] for i in range(k)]
+    det = _det(cm)
+    betas = []
+    for i in range(k):
+        mi = [[(f"c_{r}_y" if c == i else cm[r][c]) for c in range(k)] for r in range(k)]
+        betas.append(f"{_det(mi)} / NULLIF({det}, 0)")
+    sel = ", ".join(f"CASE WHEN ols_n = {window} THEN {b} END AS B_{x}" for b, x in zip(betas, xs))
+    const = "m_y - (" + " + ".join(f"B_{x} * m_{i}" for i, x in enumerate(xs)) + ")"
+    return [
+        f"""
+ols_m AS (SELECT *, {', '.join(mom)} FROM {src})""",
+        f"""
+ols_b AS (SELECT *, {sel} FROM ols_m)""",
+        f"""
+ols AS (SELECT *, CASE WHEN ols_n = {window} THEN {const} END AS B_const FROM ols_b)""",
+    ]
+
+
+FJ = """
+fj AS (SELECT p.*, f.mkt_rf, f.smb, f.hml, f.rmw, f.cma, f.rf, p."return" - f.rf AS return_rf
+       FROM panel p LEFT JOIN factors f ON p.date = f.date)"""
+
+
+def rolling_ols(xs: list[str], window: int = OLS_WINDOW) -> str:
+    cols = ", ".join(f"{rnd('B_' + x)} AS B_{x}" for x in xs)
+    return with_ctes(PANEL, FACTORS, FJ, *rolling_ols_ctes(xs, window)) + f"""
+SELECT date, asset_id, {rnd('B_const')} AS B_const, {cols} FROM ols WHERE B_const IS NOT NULL"""
+
+
+def residual_ctes(xs: list[str], strict: bool = False, window: int = OLS_WINDOW) -> list[str]:
+    terms = " + ".join(["coalesce(B_const, 0)"] + [f"coalesce(B_{x} * {x}, 0)" for x in xs])
+    res = f"return_rf - ({terms})"
+    if strict:
+        have = " AND ".join(["B_const IS NOT NULL"] + [f"B_{x} IS NOT NULL" for x in xs])
+        res = f"CASE WHEN {have} THEN {res} END"
+    return [*rolling_ols_ctes(xs, window), f"""
+rs AS (SELECT *, {res} AS residual FROM ols)"""]
+
+
+def residual_signal(xs, name, lookback=230, skip=21, vol=None, strict=False, window=OLS_WINDOW) -> str:
+    ctes = [PANEL, FACTORS, FJ, *residual_ctes(xs, strict, window), momentum_cte("s", "rs", "residual", lookback, skip, vol)]
+    return with_ctes(*ctes) + f"""
+SELECT date, asset_id, {rnd('sig')} AS {name} FROM s WHERE sig IS NOT NULL"""
+
+
+CAPM = ["mkt_rf"]
+FF3 = ["mkt_rf", "smb", "hml"]
+FF5 = ["mkt_rf", "smb", "hml", "rmw", "cma"]
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "panel_scan": panel_scan(),
@@ -242,4 +320,15 @@ def oracle_sql() -> dict[str, str]:
         "ic_rank": ic_rank(),
         "ic_rolling22": ic_rolling22(),
         "ic_cumulative": ic_cumulative(),
+        "rolling_ols_capm": rolling_ols(CAPM),
+        "rolling_ols_ff3": rolling_ols(FF3),
+        "rolling_ols_ff5": rolling_ols(FF5),
+        "capm_momentum": residual_signal(CAPM, "capm_momentum", lookback=232),
+        "vol_scaled_capm_momentum": residual_signal(CAPM, "vol_scaled_capm_momentum", vol=230),
+        "ff3_momentum": residual_signal(FF3, "ff3_momentum"),
+        "vol_scaled_ff3_momentum": residual_signal(FF3, "vol_scaled_ff3_momentum", vol=230),
+        "ff5_momentum": residual_signal(FF5, "ff5_momentum"),
+        "vol_scaled_ff5_momentum": residual_signal(FF5, "vol_scaled_ff5_momentum", vol=230),
+        "ff3_momentum_strict": residual_signal(FF3, "ff3_momentum", strict=True),
+        "ff5_momentum_short": residual_signal(FF5, "ff5_momentum", lookback=40, skip=5, window=60),
     }

@@ -24,7 +24,11 @@ from panelsignal.operators.alpha import (
     universe_filter,
 )
 from panelsignal.operators.ic import add_cumulative_ic, add_rolling_ic, information_coefficient
+from panelsignal.operators.ols import add_rolling_ols
 from panelsignal.operators.signals import (
+    CAPM,
+    FF3,
+    FF5,
     STUDY_SIGNALS,
     SignalSpec,
     add_excess_return,
@@ -157,10 +161,53 @@ def _signal_query(name: str):
     return q
 
 
-for _name in ("momentum", "vol_scaled_momentum", "barra_momentum", "vol_scaled_barra_momentum"):
+for _name in (
+    "momentum",
+    "vol_scaled_momentum",
+    "barra_momentum",
+    "vol_scaled_barra_momentum",
+    "capm_momentum",
+    "vol_scaled_capm_momentum",
+    "ff3_momentum",
+    "vol_scaled_ff3_momentum",
+    "ff5_momentum",
+    "vol_scaled_ff5_momentum",
+):
     register(_name)(_signal_query(_name))
 
 
+def _rolling_ols_query(xs: tuple[str, ...]):
+    def q(fx: Fixture) -> DataFrame:
+        df = add_excess_return(join_factors(fx.panel, fx.factors, fx.span))
+        df = add_rolling_ols(df, "return_rf", xs, 252, prefix="B_")
+        cols = ["B_const"] + [f"B_{x}" for x in xs]
+        return finish(df.where(F.col("B_const").isNotNull()).select("date", "asset_id", *cols))
+
+    q.__doc__ = f"W11: rolling 252-row OLS of excess return on const + {', '.join(xs)}"
+    return q
+
+
+register("rolling_ols_capm")(_rolling_ols_query(CAPM))
+register("rolling_ols_ff3")(_rolling_ols_query(FF3))
+register("rolling_ols_ff5")(_rolling_ols_query(FF5))
+
+
+@register("ff3_momentum_strict")
+def _ff3_strict(fx: Fixture) -> DataFrame:
+    """C4 with warmup='strict': residual only where coefficients exist."""
+    spec = fx.spec("ff3_momentum", warmup="strict")
+    df = fx.signal_frame(spec).where(F.col("ff3_momentum").isNotNull())
+    return finish(df.select("date", "asset_id", "ff3_momentum"))
+
+
+@register("ff5_momentum_short")
+def _ff5_short(fx: Fixture) -> DataFrame:
+    """C4 FF5 with short windows (OLS 60, sum 40, skip 5): dense residual check."""
+    spec = fx.spec("ff5_momentum", ols_window=60, lookback=40, skip=5)
+    df = fx.signal_frame(spec).where(F.col("ff5_momentum").isNotNull())
+    return finish(df.select("date", "asset_id", "ff5_momentum"))
+
+
 @register("universe_filter")
 def _universe_filter(fx: Fixture) -> DataFrame:
     """Lagged price bound + non-null signal, beta and risk."""

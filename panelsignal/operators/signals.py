@@ -123,35 +123,76 @@ def add_momentum(
     return df.drop(*temps)
 
 
-def add_signal(
+def add_signals(
     df: DataFrame,
-    spec: SignalSpec,
+    specs: Sequence[SignalSpec],
     *,
-    out: str | None = None,
     exact: bool = False,
     keep_intermediate: bool = False,
 ) -> DataFrame:
-    """Add the signal column ``out`` (default ``spec.name``).
+    """Add one column per spec (named ``spec.name``) in a single asset stage.
 
-    Residual signals need ``return_rf`` and the factor columns (see
-    :func:`join_factors`, :func:`add_excess_return`).
+    Residual signals that share a regression (same regressors, window and
+    warm-up) share its rolling sums and solve: e.g. ``ff3_momentum`` and
+    ``vol_scaled_ff3_momentum`` run one FF3 regression.  Residual signals
+    need ``return_rf`` and the factor columns (:func:`join_factors`,
+    :func:`add_excess_return`).
     """
-    out = out or spec.name
-    series = spec.series
+    residuals: dict[tuple, str] = {}
     drop: list[str] = []
-    if spec.is_residual:
-        prefix = f"B_{spec.name}_" if not keep_intermediate else "B_"
-        df = add_rolling_ols(df, "return_rf", spec.factors, spec.ols_window, prefix=prefix, exact=exact)
-        series = f"residual_{spec.name}" if not keep_intermediate else "residual"
-        df = add_residual(df, "return_rf", spec.factors, series, prefix=prefix, warmup=spec.warmup)
-        if not keep_intermediate:
-            drop += [f"{prefix}const"] + [f"{prefix}{x}" for x in spec.factors] + [series]
-    df = add_momentum(
-        df, series, out, lookback=spec.lookback, skip=spec.skip, vol_window=spec.vol_window, exact=exact
-    )
+    for spec in specs:
+        series = spec.series
+        if spec.is_residual:
+            key = (tuple(spec.factors), spec.ols_window, spec.warmup)
+            if key not in residuals:
+                # keep_intermediate exposes B_* and residual for a single spec
+                single = keep_intermediate and len(specs) == 1
+                prefix = "B_" if single else f"__B{len(residuals)}_"
+                name = "residual" if single else _tmp(f"res{len(residuals)}")
+                df = add_rolling_ols(df, "return_rf", spec.factors, spec.ols_window, prefix=prefix, exact=exact)
+                df = add_residual(df, "return_rf", spec.factors, name, prefix=prefix, warmup=spec.warmup)
+                if not single:
+                    drop += [f"{prefix}const"] + [f"{prefix}{x}" for x in spec.factors] + [name]
+                residuals[key] = name
+            series = residuals[key]
+        df = add_momentum(
+            df,
+            series,
+            spec.name,
+            lookback=spec.lookback,
+            skip=spec.skip,
+            vol_window=spec.vol_window,
+            exact=exact,
+        )
     return df.drop(*drop) if drop else df
 
 
+def add_signal(
+    df: DataFrame,
+    spec: SignalSpec,
+    *,
+    out: str | None = None,
+    exact: bool = False,
+    keep_intermediate: bool = False,
+) -> DataFrame:
+    """Add the signal column ``out`` (default ``spec.name``)."""
+    if out and out != spec.name:
+        spec = spec.with_(name=out)
+    return add_signals(df, [spec], exact=exact, keep_intermediate=keep_intermediate)
+
+
+def to_long(
+    df: DataFrame,
+    signals: Sequence[str],
+    ids: Sequence[str],
+    *,
+    name: str = "signal",
+    value: str = "value",
+) -> DataFrame:
+    """Unpivot signal columns into (ids..., signal, value) rows (no shuffle)."""
+    return df.unpivot(list(ids), list(signals), name, value)
+
+
 def needed_factors(specs: Sequence[SignalSpec]) -> list[str]:
     seen: list[str] = []
     for s in specs:

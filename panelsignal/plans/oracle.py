@@ -67,7 +67,15 @@ def rows(n: int) -> str:
 
 
 def lr(x: str) -> str:
-    return f"CASE WHEN {x} > -1 THEN ln(1 + {x}) END"
+    """log(1+x) for x > -1, NULL otherwise.
+
+    DuckDB has no log1p; ln(1+x) loses the low bits of small x.  The
+    classic correction ln(1+x) * x / ((1+x) - 1) restores log1p accuracy.
+    """
+    return (
+        f"CASE WHEN {x} > -1 THEN CASE WHEN 1 + {x} = 1 THEN {x} "
+        f"ELSE ln(1 + {x}) * {x} / ((1 + {x}) - 1) END END"
+    )
 
 
 def momentum_cte(
@@ -108,9 +116,9 @@ FROM panel"""
 
 def factor_join_left() -> str:
     return with_ctes(PANEL, FACTORS) + f"""
-SELECT p.date, p.asset_id, {rnd('p."return"', 8)} AS "return",
-       {rnd('f.mkt_rf', 8)} AS mkt_rf, {rnd('f.smb', 8)} AS smb, {rnd('f.hml', 8)} AS hml,
-       {rnd('f.rmw', 8)} AS rmw, {rnd('f.cma', 8)} AS cma, {rnd('f.rf', 8)} AS rf
+SELECT p.date, p.asset_id, {rnd('p."return"', 12)} AS "return",
+       {rnd('f.mkt_rf', 10)} AS mkt_rf, {rnd('f.smb', 10)} AS smb, {rnd('f.hml', 10)} AS hml,
+       {rnd('f.rmw', 10)} AS rmw, {rnd('f.cma', 10)} AS cma, {rnd('f.rf', 10)} AS rf
 FROM panel p LEFT JOIN factors f ON p.date = f.date"""
 
 
@@ -241,33 +249,34 @@ def _det(m: list[list[str]]) -> str:
     return "(" + "".join(terms) + ")"
 
 
-def rolling_ols_ctes(xs: list[str], window: int = OLS_WINDOW, src: str = "fj") -> list[str]:
-    """CTEs ``ols_m`` (window moments) and ``ols`` (src.* + B_const, B_<x>)."""
+def rolling_ols_ctes(xs: list[str], window: int = OLS_WINDOW, src: str = "fj", tag: str = "") -> list[str]:
+    """CTEs ``{tag}ols_m`` (window moments) and ``{tag}ols`` (src.* + B{tag}_const, B{tag}_<x>)."""
     k = len(xs)
     w = rows(window)
+    t = tag
     valid = " AND ".join(["return_rf IS NOT NULL"] + [f"{x} IS NOT NULL" for x in xs])
-    mom = [f"count(CASE WHEN {valid} THEN 1 END) OVER {w} AS ols_n"]
-    mom.append(f"avg(return_rf) OVER {w} AS m_y")
+    mom = [f"count(CASE WHEN {valid} THEN 1 END) OVER {w} AS {t}ols_n"]
+    mom.append(f"avg(return_rf) OVER {w} AS {t}m_y")
     for i, x in enumerate(xs):
-        mom.append(f"avg({x}) OVER {w} AS m_{i}")
-        mom.append(f"covar_pop({x}, return_rf) OVER {w} AS c_{i}_y")
+        mom.append(f"avg({x}) OVER {w} AS {t}m_{i}")
+        mom.append(f"covar_pop({x}, return_rf) OVER {w} AS {t}c_{i}_y")
         for j in range(i, k):
-            mom.append(f"covar_pop({xs[i]}, {xs[j]}) OVER {w} AS c_{i}_{j}")
-    cm = [[f"c_{min(i, j)}_{max(i, j)}" for j in range(k)] for i in range(k)]
+            mom.append(f"covar_pop({xs[i]}, {xs[j]}) OVER {w} AS {t}c_{i}_{j}")
+    cm = [[f"{t}c_{min(i, j)}_{max(i, j)}" for j in range(k)] for i in range(k)]
     det = _det(cm)
     betas = []
     for i in range(k):
-        mi = [[(f"c_{r}_y" if c == i else cm[r][c]) for c in range(k)] for r in range(k)]
+        mi = [[(f"{t}c_{r}_y" if c == i else cm[r][c]) for c in range(k)] for r in range(k)]
         betas.append(f"{_det(mi)} / NULLIF({det}, 0)")
-    sel = ", ".join(f"CASE WHEN ols_n = {window} THEN {b} END AS B_{x}" for b, x in zip(betas, xs))
-    const = "m_y - (" + " + ".join(f"B_{x} * m_{i}" for i, x in enumerate(xs)) + ")"
+    sel = ", ".join(f"CASE WHEN {t}ols_n = {window} THEN {b} END AS B{t}_{x}" for b, x in zip(betas, xs))
+    const = f"{t}m_y - (" + " + ".join(f"B{t}_{x} * {t}m_{i}" for i, x in enumerate(xs)) + ")"
     return [
         f"""
-ols_m AS (SELECT *, {', '.join(mom)} FROM {src})""",
+{t}ols_m AS (SELECT *, {', '.join(mom)} FROM {src})""",
         f"""
-ols_b AS (SELECT *, {sel} FROM ols_m)""",
+{t}ols_b AS (SELECT *, {sel} FROM {t}ols_m)""",
         f"""
-ols AS (SELECT *, CASE WHEN ols_n = {window} THEN {const} END AS B_const FROM ols_b)""",
+{t}ols AS (SELECT *, CASE WHEN {t}ols_n = {window} THEN {const} END AS B{t}_const FROM {t}ols_b)""",
     ]
 
 
@@ -302,6 +311,272 @@ CAPM = ["mkt_rf"]
 FF3 = ["mkt_rf", "smb", "hml"]
 FF5 = ["mkt_rf", "smb", "hml", "rmw", "cma"]
 
+# ------------------------------------------------------------ optimiser
+
+GAMMA = 50.0
+
+
+def weights_ctes(constraints: tuple[str, ...], src: str = "al", keys: str = "date", gamma: str = str(GAMMA)) -> list[str]:
+    """``wts`` (keys, asset_id, weight) by window sums over each key group."""
+    beta_ok = " AND predicted_beta IS NOT NULL" if "ZeroBeta" in constraints else ""
+    pd_ = f"(PARTITION BY {keys})"
+    base = f"""
+wb AS (SELECT {keys}, asset_id, alpha, predicted_beta AS beta, {gamma} AS g,
+              specific_risk * specific_risk AS d FROM {src}
+       WHERE alpha IS NOT NULL AND specific_risk IS NOT NULL AND specific_risk > 0{beta_ok}),
+ws AS (SELECT *, sum(1.0 / d) OVER {pd_} AS m00, sum(beta / d) OVER {pd_} AS m01,
+              sum(beta * beta / d) OVER {pd_} AS m11, sum(alpha / d) OVER {pd_} AS b0,
+              sum(alpha * beta / d) OVER {pd_} AS b1 FROM wb)"""
+    cons = set(constraints)
+    if not cons:
+        w = "SELECT {k}, asset_id, alpha / (g * d) AS weight FROM ws"
+    elif cons == {"ZeroInvestment"}:
+        w = "SELECT {k}, asset_id, (alpha - b0 / m00) / (g * d) AS weight FROM ws WHERE m00 > 0"
+    elif cons == {"ZeroBeta"}:
+        w = "SELECT {k}, asset_id, (alpha - (b1 / m11) * beta) / (g * d) AS weight FROM ws WHERE m11 > 0"
+    else:
+        w = """SELECT {k}, asset_id,
+       (alpha - (m11 * b0 - m01 * b1) / det - ((m00 * b1 - m01 * b0) / det) * beta) / (g * d) AS weight
+FROM (SELECT *, m00 * m11 - m01 * m01 AS det FROM ws) WHERE det > 1e-9 * m00 * m11"""
+    return [base, f"""
+wts AS ({w.format(k=keys)})"""]
+
+
+def mvo(constraints: tuple[str, ...]) -> str:
+    return with_ctes(PANEL, *staged(momentum_stage()), *weights_ctes(constraints)) + f"""
+SELECT date, asset_id, {rnd('weight', 10)} AS weight FROM wts"""
+
+
+def portfolio_ctes(keys: str = "date", panel: str = "panel") -> list[str]:
+    on = " AND ".join(f"w.{c} = fr.{c}" for c in ["date", "asset_id"])
+    gk = ", ".join(f"w.{c}" for c in keys.split(", "))
+    return [f"""
+fr AS (SELECT date, asset_id, lead("return", 1) OVER ({PKT}) AS forward_return FROM {panel})""", f"""
+pr AS (SELECT {gk}, coalesce(sum(w.weight * fr.forward_return), 0.0) AS "return"
+       FROM wts w LEFT JOIN fr ON {on} GROUP BY {gk})"""]
+
+
+def _momentum_portfolio() -> list[str]:
+    return [PANEL, *staged(momentum_stage()), *weights_ctes(("ZeroBeta", "ZeroInvestment")), *portfolio_ctes()]
+
+
+def portfolio_returns_sql() -> str:
+    return with_ctes(*_momentum_portfolio()) + f"""
+SELECT date, {rnd('"return"', 10)} AS "return" FROM pr"""
+
+
+def _cum(part: str = "") -> str:
+    return (
+        f"sum({lr(chr(34) + 'return' + chr(34))}) OVER "
+        f"({part} ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * 100"
+    )
+
+
+def cumulative_sql() -> str:
+    return with_ctes(*_momentum_portfolio()) + f"""
+SELECT date, {rnd(_cum(), 6)} AS cumulative_return FROM pr"""
+
+
+def _summary_select(src: str = "pr", by: str = "") -> str:
+    sel = f"{by}, " if by else ""
+    grp = f" GROUP BY {by}" if by else ""
+    return f"""
+SELECT {sel}{rnd('mean_return', 8)} AS mean_return, {rnd('volatility', 8)} AS volatility,
+       {rnd('mean_return / NULLIF(volatility, 0)', 8)} AS sharpe
+FROM (SELECT {sel}avg("return") * 252 AS mean_return, stddev_samp("return") * sqrt(252.0) AS volatility
+      FROM {src}{grp})"""
+
+
+def summary_sql() -> str:
+    return with_ctes(*_momentum_portfolio()) + _summary_select()
+
+
+def subsample_summary_sql() -> str:
+    rng = "date BETWEEN DATE '1999-01-01' AND DATE '2000-12-31'"
+    ctes = [PANEL, *staged(momentum_stage()), *weights_ctes(("ZeroBeta", "ZeroInvestment"))]
+    ctes.append(f"""
+sub AS (SELECT * FROM panel WHERE {rng}),
+wsub AS (SELECT * FROM wts WHERE {rng})""")
+    ctes.append(f"""
+frs AS (SELECT date, asset_id, lead("return", 1) OVER ({PKT}) AS forward_return FROM sub),
+prs AS (SELECT w.date, coalesce(sum(w.weight * frs.forward_return), 0.0) AS "return"
+        FROM wsub w LEFT JOIN frs ON w.date = frs.date AND w.asset_id = frs.asset_id GROUP BY w.date)""")
+    return with_ctes(*ctes) + _summary_select("prs")
+
+
+def gamma_calibration_sql() -> str:
+    return with_ctes(*_momentum_portfolio()) + f"""
+SELECT {GAMMA}::DOUBLE AS gamma, {rnd('vol', 8)} AS volatility, 0.05::DOUBLE AS target_volatility,
+       {rnd(f'{GAMMA} * vol / 0.05', 8)} AS gamma_star
+FROM (SELECT stddev_samp("return") * sqrt(252.0) AS vol FROM pr)"""
+
+
+def _regression_data(xs: list[str]) -> str:
+    leads = ", ".join(f"lead({c}, 1) OVER (ORDER BY date) AS {c}" for c in [*xs, "rf"])
+    xsel = ", ".join(f"sf.{x} * 100 AS {x}" for x in xs)
+    nn = " AND ".join(f"{x} IS NOT NULL" for x in ["y", *xs])
+    return f"""
+sf AS (SELECT date, {leads} FROM factors),
+rd0 AS (SELECT (pr."return" - sf.rf) * 100 AS y, {xsel}
+        FROM pr LEFT JOIN sf ON pr.date = sf.date WHERE pr."return" IS NOT NULL),
+rd AS (SELECT * FROM rd0 WHERE {nn})"""
+
+
+def regression_capm_sql() -> str:
+    ctes = [*_momentum_portfolio(), FACTORS, _regression_data(["mkt_rf"])]
+    ctes.append("""
+rg AS (SELECT count(*) AS n, regr_slope(y, mkt_rf) AS b, regr_intercept(y, mkt_rf) AS a,
+              regr_sxx(y, mkt_rf) AS sxx, regr_syy(y, mkt_rf) AS syy, regr_sxy(y, mkt_rf) AS sxy,
+              avg(mkt_rf) AS mx FROM rd),
+rs2 AS (SELECT *, (syy - b * sxy) / (n - 2) AS s2 FROM rg)""")
+    return with_ctes(*ctes) + f"""
+SELECT 'Intercept' AS variable, {rnd('a')} AS coefficient,
+       {rnd('a / NULLIF(sqrt(s2 * (1.0 / n + mx * mx / sxx)), 0)')} AS tstat FROM rs2
+UNION ALL
+SELECT 'mkt_rf', {rnd('b')}, {rnd('b / NULLIF(sqrt(s2 / sxx), 0)')} FROM rs2"""
+
+
+def _minor(m: list[list[str]], r: int, c: int) -> list[list[str]]:
+    return [[m[i][j] for j in range(len(m)) if j != c] for i in range(len(m)) if i != r]
+
+
+def regression_multi_sql(xs: list[str]) -> str:
+    """OLS with intercept and classical t-stats by Cramer's rule on centred moments."""
+    k = len(xs)
+    mom = ["count(*) AS n", "avg(y) AS my", "var_pop(y) AS vy"]
+    for i, x in enumerate(xs):
+        mom.append(f"avg({x}) AS m_{i}")
+        mom.append(f"covar_pop({x}, y) AS c_{i}_y")
+        for j in range(i, k):
+            mom.append(f"covar_pop({xs[i]}, {xs[j]}) AS c_{i}_{j}")
+    cm = [[f"c_{min(i, j)}_{max(i, j)}" for j in range(k)] for i in range(k)]
+    det = _det(cm)
+    betas = []
+    for i in range(k):
+        mi = [[(f"c_{r}_y" if c == i else cm[r][c]) for c in range(k)] for r in range(k)]
+        betas.append(f"{_det(mi)} / NULLIF(det, 0) AS b_{i}")
+    # adjugate of the symmetric C: adj_ij = (-1)^(i+j) det(minor_ij)
+    adj = []
+    for i in range(k):
+        for j in range(i, k):
+            sign = "-" if (i + j) % 2 else ""
+            adj.append(f"{sign}{_det(_minor(cm, i, j))} AS a_{i}_{j}")
+    fit = " + ".join(f"b_{i} * c_{i}_y" for i in range(k))
+    quad = " + ".join(
+        f"{'2 * ' if i != j else ''}m_{i} * m_{j} * a_{i}_{j}" for i in range(k) for j in range(i, k)
+    )
+    const = "my - (" + " + ".join(f"b_{i} * m_{i}" for i in range(k)) + ")"
+    ctes = [*_momentum_portfolio(), FACTORS, _regression_data(xs)]
+    ctes.append(f"""
+mo AS (SELECT {', '.join(mom)} FROM rd),
+md AS (SELECT *, {det} AS det FROM mo),
+mb AS (SELECT *, {', '.join(betas)}, {', '.join(adj)} FROM md),
+ms AS (SELECT *, n * (vy - ({fit})) / (n - {k} - 1) AS s2, {const} AS b_c FROM mb)""")
+    rows_ = [
+        f"SELECT 'Intercept' AS variable, {rnd('b_c')} AS coefficient, "
+        f"{rnd(f'b_c / NULLIF(sqrt(s2 * (1.0 / n + ({quad}) / det / n)), 0)')} AS tstat FROM ms"
+    ]
+    for i, x in enumerate(xs):
+        rows_.append(
+            f"SELECT '{x}', {rnd(f'b_{i}')}, {rnd(f'b_{i} / NULLIF(sqrt(s2 * a_{i}_{i} / det / n), 0)')} FROM ms"
+        )
+    return with_ctes(*ctes) + "\n" + "\nUNION ALL\n".join(rows_)
+
+
+# ------------------------------------------------------ all ten signals
+
+# name, series, regressors, rolling window, vol-scaled, gamma (study table)
+STUDY = [
+    ("momentum", '"return"', None, 230, False, 50),
+    ("vol_scaled_momentum", '"return"', None, 230, True, 50),
+    ("ff3_momentum", "res_t", FF3, 230, False, 60),
+    ("ff5_momentum", "res_f", FF5, 230, False, 60),
+    ("barra_momentum", "specific_return", None, 230, False, 50),
+    ("vol_scaled_barra_momentum", "specific_return", None, 230, True, 43),
+    ("vol_scaled_ff3_momentum", "res_t", FF3, 230, True, 60),
+    ("vol_scaled_ff5_momentum", "res_f", FF5, 230, True, 60),
+    ("capm_momentum", "res_c", CAPM, 232, False, 60),
+    ("vol_scaled_capm_momentum", "res_c", CAPM, 230, True, 60),
+]
+
+
+def _resid(tag: str, xs: list[str]) -> str:
+    terms = " + ".join([f"coalesce(B{tag}_const, 0)"] + [f"coalesce(B{tag}_{x} * {x}, 0)" for x in xs])
+    return f"return_rf - ({terms})"
+
+
+def long_ctes() -> list[str]:
+    ctes = [PANEL, FACTORS, FJ]
+    ctes += rolling_ols_ctes(CAPM, src="fj", tag="c")
+    ctes += rolling_ols_ctes(FF3, src="cols", tag="t")
+    ctes += rolling_ols_ctes(FF5, src="tols", tag="f")
+    ctes.append(f"""
+rsd AS (SELECT *, {_resid('c', CAPM)} AS res_c, {_resid('t', FF3)} AS res_t, {_resid('f', FF5)} AS res_f FROM fols)""")
+    raw = []
+    for name, series, _, n, vol, _g in STUDY:
+        e = f"CASE WHEN count({lr(series)}) OVER {rows(n)} = {n} THEN sum({lr(series)}) OVER {rows(n)} END"
+        if vol:
+            e = f"({e}) / NULLIF(CASE WHEN count({series}) OVER {rows(230)} = 230 THEN stddev_samp({series}) OVER {rows(230)} END, 0)"
+        raw.append(f"{e} AS raw_{name}")
+    ctes.append(f"""
+rawsig AS (SELECT date, asset_id, price, "return", predicted_beta, specific_risk, {', '.join(raw)} FROM rsd)""")
+    lags = ", ".join(f"lag(raw_{name}, 21) OVER ({PKT}) AS {name}" for name, *_ in STUDY)
+    ctes.append(f"""
+wide AS (SELECT date, asset_id, predicted_beta, specific_risk,
+                lag(price, 1) OVER ({PKT}) AS prev_price, lead("return", 1) OVER ({PKT}) AS fwd_return,
+                {lags} FROM rawsig)""")
+    names = ", ".join(name for name, *_ in STUDY)
+    ctes.append(f"""
+lng AS (UNPIVOT wide ON {names} INTO NAME signal VALUE value)""")
+    ctes.append(f"""
+lfilt AS (SELECT * FROM lng WHERE prev_price > {PRICE_MIN} AND value IS NOT NULL
+          AND predicted_beta IS NOT NULL AND specific_risk IS NOT NULL),
+lz AS (SELECT *, (value - avg(value) OVER (PARTITION BY date, signal))
+                 / NULLIF(stddev_samp(value) OVER (PARTITION BY date, signal), 0) AS score FROM lfilt),
+lal AS (SELECT *, score * {IC} * specific_risk AS alpha FROM lz)""")
+    return ctes
+
+
+def gamma_case() -> str:
+    whens = " ".join(f"WHEN '{name}' THEN {float(g)}" for name, *_, g in STUDY)
+    return f"(CASE signal {whens} END)"
+
+
+def all_signals_long_sql() -> str:
+    return with_ctes(*long_ctes()) + f"""
+SELECT date, signal, asset_id, {rnd('alpha', 8)} AS alpha FROM lal"""
+
+
+def _long_portfolio() -> list[str]:
+    return [
+        *long_ctes(),
+        *weights_ctes(("ZeroBeta", "ZeroInvestment"), src="lal", keys="date, signal", gamma=gamma_case()),
+        *portfolio_ctes(keys="date, signal"),
+    ]
+
+
+def portfolio_by_signal_sql() -> str:
+    return with_ctes(*_long_portfolio()) + f"""
+SELECT date, signal, {rnd('"return"', 10)} AS "return" FROM pr"""
+
+
+def cumulative_by_signal_sql() -> str:
+    return with_ctes(*_long_portfolio()) + f"""
+SELECT date, signal, {rnd(_cum('PARTITION BY signal'), 6)} AS cumulative_return FROM pr"""
+
+
+def summary_by_signal_sql() -> str:
+    return with_ctes(*_long_portfolio()) + _summary_select("pr", "signal")
+
+
+def weights_roundtrip_sql() -> str:
+    return mvo(("ZeroBeta", "ZeroInvestment"))
+
+
+def distinct_years_sql() -> str:
+    return with_ctes(PANEL, *staged(momentum_stage())) + """
+SELECT DISTINCT CAST(year(date) AS INTEGER) AS year FROM al"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -331,4 +606,21 @@ def oracle_sql() -> dict[str, str]:
         "vol_scaled_ff5_momentum": residual_signal(FF5, "vol_scaled_ff5_momentum", vol=230),
         "ff3_momentum_strict": residual_signal(FF3, "ff3_momentum", strict=True),
         "ff5_momentum_short": residual_signal(FF5, "ff5_momentum", lookback=40, skip=5, window=60),
+        "mvo_diag_none": mvo(()),
+        "mvo_diag_zero_investment": mvo(("ZeroInvestment",)),
+        "mvo_diag_zero_beta": mvo(("ZeroBeta",)),
+        "mvo_diag_both": mvo(("ZeroBeta", "ZeroInvestment")),
+        "portfolio_returns": portfolio_returns_sql(),
+        "cumulative_log_returns": cumulative_sql(),
+        "summary": summary_sql(),
+        "subsample_summary": subsample_summary_sql(),
+        "gamma_calibration": gamma_calibration_sql(),
+        "factor_regression_capm": regression_capm_sql(),
+        "factor_regression_ff5": regression_multi_sql(FF5),
+        "all_signals_long": all_signals_long_sql(),
+        "portfolio_returns_by_signal": portfolio_by_signal_sql(),
+        "cumulative_by_signal": cumulative_by_signal_sql(),
+        "summary_by_signal": summary_by_signal_sql(),
+        "weights_roundtrip_partitioned": weights_roundtrip_sql(),
+        "distinct_years": distinct_years_sql(),
     }

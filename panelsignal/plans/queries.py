@@ -9,6 +9,7 @@ matching SQL of :mod:`panelsignal.plans.oracle`.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Mapping
 from functools import cached_property
 
@@ -23,8 +24,16 @@ from panelsignal.operators.alpha import (
     forward_returns,
     universe_filter,
 )
+from panelsignal.operators.evaluate import (
+    cumulative_log_returns,
+    factor_regression,
+    forward_return_panel,
+    performance_summary,
+    portfolio_returns,
+)
 from panelsignal.operators.ic import add_cumulative_ic, add_rolling_ic, information_coefficient
 from panelsignal.operators.ols import add_rolling_ols
+from panelsignal.operators.optimize import calibrate_gamma, mvo_weights
 from panelsignal.operators.signals import (
     CAPM,
     FF3,
@@ -33,7 +42,9 @@ from panelsignal.operators.signals import (
     SignalSpec,
     add_excess_return,
     add_signal,
+    add_signals,
     join_factors,
+    to_long,
 )
 from panelsignal.sources.fixtures import (
     FIXTURE_SPAN,
@@ -41,7 +52,9 @@ from panelsignal.sources.fixtures import (
     panel_from_lineitem,
     read_table,
 )
-from panelsignal.sources.schema import load_assets, load_factors
+from panelsignal.session import scratch_path
+from panelsignal.sources.io import read_weights, write_weights
+from panelsignal.sources.schema import Span, load_assets, load_factors
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -141,7 +154,8 @@ def _panel_scan(fx: Fixture) -> DataFrame:
 def _factor_join_left(fx: Fixture) -> DataFrame:
     """Panel LEFT JOIN factors on date."""
     df = join_factors(fx.panel.select("date", "asset_id", "return"), fx.factors, fx.span)
-    return finish(df, 8)
+    # reported at the fixture's own precision (no re-rounding of ...5 values)
+    return finish(df, 10, fine={"return": 12})
 
 
 @register("excess_return")
@@ -262,3 +276,169 @@ def _ic_rolling22(fx: Fixture) -> DataFrame:
 def _ic_cumulative(fx: Fixture) -> DataFrame:
     """Cumulative rank IC."""
     return finish(add_cumulative_ic(_ic(fx, "rank")).select("date", "ic", "ic_cumulative"))
+
+
+# ------------------------------------------------------------ optimiser
+
+GAMMA = 50.0
+WEIGHT_DIGITS = {"weight": 10}
+MVO_CONSTRAINTS = {
+    "mvo_diag_none": (),
+    "mvo_diag_zero_investment": ("ZeroInvestment",),
+    "mvo_diag_zero_beta": ("ZeroBeta",),
+    "mvo_diag_both": ("ZeroBeta", "ZeroInvestment"),
+}
+
+
+def momentum_weights(fx: Fixture, constraints=("ZeroBeta", "ZeroInvestment"), gamma: float = GAMMA) -> DataFrame:
+    al = fx.alphas(fx.spec("momentum"), keep=("specific_risk",))
+    return mvo_weights(al, gamma, constraints, max_keys=fx.span.days)
+
+
+def _mvo_query(constraints):
+    def q(fx: Fixture) -> DataFrame:
+        return finish(momentum_weights(fx, constraints), fine=WEIGHT_DIGITS)
+
+    q.__doc__ = f"C6: diagonal-risk weights, constraints {list(constraints)}"
+    return q
+
+
+for _name, _cons in MVO_CONSTRAINTS.items():
+    register(_name)(_mvo_query(_cons))
+
+
+# ------------------------------------------------------------ evaluation
+
+
+def momentum_portfolio(fx: Fixture) -> DataFrame:
+    w = momentum_weights(fx)
+    return portfolio_returns(w, forward_return_panel(fx.panel))
+
+
+@register("portfolio_returns")
+def _portfolio_returns(fx: Fixture) -> DataFrame:
+    """A1 + J3: daily return of the momentum MVO portfolio."""
+    return finish(momentum_portfolio(fx), 10)
+
+
+@register("cumulative_log_returns")
+def _cumulative(fx: Fixture) -> DataFrame:
+    """Cumulative log return (%) of the momentum portfolio."""
+    return finish(cumulative_log_returns(momentum_portfolio(fx)), 6)
+
+
+@register("summary")
+def _summary(fx: Fixture) -> DataFrame:
+    """A3: annualised mean, volatility, Sharpe."""
+    return finish(performance_summary(momentum_portfolio(fx)), 8)
+
+
+SUBSAMPLE = Span(dt.date(1999, 1, 1), dt.date(2000, 12, 31))
+
+
+@register("subsample_summary")
+def _subsample_summary(fx: Fixture) -> DataFrame:
+    """Weights and returns both restricted to a sub-period, then A3."""
+    w = momentum_weights(fx).where(SUBSAMPLE.where())
+    returns = forward_return_panel(fx.panel.where(SUBSAMPLE.where()))
+    return finish(performance_summary(portfolio_returns(w, returns)), 8)
+
+
+@register("gamma_calibration")
+def _gamma_calibration(fx: Fixture) -> DataFrame:
+    """Gamma for 5 % annualised active risk from one gamma-50 run."""
+    s = performance_summary(momentum_portfolio(fx))
+    return finish(calibrate_gamma(s, GAMMA, 0.05), 8)
+
+
+@register("factor_regression_capm")
+def _reg_capm(fx: Fixture) -> DataFrame:
+    """CAPM regression of the portfolio's daily % excess return."""
+    return finish(factor_regression(momentum_portfolio(fx), fx.factors, CAPM, max_dates=fx.span.days))
+
+
+@register("factor_regression_ff5")
+def _reg_ff5(fx: Fixture) -> DataFrame:
+    """FF5 regression with classical t-stats."""
+    return finish(factor_regression(momentum_portfolio(fx), fx.factors, FF5, max_dates=fx.span.days))
+
+
+# ------------------------------------------------------ all ten signals
+
+
+def long_alphas(fx: Fixture, names=None) -> DataFrame:
+    """C14: all signals in one asset stage, unpivoted, alphas per (date, signal)."""
+    names = list(names or STUDY_SIGNALS)
+    specs = [fx.spec(n) for n in names]
+    df = fx.panel
+    if any(s.is_residual for s in specs):
+        df = add_excess_return(join_factors(df, fx.factors, fx.span))
+    df = add_prev_and_forward(add_signals(df, specs))
+    ids = ["date", "asset_id", "prev_price", "predicted_beta", "specific_risk", "fwd_return"]
+    long = to_long(df, names, ids, value="value")
+    return alphas_from_signal(
+        long,
+        "value",
+        price_min=PRICE_MIN,
+        ic=IC,
+        keys=("date", "signal"),
+        max_keys=fx.span.days * len(names),
+        keep=("specific_risk", "fwd_return"),
+    )
+
+
+def gamma_column(names=None):
+    names = list(names or STUDY_SIGNALS)
+    pairs = []
+    for n in names:
+        pairs += [F.lit(n), F.lit(float(STUDY_SIGNALS[n].gamma))]
+    return F.create_map(*pairs)[F.col("signal")]
+
+
+def long_portfolio(fx: Fixture) -> DataFrame:
+    al = long_alphas(fx)
+    w = mvo_weights(al, gamma_column(), keys=("date", "signal"), max_keys=fx.span.days * len(STUDY_SIGNALS))
+    return portfolio_returns(w, forward_return_panel(fx.panel), by=("signal",))
+
+
+@register("all_signals_long")
+def _all_signals_long(fx: Fixture) -> DataFrame:
+    """C14: alphas of the ten study signals in long format."""
+    return finish(long_alphas(fx).select("date", "signal", "asset_id", "alpha"), fine=FRACTIONS)
+
+
+@register("portfolio_returns_by_signal")
+def _port_by_signal(fx: Fixture) -> DataFrame:
+    """A2: daily portfolio return per signal (each with its own gamma)."""
+    return finish(long_portfolio(fx), 10)
+
+
+@register("cumulative_by_signal")
+def _cum_by_signal(fx: Fixture) -> DataFrame:
+    """Cumulative log return per signal."""
+    return finish(cumulative_log_returns(long_portfolio(fx), by=("signal",)), 6)
+
+
+@register("summary_by_signal")
+def _summary_by_signal(fx: Fixture) -> DataFrame:
+    """A4/C11: annualised summary per signal."""
+    return finish(performance_summary(long_portfolio(fx), by=("signal",)), 8)
+
+
+# ------------------------------------------------------------------ IO
+
+
+@register("weights_roundtrip_partitioned")
+def _weights_roundtrip(fx: Fixture) -> DataFrame:
+    """S6 + S3: weights written partitioned by signal/gamma/year, read back pruned."""
+    root = scratch_path(fx.spark, "weights")
+    write_weights(momentum_weights(fx), root, signal="momentum", gamma=GAMMA)
+    back = read_weights(fx.spark, root, signals=["momentum"], gammas=[GAMMA])
+    return finish(back.select("date", "asset_id", "weight"), fine=WEIGHT_DIGITS)
+
+
+@register("distinct_years")
+def _distinct_years(fx: Fixture) -> DataFrame:
+    """Distinct years present in the alphas."""
+    al = fx.alphas(fx.spec("momentum"))
+    return al.select(F.year("date").alias("year")).distinct()

@@ -25,6 +25,8 @@ from panelsignal.functions.columns import finite_or_null, safe_div, sum_skip_nul
 from panelsignal.operators.windows import ASSET, DATE, _tmp, add_rolling_sums
 
 CONST = "const"
+# centred sum of squares below this fraction of the raw one = constant regressor
+REL_VAR_TOL = 1e-10
 
 
 def _pairs(k: int) -> list[tuple[int, int]]:
@@ -60,13 +62,20 @@ def solve_centered(
     mx = sx[ok] / nn
     c = sxx[ok] - nn[:, :, None] * mx[:, :, None] * mx[:, None, :]
     b = sxy[ok] - mx * sy[ok][:, None]
-    d = np.sqrt(np.clip(np.diagonal(c, axis1=1, axis2=2), 0.0, None))
-    good = (d > 0).all(1)
+    var = np.diagonal(c, axis1=1, axis2=2)
+    raw = np.diagonal(sxx[ok], axis1=1, axis2=2)
+    # a regressor that is constant in the window leaves only rounding noise
+    # in its centred sum of squares: treat that as zero variance
+    good = (var > REL_VAR_TOL * raw).all(1)
+    d = np.sqrt(np.clip(var, 0.0, None))
     scale = np.where(d > 0, d, 1.0)
     cs = c / (scale[:, :, None] * scale[:, None, :])
+    # symmetric: eigenvalues are cheaper than the SVD behind np.linalg.cond
+    cs = np.where(np.isfinite(cs), cs, 0.0)
+    ev = np.linalg.eigvalsh(cs)
     with np.errstate(all="ignore"):
-        cond = np.linalg.cond(cs)
-    good &= np.isfinite(cond) & (cond < cond_max)
+        cond = ev[:, -1] / ev[:, 0]
+    good &= (ev[:, 0] > 0) & np.isfinite(cond) & (cond < cond_max)
     beta = np.full((cs.shape[0], k), np.nan)
     if good.any():
         z = np.linalg.solve(cs[good], (b[good] / scale[good])[:, :, None])[:, :, 0]
@@ -151,7 +160,7 @@ def add_rolling_ols(
         n = F.lit(float(window))
         sxx_c = F.col(sxx[(0, 0)]) - F.col(sx[0]) * F.col(sx[0]) / n
         sxy_c = F.col(sxy[0]) - F.col(sx[0]) * F.col(sy) / n
-        slope = F.when(sxx_c > F.lit(1e-12) * F.col(sxx[(0, 0)]), safe_div(sxy_c, sxx_c))
+        slope = F.when(sxx_c > F.lit(REL_VAR_TOL) * F.col(sxx[(0, 0)]), safe_div(sxy_c, sxx_c))
         df = df.withColumn(fields[1], slope)
         df = df.withColumn(fields[0], (F.col(sy) - F.col(fields[1]) * F.col(sx[0])) / n)
         return df.drop(*temps)

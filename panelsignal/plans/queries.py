@@ -33,7 +33,7 @@ from panelsignal.operators.evaluate import (
 )
 from panelsignal.operators.ic import add_cumulative_ic, add_rolling_ic, information_coefficient
 from panelsignal.operators.ols import add_rolling_ols
-from panelsignal.operators.optimize import calibrate_gamma, mvo_weights
+from panelsignal.operators.optimize import calibrate_gamma, mvo_weights, mvo_weights_factor_risk
 from panelsignal.operators.signals import (
     CAPM,
     FF3,
@@ -48,6 +48,7 @@ from panelsignal.operators.signals import (
 )
 from panelsignal.sources.fixtures import (
     FIXTURE_SPAN,
+    exposures_from_lineitem,
     factors_from_lineitem,
     panel_from_lineitem,
     read_table,
@@ -442,3 +443,34 @@ def _distinct_years(fx: Fixture) -> DataFrame:
     """Distinct years present in the alphas."""
     al = fx.alphas(fx.spec("momentum"))
     return al.select(F.year("date").alias("year")).distinct()
+
+
+# ------------------------------------------------------ factor-risk MVO
+
+# Fixed values of the test risk model: diagonal factor variances.
+FACTOR_VARIANCE = {
+    "size": 0.0004,
+    "activity": 0.0001,
+    "discount": 0.0001,
+    "region_0": 0.0002,
+    "region_1": 0.0002,
+    "region_2": 0.0002,
+    "region_3": 0.0002,
+    "region_4": 0.0002,
+}
+
+
+@register("mvo_factor_risk")
+def _mvo_factor_risk(fx: Fixture) -> DataFrame:
+    """C6 with factor risk S = X F X' + D (Woodbury, per-date K x K solve).
+
+    Checked against a dense per-date KKT solve in tests (no SQL oracle).
+    """
+    al = fx.alphas(fx.spec("momentum"), keep=("specific_risk",))
+    exposures = exposures_from_lineitem(
+        fx.lineitem,
+        read_table(fx.spark, fx.sf_dir, "supplier"),
+        read_table(fx.spark, fx.sf_dir, "nation"),
+    ).where(fx.span.where())
+    w = mvo_weights_factor_risk(al, exposures, FACTOR_VARIANCE, GAMMA, max_keys=fx.span.days)
+    return finish(w, fine=WEIGHT_DIGITS)

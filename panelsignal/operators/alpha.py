@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from panelsignal.functions.columns import safe_div
 from panelsignal.operators.windows import ASSET, DATE, _tmp, add_lags
 from panelsignal.plans.joins import join_per_key
+from panelsignal.plans.materialize import materialize
 
 
 def add_prev_and_forward(
@@ -98,16 +99,22 @@ def alphas_from_signal(
     keys: Sequence[str] = (DATE,),
     max_keys: int | None = None,
     keep: Sequence[str] = (),
+    materialize_as: str | None = None,
 ) -> DataFrame:
     """Universe filter -> score -> alpha.
 
     Output: date, asset_id, alpha, predicted_beta (+ ``keep`` columns).
     Rows of a single-asset date keep a NULL alpha, as in the reference.
+    ``materialize_as='checkpoint'`` writes the filtered asset-stage rows
+    once so the per-date consumers downstream do not recompute the windows.
     """
+    extra_keys = [k for k in keys if k != DATE]
     f = universe_filter(df, signal, price_min)
+    if materialize_as:
+        cols = [DATE, *extra_keys, ASSET, signal, "predicted_beta", "specific_risk", *keep]
+        f = materialize(f.select(*dict.fromkeys(cols)), materialize_as)
     z = add_zscore(f, signal, "score", keys=keys, max_keys=max_keys)
     a = add_alpha(z, "score", ic)
-    extra_keys = [k for k in keys if k != DATE]
     return a.select(DATE, *extra_keys, ASSET, "alpha", "predicted_beta", *keep)
 
 

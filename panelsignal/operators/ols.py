@@ -8,7 +8,10 @@ the JVM.  With more regressors the centred k x k normal equations are
 solved by a scalar pandas UDF on Arrow batches (numpy batched solve):
 only the sums travel to Python, the rows keep their partitioning, and an
 ill-conditioned or singular window yields NULL coefficients instead of
-failing the task.
+failing the task.  (A per-row LDL' written as chained Column expressions
+was tried and dropped: any filter on a coefficient is pushed through the
+chain by inlining every alias, and the inlined tree grows exponentially.
+The UDF output is opaque to that rewrite.)
 """
 
 from __future__ import annotations

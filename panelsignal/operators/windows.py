@@ -6,8 +6,9 @@ share one ``Window.partitionBy(key).orderBy(date)`` spec, so Spark plans a
 single exchange + sort for any number of them in a row.
 
 Rolling sums are evaluated in *prefix form* by default: a running sum
-over ``unboundedPreceding..currentRow`` minus the running sum ``n`` rows
-earlier.  Spark evaluates a sliding frame by re-aggregating every frame
+over ``unboundedPreceding..currentRow`` minus the running sum over
+``unboundedPreceding..-n`` (both growing frames, one Window operator).
+Spark evaluates a sliding frame by re-aggregating every frame
 (O(rows x window)); the prefix form is O(rows).  ``exact=True`` keeps
 the sliding-frame form (used as a cross-check in tests).
 
@@ -86,12 +87,10 @@ def add_rolling_sums(
     for name in names:
         v = finite_or_null(exprs[name])
         vals[name] = F.when(valid, v) if valid is not None else v
-    shared = _tmp("cnt") if valid is not None else None
-
     if exact:
         frame = w.rowsBetween(-(n - 1), Window.currentRow)
         out = {}
-        if shared is not None:
+        if valid is not None:
             cnt = F.sum(F.when(valid, 1).otherwise(0)).over(frame)
             for name in names:
                 out[name] = F.when(cnt == n, F.sum(vals[name]).over(frame))
@@ -104,29 +103,25 @@ def add_rolling_sums(
                 )
         return df.withColumns(out)
 
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cs = {name: _tmp("cs") for name in names}
-    cc = {name: (shared or _tmp("cc")) for name in names}
-    stage = {}
-    for name in names:
-        stage[cs[name]] = F.sum(F.coalesce(vals[name], F.lit(0.0))).over(run)
-    if shared is not None:
-        stage[shared] = F.sum(F.when(valid, 1).otherwise(0)).over(run)
-    else:
-        for name in names:
-            stage[cc[name]] = F.count(vals[name]).over(run)
-    df = df.withColumns(stage)
+    # prefix form: running sum to the current row minus running sum to the
+    # row n back.  Both are growing frames of the same window spec, so Spark
+    # evaluates them in one Window operator in a single pass (a lag of the
+    # running sum would add a second, much slower offset-frame operator).
+    now = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    prev = w.rowsBetween(Window.unboundedPreceding, -n)
+
+    def rolling(e: Column) -> Column:
+        return F.sum(e).over(now) - F.coalesce(F.sum(e).over(prev), F.lit(0))
 
     out = {}
+    if valid is not None:
+        cnt = rolling(F.when(valid, 1).otherwise(0))
+        if count_out:
+            out[count_out] = cnt
     for name in names:
-        c = F.col(cc[name]) - F.coalesce(F.lag(cc[name], n).over(w), F.lit(0))
-        s = F.col(cs[name]) - F.coalesce(F.lag(cs[name], n).over(w), F.lit(0.0))
-        out[name] = F.when(c == n, s)
-    if count_out and shared is not None:
-        out[count_out] = F.col(shared) - F.coalesce(F.lag(shared, n).over(w), F.lit(0))
-    df = df.withColumns(out)
-    temps = list(cs.values()) + sorted(set(cc.values()))
-    return df.drop(*temps)
+        c = cnt if valid is not None else rolling(F.when(vals[name].isNotNull(), 1).otherwise(0))
+        out[name] = F.when(c == n, rolling(F.coalesce(vals[name], F.lit(0.0))))
+    return df.withColumns(out)
 
 
 def add_rolling_std(

@@ -108,7 +108,7 @@ class Fixture:
         df = add_signal(df, spec, exact=exact)
         return add_prev_and_forward(df)
 
-    def alphas(self, spec: SignalSpec, keep=()) -> DataFrame:
+    def alphas(self, spec: SignalSpec, keep=(), materialize_as: str | None = "checkpoint") -> DataFrame:
         return alphas_from_signal(
             self.signal_frame(spec),
             spec.name,
@@ -116,6 +116,7 @@ class Fixture:
             ic=IC,
             max_keys=self.span.days,
             keep=keep,
+            materialize_as=materialize_as,
         )
 
 
@@ -385,6 +386,7 @@ def long_alphas(fx: Fixture, names=None) -> DataFrame:
         keys=("date", "signal"),
         max_keys=fx.span.days * len(names),
         keep=("specific_risk", "fwd_return"),
+        materialize_as="checkpoint",
     )
 
 

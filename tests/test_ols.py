@@ -49,6 +49,18 @@ def test_collinear_window_gives_null(spark):
     assert all(r["B_f0"] is None and r["B_const"] is None for r in out)
     out1 = add_rolling_ols(df, "return_rf", ["f0"], 4).collect()
     assert all(r["B_f0"] is None for r in out1)
+    # exactly collinear pair (f1 = 2 f0)
+    rows = [(i, 1, 0.01 * i, float(i % 3), 2.0 * (i % 3)) for i in range(8)]
+    df = panel_df(spark, rows, ("date", "asset_id", "return_rf", "f0", "f1"))
+    out = add_rolling_ols(df, "return_rf", ["f0", "f1"], 4).collect()
+    assert all(r["B_f0"] is None for r in out)
+
+
+def test_filter_on_coefficients_plans_quickly(spark):
+    # a filter on a coefficient must not be inlined into a huge expression
+    df, _ = _panel(spark, n=30, assets=2, k=5)
+    out = add_rolling_ols(df, "return_rf", [f"f{j}" for j in range(5)], 10)
+    assert out.where(F.col("B_const").isNotNull()).count() == 2 * 21
 
 
 def test_warmup_modes(spark):

@@ -136,8 +136,14 @@ def add_rolling_ols(
     k = len(xs)
     if k < 1:
         raise ValueError("need at least one regressor")
-    yc = finite_or_null(y)
-    xc = [finite_or_null(x) for x in xs]
+    # NaN/inf -> NULL once per input column; the cross products are then
+    # built from these clean columns (re-wrapping every product in the
+    # finite check multiplies the expression size).
+    clean_y = _tmp("y")
+    clean_x = [_tmp(f"x{i}") for i in range(k)]
+    df = df.withColumns({clean_y: finite_or_null(y), **{c: finite_or_null(x) for c, x in zip(clean_x, xs)}})
+    yc = F.col(clean_y)
+    xc = [F.col(c) for c in clean_x]
     valid = yc.isNotNull()
     for c in xc:
         valid = valid & c.isNotNull()
@@ -154,9 +160,9 @@ def add_rolling_ols(
     for (i, j), name in sxx.items():
         exprs[name] = xc[i] * xc[j]
     df = add_rolling_sums(
-        df, exprs, window, valid=valid, count_out=cnt, key=key, order=order, by=by, exact=exact
+        df, exprs, window, valid=valid, count_out=cnt, key=key, order=order, by=by, exact=exact, finite=True
     )
-    temps = [cnt, sy, *sx, *sxy, *sxx.values()]
+    temps = [cnt, sy, *sx, *sxy, *sxx.values(), clean_y, *clean_x]
     fields = _coef_fields(xs, prefix)
 
     if k == 1:

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelsignal.functions.columns import log1p_or_null, safe_div
+from panelsignal.functions.columns import finite_or_null, log1p_or_null, safe_div
 from panelsignal.operators.ols import add_residual, add_rolling_ols
 from panelsignal.operators.windows import (
     ASSET,
@@ -110,7 +110,14 @@ def add_momentum(
     """W1 (+W3) + W4: ``lag(sum(log1p(x)) over lookback [/ std(x) over vol_window], skip)``."""
     rs = _tmp("rs")
     df = add_rolling_sums(
-        df, {rs: log1p_or_null(series)}, lookback, key=key, order=order, by=by, exact=exact
+        df,
+        {rs: log1p_or_null(finite_or_null(series))},
+        lookback,
+        key=key,
+        order=order,
+        by=by,
+        exact=exact,
+        finite=True,
     )
     value = F.col(rs)
     temps = [rs]

@@ -70,6 +70,7 @@ def add_rolling_sums(
     order: str = DATE,
     by: Sequence[str] = (),
     exact: bool = False,
+    finite: bool = False,
 ) -> DataFrame:
     """Add ``out`` = sum of ``expr`` over the current and ``n-1`` previous rows.
 
@@ -77,7 +78,8 @@ def add_rolling_sums(
     ``valid`` every expression is masked by that row flag and one shared
     count (optionally exposed as ``count_out``) guards all of them: the
     rolling-regression case where a row counts only if y and every
-    regressor are present.
+    regressor are present.  ``finite=True`` declares the expressions free
+    of NaN/inf already (they are then not wrapped again).
     """
     if n < 1:
         raise ValueError("window must be >= 1 row")
@@ -85,7 +87,7 @@ def add_rolling_sums(
     names = list(exprs)
     vals = {}
     for name in names:
-        v = finite_or_null(exprs[name])
+        v = col(exprs[name]) if finite else finite_or_null(exprs[name])
         vals[name] = F.when(valid, v) if valid is not None else v
     if exact:
         frame = w.rowsBetween(-(n - 1), Window.currentRow)
@@ -145,9 +147,10 @@ def add_rolling_std(
         v = finite_or_null(x)
         sd = F.stddev_samp(v).over(w)
         return df.withColumn(out, F.when((F.count(v).over(w) == n) & (sd > 0), sd))
-    s1, s2, run2 = _tmp("s1"), _tmp("s2"), _tmp("r2")
-    v = finite_or_null(x)
-    df = add_rolling_sums(df, {s1: v, s2: v * v}, n, key=key, order=order, by=by)
+    s1, s2, run2, xv = _tmp("s1"), _tmp("s2"), _tmp("r2"), _tmp("x")
+    df = df.withColumn(xv, finite_or_null(x))
+    v = F.col(xv)
+    df = add_rolling_sums(df, {s1: v, s2: v * v}, n, key=key, order=order, by=by, finite=True)
     w = series_window(key, order, by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     df = df.withColumn(run2, F.sum(F.coalesce(v * v, F.lit(0.0))).over(w))
     var = (F.col(s2) - F.col(s1) * F.col(s1) / F.lit(float(n))) / F.lit(float(n - 1))
@@ -155,7 +158,7 @@ def add_rolling_std(
     # is zero; the noise scales with the running sum of squares.
     noise = F.lit(1e-12) * F.col(run2) / F.lit(float(n))
     df = df.withColumn(out, F.when(var > noise, F.sqrt(var)))
-    return df.drop(s1, s2, run2)
+    return df.drop(s1, s2, run2, xv)
 
 
 def cross_section_stats(

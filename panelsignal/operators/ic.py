@@ -4,8 +4,10 @@ cumulative IC series (A7, W12, W13).
 Pearson IC is a grouped aggregate (covariance / product of standard
 deviations, all partial-aggregation friendly).  Rank IC ranks alpha and
 forward return inside each date with average ranks for ties, then takes
-the same guarded correlation.  Values are rounded to 1e-10 before ranking
-so float noise from summation order cannot create or break ties.
+the same guarded correlation.  The default ranking never handles a date
+whole (see :func:`add_average_rank_split`).  Values are rounded to 1e-10
+before ranking so float noise from summation order cannot create or break
+ties.
 """
 
 from __future__ import annotations
@@ -17,8 +19,12 @@ from pyspark.sql import functions as F
 
 from panelsignal.functions.columns import safe_div
 from panelsignal.operators.windows import DATE
+from panelsignal.plans.joins import bounded_broadcast
+from panelsignal.plans.materialize import materialize
 
 TIE_DIGITS = 10
+# largest per-date group ranked by a single window sort (one task)
+MAX_GROUP_ROWS = 2_000_000
 
 
 def average_rank(value: str, keys: Sequence[str] = (DATE,)) -> Column:
@@ -33,6 +39,52 @@ def average_rank(value: str, keys: Sequence[str] = (DATE,)) -> Column:
     return (F.rank().over(w) + last) / F.lit(2.0)
 
 
+def add_average_rank_split(
+    df: DataFrame,
+    value: str,
+    out: str,
+    keys: Sequence[str] = (DATE,),
+    *,
+    buckets: int = 32,
+    max_keys: int | None = None,
+    accuracy: int = 10000,
+) -> DataFrame:
+    """Exact 1-based average rank of ``value`` within ``keys``, skew-splitting.
+
+    A window rank sorts each key group in one task.  Here no group is ever
+    handled whole:
+
+    1. distinct values with their multiplicity, ``groupBy(keys, value)``:
+       map-side partial aggregation collapses repeated (hot) values;
+    2. per-key value-range buckets from approximate quantiles (partial
+       aggregation; one row per key, broadcast behind ``max_keys``); the
+       quantiles only balance the work, ranks stay exact;
+    3. per (key, bucket) counts and their running offsets (a table of
+       keys x buckets rows);
+    4. running counts inside each (key, bucket), so a wide key is split
+       ``buckets`` ways;
+    5. join the (key, value) ranks back to the rows.
+
+    Rows with a NULL value get a NULL rank.
+    """
+    keys = list(keys)
+    c, b, bounds, off = "__rk_c", "__rk_b", "__rk_bounds", "__rk_off"
+    vc = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(c))
+    probs = [i / buckets for i in range(1, buckets)]
+    q = df.groupBy(*keys).agg(F.percentile_approx(value, probs, accuracy).alias(bounds))
+    vc = vc.join(bounded_broadcast(q, max_keys), keys)
+    vc = vc.withColumn(b, F.size(F.filter(F.col(bounds), lambda x: x < F.col(value)))).drop(bounds)
+    per_bucket = vc.groupBy(*keys, b).agg(F.sum(c).alias("__rk_bc"))
+    wb = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = per_bucket.select(*keys, b, F.coalesce(F.sum("__rk_bc").over(wb), F.lit(0)).alias(off))
+    nb = None if max_keys is None else max_keys * buckets
+    vc = vc.join(bounded_broadcast(per_bucket, nb), keys + [b])
+    wv = Window.partitionBy(*keys, b).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col(off) + F.coalesce(F.sum(c).over(wv), F.lit(0))
+    vc = vc.select(*keys, value, (below + (F.col(c) + F.lit(1)) / F.lit(2.0)).alias(out))
+    return df.join(vc, keys + [value], "left")
+
+
 def guarded_corr(a: str, b: str) -> Column:
     """Sample correlation, NULL when n < 2 or either side is constant."""
     return safe_div(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
@@ -45,11 +97,19 @@ def information_coefficient(
     ret: str = "fwd_return",
     method: str = "rank",
     keys: Sequence[str] = (DATE,),
+    ranking: str = "auto",
+    max_keys: int | None = None,
+    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Per-key IC of ``alpha`` against ``ret``: columns keys..., n, ic.
 
     Only rows with both values take part (the inner join of alphas and
-    forward returns).
+    forward returns).  Ranking: ``'window'`` sorts each key group in one
+    task (one shuffle); ``'split'`` uses the skew-splitting exact rank of
+    :func:`add_average_rank_split` (more shuffles, no group handled whole);
+    ``'auto'`` (default) writes the input once, measures the largest group
+    with one small aggregate and uses the window rank only when every group
+    is at most ``max_group_rows`` rows.
     """
     keys = list(keys)
     d = df.where(F.col(alpha).isNotNull() & F.col(ret).isNotNull()).select(
@@ -57,8 +117,20 @@ def information_coefficient(
         F.round(F.col(alpha), TIE_DIGITS).alias("__a"),
         F.round(F.col(ret), TIE_DIGITS).alias("__r"),
     )
-    if method == "rank":
+    if method == "rank" and ranking in ("auto", "split"):
+        # the rank reads its input more than once: write it once
+        d = materialize(d, "checkpoint")
+    if method == "rank" and ranking == "auto":
+        biggest = d.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        ranking = "window" if biggest <= max_group_rows else "split"
+    if method == "rank" and ranking == "window":
         d = d.withColumn("__a", average_rank("__a", keys)).withColumn("__r", average_rank("__r", keys))
+    elif method == "rank" and ranking == "split":
+        d = add_average_rank_split(d, "__a", "__ra", keys, max_keys=max_keys)
+        d = add_average_rank_split(d, "__r", "__rr", keys, max_keys=max_keys)
+        d = d.select(*keys, F.col("__ra").alias("__a"), F.col("__rr").alias("__r"))
+    elif method == "rank":
+        raise ValueError(f"unknown ranking {ranking!r}")
     elif method != "pearson":
         raise ValueError(f"unknown IC method {method!r}")
     return d.groupBy(*keys).agg(

@@ -253,7 +253,7 @@ def _forward_returns(fx: Fixture) -> DataFrame:
 
 def _ic(fx: Fixture, method: str) -> DataFrame:
     al = fx.alphas(fx.spec("momentum"), keep=("fwd_return",))
-    return information_coefficient(al, method=method)
+    return information_coefficient(al, method=method, max_keys=fx.span.days)
 
 
 @register("ic_pearson")

@@ -59,9 +59,10 @@ def _ic_frame(spark, rows):
     return panel_df(spark, rows, ("date", "asset_id", "alpha", "fwd_return"))
 
 
-def test_rank_ic_average_ties_matches_pandas(spark):
+@pytest.mark.parametrize("ranking", ["split", "window", "auto"])
+def test_rank_ic_average_ties_matches_pandas(spark, ranking):
     rows = [(0, 1, 0.3, 0.01), (0, 2, 0.3, 0.03), (0, 3, 0.1, -0.02), (0, 4, 0.5, 0.03), (0, 5, 0.2, 0.00)]
-    ic = information_coefficient(_ic_frame(spark, rows), method="rank").collect()[0]
+    ic = information_coefficient(_ic_frame(spark, rows), method="rank", ranking=ranking).collect()[0]
     pdf = pd.DataFrame(rows, columns=["d", "a", "alpha", "r"])
     exp = pdf["alpha"].rank().corr(pdf["r"].rank())
     assert ic["ic"] == pytest.approx(exp, abs=1e-12)
@@ -92,6 +93,36 @@ def test_ic_guards_and_invariance(spark):
             assert a[k] == pytest.approx(b[k], abs=1e-12)
 
 
+def test_auto_ranking_switches_on_group_size(spark):
+    rng = np.random.default_rng(6)
+    rows = [(d, a, float(rng.normal()), float(rng.normal())) for d in range(3) for a in range(40)]
+    df = _ic_frame(spark, rows)
+    base = {r["date"]: r["ic"] for r in information_coefficient(df, ranking="window").collect()}
+    split = {r["date"]: r["ic"] for r in information_coefficient(df, ranking="auto", max_group_rows=10).collect()}
+    for k in base:
+        assert split[k] == pytest.approx(base[k], abs=1e-12)
+
+
+def test_split_rank_matches_pandas_with_hot_date_and_hot_value(spark):
+    from panelsignal.operators.ic import add_average_rank_split
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for a in range(3000):  # one wide date, a third of it a single repeated value
+        v = 0.5 if a % 3 == 0 else float(np.round(rng.normal(), 3))
+        rows.append((0, a, v))
+    for d in range(1, 4):
+        rows += [(d, a, float(rng.normal())) for a in range(20)]
+    rows.append((1, 99, None))
+    df = panel_df(spark, rows, ("date", "asset_id", "v"))
+    got = add_average_rank_split(df, "v", "r", buckets=8).toPandas()
+    pdf = pd.DataFrame(rows, columns=["d", "asset_id", "v"])
+    pdf["exp"] = pdf.groupby("d")["v"].rank(method="average")
+    m = got.merge(pdf.assign(date=pdf.d.map(day)), on=["date", "asset_id"])
+    assert len(m) == len(rows)
+    np.testing.assert_allclose(m["r"].astype(float), m["exp"].astype(float), equal_nan=True)
+
+
 def test_rolling_and_cumulative_ic(spark):
     rows = [(d, float(d) / 10) for d in range(6)]
     ics = spark.createDataFrame([(day(d), v) for d, v in rows], "date date, ic double")

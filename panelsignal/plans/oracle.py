@@ -569,6 +569,27 @@ def summary_by_signal_sql() -> str:
     return with_ctes(*_long_portfolio()) + _summary_select("pr", "signal")
 
 
+def _rank_by(v: str, part: str) -> str:
+    return (
+        f"(rank() OVER (PARTITION BY {part} ORDER BY {v}) + "
+        f"count(*) OVER (PARTITION BY {part} ORDER BY {v} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) / 2.0"
+    )
+
+
+def ic_by_signal_sql(method: str) -> str:
+    ctes = [*long_ctes(), """
+lm AS (SELECT date, signal, round(alpha, 10) AS a, round(fwd_return, 10) AS r
+       FROM lal WHERE alpha IS NOT NULL AND fwd_return IS NOT NULL)"""]
+    if method == "rank":
+        ctes.append(f"""
+lr_ AS (SELECT date, signal, {_rank_by('a', 'date, signal')} AS a, {_rank_by('r', 'date, signal')} AS r FROM lm)""")
+        src = "lr_"
+    else:
+        src = "lm"
+    return with_ctes(*ctes) + f"""
+SELECT date, signal, count(*) AS n, {rnd(_ic_value('a', 'r'))} AS ic FROM {src} GROUP BY date, signal"""
+
+
 def weights_roundtrip_sql() -> str:
     return mvo(("ZeroBeta", "ZeroInvestment"))
 
@@ -623,4 +644,6 @@ def oracle_sql() -> dict[str, str]:
         "summary_by_signal": summary_by_signal_sql(),
         "weights_roundtrip_partitioned": weights_roundtrip_sql(),
         "distinct_years": distinct_years_sql(),
+        "ic_rank_by_signal": ic_by_signal_sql("rank"),
+        "ic_pearson_by_signal": ic_by_signal_sql("pearson"),
     }

@@ -476,3 +476,25 @@ def _mvo_factor_risk(fx: Fixture) -> DataFrame:
     ).where(fx.span.where())
     w = mvo_weights_factor_risk(al, exposures, FACTOR_VARIANCE, GAMMA, max_keys=fx.span.days)
     return finish(w, fine=WEIGHT_DIGITS)
+
+
+# ------------------------------------------------------- IC per signal
+
+
+def _ic_by_signal(fx: Fixture, method: str) -> DataFrame:
+    al = long_alphas(fx)
+    return information_coefficient(
+        al, method=method, keys=("date", "signal"), max_keys=fx.span.days * len(STUDY_SIGNALS)
+    )
+
+
+@register("ic_rank_by_signal")
+def _ic_rank_by_signal(fx: Fixture) -> DataFrame:
+    """C8 for all ten signals at once: rank IC per (date, signal)."""
+    return finish(_ic_by_signal(fx, "rank"))
+
+
+@register("ic_pearson_by_signal")
+def _ic_pearson_by_signal(fx: Fixture) -> DataFrame:
+    """C8 for all ten signals at once: Pearson IC per (date, signal)."""
+    return finish(_ic_by_signal(fx, "pearson"))

@@ -644,6 +644,7 @@ def oracle_sql() -> dict[str, str]:
         "summary_by_signal": summary_by_signal_sql(),
         "weights_roundtrip_partitioned": weights_roundtrip_sql(),
         "distinct_years": distinct_years_sql(),
+        "alphas_roundtrip_partitioned": alpha(),
         "ic_rank_by_signal": ic_by_signal_sql("rank"),
         "ic_pearson_by_signal": ic_by_signal_sql("pearson"),
     }

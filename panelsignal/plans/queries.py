@@ -54,7 +54,7 @@ from panelsignal.sources.fixtures import (
     read_table,
 )
 from panelsignal.session import scratch_path
-from panelsignal.sources.io import read_weights, write_weights
+from panelsignal.sources.io import read_weights, write_alphas, write_weights
 from panelsignal.sources.schema import Span, load_assets, load_factors
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -498,3 +498,13 @@ def _ic_rank_by_signal(fx: Fixture) -> DataFrame:
 def _ic_pearson_by_signal(fx: Fixture) -> DataFrame:
     """C8 for all ten signals at once: Pearson IC per (date, signal)."""
     return finish(_ic_by_signal(fx, "pearson"))
+
+
+@register("alphas_roundtrip_partitioned")
+def _alphas_roundtrip(fx: Fixture) -> DataFrame:
+    """S5 + S4: alphas of two signals written partitioned by signal, one read back pruned."""
+    root = scratch_path(fx.spark, "alphas")
+    write_alphas(fx.alphas(fx.spec("momentum")), root, signal="momentum")
+    write_alphas(fx.alphas(fx.spec("barra_momentum")), root, signal="barra_momentum")
+    back = fx.spark.read.parquet(root).where(F.col("signal") == "momentum")
+    return finish(back.select("date", "asset_id", "alpha", "predicted_beta"), fine=FRACTIONS)

@@ -30,7 +30,7 @@ def forward_return_panel(
 
 def portfolio_returns(
     weights: DataFrame,
-    returns: DataFrame,
+    returns: DataFrame | None = None,
     *,
     by: Sequence[str] = (),
     weight: str = "weight",
@@ -38,10 +38,17 @@ def portfolio_returns(
 ) -> DataFrame:
     """A1/A2 + J3: sum(weight x forward return) per date (and ``by``).
 
-    Weights without a return contribute nothing; a date whose products
-    are all missing gets 0.0 (the empty-sum convention of the reference).
+    With ``returns`` the weights are LEFT JOINed to the forward returns on
+    (date, asset) (J3: e.g. weights read back from storage).  Without it,
+    ``ret`` is a column of ``weights`` (the forward return carried from the
+    asset stage), and no join is needed.  Weights without a return
+    contribute nothing; a date whose products are all missing gets 0.0
+    (the empty-sum convention of the reference).
     """
-    j = weights.join(returns.select(DATE, ASSET, ret), on=[DATE, ASSET], how="left")
+    if returns is None:
+        j = weights
+    else:
+        j = weights.join(returns.select(DATE, ASSET, ret), on=[DATE, ASSET], how="left")
     return j.groupBy(DATE, *by).agg(
         F.coalesce(F.sum(F.col(weight) * F.col(ret)), F.lit(0.0)).alias("return")
     )

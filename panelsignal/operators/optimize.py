@@ -88,8 +88,12 @@ def mvo_weights(
     keys: Sequence[str] = (DATE,),
     max_keys: int | None = None,
     det_tol: float = 1e-9,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Diagonal-risk closed-form weights: keys..., asset_id, weight.
+    """Diagonal-risk closed-form weights: keys..., asset_id, weight, carry...
+
+    ``carry`` passes row columns through (e.g. the forward return already
+    computed in the asset stage, which spares a (date, asset) join later).
 
     ``gamma`` is a number or a column (e.g. one gamma per signal in long
     format).  Rows without alpha or risk are left out.  A date whose constraint
@@ -103,7 +107,7 @@ def mvo_weights(
     coef = {c: constraint_coefficient(c, beta) for c in constraints}
     if not constraints:
         w = F.col(alpha) / (_gamma(gamma) * d)
-        return df.select(*keys, ASSET, w.alias("weight"))
+        return df.select(*keys, ASSET, w.alias("weight"), *carry)
 
     names = [f"__a{j}" for j in range(len(constraints))]
     df = df.withColumns({n: coef[c] for n, c in zip(names, constraints)})
@@ -122,7 +126,7 @@ def mvo_weights(
     for j, nj in enumerate(names):
         adj = adj - F.col(f"__l{j}") * F.col(nj)
     w = adj / (_gamma(gamma) * d)
-    return joined.select(*keys, ASSET, w.alias("weight"))
+    return joined.select(*keys, ASSET, w.alias("weight"), *carry)
 
 
 # ------------------------------------------------------------- factor risk

@@ -645,6 +645,7 @@ def oracle_sql() -> dict[str, str]:
         "weights_roundtrip_partitioned": weights_roundtrip_sql(),
         "distinct_years": distinct_years_sql(),
         "alphas_roundtrip_partitioned": alpha(),
+        "portfolio_returns_stored_weights": portfolio_returns_sql(),
         "ic_rank_by_signal": ic_by_signal_sql("rank"),
         "ic_pearson_by_signal": ic_by_signal_sql("pearson"),
     }

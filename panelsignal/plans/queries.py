@@ -292,9 +292,11 @@ MVO_CONSTRAINTS = {
 }
 
 
-def momentum_weights(fx: Fixture, constraints=("ZeroBeta", "ZeroInvestment"), gamma: float = GAMMA) -> DataFrame:
-    al = fx.alphas(fx.spec("momentum"), keep=("specific_risk",))
-    return mvo_weights(al, gamma, constraints, max_keys=fx.span.days)
+def momentum_weights(
+    fx: Fixture, constraints=("ZeroBeta", "ZeroInvestment"), gamma: float = GAMMA, carry=()
+) -> DataFrame:
+    al = fx.alphas(fx.spec("momentum"), keep=("specific_risk", *carry))
+    return mvo_weights(al, gamma, constraints, max_keys=fx.span.days, carry=carry)
 
 
 def _mvo_query(constraints):
@@ -313,8 +315,9 @@ for _name, _cons in MVO_CONSTRAINTS.items():
 
 
 def momentum_portfolio(fx: Fixture) -> DataFrame:
-    w = momentum_weights(fx)
-    return portfolio_returns(w, forward_return_panel(fx.panel))
+    """Weights carry the forward return computed in the asset stage: no join."""
+    w = momentum_weights(fx, carry=("fwd_return",))
+    return portfolio_returns(w, ret="fwd_return")
 
 
 @register("portfolio_returns")
@@ -400,8 +403,14 @@ def gamma_column(names=None):
 
 def long_portfolio(fx: Fixture) -> DataFrame:
     al = long_alphas(fx)
-    w = mvo_weights(al, gamma_column(), keys=("date", "signal"), max_keys=fx.span.days * len(STUDY_SIGNALS))
-    return portfolio_returns(w, forward_return_panel(fx.panel), by=("signal",))
+    w = mvo_weights(
+        al,
+        gamma_column(),
+        keys=("date", "signal"),
+        max_keys=fx.span.days * len(STUDY_SIGNALS),
+        carry=("fwd_return",),
+    )
+    return portfolio_returns(w, by=("signal",), ret="fwd_return")
 
 
 @register("all_signals_long")
@@ -440,6 +449,15 @@ def _weights_roundtrip(fx: Fixture) -> DataFrame:
     return finish(back.select("date", "asset_id", "weight"), fine=WEIGHT_DIGITS)
 
 
+@register("portfolio_returns_stored_weights")
+def _portfolio_stored(fx: Fixture) -> DataFrame:
+    """S6 + S3 + J3 + A1: weights written partitioned, read back, LEFT JOIN forward returns."""
+    root = scratch_path(fx.spark, "weights")
+    write_weights(momentum_weights(fx), root, signal="momentum", gamma=GAMMA)
+    w = read_weights(fx.spark, root, signals=["momentum"], gammas=[GAMMA])
+    return finish(portfolio_returns(w, forward_return_panel(fx.panel)), 10)
+
+
 @register("distinct_years")
 def _distinct_years(fx: Fixture) -> DataFrame:
     """Distinct years present in the alphas."""

@@ -58,6 +58,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIR
 
 
+def suggest_shuffle_partitions(
+    shuffle_bytes: int, target_partition_bytes: int = 128 * 1024 * 1024, minimum: int = 200
+) -> int:
+    """Shuffle partitions so each reduce partition stays near ``target_partition_bytes``.
+
+    For the asset stage, ``shuffle_bytes`` is about rows x 100 bytes of the
+    panel columns read; AQE coalesces partitions that come out smaller.
+    """
+    return max(minimum, -(-int(shuffle_bytes) // int(target_partition_bytes)))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique location under the shared folder."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")

@@ -109,8 +109,23 @@ def load_factors(
     return df
 
 
-def validate_panel(df: DataFrame, required: Sequence[str] = ("date", "asset_id")) -> DataFrame:
+def validate_panel(
+    df: DataFrame,
+    required: Sequence[str] = ("date", "asset_id"),
+    *,
+    check_unique: bool = False,
+) -> DataFrame:
+    """Check required columns; optionally that (date, asset_id) is a key.
+
+    Uniqueness is what bounds every per-asset window group by the number of
+    dates (and makes row-based windows deterministic).  The check is one
+    aggregation with map-side combine; only a yes/no reaches the driver.
+    """
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"panel is missing columns {missing}")
+    if check_unique:
+        dup = df.groupBy(DATE, ASSET).count().where(F.col("count") > 1).limit(1).count()
+        if dup:
+            raise ValueError("panel has duplicate (date, asset_id) rows")
     return df

@@ -98,3 +98,17 @@ def test_results_do_not_depend_on_partitioning(spark):
     shuffled = list(reversed(rows))
     b = alphas(panel_df(spark, shuffled, cols).repartition(7, "price"))
     assert a == b and len(a) > 100
+
+
+def test_validate_panel_uniqueness(spark):
+    import pytest
+
+    from panelsignal.sources.schema import validate_panel
+
+    ok = panel_df(spark, [(0, 1, 0.1), (1, 1, 0.2)])
+    validate_panel(ok, check_unique=True)
+    bad = panel_df(spark, [(0, 1, 0.1), (0, 1, 0.2)])
+    with pytest.raises(ValueError):
+        validate_panel(bad, check_unique=True)
+    with pytest.raises(ValueError):
+        validate_panel(ok.drop("asset_id"))

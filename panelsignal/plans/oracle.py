@@ -590,6 +590,22 @@ lr_ AS (SELECT date, signal, {_rank_by('a', 'date, signal')} AS a, {_rank_by('r'
 SELECT date, signal, count(*) AS n, {rnd(_ic_value('a', 'r'))} AS ic FROM {src} GROUP BY date, signal"""
 
 
+def subsample_summary_by_signal_sql() -> str:
+    rng = "date BETWEEN DATE '1999-01-01' AND DATE '2000-12-31'"
+    ctes = [
+        *long_ctes(),
+        *weights_ctes(("ZeroBeta", "ZeroInvestment"), src="lal", keys="date, signal", gamma=gamma_case()),
+        f"""
+sub AS (SELECT * FROM panel WHERE {rng}),
+wsub AS (SELECT * FROM wts WHERE {rng}),
+frs AS (SELECT date, asset_id, lead("return", 1) OVER ({PKT}) AS forward_return FROM sub),
+prs AS (SELECT w.date, w.signal, coalesce(sum(w.weight * frs.forward_return), 0.0) AS "return"
+        FROM wsub w LEFT JOIN frs ON w.date = frs.date AND w.asset_id = frs.asset_id
+        GROUP BY w.date, w.signal)""",
+    ]
+    return with_ctes(*ctes) + _summary_select("prs", "signal")
+
+
 def weights_roundtrip_sql() -> str:
     return mvo(("ZeroBeta", "ZeroInvestment"))
 
@@ -646,6 +662,7 @@ def oracle_sql() -> dict[str, str]:
         "distinct_years": distinct_years_sql(),
         "alphas_roundtrip_partitioned": alpha(),
         "portfolio_returns_stored_weights": portfolio_returns_sql(),
+        "subsample_summary_by_signal": subsample_summary_by_signal_sql(),
         "ic_rank_by_signal": ic_by_signal_sql("rank"),
         "ic_pearson_by_signal": ic_by_signal_sql("pearson"),
     }

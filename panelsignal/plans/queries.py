@@ -526,3 +526,13 @@ def _alphas_roundtrip(fx: Fixture) -> DataFrame:
     write_alphas(fx.alphas(fx.spec("barra_momentum")), root, signal="barra_momentum")
     back = fx.spark.read.parquet(root).where(F.col("signal") == "momentum")
     return finish(back.select("date", "asset_id", "alpha", "predicted_beta"), fine=FRACTIONS)
+
+
+@register("subsample_summary_by_signal")
+def _subsample_by_signal(fx: Fixture) -> DataFrame:
+    """C11 + C12: per-signal summary with weights and returns restricted to a sub-period."""
+    al = long_alphas(fx)
+    w = mvo_weights(al, gamma_column(), keys=("date", "signal"), max_keys=fx.span.days * len(STUDY_SIGNALS))
+    w = w.where(SUBSAMPLE.where())
+    returns = forward_return_panel(fx.panel.where(SUBSAMPLE.where()))
+    return finish(performance_summary(portfolio_returns(w, returns, by=("signal",)), by=("signal",)), 8)

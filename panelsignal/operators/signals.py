@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelsignal.functions.columns import finite_or_null, log1p_or_null, safe_div
-from panelsignal.operators.ols import add_residual, add_rolling_ols
+from panelsignal.operators.ols import add_residual, add_rolling_ols, solve_rolling_ols
 from panelsignal.operators.windows import (
     ASSET,
     DATE,
@@ -147,21 +147,36 @@ def add_signals(
     """
     residuals: dict[tuple, str] = {}
     drop: list[str] = []
+    # 1) rolling sums of every distinct regression (one window pass), then
+    # 2) all solves together, 3) residuals, 4) momentum windows.  The solves
+    # sit between two window stages once, so the plan re-shuffles at most
+    # once however many regressions there are.
+    pending = []
+    for spec in specs:
+        if not spec.is_residual:
+            continue
+        key = (tuple(spec.factors), spec.ols_window, spec.warmup)
+        if key in residuals:
+            continue
+        # keep_intermediate exposes B_* and residual for a single spec
+        single = keep_intermediate and len(specs) == 1
+        prefix = "B_" if single else f"__B{len(residuals)}_"
+        name = "residual" if single else _tmp(f"res{len(residuals)}")
+        residuals[key] = name
+        df, p = add_rolling_ols(
+            df, "return_rf", spec.factors, spec.ols_window, prefix=prefix, exact=exact, solve=False
+        )
+        pending.append((spec, prefix, name, p))
+    for spec, prefix, name, p in pending:
+        df = solve_rolling_ols(df, p)
+    for spec, prefix, name, p in pending:
+        df = add_residual(df, "return_rf", spec.factors, name, prefix=prefix, warmup=spec.warmup)
+        if not (keep_intermediate and len(specs) == 1):
+            drop += [f"{prefix}const"] + [f"{prefix}{x}" for x in spec.factors] + [name]
     for spec in specs:
         series = spec.series
         if spec.is_residual:
-            key = (tuple(spec.factors), spec.ols_window, spec.warmup)
-            if key not in residuals:
-                # keep_intermediate exposes B_* and residual for a single spec
-                single = keep_intermediate and len(specs) == 1
-                prefix = "B_" if single else f"__B{len(residuals)}_"
-                name = "residual" if single else _tmp(f"res{len(residuals)}")
-                df = add_rolling_ols(df, "return_rf", spec.factors, spec.ols_window, prefix=prefix, exact=exact)
-                df = add_residual(df, "return_rf", spec.factors, name, prefix=prefix, warmup=spec.warmup)
-                if not single:
-                    drop += [f"{prefix}const"] + [f"{prefix}{x}" for x in spec.factors] + [name]
-                residuals[key] = name
-            series = residuals[key]
+            series = residuals[(tuple(spec.factors), spec.ols_window, spec.warmup)]
         df = add_momentum(
             df,
             series,

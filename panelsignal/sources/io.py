@@ -30,8 +30,10 @@ def write_alphas(alphas: DataFrame, path: str, signal: str | None = None) -> Non
 def write_weights(weights: DataFrame, path: str, signal: str | None = None, gamma: float | None = None) -> None:
     """Weights partitioned by signal / gamma / year (dynamic overwrite).
 
-    Rows are clustered by the partition keys first so each task writes
-    few files.
+    Rows are range-partitioned by (signal, gamma, date) before the write:
+    tasks are balanced and each holds a contiguous date range, so it writes
+    into one or two year directories (few files), and no (signal, gamma,
+    year) group is funnelled through a single task.
     """
     df = weights
     if signal is not None:
@@ -40,7 +42,7 @@ def write_weights(weights: DataFrame, path: str, signal: str | None = None, gamm
         df = df.withColumn("gamma", F.lit(float(gamma)))
     df = df.withColumn("year", F.year(DATE))
     (
-        df.repartition("signal", "gamma", "year")
+        df.repartitionByRange("signal", "gamma", DATE)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("signal", "gamma", "year")

@@ -30,10 +30,11 @@ def write_alphas(alphas: DataFrame, path: str, signal: str | None = None) -> Non
 def write_weights(weights: DataFrame, path: str, signal: str | None = None, gamma: float | None = None) -> None:
     """Weights partitioned by signal / gamma / year (dynamic overwrite).
 
-    Rows are range-partitioned by (signal, gamma, date) before the write:
-    tasks are balanced and each holds a contiguous date range, so it writes
-    into one or two year directories (few files), and no (signal, gamma,
-    year) group is funnelled through a single task.
+    Rows are range-partitioned by (signal, gamma, date, asset) before the
+    write: tasks are balanced and each holds a contiguous date range, so it
+    writes into one or two year directories (few files); no (signal, gamma,
+    year) group, and thanks to the asset tie-breaker not even a single wide
+    date, is funnelled through one task.
     """
     df = weights
     if signal is not None:
@@ -42,7 +43,7 @@ def write_weights(weights: DataFrame, path: str, signal: str | None = None, gamm
         df = df.withColumn("gamma", F.lit(float(gamma)))
     df = df.withColumn("year", F.year(DATE))
     (
-        df.repartitionByRange("signal", "gamma", DATE)
+        df.repartitionByRange("signal", "gamma", DATE, "asset_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("signal", "gamma", "year")

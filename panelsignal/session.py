@@ -46,15 +46,26 @@ def shared_dir(spark: SparkSession) -> str:
     Read from ``spark.checkpoint.dir``; set a local one only if unset.
     """
     global _LOCAL_DIR
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the checkpoint dir
+        sc = None
+    if sc is None:
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path:
+            return path
+        if _LOCAL_DIR is None:
+            _LOCAL_DIR = tempfile.mkdtemp(prefix="panelsignal-ckpt-")
+        return _LOCAL_DIR
+    path = sc.getConf().get("spark.checkpoint.dir", None)
     if path:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(path)
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(path)
         return path
     if _LOCAL_DIR is None:
         _LOCAL_DIR = tempfile.mkdtemp(prefix="panelsignal-ckpt-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(_LOCAL_DIR)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(_LOCAL_DIR)
     return _LOCAL_DIR
 
 

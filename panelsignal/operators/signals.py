@@ -25,6 +25,8 @@ from panelsignal.operators.windows import (
     add_lags,
     add_rolling_std,
     add_rolling_sums,
+    rolling_std_col,
+    rolling_sum_col,
 )
 from panelsignal.plans.joins import bounded_broadcast
 from panelsignal.sources.schema import Span
@@ -173,19 +175,34 @@ def add_signals(
         df = add_residual(df, "return_rf", spec.factors, name, prefix=prefix, warmup=spec.warmup)
         if not (keep_intermediate and len(specs) == 1):
             drop += [f"{prefix}const"] + [f"{prefix}{x}" for x in spec.factors] + [name]
+    # every signal's rolling sum and rolling std in one withColumns (one
+    # Window operator), then every skip-lag in a second one
+    stage, lags, temps = {}, {}, []
+    clean = {}
     for spec in specs:
         series = spec.series
         if spec.is_residual:
             series = residuals[(tuple(spec.factors), spec.ols_window, spec.warmup)]
-        df = add_momentum(
-            df,
-            series,
-            spec.name,
-            lookback=spec.lookback,
-            skip=spec.skip,
-            vol_window=spec.vol_window,
-            exact=exact,
-        )
+        if series not in clean:
+            clean[series] = _tmp("v")
+    df = df.withColumns({c: finite_or_null(src) for src, c in clean.items()})
+    for spec in specs:
+        series = spec.series
+        if spec.is_residual:
+            series = residuals[(tuple(spec.factors), spec.ols_window, spec.warmup)]
+        v = F.col(clean[series])
+        rs = _tmp("rs")
+        stage[rs] = rolling_sum_col(log1p_or_null(v), spec.lookback, exact=exact, finite=True)
+        value = F.col(rs)
+        temps.append(rs)
+        if spec.vol_window:
+            sd = _tmp("sd")
+            stage[sd] = rolling_std_col(v, spec.vol_window, exact=exact, finite=True)
+            value = safe_div(value, F.col(sd))
+            temps.append(sd)
+        lags[spec.name] = (value, spec.skip)
+    df = df.withColumns(stage)
+    df = add_lags(df, lags).drop(*temps, *clean.values())
     return df.drop(*drop) if drop else df
 
 

@@ -59,6 +59,68 @@ def add_lags(
     return df.withColumns(cols)
 
 
+def rolling_sum_col(
+    expr: ColumnOrName,
+    n: int,
+    *,
+    key: str = ASSET,
+    order: str = DATE,
+    by: Sequence[str] = (),
+    finite: bool = False,
+    exact: bool = False,
+) -> Column:
+    """Count-guarded rolling sum over ``n`` rows as one Column (prefix form).
+
+    Being a plain expression over window functions, many of them can be
+    added in a single ``withColumns`` and Spark evaluates them all in one
+    Window operator.  ``exact=True``: sliding frame instead.
+    """
+    w = series_window(key, order, by)
+    if exact:
+        v = col(expr) if finite else finite_or_null(expr)
+        frame = w.rowsBetween(-(n - 1), Window.currentRow)
+        return F.when(F.count(v).over(frame) == n, F.sum(v).over(frame))
+    now = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    prev = w.rowsBetween(Window.unboundedPreceding, -n)
+    v = col(expr) if finite else finite_or_null(expr)
+
+    def rolling(e: Column) -> Column:
+        return F.sum(e).over(now) - F.coalesce(F.sum(e).over(prev), F.lit(0))
+
+    cnt = rolling(F.when(v.isNotNull(), 1).otherwise(0))
+    return F.when(cnt == n, rolling(F.coalesce(v, F.lit(0.0))))
+
+
+def rolling_std_col(
+    x: ColumnOrName,
+    n: int,
+    *,
+    key: str = ASSET,
+    order: str = DATE,
+    by: Sequence[str] = (),
+    finite: bool = False,
+    exact: bool = False,
+) -> Column:
+    """Count-guarded rolling sample std (ddof 1) as one Column (prefix form).
+
+    A zero (or rounding-noise) variance yields NULL.  Prefix differences
+    leave noise of either sign where the true variance is zero; the noise
+    scales with the running sum of squares, hence the relative bound.
+    """
+    v = col(x) if finite else finite_or_null(x)
+    if exact:
+        frame = series_window(key, order, by).rowsBetween(-(n - 1), Window.currentRow)
+        sd = F.stddev_samp(v).over(frame)
+        return F.when((F.count(v).over(frame) == n) & (sd > 0), sd)
+    s1 = rolling_sum_col(v, n, key=key, order=order, by=by, finite=True)
+    s2 = rolling_sum_col(v * v, n, key=key, order=order, by=by, finite=True)
+    w = series_window(key, order, by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run2 = F.sum(F.coalesce(v * v, F.lit(0.0))).over(w)
+    var = (s2 - s1 * s1 / F.lit(float(n))) / F.lit(float(n - 1))
+    noise = F.lit(1e-12) * run2 / F.lit(float(n))
+    return F.when(var > noise, F.sqrt(var))
+
+
 def add_rolling_sums(
     df: DataFrame,
     exprs: Mapping[str, ColumnOrName],
@@ -142,23 +204,10 @@ def add_rolling_std(
     A zero (or rounding-noise) variance yields NULL, so a later ratio is
     NULL rather than inf.
     """
-    if exact:
-        w = series_window(key, order, by).rowsBetween(-(n - 1), Window.currentRow)
-        v = finite_or_null(x)
-        sd = F.stddev_samp(v).over(w)
-        return df.withColumn(out, F.when((F.count(v).over(w) == n) & (sd > 0), sd))
-    s1, s2, run2, xv = _tmp("s1"), _tmp("s2"), _tmp("r2"), _tmp("x")
+    xv = _tmp("x")
     df = df.withColumn(xv, finite_or_null(x))
-    v = F.col(xv)
-    df = add_rolling_sums(df, {s1: v, s2: v * v}, n, key=key, order=order, by=by, finite=True)
-    w = series_window(key, order, by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = df.withColumn(run2, F.sum(F.coalesce(v * v, F.lit(0.0))).over(w))
-    var = (F.col(s2) - F.col(s1) * F.col(s1) / F.lit(float(n))) / F.lit(float(n - 1))
-    # prefix differences leave noise of either sign where the true variance
-    # is zero; the noise scales with the running sum of squares.
-    noise = F.lit(1e-12) * F.col(run2) / F.lit(float(n))
-    df = df.withColumn(out, F.when(var > noise, F.sqrt(var)))
-    return df.drop(s1, s2, run2, xv)
+    df = df.withColumn(out, rolling_std_col(xv, n, key=key, order=order, by=by, finite=True, exact=exact))
+    return df.drop(xv)
 
 
 def cross_section_stats(

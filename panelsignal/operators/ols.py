@@ -2,7 +2,7 @@
 and full-sample OLS with classical t-statistics (A5, A6).
 
 Rolling OLS is built from rolling cross-product sums (prefix form, one
-shared count guard, see :func:`add_rolling_sums`).  With one regressor
+shared count guard, see :func:`rolling_ols_sum_columns`).  With one regressor
 the slope and intercept are closed-form Column arithmetic and never leave
 the JVM.  With more regressors the centred k x k normal equations are
 solved by a scalar pandas UDF on Arrow batches (numpy batched solve):
@@ -20,12 +20,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelsignal.functions.columns import finite_or_null, safe_div, sum_skip_nulls
-from panelsignal.operators.windows import ASSET, DATE, _tmp, add_rolling_sums
+from panelsignal.operators.windows import ASSET, DATE, _tmp
 
 CONST = "const"
 # centred sum of squares below this fraction of the raw one = constant regressor
@@ -175,8 +175,7 @@ def _hof_solve(
     return df.withColumns({f: F.col(t)[f] for f in fields}).drop(t)
 
 
-def add_rolling_ols(
-    df: DataFrame,
+def rolling_ols_sum_columns(
     y: str,
     xs: Sequence[str],
     window: int,
@@ -188,32 +187,21 @@ def add_rolling_ols(
     exact: bool = False,
     cond_max: float = 1e10,
     solver: str = "numpy",
-    solve: bool = True,
-) -> DataFrame:
-    """Add ``{prefix}const`` and ``{prefix}<x>`` rolling OLS coefficients.
-
-    Window and minimum periods are both ``window`` rows: a coefficient
-    exists only where all rows of the window have y and every x.
-
-    k > 1 is solved by a batched numpy solve in a pandas UDF (``'numpy'``,
-    default: ~2 us per row on Arrow batches; Spark does not carry the asset
-    partitioning through the UDF node, so per-asset windows after it
-    re-shuffle once) or on the JVM (``'jvm'``: Gauss-Jordan as one
-    higher-order-function expression; keeps the partitioning but runs
-    interpreted at ~60 us per row, and a filter on a coefficient pushed into
-    it evaluates it again).  ``solve=False`` adds only the rolling sums
-    (see :func:`solve_rolling_ols`), so several regressions can share one
-    window pass and one re-shuffle.
+) -> tuple[dict[str, Column], dict[str, Column], dict]:
+    """Column expressions for the rolling sums of one regression.
+
+    Returns (clean columns, rolling-sum columns, pending solve spec).  The
+    clean columns null NaN/inf once per input; the sums are plain window
+    expressions with one shared count guard (a row counts only if y and
+    every x are present), so the sums of several regressions can be added
+    in one ``withColumns`` and evaluated in one Window operator.
     """
     k = len(xs)
     if k < 1:
         raise ValueError("need at least one regressor")
-    # NaN/inf -> NULL once per input column; the cross products are then
-    # built from these clean columns (re-wrapping every product in the
-    # finite check multiplies the expression size).
     clean_y = _tmp("y")
     clean_x = [_tmp(f"x{i}") for i in range(k)]
-    df = df.withColumns({clean_y: finite_or_null(y), **{c: finite_or_null(x) for c, x in zip(clean_x, xs)}})
+    clean = {clean_y: finite_or_null(y), **{c: finite_or_null(x) for c, x in zip(clean_x, xs)}}
     yc = F.col(clean_y)
     xc = [F.col(c) for c in clean_x]
     valid = yc.isNotNull()
@@ -231,11 +219,25 @@ def add_rolling_ols(
         exprs[sxy[i]] = xc[i] * yc
     for (i, j), name in sxx.items():
         exprs[name] = xc[i] * xc[j]
-    df = add_rolling_sums(
-        df, exprs, window, valid=valid, count_out=cnt, key=key, order=order, by=by, exact=exact, finite=True
-    )
-    temps = [cnt, sy, *sx, *sxy, *sxx.values(), clean_y, *clean_x]
-    fields = _coef_fields(xs, prefix)
+
+    w = Window.partitionBy(*by, key).orderBy(order)
+    if exact:
+        frame = w.rowsBetween(-(window - 1), Window.currentRow)
+
+        def rolling(e: Column) -> Column:
+            return F.sum(e).over(frame)
+
+    else:
+        now = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        prev = w.rowsBetween(Window.unboundedPreceding, -window)
+
+        def rolling(e: Column) -> Column:
+            return F.sum(e).over(now) - F.coalesce(F.sum(e).over(prev), F.lit(0))
+
+    count = rolling(F.when(valid, 1).otherwise(0))
+    sums = {cnt: count}
+    for name, e in exprs.items():
+        sums[name] = F.when(count == window, rolling(F.coalesce(F.when(valid, e), F.lit(0.0))))
     pending = {
         "k": k,
         "window": window,
@@ -245,14 +247,49 @@ def add_rolling_ols(
         "sx": sx,
         "sxy": sxy,
         "sxx": sxx,
-        "temps": temps,
-        "fields": fields,
+        "temps": [cnt, sy, *sx, *sxy, *sxx.values(), clean_y, *clean_x],
+        "fields": _coef_fields(xs, prefix),
         "xs": list(xs),
         "cond_max": cond_max,
         "solver": solver,
     }
-    if not solve:
-        return df, pending
+    return clean, sums, pending
+
+
+def add_rolling_ols(
+    df: DataFrame,
+    y: str,
+    xs: Sequence[str],
+    window: int,
+    *,
+    prefix: str = "B_",
+    key: str = ASSET,
+    order: str = DATE,
+    by: Sequence[str] = (),
+    exact: bool = False,
+    cond_max: float = 1e10,
+    solver: str = "numpy",
+) -> DataFrame:
+    """Add ``{prefix}const`` and ``{prefix}<x>`` rolling OLS coefficients.
+
+    Window and minimum periods are both ``window`` rows: a coefficient
+    exists only where all rows of the window have y and every x.
+
+    k > 1 is solved by a batched numpy solve in a pandas UDF (``'numpy'``,
+    default: ~2 us per row on Arrow batches; Spark does not carry the asset
+    partitioning through the UDF node, so per-asset windows after it
+    re-shuffle once) or on the JVM (``'jvm'``: Gauss-Jordan as one
+    higher-order-function expression; keeps the partitioning but runs
+    interpreted at ~60 us per row, and a filter on a coefficient pushed into
+    it evaluates it again).  See :func:`rolling_ols_sum_columns` and
+    :func:`solve_rolling_ols` to share one window pass and one re-shuffle
+    among several regressions.
+    """
+    clean, sums, pending = rolling_ols_sum_columns(
+        y, xs, window, prefix=prefix, key=key, order=order, by=by, exact=exact,
+        cond_max=cond_max, solver=solver,
+    )
+    df = df.withColumns(clean).withColumns(sums)
     return solve_rolling_ols(df, pending)
 
 

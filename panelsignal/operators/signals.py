@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelsignal.functions.columns import finite_or_null, log1p_or_null, safe_div
-from panelsignal.operators.ols import add_residual, add_rolling_ols, solve_rolling_ols
+from panelsignal.operators.ols import add_residual, rolling_ols_sum_columns, solve_rolling_ols
 from panelsignal.operators.windows import (
     ASSET,
     DATE,
@@ -165,10 +165,14 @@ def add_signals(
         prefix = "B_" if single else f"__B{len(residuals)}_"
         name = "residual" if single else _tmp(f"res{len(residuals)}")
         residuals[key] = name
-        df, p = add_rolling_ols(
-            df, "return_rf", spec.factors, spec.ols_window, prefix=prefix, exact=exact, solve=False
+        clean, sums, p = rolling_ols_sum_columns(
+            "return_rf", spec.factors, spec.ols_window, prefix=prefix, exact=exact
         )
-        pending.append((spec, prefix, name, p))
+        pending.append((spec, prefix, name, p, clean, sums))
+    if pending:
+        df = df.withColumns({c: e for *_, clean, _s in pending for c, e in clean.items()})
+        df = df.withColumns({c: e for *_, sums in pending for c, e in sums.items()})
+    pending = [item[:4] for item in pending]
     for spec, prefix, name, p in pending:
         df = solve_rolling_ols(df, p)
     for spec, prefix, name, p in pending:

@@ -21,6 +21,23 @@ from panelsignal.plans.joins import join_per_key
 from panelsignal.plans.materialize import materialize
 
 
+def prev_and_forward_lags(
+    columns: Sequence[str],
+    *,
+    price: str = "price",
+    ret: str = "return",
+    prev_out: str = "prev_price",
+    fwd_out: str = "fwd_return",
+) -> dict:
+    """The W5/W6 lag specs for :func:`add_lags` (or ``add_signals(extra_lags=...)``)."""
+    lags = {}
+    if price in columns:
+        lags[prev_out] = (price, 1)
+    if ret in columns:
+        lags[fwd_out] = (ret, -1)
+    return lags
+
+
 def add_prev_and_forward(
     df: DataFrame,
     *,

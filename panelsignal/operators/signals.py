@@ -138,9 +138,13 @@ def add_signals(
     *,
     exact: bool = False,
     keep_intermediate: bool = False,
+    extra_lags: dict | None = None,
 ) -> DataFrame:
     """Add one column per spec (named ``spec.name``) in a single asset stage.
 
+    ``extra_lags`` (``out -> (column, k)``, see :func:`add_lags`) are added
+    in the same Window operator as the signals' skip-lags.
+
     Residual signals that share a regression (same regressors, window and
     warm-up) share its rolling sums and solve: e.g. ``ff3_momentum`` and
     ``vol_scaled_ff3_momentum`` run one FF3 regression.  Residual signals
@@ -205,6 +209,7 @@ def add_signals(
             value = safe_div(value, F.col(sd))
             temps.append(sd)
         lags[spec.name] = (value, spec.skip)
+    lags.update(extra_lags or {})
     df = df.withColumns(stage)
     df = add_lags(df, lags).drop(*temps, *clean.values())
     return df.drop(*drop) if drop else df

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelsignal.operators.alpha import (
-    add_prev_and_forward,
+    prev_and_forward_lags,
     add_zscore,
     alphas_from_signal,
     forward_returns,
@@ -41,7 +41,6 @@ from panelsignal.operators.signals import (
     STUDY_SIGNALS,
     SignalSpec,
     add_excess_return,
-    add_signal,
     add_signals,
     join_factors,
     to_long,
@@ -105,8 +104,7 @@ class Fixture:
         df = self.panel
         if spec.is_residual:
             df = add_excess_return(join_factors(df, self.factors, self.span))
-        df = add_signal(df, spec, exact=exact)
-        return add_prev_and_forward(df)
+        return add_signals(df, [spec], exact=exact, extra_lags=prev_and_forward_lags(df.columns))
 
     def alphas(self, spec: SignalSpec, keep=(), materialize_as: str | None = "checkpoint") -> DataFrame:
         return alphas_from_signal(
@@ -378,7 +376,7 @@ def long_alphas(fx: Fixture, names=None) -> DataFrame:
     df = fx.panel
     if any(s.is_residual for s in specs):
         df = add_excess_return(join_factors(df, fx.factors, fx.span))
-    df = add_prev_and_forward(add_signals(df, specs))
+    df = add_signals(df, specs, extra_lags=prev_and_forward_lags(df.columns))
     ids = ["date", "asset_id", "prev_price", "predicted_beta", "specific_risk", "fwd_return"]
     long = to_long(df, names, ids, value="value")
     return alphas_from_signal(

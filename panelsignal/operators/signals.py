@@ -1,10 +1,16 @@
 """Signal definitions (C1-C4, C14, X1) as DataFrame -> DataFrame transforms.
 
-A signal is declared by a :class:`SignalSpec`; :func:`add_signal`
-stages the window columns it needs on the per-asset window.  Windows
-cannot nest inside one Spark expression, so each step is its own column;
-all steps share one ``partitionBy(asset).orderBy(date)`` spec and Spark
-plans one exchange and one sort for the whole chain.
+A signal is declared by a :class:`SignalSpec`; :func:`add_signals`
+stages the window columns the given signals need on the per-asset window.
+Windows cannot nest inside one Spark expression, so the work is staged:
+(1) the rolling cross-product sums of every distinct regression, in one
+Window operator; (2) all regression solves (one Python node); (3) the
+residuals; (4) every signal's rolling sum / rolling std in one Window
+operator; (5) every skip-lag (plus previous price and forward return) in
+a second one.  All stages share ``partitionBy(asset).orderBy(date)``:
+one exchange and sort for plain signals, and one more after the solves
+for residual signals (Spark does not carry partitioning through the
+Python node).
 """
 
 from __future__ import annotations

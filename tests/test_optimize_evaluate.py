@@ -163,3 +163,23 @@ def test_factor_shift_and_regression(spark):
     A = np.column_stack([np.ones(n), x])
     b = np.linalg.lstsq(A, y, rcond=None)[0]
     np.testing.assert_allclose(reg.loc[["Intercept", "mkt_rf"], "coefficient"], b, rtol=1e-9)
+
+
+def test_last_date_is_dropped_from_regression(spark):
+    # portfolio returns on every factor date: the last one has no shifted
+    # factor (lead -> NULL) and must not enter the fit
+    rng = np.random.default_rng(13)
+    n = 40
+    f = rng.normal(0, 0.01, n)
+    factors = spark.createDataFrame(
+        [(day(i), float(f[i]), 0.0001) for i in range(n)], "date date, mkt_rf double, rf double"
+    )
+    ret = 0.5 * np.roll(f, -1) + rng.normal(0, 0.001, n)
+    ret[-1] = 123.0  # would wreck the fit if it were used
+    port = spark.createDataFrame([(day(i), float(ret[i])) for i in range(n)], "date date, return double")
+    reg = factor_regression(port, factors, ["mkt_rf"]).toPandas().set_index("variable")
+    y = (ret[:-1] - 0.0001) * 100
+    x = f[1:] * 100
+    A = np.column_stack([np.ones(n - 1), x])
+    b = np.linalg.lstsq(A, y, rcond=None)[0]
+    np.testing.assert_allclose(reg.loc[["Intercept", "mkt_rf"], "coefficient"], b, rtol=1e-9)

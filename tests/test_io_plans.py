@@ -112,3 +112,23 @@ def test_validate_panel_uniqueness(spark):
         validate_panel(bad, check_unique=True)
     with pytest.raises(ValueError):
         validate_panel(ok.drop("asset_id"))
+
+
+def test_ten_signal_stage_plan_shape(spark):
+    from panelsignal.operators.alpha import prev_and_forward_lags
+    from panelsignal.operators.signals import add_excess_return, add_signals, join_factors
+    from panelsignal.plans.inspect import plan_summary
+    from panelsignal.plans.queries import Fixture
+
+    fx = Fixture(spark, "/root/testdata/sf0.001")
+    specs = [fx.spec(n) for n in STUDY_SIGNALS]
+    df = add_excess_return(join_factors(fx.panel, fx.factors, fx.span))
+    df = add_signals(df, specs, extra_lags=prev_and_forward_lags(df.columns))
+    df.collect()
+    s = plan_summary(df)
+    # fixture shuffle by asset + one re-shuffle after the (single) Python solve node
+    assert s["asset_exchanges"] == 2, s
+    assert s["python_nodes"] == 1, s
+    # regression sums, signal sums/stds, lags: a handful of passes, not one per signal
+    assert s["windows"] <= 4, s
+    assert s["sort_merge_joins"] == 0, s

@@ -24,6 +24,8 @@ LOCAL_CONF = {
     "spark.ui.enabled": "false",
     "spark.driver.memory": "16g",
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
+    # reclaim checkpoint files once their DataFrames are gone
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelsignal.functions.columns import safe_div
-from panelsignal.operators.windows import ASSET, DATE, _tmp, add_lags
+from panelsignal.operators.windows import ASSET, DATE, _tmp, add_lags, cross_section_stats
 from panelsignal.plans.joins import join_per_key
 from panelsignal.plans.materialize import materialize
 
@@ -91,7 +91,9 @@ def add_zscore(
     when that bound fits.
     """
     m, s = _tmp("mean"), _tmp("std")
-    stats = df.groupBy(*keys).agg(F.avg(value).alias(m), F.stddev_samp(value).alias(s))
+    stats = cross_section_stats(df, value, keys=keys).select(
+        *keys, F.col("mean").alias(m), F.col("std").alias(s)
+    )
     df = join_per_key(df, stats, on=list(keys), how="inner", max_rows=max_keys)
     return df.withColumn(out, safe_div(F.col(value) - F.col(m), F.col(s))).drop(m, s)
 

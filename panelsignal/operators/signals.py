@@ -245,12 +245,3 @@ def to_long(
 ) -> DataFrame:
     """Unpivot signal columns into (ids..., signal, value) rows (no shuffle)."""
     return df.unpivot(list(ids), list(signals), name, value)
-
-
-def needed_factors(specs: Sequence[SignalSpec]) -> list[str]:
-    seen: list[str] = []
-    for s in specs:
-        for f in s.factors:
-            if f not in seen:
-                seen.append(f)
-    return seen

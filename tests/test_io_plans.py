@@ -132,3 +132,23 @@ def test_ten_signal_stage_plan_shape(spark):
     # regression sums, signal sums/stds, lags: a handful of passes, not one per signal
     assert s["windows"] <= 4, s
     assert s["sort_merge_joins"] == 0, s
+
+
+def test_size_check_helpers():
+    import datetime as dt
+
+    from pyspark.sql import types as T
+
+    from panelsignal.plans.joins import _parse_bytes, calendar_days, row_width
+    from panelsignal.session import suggest_shuffle_partitions
+
+    assert _parse_bytes("10485760b") == 10 * 1024 * 1024
+    assert _parse_bytes("10MB") == 10 * 1024 * 1024
+    assert _parse_bytes("-1") == -1
+    assert _parse_bytes(None) == 10 * 1024 * 1024
+    assert calendar_days(dt.date(2020, 1, 1), dt.date(2020, 12, 31)) == 366
+    assert calendar_days(None, dt.date(2020, 1, 1)) is None
+    schema = T.StructType([T.StructField("date", T.DateType()), T.StructField("m", T.DoubleType())])
+    assert row_width(schema) == 32
+    assert suggest_shuffle_partitions(10) == 200
+    assert suggest_shuffle_partitions(1000 * 128 * 1024 * 1024) == 1000

@@ -39,11 +39,11 @@ def panel_from_lineitem(lineitem: DataFrame) -> DataFrame:
         "l_linenumber",
     )
     r = lambda c: F.round(c, ROUND)
-    # Shuffle once, by asset: the (date, asset) groups are then complete in
-    # each partition and the per-asset windows downstream need no exchange.
-    # (A (date, asset) group holds about one line, so map-side partial
-    # aggregation would not shrink the data anyway.)
-    return li.repartition("asset_id").groupBy("date", "asset_id").agg(
+    # Grouped by (date, asset) with map-side partial aggregation: a supplier
+    # holding a large share of lineitem is spread over its dates, and only
+    # the aggregated panel (at most one row per date per asset) is shuffled
+    # by asset for the windows downstream.
+    return li.groupBy("date", "asset_id").agg(
         r(F.sum("l_extendedprice") / F.sum("l_quantity")).alias("price"),
         r(F.lit(100.0) * (F.avg("l_discount") - F.lit(0.05))).alias("return"),
         r(F.lit(100.0) * (F.avg("l_tax") - F.lit(0.04))).alias("specific_return"),

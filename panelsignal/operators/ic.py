@@ -70,10 +70,14 @@ def add_average_rank_split(
     keys = list(keys)
     c, b, bounds, off = "__rk_c", "__rk_b", "__rk_bounds", "__rk_off"
     vc = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(c))
-    probs = [i / buckets for i in range(1, buckets)]
-    q = df.groupBy(*keys).agg(F.percentile_approx(value, probs, accuracy).alias(bounds))
-    vc = vc.join(bounded_broadcast(q, max_keys), keys)
-    vc = vc.withColumn(b, F.size(F.filter(F.col(bounds), lambda x: x < F.col(value)))).drop(bounds)
+    if buckets > 1:
+        probs = [i / buckets for i in range(1, buckets)]
+        q = df.groupBy(*keys).agg(F.percentile_approx(value, probs, accuracy).alias(bounds))
+        vc = vc.join(bounded_broadcast(q, max_keys), keys)
+        below_bounds = F.size(F.filter(F.col(bounds), lambda x: x < F.col(value)))
+        vc = vc.withColumn(b, F.when(F.col(bounds).isNull(), F.lit(0)).otherwise(below_bounds)).drop(bounds)
+    else:
+        vc = vc.withColumn(b, F.lit(0))
     per_bucket = vc.groupBy(*keys, b).agg(F.sum(c).alias("__rk_bc"))
     wb = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     per_bucket = per_bucket.select(*keys, b, F.coalesce(F.sum("__rk_bc").over(wb), F.lit(0)).alias(off))

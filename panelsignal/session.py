@@ -45,7 +45,9 @@ _LOCAL_DIR: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder for checkpoints and written hand-off tables.
 
-    Read from ``spark.checkpoint.dir``; set a local one only if unset.
+    Read from ``spark.checkpoint.dir``; a local temporary folder is used
+    only when it is unset *and* the master is local (tests); on a cluster
+    an unset setting is an error rather than a driver-local folder.
     """
     global _LOCAL_DIR
     try:
@@ -64,6 +66,9 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(path)
         return path
+    if not str(sc.master).startswith("local"):
+        # a folder on the driver's disk is not shared with the executors
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     if _LOCAL_DIR is None:
         _LOCAL_DIR = tempfile.mkdtemp(prefix="panelsignal-ckpt-")
     if not sc.getCheckpointDir():

@@ -25,6 +25,9 @@ from panelsignal.plans.materialize import materialize
 TIE_DIGITS = 10
 # largest per-date group ranked by a single window sort (one task)
 MAX_GROUP_ROWS = 2_000_000
+# value-range buckets of the split rank: default, and cap when sized from data
+SPLIT_BUCKETS = 32
+MAX_SPLIT_BUCKETS = 1024
 
 
 def average_rank(value: str, keys: Sequence[str] = (DATE,)) -> Column:
@@ -72,8 +75,8 @@ def add_average_rank_split(
     vc = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(c))
     if buckets > 1:
         probs = [i / buckets for i in range(1, buckets)]
-        q = df.groupBy(*keys).agg(F.percentile_approx(value, probs, accuracy).alias(bounds))
-        vc = vc.join(bounded_broadcast(q, max_keys), keys)
+        q = df.groupBy(*keys).agg(F.percentile_approx(value, probs, max(accuracy, 10 * buckets)).alias(bounds))
+        vc = vc.join(bounded_broadcast(q, max_keys, row_bytes=64 * (len(keys) + 1) + 8 * buckets), keys)
         below_bounds = F.size(F.filter(F.col(bounds), lambda x: x < F.col(value)))
         vc = vc.withColumn(b, F.when(F.col(bounds).isNull(), F.lit(0)).otherwise(below_bounds)).drop(bounds)
     else:
@@ -124,14 +127,17 @@ def information_coefficient(
     if method == "rank" and ranking in ("auto", "split"):
         # the rank reads its input more than once: write it once
         d = materialize(d, "checkpoint")
+    buckets = SPLIT_BUCKETS
     if method == "rank" and ranking == "auto":
         biggest = d.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
         ranking = "window" if biggest <= max_group_rows else "split"
+        # enough buckets that a (key, bucket) group stays well below the bound
+        buckets = min(MAX_SPLIT_BUCKETS, max(SPLIT_BUCKETS, -(-4 * biggest // max(max_group_rows, 1))))
     if method == "rank" and ranking == "window":
         d = d.withColumn("__a", average_rank("__a", keys)).withColumn("__r", average_rank("__r", keys))
     elif method == "rank" and ranking == "split":
-        d = add_average_rank_split(d, "__a", "__ra", keys, max_keys=max_keys)
-        d = add_average_rank_split(d, "__r", "__rr", keys, max_keys=max_keys)
+        d = add_average_rank_split(d, "__a", "__ra", keys, buckets=buckets, max_keys=max_keys)
+        d = add_average_rank_split(d, "__r", "__rr", keys, buckets=buckets, max_keys=max_keys)
         d = d.select(*keys, F.col("__ra").alias("__a"), F.col("__rr").alias("__r"))
     elif method == "rank":
         raise ValueError(f"unknown ranking {ranking!r}")

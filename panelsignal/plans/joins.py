@@ -54,14 +54,18 @@ def calendar_days(start: dt.date | None, end: dt.date | None) -> int | None:
     return max((end - start).days + 1, 0)
 
 
-def bounded_broadcast(small: DataFrame, max_rows: int | None) -> DataFrame:
-    """Return ``small`` with a broadcast hint iff ``max_rows`` proves it fits."""
+def bounded_broadcast(small: DataFrame, max_rows: int | None, row_bytes: int | None = None) -> DataFrame:
+    """Return ``small`` with a broadcast hint iff ``max_rows`` proves it fits.
+
+    ``row_bytes`` overrides the schema-based row width (e.g. for rows that
+    carry arrays of a known length).
+    """
     if max_rows is None:
         return small
     threshold = broadcast_threshold(small)
     if threshold <= 0:
         return small
-    if max_rows * row_width(small.schema) <= threshold:
+    if max_rows * (row_bytes or row_width(small.schema)) <= threshold:
         return F.broadcast(small)
     return small
 

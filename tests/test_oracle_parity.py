@@ -120,3 +120,23 @@ def test_result_tables_round_trip(spark):
     write_result(summary, path)
     back = spark.read.parquet(path).collect()
     assert len(back) == 1 and set(back[0].asDict()) == {"mean_return", "volatility", "sharpe"}
+
+
+def test_jvm_and_numpy_solvers_agree_on_fixture(spark):
+    import numpy as np
+
+    from panelsignal.operators.ols import add_rolling_ols
+    from panelsignal.operators.signals import add_excess_return, join_factors
+    from panelsignal.plans.queries import FF5, Fixture
+
+    fx = Fixture(spark, "/root/testdata/sf0.01")
+    base = add_excess_return(join_factors(fx.panel, fx.factors, fx.span))
+    cols = ["B_const"] + [f"B_{x}" for x in FF5]
+    a = add_rolling_ols(base, "return_rf", FF5, 60, solver="numpy").select("date", "asset_id", *cols).toPandas()
+    b = add_rolling_ols(base, "return_rf", FF5, 60, solver="jvm").select("date", "asset_id", *cols).toPandas()
+    m = a.merge(b, on=["date", "asset_id"])
+    assert len(m) == len(a) and m["B_const_x"].notna().sum() > 1000
+    for c in cols:
+        x, y = m[f"{c}_x"].astype(float), m[f"{c}_y"].astype(float)
+        assert (x.isna() == y.isna()).all()
+        np.testing.assert_allclose(x[x.notna()], y[y.notna()], rtol=1e-7, atol=1e-9)

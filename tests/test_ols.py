@@ -110,3 +110,21 @@ def test_grouped_ols_tstats(spark):
     r1 = y - A1 @ b1
     se1 = np.sqrt(r1 @ r1 / (n - 2) * np.diag(np.linalg.inv(A1.T @ A1)))
     np.testing.assert_allclose(one.loc[["Intercept", "x0"], "tstat"], b1 / se1, rtol=1e-8)
+
+
+def test_grouped_ols_matches_pyspark_ml(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    rng = np.random.default_rng(21)
+    n = 300
+    X = rng.normal(size=(n, 2))
+    y = 0.1 + X @ [0.7, -0.2] + rng.normal(size=n)
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for a, (b, c) in zip(y, X)], "y double, x0 double, x1 double")
+    ours = grouped_ols(df, "y", ["x0", "x1"]).toPandas().set_index("variable")
+    feats = VectorAssembler(inputCols=["x0", "x1"], outputCol="f").transform(df)
+    model = LinearRegression(featuresCol="f", labelCol="y", solver="normal").fit(feats)
+    t = model.summary.tValues  # slopes first, intercept last
+    np.testing.assert_allclose(ours.loc[["x0", "x1"], "coefficient"], model.coefficients.toArray(), rtol=1e-9)
+    np.testing.assert_allclose(ours.loc["Intercept", "coefficient"], model.intercept, rtol=1e-9)
+    np.testing.assert_allclose(ours.loc[["x0", "x1", "Intercept"], "tstat"], t, rtol=1e-7)

@@ -140,3 +140,18 @@ def test_jvm_and_numpy_solvers_agree_on_fixture(spark):
         x, y = m[f"{c}_x"].astype(float), m[f"{c}_y"].astype(float)
         assert (x.isna() == y.isna()).all()
         np.testing.assert_allclose(x[x.notna()], y[y.notna()], rtol=1e-7, atol=1e-9)
+
+
+def test_entry_schema_and_plan(spark):
+    from panelsignal.plans.inspect import plan_summary
+
+    df = E.entry(spark)
+    assert [(f.name, f.dataType.simpleString()) for f in df.schema.fields] == [
+        ("date", "date"),
+        ("asset_id", "bigint"),
+        ("alpha", "double"),
+        ("predicted_beta", "double"),
+    ]
+    df.collect()
+    s = plan_summary(df)
+    assert s["sort_merge_joins"] == 0 and s["broadcast_joins"] >= 1, s

@@ -27,7 +27,12 @@ from pyspark.sql import functions as F
 
 from panelsignal.llm.common import own, scratch_path, text_or_empty, written
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = "spark.sql.streaming.stateStore."
+#: State on disk; without preallocated files, which would cost some MB for each of many small partitions.
+STATE_CONF = {
+    _STORE + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    _STORE + "rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -62,9 +67,9 @@ def drain(feed_path: str, feed: DataFrame, files_per_batch: int = 1000) -> DataF
         .groupBy("digest")
         .agg(F.max(F.struct("doc_id", "locator")).alias("keep"), F.count("*").alias("n"))
     )
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         query = (
             stream.writeStream.outputMode("update")
@@ -74,12 +79,13 @@ def drain(feed_path: str, feed: DataFrame, files_per_batch: int = 1000) -> DataF
             .start()
         )
         query.awaitTermination()
+        return written(_state(spark, checkpoint), "dedup-groups")
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
-    return _state(spark, checkpoint)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def _state(spark: SparkSession, checkpoint: str) -> DataFrame:
@@ -105,7 +111,7 @@ def exact_dedup(
     if not feed.inputFiles():  # nothing was written: a stream over an empty folder has no state to read
         return feed.select("doc_id", "locator", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     path = feed.inputFiles()[0].rsplit("/", 1)[0]
-    state = written(drain(path, feed, files_per_batch), "dedup-groups")
+    state = drain(path, feed, files_per_batch)
 
     # full bytes of the hits; grouping by the text compares every byte
     hits = written(

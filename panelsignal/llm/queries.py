@@ -6,10 +6,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelsignal.llm import line_dedup, quality, stream_dedup
+import public_tokenizers
+
+from panelsignal.llm import bitmap_bpe, line_dedup, packing, quality, stream_dedup
 from panelsignal.llm.common import table
 
 
+def op1_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, split = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    out = packing.pack_documents(table(spark, sf_dir, "documents"), path, split)
+    return out.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_to"
+    )
+
+
+def op4_bitmap_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, split = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bitmap_bpe.encode_documents(table(spark, sf_dir, "documents"), path, split)
+    return bitmap_bpe.decode_documents(encoded, path).select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op6_stream_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = stream_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
@@ -30,6 +51,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_ffd_packing,
+        op4_bitmap_bpe,
         op6_stream_exact_dedup,
         op8_quality_rules,
         op10_line_dedup,

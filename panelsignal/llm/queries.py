@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from panelsignal.llm import bitmap_bpe, line_dedup, packing, quality, stream_dedup
+from panelsignal.llm import bitmap_bpe, lfbf_lm, line_dedup, packing, quality, stream_dedup
 from panelsignal.llm.common import table
 
 
@@ -31,6 +31,11 @@ def op4_bitmap_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_lfbf_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return lfbf_lm.score_documents(table(spark, sf_dir, "documents"), held_out)
+
+
 def op6_stream_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = stream_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
@@ -53,6 +58,7 @@ QUERIES = {
     for f in (
         op1_ffd_packing,
         op4_bitmap_bpe,
+        op5_lfbf_lm,
         op6_stream_exact_dedup,
         op8_quality_rules,
         op10_line_dedup,

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from panelsignal.llm import bitmap_bpe, lfbf_lm, line_dedup, packing, quality, stream_dedup
-from panelsignal.llm.common import table
+from panelsignal.llm import bitmap_bpe, lfbf_lm, line_dedup, packing, quality, rans, stream_dedup
+from panelsignal.llm.common import scratch_path, table
 
 
 def op1_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,14 @@ def op6_stream_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def op7_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "rans")
+    rans.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return rans.read_ids(spark, path).select(
+        "doc_id", "start", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = quality.quality_report(table(spark, sf_dir, "documents"))
     return report.select(
@@ -60,6 +68,7 @@ QUERIES = {
         op4_bitmap_bpe,
         op5_lfbf_lm,
         op6_stream_exact_dedup,
+        op7_rans_ids,
         op8_quality_rules,
         op10_line_dedup,
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from panelsignal.llm import bitmap_bpe, lfbf_lm, line_dedup, packing, quality, rans, stream_dedup
+from panelsignal.llm import bitmap_bpe, lfbf_lm, line_dedup, packing, quality, rans, stream_dedup, tgm_join
 from panelsignal.llm.common import scratch_path, table
 
 
@@ -56,6 +56,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_tgm_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tgm_join.jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
@@ -70,6 +75,7 @@ QUERIES = {
         op6_stream_exact_dedup,
         op7_rans_ids,
         op8_quality_rules,
+        op9_tgm_jaccard,
         op10_line_dedup,
     )
 }

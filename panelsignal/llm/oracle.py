@@ -10,6 +10,14 @@ _WS = r"[\x20\x09-\x0D]"
 def oracle_sql() -> dict[str, str]:
     stops = ", ".join(f"'{w}'" for w in STOP_WORDS)
     return {
+        "op2_arc_to_warc": """
+            WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS d, strlen(coalesce(html, '')) AS n FROM pages),
+            k AS (SELECT *, max(page_id) OVER (PARTITION BY d, n) AS last FROM p)
+            SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+                CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+                CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to
+            FROM k
+        """,
         "op6_stream_exact_dedup": """
             WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
             g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)

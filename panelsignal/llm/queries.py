@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from panelsignal.llm import bitmap_bpe, lfbf_lm, line_dedup, packing, quality, rans, stream_dedup, tgm_join
+from panelsignal.llm import arc_convert, bitmap_bpe, lfbf_lm, line_dedup, packing, quality, rans, stream_dedup, tgm_join
 from panelsignal.llm.common import scratch_path, table
 
 
@@ -20,6 +20,15 @@ def op1_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archives")
+    arc_convert.write_arc(table(spark, sf_dir, "pages"), f"{path}/arc")
+    arc_convert.arc_to_warc(spark, f"{path}/arc", f"{path}/warc")
+    return arc_convert.with_responses(arc_convert.read_warc(spark, f"{path}/warc")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op4_bitmap_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, split = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = bitmap_bpe.encode_documents(table(spark, sf_dir, "documents"), path, split)
@@ -70,6 +79,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_ffd_packing,
+        op2_arc_to_warc,
         op4_bitmap_bpe,
         op5_lfbf_lm,
         op6_stream_exact_dedup,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from panelsignal.llm import arc_convert, bitmap_bpe, lfbf_lm, line_dedup, packing, quality, rans, stream_dedup, tgm_join
+from panelsignal.llm import arc_convert, bitmap_bpe, lfbf_lm, line_dedup, packing, quality, rans, stream_dedup, tgm_join, wrapper_html
 from panelsignal.llm.common import scratch_path, table
 
 
@@ -29,6 +29,11 @@ def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_wrapper_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = wrapper_html.extract_pages(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_bitmap_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, split = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = bitmap_bpe.encode_documents(table(spark, sf_dir, "documents"), path, split)
@@ -80,6 +85,7 @@ QUERIES = {
     for f in (
         op1_ffd_packing,
         op2_arc_to_warc,
+        op3_wrapper_html,
         op4_bitmap_bpe,
         op5_lfbf_lm,
         op6_stream_exact_dedup,

@@ -13,7 +13,7 @@ import os
 import re
 from array import array
 
-MEMO = 500_000
+MEMO = 200_000
 MEMO_CHARS = 64
 
 # The code points with the Unicode property White_Space, as a class body.
@@ -115,7 +115,7 @@ class LibraryWords:
         if out is None:
             out = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
             if len(piece) <= MEMO_CHARS:
-                if len(self.pieces) >= MEMO // 2:
+                if len(self.pieces) >= MEMO:
                     self.pieces.clear()
                 self.pieces[piece] = out
         return out

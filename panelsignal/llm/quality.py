@@ -161,7 +161,9 @@ def quality_report(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text: s
 
 def filter_documents(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     """The documents that pass, with exactly the columns they came with."""
-    m = own("m")
-    of = lambda name: F.col(f"{m}.{name}")
-    passed = with_metrics(docs, m, text).where(~base_failed(of) & compile_rules(rules, of))
-    return passed.drop(m)
+    m, once = own("m"), own("once")
+    of = lambda name: F.col(f"{once}.{name}")
+    # a filter on plain columns would be pushed down and repeat every metric's expression in itself;
+    # nothing is pushed through a generator, so the metrics are computed once
+    scored = with_metrics(docs, m, text).withColumn(once, F.explode(F.array(m)))
+    return scored.where(~base_failed(of) & compile_rules(rules, of)).drop(m, once)

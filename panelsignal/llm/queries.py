@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 import public_tokenizers
 
 from panelsignal.llm import arc_convert, bitmap_bpe, lfbf_lm, line_dedup, packing, quality, rans, stream_dedup, tgm_join, wrapper_html
@@ -80,6 +81,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -93,5 +98,6 @@ QUERIES = {
         op8_quality_rules,
         op9_tgm_jaccard,
         op10_line_dedup,
+        pipeline,
     )
 }

@@ -41,11 +41,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelsignal.llm.blobs import BitShards, WordHashes, mix, shards_of, sum_counts
-from panelsignal.llm.common import text_or_empty, written
+from panelsignal.llm.common import own, text_or_empty, written
 from panelsignal.llm.tokens import kept, slices
 
 WORDS = 5
@@ -150,11 +150,11 @@ class SharedTokens:
         return out
 
 
-_SETS = "rid long, doc_id long, n long, digest binary, tokens binary"
+_SETS = "rid long, doc_id long, text_md5 string, n long, digest binary, tokens binary"
 
 
 def candidate_sets(docs: DataFrame, words: int, percent: int, id_col: str, text: str) -> DataFrame:
-    """Every document's row: its number, id, set size, and digest and tokens where it may link; written."""
+    """Every document's row: its number, id, text's MD5, set size, and digest and tokens where it may link; written."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     shard_bits = max(4, min(14, (docs.select(id_col).count() // 4096).bit_length() + 2))
@@ -182,14 +182,15 @@ def candidate_sets(docs: DataFrame, words: int, percent: int, id_col: str, text:
                     [
                         rids.slice(a, b - a),
                         doc_ids.slice(a, b - a),
+                        batch.column(3).slice(a, b - a),
                         pa.array(sizes),
                         pa.array([r and hashlib.blake2b(r, digest_size=16).digest() for r in raw], pa.binary()),
                         pa.array(raw, pa.binary()),
                     ],
-                    names=["rid", "doc_id", "n", "digest", "tokens"],
+                    names=["rid", "doc_id", "text_md5", "n", "digest", "tokens"],
                 )
 
-    numbered = base.select("doc_id", "text", F.monotonically_increasing_id().alias("rid"))
+    numbered = base.select("doc_id", "text", F.monotonically_increasing_id().alias("rid"), F.md5("text").alias("text_md5"))
     return written(numbered.mapInArrow(run, _SETS), "tgm-sets")
 
 
@@ -385,26 +386,43 @@ def sweep(classes: DataFrame, grouped: DataFrame, labels: DataFrame, percent: in
 def jaccard_components(
     docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least id reachable by links, its own included), rid (the row's number).
+    """One row per document: doc_id, text_md5, n_shingles, component_id (the least id
+    reachable by links, its own included) and kept (one row of each component).
 
     Sets link when 100 * intersection >= percent * union.
     """
     rows = candidate_sets(docs, words, percent, id_col, text)
     may = rows.where(F.col("digest").isNotNull())
-    copies = written(
-        may.groupBy("digest").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least_id")), "tgm-copies"
-    )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("rid").alias("row")))
+    copies = written(may.groupBy("digest").agg(F.min("rid").alias("rid"), first.alias("least")), "tgm-copies")
     classes = prune(may.join(copies.select("rid"), "rid"), percent)
     grouped = groups(classes)
-    own = open_own(grouped.join(classes.select("rid", "tokens"), "rid"), percent)
-    labels = components(classes.select("rid"), own)
+    links = open_own(grouped.join(classes.select("rid", "tokens"), "rid"), percent)
+    labels = components(classes.select("rid"), links)
     more = sweep(classes, grouped, labels, percent)
-    labels = components(classes.select("rid"), own.unionByName(more))
-    of_class = written(
-        copies.join(labels, "rid", "left").select("digest", F.coalesce("label", "rid").alias("label"), "least_id"), "tgm-of-class"
-    )
-    least = written(of_class.groupBy("label").agg(F.min("least_id").alias("component_id")), "tgm-least")
-    named = written(of_class.join(least, "label").select("digest", "component_id"), "tgm-named")
+    labels = components(classes.select("rid"), links.unionByName(more))
+    of_class = copies.join(labels, "rid", "left").select("digest", F.coalesce("label", "rid").alias("label"), "least")
+    of_class = written(of_class, "tgm-of-class")
+    least = written(of_class.groupBy("label").agg(F.min("least").alias("least")), "tgm-least")
+    named = written(of_class.select("digest", "label").join(least, "label").select("digest", "least"), "tgm-named")
     return rows.join(named, "digest", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "rid"
+        "doc_id",
+        "text_md5",
+        F.col("n").alias("n_shingles"),
+        F.coalesce("least.doc_id", "doc_id").alias("component_id"),
+        F.coalesce(F.col("least.row") == F.col("rid"), F.lit(True)).alias("kept"),
     )
+
+
+def dedup_near(
+    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """One document of each component, with exactly the columns ``docs`` came with."""
+    kid, key, md5, one = own("id"), own("key"), own("md5"), own("n")
+    verdict = jaccard_components(docs, words, percent, id_col, text).where("kept")
+    verdict = verdict.select(F.col("doc_id").alias(kid), F.col("text_md5").alias(key))
+    rows = docs.withColumn(md5, F.md5(text_or_empty(text)))
+    same = (F.col(md5) == F.col(key)) & F.col(id_col).eqNullSafe(F.col(kid))
+    first = Window.partitionBy(id_col, md5).orderBy(F.lit(1))  # rows equal in id and text: one of them
+    stay = rows.join(verdict, same, "left_semi").withColumn(one, F.row_number().over(first)).where(F.col(one) == 1)
+    return stay.drop(one, md5)

@@ -142,7 +142,11 @@ def with_metrics(docs: DataFrame, into: str, text: str = "text") -> DataFrame:
         lambda a: a["n"],
     )
     split = split.withColumn(cov, F.coalesce(covered, F.lit(0)))
-    return split.withColumn(into, _metric_struct(words, lines, t, cov)).drop(t, words, lines, win, srt, cov)
+    once = own("once")
+    split = split.withColumn(once, _metric_struct(words, lines, t, cov))
+    # a caller's filter on a metric would be pushed down and repeat its expressions element by element;
+    # nothing is pushed through a generator, so metrics are computed once
+    return split.withColumn(into, F.explode(F.array(once))).drop(t, words, lines, win, srt, cov, once)
 
 
 def base_failed(metric=F.col) -> Column:
@@ -161,9 +165,6 @@ def quality_report(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text: s
 
 def filter_documents(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     """The documents that pass, with exactly the columns they came with."""
-    m, once = own("m"), own("once")
-    of = lambda name: F.col(f"{once}.{name}")
-    # a filter on plain columns would be pushed down and repeat every metric's expression in itself;
-    # nothing is pushed through a generator, so the metrics are computed once
-    scored = with_metrics(docs, m, text).withColumn(once, F.explode(F.array(m)))
-    return scored.where(~base_failed(of) & compile_rules(rules, of)).drop(m, once)
+    m = own("m")
+    of = lambda name: F.col(f"{m}.{name}")
+    return with_metrics(docs, m, text).where(~base_failed(of) & compile_rules(rules, of)).drop(m)

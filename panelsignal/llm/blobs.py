@@ -62,7 +62,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, with a bounded memo."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __init__(self):
         self.memo: dict[bytes, int] = {}

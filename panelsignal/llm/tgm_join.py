@@ -161,7 +161,7 @@ def candidate_sets(docs: DataFrame, words: int, percent: int, id_col: str, text:
 
     def sets_of(batch):
         texts = batch.column(1).to_pylist()
-        for a, b in slices(texts, 1 << 24):
+        for a, b in slices(texts, 1 << 23):
             yield list(text_sets(texts[a:b], words))
 
     shared = spark.sparkContext.broadcast(shared_tokens(sets_of, base, shard_bits))
@@ -191,7 +191,9 @@ def candidate_sets(docs: DataFrame, words: int, percent: int, id_col: str, text:
                 )
 
     numbered = base.select("doc_id", "text", F.monotonically_increasing_id().alias("rid"), F.md5("text").alias("text_md5"))
-    return written(numbered.mapInArrow(run, _SETS), "tgm-sets")
+    out = written(numbered.mapInArrow(run, _SETS), "tgm-sets")
+    shared.destroy()
+    return out
 
 
 def _tokens(b: bytes) -> np.ndarray:
@@ -221,7 +223,9 @@ def prune(reps: DataFrame, percent: int) -> DataFrame:
             ]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return written(reps.select(*names).mapInArrow(run, "rid long, n long, tokens binary"), "tgm-classes")
+    out = written(reps.select(*names).mapInArrow(run, "rid long, n long, tokens binary"), "tgm-classes")
+    shared.destroy()
+    return out
 
 
 class Forest:

@@ -4,8 +4,8 @@ cumulative IC series (A7, W12, W13).
 Pearson IC is a grouped aggregate (covariance / product of standard
 deviations, all partial-aggregation friendly).  Rank IC ranks alpha and
 forward return inside each date with average ranks for ties, then takes
-the same guarded correlation.  The default ranking never handles a date
-whole (see :func:`add_average_rank_split`).  Values are rounded to 1e-10
+the same guarded correlation.  The ranking never handles a date whole (see
+:func:`add_average_rank`).  Values are rounded to 1e-10
 before ranking so float noise from summation order cannot create or break
 ties.
 """
@@ -18,78 +18,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelsignal.functions.columns import safe_div
-from panelsignal.operators.windows import DATE
-from panelsignal.plans.joins import bounded_broadcast
-from panelsignal.plans.materialize import materialize
+from panelsignal.operators.windows import ASSET, DATE
 
 TIE_DIGITS = 10
-# largest per-date group ranked by a single window sort (one task)
-MAX_GROUP_ROWS = 2_000_000
-# value-range buckets of the split rank: default, and cap when sized from data
-SPLIT_BUCKETS = 32
-MAX_SPLIT_BUCKETS = 1024
+# order-preserving value ranges of the rank: steps per power of two of a value's size
+STEPS_PER_OCTAVE = 16
+# copies of the rank table a row side's hot value is spread over
+SALTS = 4
 
 
-def average_rank(value: str, keys: Sequence[str] = (DATE,)) -> Column:
-    """1-based average rank of ``value`` within ``keys`` (ties share the mean rank).
+def value_range(value: Column) -> Column:
+    """A coarse bucket of a double that keeps the order: sign, then steps of its logarithm.
 
-    rank() gives the first position of the tie group; the default RANGE
-    frame (unbounded preceding .. current row, peers included) counts up
-    to its last position.  Both use one window spec, so one sort.
+    Depends on the value alone, so no bounds have to be looked up (or broadcast).
     """
-    w = Window.partitionBy(*keys).orderBy(value)
-    last = F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    return (F.rank().over(w) + last) / F.lit(2.0)
+    # doubles reach down to 2**-1074: the shift keeps steps positive, so the sign decides first
+    steps = F.floor(F.log2(F.abs(value)) * F.lit(STEPS_PER_OCTAVE)) + F.lit(1080 * STEPS_PER_OCTAVE)
+    return F.when(value == 0, F.lit(0)).when(value > 0, steps).otherwise(-steps).cast("long")
 
 
-def add_average_rank_split(
-    df: DataFrame,
-    value: str,
-    out: str,
-    keys: Sequence[str] = (DATE,),
-    *,
-    buckets: int = 32,
-    max_keys: int | None = None,
-    accuracy: int = 10000,
-) -> DataFrame:
-    """Exact 1-based average rank of ``value`` within ``keys``, skew-splitting.
-
-    A window rank sorts each key group in one task.  Here no group is ever
-    handled whole:
-
-    1. distinct values with their multiplicity, ``groupBy(keys, value)``:
-       map-side partial aggregation collapses repeated (hot) values;
-    2. per-key value-range buckets from approximate quantiles (partial
-       aggregation; one row per key, broadcast behind ``max_keys``); the
-       quantiles only balance the work, ranks stay exact;
-    3. per (key, bucket) counts and their running offsets (a table of
-       keys x buckets rows);
-    4. running counts inside each (key, bucket), so a wide key is split
-       ``buckets`` ways;
-    5. join the (key, value) ranks back to the rows.
+def add_average_rank(df: DataFrame, value: str, out: str, keys: Sequence[str] = (DATE,)) -> DataFrame:
+    """Exact 1-based average rank of ``value`` within ``keys`` (ties share the mean rank).
+
+    A window rank would sort each key group in one task; here, at every size,
+    no group is handled whole:
+
+    1. distinct values with their multiplicity: map-side partial aggregation
+       collapses repeated (hot) values;
+    2. counts per (key, value range) and their running offsets: one row per
+       key and range;
+    3. running counts inside each (key, range);
+    4. the (key, value) ranks join back to the rows, whose hot values are
+       spread over ``SALTS`` copies of the rank table.
 
     Rows with a NULL value get a NULL rank.
     """
     keys = list(keys)
-    c, b, bounds, off = "__rk_c", "__rk_b", "__rk_bounds", "__rk_off"
+    c, b, off, salt = "__rk_c", "__rk_b", "__rk_off", "__rk_salt"
     vc = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(c))
-    if buckets > 1:
-        probs = [i / buckets for i in range(1, buckets)]
-        q = df.groupBy(*keys).agg(F.percentile_approx(value, probs, max(accuracy, 10 * buckets)).alias(bounds))
-        vc = vc.join(bounded_broadcast(q, max_keys, row_bytes=64 * (len(keys) + 1) + 8 * buckets), keys)
-        below_bounds = F.size(F.filter(F.col(bounds), lambda x: x < F.col(value)))
-        vc = vc.withColumn(b, F.when(F.col(bounds).isNull(), F.lit(0)).otherwise(below_bounds)).drop(bounds)
-    else:
-        vc = vc.withColumn(b, F.lit(0))
-    per_bucket = vc.groupBy(*keys, b).agg(F.sum(c).alias("__rk_bc"))
+    vc = vc.withColumn(b, value_range(F.col(value)))
+    per_range = vc.groupBy(*keys, b).agg(F.sum(c).alias("__rk_bc"))
     wb = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.select(*keys, b, F.coalesce(F.sum("__rk_bc").over(wb), F.lit(0)).alias(off))
-    nb = None if max_keys is None else max_keys * buckets
-    vc = vc.join(bounded_broadcast(per_bucket, nb), keys + [b])
+    per_range = per_range.select(*keys, b, F.coalesce(F.sum("__rk_bc").over(wb), F.lit(0)).alias(off))
+    vc = vc.join(per_range, keys + [b])
     wv = Window.partitionBy(*keys, b).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     below = F.col(off) + F.coalesce(F.sum(c).over(wv), F.lit(0))
-    vc = vc.select(*keys, value, (below + (F.col(c) + F.lit(1)) / F.lit(2.0)).alias(out))
-    return df.join(vc, keys + [value], "left")
+    ranks = vc.select(*keys, value, (below + (F.col(c) + F.lit(1)) / F.lit(2.0)).alias(out))
+    ranks = ranks.withColumn(salt, F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
+    others = [x for x in df.columns if x not in keys and x != value]
+    spread = F.pmod(F.xxhash64(*others) if others else F.lit(0).cast("long"), F.lit(SALTS)).cast("long")
+    return df.withColumn(salt, spread).join(ranks, keys + [value, salt], "left").drop(salt)
 
 
 def guarded_corr(a: str, b: str) -> Column:
@@ -98,51 +76,34 @@ def guarded_corr(a: str, b: str) -> Column:
 
 
 def information_coefficient(
-    df: DataFrame,
+    alphas: DataFrame,
+    returns: DataFrame | None = None,
     *,
     alpha: str = "alpha",
     ret: str = "fwd_return",
     method: str = "rank",
     keys: Sequence[str] = (DATE,),
-    ranking: str = "auto",
-    max_keys: int | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Per-key IC of ``alpha`` against ``ret``: columns keys..., n, ic.
 
-    Only rows with both values take part (the inner join of alphas and
-    forward returns).  Ranking: ``'window'`` sorts each key group in one
-    task (one shuffle); ``'split'`` uses the skew-splitting exact rank of
-    :func:`add_average_rank_split` (more shuffles, no group handled whole);
-    ``'auto'`` (default) writes the input once, measures the largest group
-    with one small aggregate and uses the window rank only when every group
-    is at most ``max_group_rows`` rows.
+    ``returns`` (date, asset_id, ``ret``) is joined on (date, asset_id); without
+    it ``alphas`` holds ``ret`` already.  Only rows with both values take part.
+    The rank IC reads its input several times: hand in a written or
+    checkpointed frame (nothing is written here, and no job runs).
     """
+    if method not in ("rank", "pearson"):
+        raise ValueError(f"unknown IC method {method!r}")
     keys = list(keys)
-    d = df.where(F.col(alpha).isNotNull() & F.col(ret).isNotNull()).select(
+    d = alphas if returns is None else alphas.join(returns.select(DATE, ASSET, ret), [DATE, ASSET])
+    d = d.where(F.col(alpha).isNotNull() & F.col(ret).isNotNull()).select(
         *keys,
         F.round(F.col(alpha), TIE_DIGITS).alias("__a"),
         F.round(F.col(ret), TIE_DIGITS).alias("__r"),
     )
-    if method == "rank" and ranking in ("auto", "split"):
-        # the rank reads its input more than once: write it once
-        d = materialize(d, "checkpoint")
-    buckets = SPLIT_BUCKETS
-    if method == "rank" and ranking == "auto":
-        biggest = d.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        ranking = "window" if biggest <= max_group_rows else "split"
-        # enough buckets that a (key, bucket) group stays well below the bound
-        buckets = min(MAX_SPLIT_BUCKETS, max(SPLIT_BUCKETS, -(-4 * biggest // max(max_group_rows, 1))))
-    if method == "rank" and ranking == "window":
-        d = d.withColumn("__a", average_rank("__a", keys)).withColumn("__r", average_rank("__r", keys))
-    elif method == "rank" and ranking == "split":
-        d = add_average_rank_split(d, "__a", "__ra", keys, buckets=buckets, max_keys=max_keys)
-        d = add_average_rank_split(d, "__r", "__rr", keys, buckets=buckets, max_keys=max_keys)
+    if method == "rank":
+        d = add_average_rank(d, "__a", "__ra", keys)
+        d = add_average_rank(d, "__r", "__rr", keys)
         d = d.select(*keys, F.col("__ra").alias("__a"), F.col("__rr").alias("__r"))
-    elif method == "rank":
-        raise ValueError(f"unknown ranking {ranking!r}")
-    elif method != "pearson":
-        raise ValueError(f"unknown IC method {method!r}")
     return d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         guarded_corr("__a", "__r").alias("ic"),

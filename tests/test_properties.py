@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import day, panel_df
-from panelsignal.operators.ic import add_average_rank_split
+from panelsignal.operators.ic import add_average_rank
 from panelsignal.operators.windows import add_rolling_std, add_rolling_sums
 
 values = st.one_of(st.none(), st.floats(-0.2, 0.2, allow_nan=False, allow_subnormal=False))
@@ -35,12 +35,11 @@ def test_prefix_form_equals_sliding(spark, series, n):
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     groups=st.lists(st.lists(st.integers(-5, 5), min_size=1, max_size=40), min_size=1, max_size=4),
-    buckets=st.integers(1, 6),
 )
-def test_split_rank_equals_pandas_on_signal_keys(spark, groups, buckets):
+def test_split_rank_equals_pandas_on_signal_keys(spark, groups):
     rows = [(day(0), f"s{g}", a, float(v)) for g, vals in enumerate(groups) for a, v in enumerate(vals)]
     df = spark.createDataFrame(rows, "date date, signal string, asset_id bigint, v double")
-    got = add_average_rank_split(df, "v", "r", keys=("date", "signal"), buckets=buckets).toPandas()
+    got = add_average_rank(df, "v", "r", keys=("date", "signal")).toPandas()
     pdf = pd.DataFrame(rows, columns=["date", "signal", "asset_id", "v"])
     pdf["exp"] = pdf.groupby(["date", "signal"])["v"].rank(method="average")
     m = got.merge(pdf, on=["date", "signal", "asset_id"])

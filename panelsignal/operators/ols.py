@@ -6,20 +6,22 @@ shared count guard, see :func:`rolling_ols_sum_columns`).  With one regressor
 the slope and intercept are closed-form Column arithmetic and never leave
 the JVM.  With more regressors the centred k x k normal equations are
 solved by a scalar pandas UDF on Arrow batches (numpy batched solve):
-only the sums travel to Python, the rows keep their partitioning, and an
-ill-conditioned or singular window yields NULL coefficients instead of
-failing the task.  (A per-row LDL' written as chained Column expressions
-was tried and dropped: any filter on a coefficient is pushed through the
-chain by inlining every alias, and the inlined tree grows exponentially.
-The UDF output is opaque to that rewrite.)
+only the sums of complete windows travel to Python, and an ill-conditioned
+or singular window yields NULL coefficients instead of failing the task.
+The UDF is marked nondeterministic, so that a filter on a coefficient is not
+pushed below it with a second copy of the solve.  This module's functions are
+shipped to the workers by value: executors need numpy and pandas only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +29,8 @@ from pyspark.sql import types as T
 from panelsignal.functions.columns import finite_or_null, safe_div, sum_skip_nulls
 from panelsignal.operators.windows import ASSET, DATE, _tmp
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CONST = "const"
 # centred sum of squares below this fraction of the raw one = constant regressor
 REL_VAR_TOL = 1e-10
@@ -97,8 +101,12 @@ def _solver_udf(xs: Sequence[str], prefix: str, cond_max: float):
     pairs = _pairs(k)
 
     @F.pandas_udf(schema)
-    def solve(s: pd.DataFrame) -> pd.DataFrame:
-        a = s.to_numpy(dtype="float64", na_value=np.nan)
+    def solve(sums: pd.Series) -> pd.DataFrame:
+        out = np.full((len(sums), k + 1), np.nan)
+        at = np.flatnonzero(sums.notna())
+        if not len(at):
+            return pd.DataFrame(out, columns=fields)
+        a = np.stack(sums.iloc[at].to_numpy()).astype("float64")
         m = a.shape[0]
         n = a[:, 0]
         sy = a[:, 1]
@@ -109,70 +117,11 @@ def _solver_udf(xs: Sequence[str], prefix: str, cond_max: float):
             v = a[:, 2 + 2 * k + p]
             sxx[:, i, j] = v
             sxx[:, j, i] = v
-        coef = solve_centered(n, sx, sy, sxx, sxy, cond_max)
-        return pd.DataFrame(coef, columns=fields)
-
-    return solve
+        out[at] = solve_centered(n, sx, sy, sxx, sxy, cond_max)
+        return pd.DataFrame(out, columns=fields)
 
-
-def _hof_solve(
-    df: DataFrame,
-    n: Column,
-    sy: str,
-    sx: list[str],
-    sxy: list[str],
-    sxx: dict[tuple[int, int], str],
-    fields: list[str],
-    cond_max: float,
-) -> DataFrame:
-    """Per-row solve of the centred normal equations on the JVM.
-
-    The centred cross-product matrix is scaled to unit diagonal (A) and the
-    augmented system [A | r] is reduced by Gauss-Jordan elimination written
-    as one ``aggregate`` over the pivot indices (``transform``/``zip_with``
-    on the rows).  For symmetric positive definite A no pivoting is needed
-    and the pivots are the D of A = L D L'; a pivot below 1/cond_max marks a
-    near-collinear window (NULL coefficients).  The expression has a fixed
-    size O(k^2), so optimizer rewrites that inline it (e.g. a filter on a
-    coefficient) stay small, and being a plain projection it keeps the
-    asset partitioning: later per-asset windows need no new shuffle.
-    """
-    k = len(sx)
-    c = lambda i, j: F.col(sxx[(min(i, j), max(i, j))]) - F.col(sx[i]) * F.col(sx[j]) / n
-    s = [F.sqrt(c(i, i)) for i in range(k)]
-    ok = F.lit(True)
-    for i in range(k):
-        ok = ok & (c(i, i) > F.lit(REL_VAR_TOL) * F.col(sxx[(i, i)]))
-    rows = []
-    for i in range(k):
-        a = [F.lit(1.0) if i == j else safe_div(c(i, j), s[i] * s[j]) for j in range(k)]
-        r = safe_div(F.col(sxy[i]) - F.col(sx[i]) * F.col(sy) / n, s[i])
-        rows.append(F.array(*a, r))
-    init = F.struct(F.array(*rows).alias("m"), F.lit(float("inf")).alias("piv"))
-
-    def step(acc, p):
-        m = acc["m"]
-        prow = m[p]
-        piv = prow[p]
-        new_m = F.transform(
-            m,
-            lambda row, i: F.when(i == p, F.transform(row, lambda x: F.try_divide(x, piv))).otherwise(
-                F.zip_with(row, prow, lambda a, b: a - F.try_divide(row[p] * b, piv))
-            ),
-        )
-        return F.struct(new_m.alias("m"), F.least(acc["piv"], piv).alias("piv"))
-
-    def finish(acc):
-        good = ok & (acc["piv"] > F.lit(1.0 / cond_max))
-        betas = [F.when(good, safe_div(acc["m"][i][k], s[i])) for i in range(k)]
-        const = (F.col(sy) - sum((b * F.col(sx[i]) for i, b in enumerate(betas)), F.lit(0.0))) / n
-        return F.struct(F.when(good, const).alias(fields[0]), *[b.alias(f) for b, f in zip(betas, fields[1:])])
-
-    # one struct per row: anything that inlines it (a pushed-down filter on
-    # a coefficient) evaluates the elimination once, not once per field
-    t = _tmp("gj")
-    df = df.withColumn(t, F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), init, step, finish))
-    return df.withColumns({f: F.col(t)[f] for f in fields}).drop(t)
+    # nondeterministic: else a filter on a coefficient is pushed down with a second copy of the solve
+    return solve.asNondeterministic()
 
 
 def rolling_ols_sum_columns(
@@ -186,7 +135,6 @@ def rolling_ols_sum_columns(
     by: Sequence[str] = (),
     exact: bool = False,
     cond_max: float = 1e10,
-    solver: str = "numpy",
 ) -> tuple[dict[str, Column], dict[str, Column], dict]:
     """Column expressions for the rolling sums of one regression.
 
@@ -251,7 +199,6 @@ def rolling_ols_sum_columns(
         "fields": _coef_fields(xs, prefix),
         "xs": list(xs),
         "cond_max": cond_max,
-        "solver": solver,
     }
     return clean, sums, pending
 
@@ -268,26 +215,21 @@ def add_rolling_ols(
     by: Sequence[str] = (),
     exact: bool = False,
     cond_max: float = 1e10,
-    solver: str = "numpy",
 ) -> DataFrame:
     """Add ``{prefix}const`` and ``{prefix}<x>`` rolling OLS coefficients.
 
     Window and minimum periods are both ``window`` rows: a coefficient
     exists only where all rows of the window have y and every x.
 
-    k > 1 is solved by a batched numpy solve in a pandas UDF (``'numpy'``,
-    default: ~2 us per row on Arrow batches; Spark does not carry the asset
-    partitioning through the UDF node, so per-asset windows after it
-    re-shuffle once) or on the JVM (``'jvm'``: Gauss-Jordan as one
-    higher-order-function expression; keeps the partitioning but runs
-    interpreted at ~60 us per row, and a filter on a coefficient pushed into
-    it evaluates it again).  See :func:`rolling_ols_sum_columns` and
-    :func:`solve_rolling_ols` to share one window pass and one re-shuffle
-    among several regressions.
+    k > 1 is solved by a batched numpy solve in a pandas UDF (~2 us per row on
+    Arrow batches; Spark does not carry the asset partitioning through the UDF
+    node, so per-asset windows after it re-shuffle once).  See
+    :func:`rolling_ols_sum_columns` and :func:`solve_rolling_ols` to share one
+    window pass and one re-shuffle among several regressions.
     """
     clean, sums, pending = rolling_ols_sum_columns(
         y, xs, window, prefix=prefix, key=key, order=order, by=by, exact=exact,
-        cond_max=cond_max, solver=solver,
+        cond_max=cond_max,
     )
     df = df.withColumns(clean).withColumns(sums)
     return solve_rolling_ols(df, pending)
@@ -297,7 +239,7 @@ def solve_rolling_ols(df: DataFrame, p: dict) -> DataFrame:
     """Second half of :func:`add_rolling_ols`: coefficients from the rolling sums."""
     k, window, cnt, sy, sx = p["k"], p["window"], p["cnt"], p["sy"], p["sx"]
     sxy, sxx, temps, fields, xs = p["sxy"], p["sxx"], p["temps"], p["fields"], p["xs"]
-    prefix, cond_max, solver = p["prefix"], p["cond_max"], p["solver"]
+    prefix, cond_max = p["prefix"], p["cond_max"]
 
     if k == 1:
         n = F.lit(float(window))
@@ -308,22 +250,14 @@ def solve_rolling_ols(df: DataFrame, p: dict) -> DataFrame:
         df = df.withColumn(fields[0], (F.col(sy) - F.col(fields[1]) * F.col(sx[0])) / n)
         return df.drop(*temps)
 
-    if solver == "jvm":
-        df = _hof_solve(df, F.lit(float(window)), sy, sx, sxy, sxx, fields, cond_max)
-        return df.drop(*temps)
-    if solver != "numpy":
-        raise ValueError(f"unknown solver {solver!r}")
     solve = _solver_udf(xs, prefix, cond_max)
-    packed = F.struct(
-        F.col(cnt).cast("double").alias("n"),
-        F.col(sy).alias("sy"),
-        *[F.col(c).alias(f"sx{i}") for i, c in enumerate(sx)],
-        *[F.col(c).alias(f"sxy{i}") for i, c in enumerate(sxy)],
-        *[F.col(c).alias(f"sxx{i}{j}") for (i, j), c in sxx.items()],
+    # an incomplete window is one NULL: its sums don't travel to Python
+    packed = F.when(
+        F.col(sy).isNotNull(),
+        F.array(F.col(cnt).cast("double"), F.col(sy), *[F.col(c) for c in (*sx, *sxy, *sxx.values())]),
     )
     coef = _tmp("coef")
-    # only complete windows go to Python; the rest stay NULL on the JVM side
-    df = df.withColumn(coef, F.when(F.col(sy).isNotNull(), solve(packed)))
+    df = df.withColumn(coef, solve(packed))
     df = df.withColumns({f: F.col(f"{coef}.{f}") for f in fields})
     df = df.withColumns({f: F.when(~F.isnan(F.col(f)), F.col(f)) for f in fields})
     return df.drop(coef, *temps)

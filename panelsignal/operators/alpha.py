@@ -12,10 +12,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelsignal.functions.columns import safe_div
+from panelsignal.functions.columns import finite_or_null, safe_div
 from panelsignal.operators.windows import ASSET, DATE, _tmp, add_lags, cross_section_stats
 from panelsignal.plans.joins import join_per_key
 from panelsignal.plans.materialize import materialize
@@ -70,10 +70,21 @@ def universe_filter(
     All predicates refer to columns staged on the unfiltered panel (the
     lagged price in particular), then one conjunctive filter is applied.
     """
-    cond = (F.col(prev_price) > F.lit(float(price_min))) & F.col(signal).isNotNull()
-    for c in required:
-        cond = cond & F.col(c).isNotNull()
-    return df.where(cond)
+    return df.where(universe_condition(signal, price_min, prev_price=prev_price, required=required))
+
+
+def universe_condition(
+    signal: str,
+    price_min: float = 5.0,
+    *,
+    prev_price: str = "prev_price",
+    required: Sequence[str] = ("predicted_beta", "specific_risk"),
+) -> Column:
+    """The filter's predicate; a NaN or infinite value counts as missing."""
+    cond = finite_or_null(prev_price) > F.lit(float(price_min))
+    for c in (signal, *required):
+        cond = cond & finite_or_null(c).isNotNull()
+    return cond
 
 
 def add_zscore(
@@ -137,6 +148,56 @@ def alphas_from_signal(
     return a.select(DATE, *extra_keys, ASSET, "alpha", "predicted_beta", *keep)
 
 
+def wide_alphas(
+    df: DataFrame,
+    signals: Sequence[str],
+    *,
+    price_min: float = 5.0,
+    ic: float = 0.05,
+    days: int | None = None,
+    keep: Sequence[str] = (),
+    materialize_as: str | None = None,
+) -> DataFrame:
+    """C14: the alphas of several signals, a column each, one row per (date, asset).
+
+    Every signal's mean and deviation is a column of one row per date, so the
+    table that is broadcast back has as many rows as the span has ``days``
+    whatever the number of signals.  A row that a signal's universe filter
+    rejects is not in its ``in_<signal>``.
+    """
+    inside = {s: universe_condition(s, price_min) for s in signals}
+    rows = df.select(
+        DATE,
+        ASSET,
+        "predicted_beta",
+        "specific_risk",
+        *[k for k in keep if k not in ("predicted_beta", "specific_risk")],
+        *[F.when(inside[s], F.col(s)).alias(s) for s in signals],
+    ).where(F.coalesce(*signals).isNotNull())
+    if materialize_as:
+        rows = materialize(rows, materialize_as)
+    stats = rows.groupBy(DATE).agg(
+        *[F.avg(s).alias(f"__m_{s}") for s in signals], *[F.stddev_samp(s).alias(f"__s_{s}") for s in signals]
+    )
+    joined = join_per_key(rows, stats, on=[DATE], how="inner", max_rows=days)
+    score = {s: safe_div(F.col(s) - F.col(f"__m_{s}"), F.col(f"__s_{s}")) for s in signals}
+    return joined.select(
+        *rows.columns[: -len(signals)],
+        *[(score[s] * F.lit(float(ic)) * F.col("specific_risk")).alias(s) for s in signals],
+        *[F.col(s).isNotNull().alias(f"in_{s}") for s in signals],
+    )
+
+
+def unpivot_alphas(wide: DataFrame, signals: Sequence[str], value: str = "alpha") -> DataFrame:
+    """:func:`wide_alphas` as (date, signal, asset_id, ``value``, ...) rows; no shuffle."""
+    ids = [c for c in wide.columns if c not in signals and c not in {f"in_{s}" for s in signals}]
+    rows = F.array(
+        *[F.struct(F.lit(s).alias("signal"), F.col(s).alias(value), F.col(f"in_{s}").alias("inside")) for s in signals]
+    )
+    long = wide.select(*ids, F.inline(F.filter(rows, lambda r: r["inside"])))
+    return long.drop("inside")
+
+
 def forward_returns(panel: DataFrame, ret: str = "return", out: str = "fwd_return") -> DataFrame:
     """Next row's return per asset, rows without one dropped."""
     df = add_lags(panel.select(DATE, ASSET, ret), {out: (ret, -1)})

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelsignal.functions.columns import safe_div
+from panelsignal.functions.columns import finite_or_null, safe_div
 from panelsignal.operators.windows import ASSET, DATE
 from panelsignal.plans.joins import join_per_key
 
@@ -49,9 +49,10 @@ def constraint_coefficient(name: str, beta: str = "predicted_beta") -> Column:
 
 
 def _usable(alphas: DataFrame, constraints: Sequence[str], alpha: str, risk: str, beta: str) -> DataFrame:
-    cond = F.col(alpha).isNotNull() & F.col(risk).isNotNull() & (F.col(risk) > 0)
+    # NaN passes isNotNull and > 0: one such row would turn a whole date's sums into NaN
+    cond = finite_or_null(alpha).isNotNull() & (finite_or_null(risk) > 0)
     if "ZeroBeta" in constraints:
-        cond = cond & F.col(beta).isNotNull()
+        cond = cond & finite_or_null(beta).isNotNull()
     return alphas.where(cond)
 
 
@@ -129,6 +130,51 @@ def mvo_weights(
     return joined.select(*keys, ASSET, w.alias("weight"), *carry)
 
 
+def wide_mvo_weights(
+    alphas: DataFrame,
+    gammas: dict[str, float],
+    constraints: Sequence[str] = ("ZeroBeta", "ZeroInvestment"),
+    *,
+    risk: str = "specific_risk",
+    beta: str = "predicted_beta",
+    days: int | None = None,
+    det_tol: float = 1e-9,
+) -> DataFrame:
+    """C6 for several signals: alpha columns become weight columns, NULL where a
+    signal has no weight (unusable row, or a degenerate date).
+
+    Every signal's sums and multipliers are columns of one row per date, so what is
+    broadcast back is bounded by the span's ``days`` for any number of signals.
+    """
+    signals, constraints = list(gammas), list(dict.fromkeys(constraints))
+    others = [c for c in alphas.columns if c not in signals]
+    d = F.col(risk) * F.col(risk)
+    coef = [constraint_coefficient(c, beta) for c in constraints]
+    usable = finite_or_null(risk) > 0
+    if "ZeroBeta" in constraints:
+        usable = usable & finite_or_null(beta).isNotNull()
+    rows = alphas.withColumns({s: F.when(usable, finite_or_null(s)) for s in signals})
+    aggs, lam = [], []
+    for i, s in enumerate(signals):
+        a, has = F.col(s), F.col(s).isNotNull()
+        for j, cj in enumerate(coef):
+            aggs.append(F.sum(F.when(has, cj * a / d)).alias(f"__b{i}_{j}"))
+            for k in range(j, len(coef)):
+                aggs.append(F.sum(F.when(has, cj * coef[k] / d)).alias(f"__m{i}_{j}{k}"))
+        m = [[F.col(f"__m{i}_{min(j, k)}{max(j, k)}") for k in range(len(coef))] for j in range(len(coef))]
+        lams, ok = _lambda_columns(m, [F.col(f"__b{i}_{j}") for j in range(len(coef))], det_tol)
+        lam += [F.when(ok, lv).alias(f"__l{i}_{j}") for j, lv in enumerate(lams)]
+    if coef:
+        rows = join_per_key(rows, rows.groupBy(DATE).agg(*aggs).select(DATE, *lam), on=[DATE], how="inner", max_rows=days)
+    weights = []
+    for i, s in enumerate(signals):
+        adj = F.col(s)
+        for j, cj in enumerate(coef):
+            adj = adj - F.col(f"__l{i}_{j}") * cj
+        weights.append((adj / (F.lit(float(gammas[s])) * d)).alias(s))
+    return rows.select(*others, *weights)
+
+
 # ------------------------------------------------------------- factor risk
 
 
@@ -216,7 +262,10 @@ def mvo_weights_factor_risk(
         *[c.alias(f"__f{i}") for i, c in enumerate(finv)],
         *[F.col(f"__u{vi}_{i}") for vi in range(n_vec) for i in range(k)],
     )
-    z = sums.select(DATE, _woodbury_udf(k, n_vec)(packed).alias("__z")).select(DATE, "__z.*")
+    # nondeterministic: else the optimizer copies the solve into every use of its fields
+    solve = _woodbury_udf(k, n_vec).asNondeterministic()
+    z = sums.select(DATE, solve(packed).alias("__z")).select(DATE, "__z.*")
+    z = z.select(DATE, *[finite_or_null(c).alias(c) for c in z.columns if c != DATE])
     df = join_per_key(df, z, on=[DATE], how="inner", max_rows=max_keys)
 
     # S^-1 v per row

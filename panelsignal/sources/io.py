@@ -72,6 +72,18 @@ def read_weights(
     return df
 
 
+def read_alphas(spark: SparkSession, path: str, signals: Sequence[str] | None = None, start=None, end=None) -> DataFrame:
+    """Stored alphas of some or all signals; the signal filter prunes folders, the dates row groups."""
+    df = spark.read.parquet(path)
+    if signals is not None:
+        df = df.where(F.col("signal").isin(list(signals)))
+    if start is not None:
+        df = df.where(F.col(DATE) >= F.lit(start))
+    if end is not None:
+        df = df.where(F.col(DATE) <= F.lit(end))
+    return df
+
+
 def write_result(df: DataFrame, path: str) -> None:
     """A result table (summary, regression, cumulative series)."""
     df.write.mode("overwrite").parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelsignal.functions.columns import percent_to_fraction
+from panelsignal.functions.columns import finite_or_null, percent_to_fraction
 
 ASSET = "asset_id"
 DATE = "date"
@@ -90,11 +90,18 @@ def load_assets(
         df = df.where(F.col(in_universe))
     if columns is not None:
         df = df.select(*columns)
+    df = finite_doubles(df)
     if scale:
         df = percent_to_fraction(df, list(PERCENT_COLUMNS))
     return df
 
 
+def finite_doubles(df: DataFrame) -> DataFrame:
+    """NaN and infinities become NULL in every floating-point column, at load."""
+    doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: finite_or_null(c) for c in doubles})
+
+
 def load_factors(
     source: DataFrame | str,
     span: Span = Span(),
@@ -106,7 +113,7 @@ def load_factors(
     df = _frame(source, spark).where(span.where())
     if columns is not None:
         df = df.select(DATE, *[c for c in columns if c != DATE])
-    return df
+    return finite_doubles(df)
 
 
 def validate_panel(

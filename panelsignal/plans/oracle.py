@@ -485,7 +485,7 @@ ms AS (SELECT *, n * (vy - ({fit})) / (n - {k} - 1) AS s2, {const} AS b_c FROM m
 
 # ------------------------------------------------------ all ten signals
 
-# name, series, regressors, rolling window, vol-scaled, gamma (study table)
+# Name, series, regressors, rolling window, vol-scaled, gamma (study table).
 STUDY = [
     ("momentum", '"return"', None, 230, False, 50),
     ("vol_scaled_momentum", '"return"', None, 230, True, 50),
@@ -590,6 +590,73 @@ lr_ AS (SELECT date, signal, {_rank_by('a', 'date, signal')} AS a, {_rank_by('r'
 SELECT date, signal, count(*) AS n, {rnd(_ic_value('a', 'r'))} AS ic FROM {src} GROUP BY date, signal"""
 
 
+def ic_series_by_signal_sql(column: str) -> str:
+    over = "PARTITION BY signal ORDER BY date ROWS BETWEEN"
+    value = {
+        "ic_rolling": f"CASE WHEN count(ic) OVER ({over} 21 PRECEDING AND CURRENT ROW) = 22 "
+        f"THEN avg(ic) OVER ({over} 21 PRECEDING AND CURRENT ROW) END",
+        "ic_cumulative": f"sum(ic) OVER ({over} UNBOUNDED PRECEDING AND CURRENT ROW)",
+    }[column]
+    ctes = [*long_ctes(), f"""
+lm AS (SELECT date, signal, round(alpha, 10) AS a, round(fwd_return, 10) AS r
+       FROM lal WHERE alpha IS NOT NULL AND fwd_return IS NOT NULL),
+lr_ AS (SELECT date, signal, {_rank_by('a', 'date, signal')} AS a, {_rank_by('r', 'date, signal')} AS r FROM lm),
+ics AS (SELECT date, signal, {_ic_value('a', 'r')} AS ic FROM lr_ GROUP BY date, signal)"""]
+    return with_ctes(*ctes) + f"""
+SELECT date, signal, {rnd('ic')} AS ic, {rnd(value)} AS {column} FROM ics"""
+
+
+def ic_rank_stored_sql() -> str:
+    ctes = [PANEL, *staged(momentum_stage()), f"""
+lm AS (SELECT date, round(alpha, 10) AS a, round(fwd_return, 10) AS r FROM al
+       WHERE alpha IS NOT NULL AND fwd_return IS NOT NULL
+       AND date BETWEEN DATE '1999-01-01' AND DATE '2000-12-31'),
+lr_ AS (SELECT date, {_rank_by('a', 'date')} AS a, {_rank_by('r', 'date')} AS r FROM lm)"""]
+    return with_ctes(*ctes) + f"""
+SELECT date, count(*) AS n, {rnd(_ic_value('a', 'r'))} AS ic FROM lr_ GROUP BY date"""
+
+
+def gamma_calibration_by_signal_sql() -> str:
+    return with_ctes(*_long_portfolio()) + f"""
+SELECT signal, {GAMMA}::DOUBLE AS gamma, {rnd('vol', 8)} AS volatility, 0.05::DOUBLE AS target_volatility,
+       {rnd(f'{GAMMA} * vol / 0.05', 8)} AS gamma_star
+FROM (SELECT signal, stddev_samp("return") * sqrt(252.0) AS vol FROM pr GROUP BY signal)"""
+
+
+def regression_capm_by_signal_sql() -> str:
+    factors = [] if any(c is FACTORS for c in long_ctes()) else [FACTORS]
+    ctes = [*_long_portfolio(), *factors, """
+sf AS (SELECT date, lead(mkt_rf, 1) OVER (ORDER BY date) AS mkt_rf, lead(rf, 1) OVER (ORDER BY date) AS rf FROM factors),
+rd0 AS (SELECT signal, (pr."return" - sf.rf) * 100 AS y, sf.mkt_rf * 100 AS mkt_rf
+        FROM pr LEFT JOIN sf ON pr.date = sf.date WHERE pr."return" IS NOT NULL),
+rg AS (SELECT signal, count(*) AS n, regr_slope(y, mkt_rf) AS b, regr_intercept(y, mkt_rf) AS a,
+              regr_sxx(y, mkt_rf) AS sxx, regr_syy(y, mkt_rf) AS syy, regr_sxy(y, mkt_rf) AS sxy, avg(mkt_rf) AS mx
+       FROM rd0 WHERE y IS NOT NULL AND mkt_rf IS NOT NULL GROUP BY signal),
+rs2 AS (SELECT *, (syy - b * sxy) / (n - 2) AS s2 FROM rg)"""]
+    return with_ctes(*ctes) + f"""
+SELECT signal, 'Intercept' AS variable, {rnd('a')} AS coefficient,
+       {rnd('a / NULLIF(sqrt(s2 * (1.0 / n + mx * mx / sxx)), 0)')} AS tstat FROM rs2
+UNION ALL
+SELECT signal, 'mkt_rf', {rnd('b')}, {rnd('b / NULLIF(sqrt(s2 / sxx), 0)')} FROM rs2"""
+
+
+def mvo_dirty_sql() -> str:
+    """The momentum weights on the dirtied panel: a bad field counts as NULL."""
+    dirty = """
+panel AS (
+    SELECT date, asset_id,
+        CASE WHEN k % 97 IN (0, 1) THEN NULL ELSE price END AS price,
+        CASE WHEN k % 9973 = 7 THEN NULL ELSE "return" END AS "return",
+        specific_return,
+        CASE WHEN k % 97 IN (4, 5, 6) THEN NULL ELSE specific_risk END AS specific_risk,
+        CASE WHEN k % 97 IN (2, 3) THEN NULL ELSE predicted_beta END AS predicted_beta
+    FROM (SELECT *, date_diff('day', DATE '1970-01-01', date) + asset_id * 7 AS k FROM clean_panel)
+)"""
+    sql = mvo(("ZeroBeta", "ZeroInvestment"))
+    clean = PANEL.replace("panel AS", "clean_panel AS", 1)
+    return sql.replace(PANEL, f"{clean},{dirty}", 1).replace(rnd("weight", 10), rnd("weight", 7))
+
+
 def subsample_summary_by_signal_sql() -> str:
     rng = "date BETWEEN DATE '1999-01-01' AND DATE '2000-12-31'"
     ctes = [
@@ -665,4 +732,10 @@ def oracle_sql() -> dict[str, str]:
         "subsample_summary_by_signal": subsample_summary_by_signal_sql(),
         "ic_rank_by_signal": ic_by_signal_sql("rank"),
         "ic_pearson_by_signal": ic_by_signal_sql("pearson"),
+        "ic_rolling_by_signal": ic_series_by_signal_sql("ic_rolling"),
+        "ic_cumulative_by_signal": ic_series_by_signal_sql("ic_cumulative"),
+        "ic_rank_stored_alphas": ic_rank_stored_sql(),
+        "gamma_calibration_by_signal": gamma_calibration_by_signal_sql(),
+        "factor_regression_capm_by_signal": regression_capm_by_signal_sql(),
+        "mvo_diag_both_dirty": mvo_dirty_sql(),
     }

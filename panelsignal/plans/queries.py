@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelsignal.operators.alpha import (
-    prev_and_forward_lags,
     add_zscore,
     alphas_from_signal,
     forward_returns,
+    prev_and_forward_lags,
     universe_filter,
+    unpivot_alphas,
+    wide_alphas,
 )
 from panelsignal.operators.evaluate import (
     cumulative_log_returns,
@@ -33,7 +35,7 @@ from panelsignal.operators.evaluate import (
 )
 from panelsignal.operators.ic import add_cumulative_ic, add_rolling_ic, information_coefficient
 from panelsignal.operators.ols import add_rolling_ols
-from panelsignal.operators.optimize import calibrate_gamma, mvo_weights, mvo_weights_factor_risk
+from panelsignal.operators.optimize import calibrate_gamma, mvo_weights, mvo_weights_factor_risk, wide_mvo_weights
 from panelsignal.operators.signals import (
     CAPM,
     FF3,
@@ -43,7 +45,6 @@ from panelsignal.operators.signals import (
     add_excess_return,
     add_signals,
     join_factors,
-    to_long,
 )
 from panelsignal.sources.fixtures import (
     FIXTURE_SPAN,
@@ -53,7 +54,7 @@ from panelsignal.sources.fixtures import (
     read_table,
 )
 from panelsignal.session import scratch_path
-from panelsignal.sources.io import read_weights, write_alphas, write_weights
+from panelsignal.sources.io import read_alphas, read_weights, write_alphas, write_weights
 from panelsignal.sources.schema import Span, load_assets, load_factors
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -175,18 +176,7 @@ def _signal_query(name: str):
     return q
 
 
-for _name in (
-    "momentum",
-    "vol_scaled_momentum",
-    "barra_momentum",
-    "vol_scaled_barra_momentum",
-    "capm_momentum",
-    "vol_scaled_capm_momentum",
-    "ff3_momentum",
-    "vol_scaled_ff3_momentum",
-    "ff5_momentum",
-    "vol_scaled_ff5_momentum",
-):
+for _name in STUDY_SIGNALS:
     register(_name)(_signal_query(_name))
 
 
@@ -251,7 +241,7 @@ def _forward_returns(fx: Fixture) -> DataFrame:
 
 def _ic(fx: Fixture, method: str) -> DataFrame:
     al = fx.alphas(fx.spec("momentum"), keep=("fwd_return",))
-    return information_coefficient(al, method=method, max_keys=fx.span.days)
+    return information_coefficient(al, method=method)
 
 
 @register("ic_pearson")
@@ -369,46 +359,39 @@ def _reg_ff5(fx: Fixture) -> DataFrame:
 # ------------------------------------------------------ all ten signals
 
 
-def long_alphas(fx: Fixture, names=None) -> DataFrame:
-    """C14: all signals in one asset stage, unpivoted, alphas per (date, signal)."""
-    names = list(names or STUDY_SIGNALS)
-    specs = [fx.spec(n) for n in names]
+def ten_alphas(fx: Fixture) -> DataFrame:
+    """C14: all signals in one asset stage, a column each; written once as one row per (date, asset)."""
+    specs = [fx.spec(n) for n in STUDY_SIGNALS]
     df = fx.panel
     if any(s.is_residual for s in specs):
         df = add_excess_return(join_factors(df, fx.factors, fx.span))
     df = add_signals(df, specs, extra_lags=prev_and_forward_lags(df.columns))
-    ids = ["date", "asset_id", "prev_price", "predicted_beta", "specific_risk", "fwd_return"]
-    long = to_long(df, names, ids, value="value")
-    return alphas_from_signal(
-        long,
-        "value",
+    return wide_alphas(
+        df,
+        list(STUDY_SIGNALS),
         price_min=PRICE_MIN,
         ic=IC,
-        keys=("date", "signal"),
-        max_keys=fx.span.days * len(names),
-        keep=("specific_risk", "fwd_return"),
+        days=fx.span.days,
+        keep=("fwd_return",),
         materialize_as="checkpoint",
     )
 
 
-def gamma_column(names=None):
-    names = list(names or STUDY_SIGNALS)
-    pairs = []
-    for n in names:
-        pairs += [F.lit(n), F.lit(float(STUDY_SIGNALS[n].gamma))]
-    return F.create_map(*pairs)[F.col("signal")]
+def long_alphas(fx: Fixture) -> DataFrame:
+    return unpivot_alphas(ten_alphas(fx), list(STUDY_SIGNALS))
+
+
+def long_weights(fx: Fixture) -> DataFrame:
+    """Weights of all signals, each with its own gamma: (date, signal, asset_id, weight, fwd_return)."""
+    gammas = {n: s.gamma for n, s in STUDY_SIGNALS.items()}
+    wide = wide_mvo_weights(ten_alphas(fx), gammas, days=fx.span.days)
+    # a weight exists where the multipliers and the alpha do
+    wide = wide.withColumns({f"in_{n}": F.col(n).isNotNull() for n in gammas})
+    return unpivot_alphas(wide, list(gammas), value="weight")
 
 
 def long_portfolio(fx: Fixture) -> DataFrame:
-    al = long_alphas(fx)
-    w = mvo_weights(
-        al,
-        gamma_column(),
-        keys=("date", "signal"),
-        max_keys=fx.span.days * len(STUDY_SIGNALS),
-        carry=("fwd_return",),
-    )
-    return portfolio_returns(w, by=("signal",), ret="fwd_return")
+    return portfolio_returns(long_weights(fx), by=("signal",), ret="fwd_return")
 
 
 @register("all_signals_long")
@@ -498,9 +481,71 @@ def _mvo_factor_risk(fx: Fixture) -> DataFrame:
 
 
 def _ic_by_signal(fx: Fixture, method: str) -> DataFrame:
-    al = long_alphas(fx)
-    return information_coefficient(
-        al, method=method, keys=("date", "signal"), max_keys=fx.span.days * len(STUDY_SIGNALS)
+    return information_coefficient(long_alphas(fx), method=method, keys=("date", "signal"))
+
+
+@register("ic_rolling_by_signal")
+def _ic_rolling_by_signal(fx: Fixture) -> DataFrame:
+    """W12 for all ten signals: 22-date rolling mean of the rank IC."""
+    ics = add_rolling_ic(_ic_by_signal(fx, "rank"), 22, by=("signal",))
+    return finish(ics.select("date", "signal", "ic", "ic_rolling"))
+
+
+@register("ic_cumulative_by_signal")
+def _ic_cumulative_by_signal(fx: Fixture) -> DataFrame:
+    """W13 for all ten signals: cumulative rank IC."""
+    ics = add_cumulative_ic(_ic_by_signal(fx, "rank"), by=("signal",))
+    return finish(ics.select("date", "signal", "ic", "ic_cumulative"))
+
+
+@register("ic_rank_stored_alphas")
+def _ic_rank_stored(fx: Fixture) -> DataFrame:
+    """S4 + J5 + A7: alphas of two signals stored, one read back for a date range, joined to forward returns."""
+    root = scratch_path(fx.spark, "alphas")
+    for name in ("momentum", "barra_momentum"):
+        write_alphas(fx.alphas(fx.spec(name)), root, signal=name)
+    back = read_alphas(fx.spark, root, ["momentum"], SUBSAMPLE.start, SUBSAMPLE.end)
+    return finish(information_coefficient(back, forward_returns(fx.panel)))
+
+
+@register("gamma_calibration_by_signal")
+def _gamma_by_signal(fx: Fixture) -> DataFrame:
+    """C13 per signal: the gamma-50 equivalent for 5 % active risk, ordered by signal (O3)."""
+    s = performance_summary(long_portfolio(fx), by=("signal",))
+    return finish(calibrate_gamma(s, GAMMA, 0.05, by=("signal",)), 8).orderBy("signal")
+
+
+@register("factor_regression_capm_by_signal")
+def _reg_capm_by_signal(fx: Fixture) -> DataFrame:
+    """A6/C10 for all ten signals: CAPM regression of each portfolio's daily % excess return."""
+    port = long_portfolio(fx)
+    return finish(factor_regression(port, fx.factors, CAPM, by=("signal",), max_dates=fx.span.days))
+
+
+@register("mvo_diag_both_dirty")
+def _mvo_dirty(fx: Fixture) -> DataFrame:
+    """P7-P9 + C6 on a panel with NaN, infinite and NULL fields by a fixed rule on each row's date and asset."""
+    panel = load_assets(dirty(panel_from_lineitem(fx.lineitem)), fx.span)
+    df = add_signals(panel, [fx.spec("momentum")], extra_lags=prev_and_forward_lags(panel.columns))
+    al = alphas_from_signal(
+        df, "momentum", price_min=PRICE_MIN, ic=IC, max_keys=fx.span.days, keep=("specific_risk",), materialize_as="checkpoint"
+    )
+    w = mvo_weights(al, GAMMA, max_keys=fx.span.days)
+    return finish(w, 7)
+
+
+def dirty(panel: DataFrame) -> DataFrame:
+    """Every 97th (date, asset) gets a bad field: NaN, infinity or NULL by turns."""
+    k = F.datediff("date", F.lit("1970-01-01").cast("date")) + F.col("asset_id") * 7
+    hit = lambda r: F.pmod(k, F.lit(97)) == r
+    nan, inf, null = (F.lit(x).cast("double") for x in ("NaN", "Infinity", None))
+    return panel.withColumns(
+        {
+            "price": F.when(hit(0), nan).when(hit(1), null).otherwise(F.col("price")),
+            "predicted_beta": F.when(hit(2), nan).when(hit(3), null).otherwise(F.col("predicted_beta")),
+            "specific_risk": F.when(hit(4), nan).when(hit(5), inf).when(hit(6), null).otherwise(F.col("specific_risk")),
+            "return": F.when(F.pmod(k, F.lit(9973)) == 7, nan).otherwise(F.col("return")),
+        }
     )
 
 
@@ -522,15 +567,14 @@ def _alphas_roundtrip(fx: Fixture) -> DataFrame:
     root = scratch_path(fx.spark, "alphas")
     write_alphas(fx.alphas(fx.spec("momentum")), root, signal="momentum")
     write_alphas(fx.alphas(fx.spec("barra_momentum")), root, signal="barra_momentum")
-    back = fx.spark.read.parquet(root).where(F.col("signal") == "momentum")
+    back = read_alphas(fx.spark, root, ["momentum"])
     return finish(back.select("date", "asset_id", "alpha", "predicted_beta"), fine=FRACTIONS)
 
 
 @register("subsample_summary_by_signal")
 def _subsample_by_signal(fx: Fixture) -> DataFrame:
     """C11 + C12: per-signal summary with weights and returns restricted to a sub-period."""
-    al = long_alphas(fx)
-    w = mvo_weights(al, gamma_column(), keys=("date", "signal"), max_keys=fx.span.days * len(STUDY_SIGNALS))
+    w = long_weights(fx)
     w = w.where(SUBSAMPLE.where())
     returns = forward_return_panel(fx.panel.where(SUBSAMPLE.where()))
     return finish(performance_summary(portfolio_returns(w, returns, by=("signal",)), by=("signal",)), 8)

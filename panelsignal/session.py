@@ -8,7 +8,9 @@ only when that is unset (local tests) do we create one.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -52,41 +54,27 @@ def shared_dir(spark: SparkSession) -> str:
     global _LOCAL_DIR
     try:
         sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the checkpoint dir
-        sc = None
-    if sc is None:
+    except Exception as e:  # Spark Connect: the client can't see the cluster's context
         path = spark.conf.get("spark.checkpoint.dir", None)
         if path:
             return path
-        if _LOCAL_DIR is None:
-            _LOCAL_DIR = tempfile.mkdtemp(prefix="panelsignal-ckpt-")
-        return _LOCAL_DIR
-    path = sc.getConf().get("spark.checkpoint.dir", None)
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster") from e
+    path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if path:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(path)
         return path
-    if not str(sc.master).startswith("local"):
+    if not str(sc.master).startswith("local") or str(sc.master).startswith("local-cluster"):
         # a folder on the driver's disk is not shared with the executors
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     if _LOCAL_DIR is None:
         _LOCAL_DIR = tempfile.mkdtemp(prefix="panelsignal-ckpt-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(_LOCAL_DIR)
+        # tests and benches write hand-off tables here: they end with the process
+        atexit.register(shutil.rmtree, _LOCAL_DIR, ignore_errors=True)
+    sc.setCheckpointDir(_LOCAL_DIR)
     return _LOCAL_DIR
 
 
-def suggest_shuffle_partitions(
-    shuffle_bytes: int, target_partition_bytes: int = 128 * 1024 * 1024, minimum: int = 200
-) -> int:
-    """Shuffle partitions so each reduce partition stays near ``target_partition_bytes``.
-
-    For the asset stage, ``shuffle_bytes`` is about rows x 100 bytes of the
-    panel columns read; AQE coalesces partitions that come out smaller.
-    """
-    return max(minimum, -(-int(shuffle_bytes) // int(target_partition_bytes)))
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique location under the shared folder."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")

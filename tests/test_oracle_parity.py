@@ -122,24 +122,42 @@ def test_result_tables_round_trip(spark):
     assert len(back) == 1 and set(back[0].asDict()) == {"mean_return", "volatility", "sharpe"}
 
 
-def test_jvm_and_numpy_solvers_agree_on_fixture(spark):
-    import numpy as np
+def test_solve_needs_no_package_on_the_workers():
+    """The regressions' functions travel by value: they unpickle where the package can't be imported."""
+    import pickle
+    import subprocess
+    import sys
 
-    from panelsignal.operators.ols import add_rolling_ols
-    from panelsignal.operators.signals import add_excess_return, join_factors
-    from panelsignal.plans.queries import FF5, Fixture
-
-    fx = Fixture(spark, "/root/testdata/sf0.01")
-    base = add_excess_return(join_factors(fx.panel, fx.factors, fx.span))
-    cols = ["B_const"] + [f"B_{x}" for x in FF5]
-    a = add_rolling_ols(base, "return_rf", FF5, 60, solver="numpy").select("date", "asset_id", *cols).toPandas()
-    b = add_rolling_ols(base, "return_rf", FF5, 60, solver="jvm").select("date", "asset_id", *cols).toPandas()
-    m = a.merge(b, on=["date", "asset_id"])
-    assert len(m) == len(a) and m["B_const_x"].notna().sum() > 1000
-    for c in cols:
-        x, y = m[f"{c}_x"].astype(float), m[f"{c}_y"].astype(float)
-        assert (x.isna() == y.isna()).all()
-        np.testing.assert_allclose(x[x.notna()], y[y.notna()], rtol=1e-7, atol=1e-9)
+    from pyspark import cloudpickle
+
+    from panelsignal.operators.ols import ols_table_from_sums, solve_centered
+
+    sent = cloudpickle.dumps((solve_centered, ols_table_from_sums))
+    assert pickle.loads(sent)
+    code = "import pickle, sys; sys.modules['panelsignal'] = None; pickle.loads(sys.stdin.buffer.read())"
+    subprocess.run([sys.executable, "-c", code], input=sent, check=True, cwd="/")
+
+
+def test_one_python_node_for_a_filtered_regression(spark):
+    from panelsignal.plans.inspect import plan_summary
+
+    df = E.queries()["rolling_ols_ff5"](spark, "/root/testdata/sf0.001")
+    df.collect()
+    assert plan_summary(df)["python_nodes"] == 1
+
+
+def test_ten_signals_join_per_date_tables_by_broadcast_over_the_whole_span(spark):
+    import datetime as dt
+
+    from panelsignal.plans.inspect import plan_summary
+    from panelsignal.plans.queries import Fixture, long_weights
+    from panelsignal.sources.schema import Span
+
+    fx = Fixture(spark, "/root/testdata/sf0.001", Span(dt.date(1996, 1, 1), dt.date(2024, 12, 31)))
+    df = long_weights(fx)
+    df.collect()
+    s = plan_summary(df)
+    assert s["sort_merge_joins"] == 0 and s["broadcast_joins"] >= 2, s
 
 
 def test_entry_schema_and_plan(spark):

@@ -59,6 +59,37 @@ def oracle_sql() -> dict[str, str]:
                 AND n_dup_lines / greatest(n_lines, 1) <= 0.3 AS kept
             FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
         """,
+        "op9_tgm_jaccard": rf"""
+            WITH RECURSIVE d AS (
+                SELECT doc_id, list_filter(
+                    string_split_regex(translate(coalesce(text, ''),
+                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WS}+'),
+                    lambda x: x <> '') AS ws
+                FROM documents
+            ),
+            i AS (
+                SELECT doc_id, ws, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [1]
+                    ELSE range(1, len(ws) - 2) END) AS i
+                FROM d
+            ),
+            s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g FROM i),
+            n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+            c AS (
+                SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g)
+                WHERE a.doc_id <> b.doc_id GROUP BY ALL
+            ),
+            l AS (
+                SELECT x, y FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+                WHERE 100 * c >= 85 * (nx.n + ny.n - c)
+            ),
+            r(doc_id, least) AS (
+                SELECT doc_id, doc_id FROM documents
+                UNION
+                SELECT l.y, r.least FROM r JOIN l ON l.x = r.doc_id WHERE r.least < l.y
+            )
+            SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+            FROM (SELECT doc_id, min(least) AS component_id FROM r GROUP BY doc_id) LEFT JOIN n USING (doc_id)
+        """,
         "op10_line_dedup": rf"""
             WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
             l AS (

@@ -56,7 +56,7 @@ def oracle_sql() -> dict[str, str]:
                 AND word_chars / n1 BETWEEN 3.0 AND 10.0
                 AND n_symbols / n1 <= 0.1 AND n_excl / n1 <= 0.1
                 AND n_stop / n1 >= 0.06
-                AND n_dup_lines / greatest(n_lines, 1) <= 0.3 AS kept
+                AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AS kept
             FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
         """,
         "op9_tgm_jaccard": rf"""

@@ -53,7 +53,7 @@ RULES = (
     Rule("symbols_per_word", high=0.1),
     Rule("exclamations_per_word", high=0.1),
     Rule("stop_word_ratio", low=0.06),
-    Rule("dup_line_ratio", high=0.3),
+    Rule("dup_line_ratio", high=0.5),
 )
 
 MIN_WORDS = 50

@@ -121,7 +121,8 @@ def shared_tokens(sets_of, source: DataFrame, shard_bits: int) -> SharedTokens:
         return pa.table({"shard": group.column("shard")[:1], "words": pa.array([words.tobytes()], pa.binary())})
 
     sent = source.mapInArrow(send, "shard long, blob binary")
-    filled = sent.groupBy("shard").applyInArrow(meet, "shard long, words binary")
+    # written first: the driver then only reads finished shards, one partition at a time
+    filled = written(sent.groupBy("shard").applyInArrow(meet, "shard long, words binary"), "tgm-bits")
     return SharedTokens({r["shard"]: np.frombuffer(r["words"], "<u8") for r in filled.toLocalIterator()}, shard_bits)
 
 

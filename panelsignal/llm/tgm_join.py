@@ -12,10 +12,10 @@ and their members compared exactly.  The result is the linked components:
    by shard from packed counts); this drops most documents without loss.
 2. Documents with equal sets are one class; classes go on (and are pruned
    once more, as a class's own copies no longer count).
-3. Classes are grouped by the least of their hashes under a fixed mixing (similar
-   sets agree on it with the probability of their similarity), frequent keys in
-   groups of about ``GROUP`` members that share one pivot.  Each group is opened for
-   its own members; a pair already connected is not compared again.
+3. Classes are grouped by the least of their hashes under ``SEEDS`` fixed mixings
+   (similar sets agree on it with the probability of their similarity), frequent keys
+   in groups of about ``GROUP`` members that share the key's most central member.  Each
+   group is opened for its own members; a pair already connected is not compared again.
 4. Matrix and bound: tokens are ordered by document frequency; a set that links
    must share one of the first few (its prefix).  Tokens whose documents are all
    in one component are done with.  The rest give (document, group) candidates;
@@ -51,6 +51,8 @@ from panelsignal.llm.tokens import kept, slices
 WORDS = 5
 PERCENT = 80
 GROUP = 64
+#: Groups a class joins: near copies that one mixing parts meet under another.
+SEEDS = 3
 QUERIES = 256
 BITS_PER_TOKEN = 8
 MAX_FILTER_BYTES = 64 << 20
@@ -252,28 +254,42 @@ def _edges(pairs: list[tuple]) -> pa.Table:
     return pa.table([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], schema=_EDGE)
 
 
-def groups(classes: DataFrame) -> DataFrame:
-    """(key, part, rid): members of groups of about GROUP; a pivot stands in each part of its key."""
+def groups(classes: DataFrame, central: DataFrame) -> DataFrame:
+    """(seed, key, part, rid, central): members of groups of about GROUP.
+
+    A class joins one group per seed.  A key with more members than a group has
+    parts that share a pivot: its most central member (``central``: rid, central),
+    which in a crowd of near copies is the text they are copies of.
+    """
 
     def keys(batches):
         for batch in batches:
-            least = [int(mix(_tokens(x) ^ np.uint64(0xA5A5A5A5A5A5A5A5)).min() >> np.uint64(1)) for x in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(least, pa.int64())], names=["rid", "key"])
-
-    keyed = written(classes.select("rid", "tokens").mapInArrow(keys, "rid long, key long"), "tgm-keys")
-    sizes = written(
-        keyed.groupBy("key").agg(F.min("rid").alias("pivot"), F.ceil(F.count("*") / GROUP).alias("parts")), "tgm-key-sizes"
-    )
-    members = keyed.join(sizes, "key").select("key", F.pmod(F.xxhash64("rid"), "parts").alias("part"), "rid")
-    pivots = sizes.where("parts > 1").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("pivot").alias("rid"))
+            rids, seeds, least = [], [], []
+            for rid, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for seed in range(SEEDS):
+                    rids.append(rid)
+                    seeds.append(seed)
+                    least.append(int(mix(_tokens(x) ^ np.uint64(0xA5A5A5A5A5A5A5A5 * (seed + 1) & 0xFFFFFFFFFFFFFFFF)).min() >> np.uint64(1)))
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in (rids, seeds, least)], names=["rid", "seed", "key"])
+
+    keyed = classes.select("rid", "tokens").mapInArrow(keys, "rid long, seed long, key long")
+    keyed = written(keyed.join(central.select("rid", "central"), "rid"), "tgm-keys")
+    most = F.max(F.struct("central", "rid"))
+    sizes = keyed.groupBy("seed", "key").agg(most.alias("pivot"), F.ceil(F.count("*") / GROUP).alias("parts"))
+    sizes = written(sizes, "tgm-key-sizes")
+    part = F.pmod(F.xxhash64("rid"), "parts").alias("part")
+    members = keyed.join(sizes, ["seed", "key"]).select("seed", "key", part, "rid", "central")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    pivots = sizes.where("parts > 1").select("seed", "key", every, "pivot").select("seed", "key", "part", "pivot.rid", "pivot.central")
     return written(members.unionByName(pivots).distinct(), "tgm-groups")
 
 
 def open_own(member_sets: DataFrame, percent: int) -> DataFrame:
-    """Links inside each group, as forests; ``member_sets``: key, part, rid, tokens."""
+    """Links inside each group, as forests; ``member_sets``: seed, key, part, rid, central, tokens."""
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("rid")
+        # the most central member first: it connects most of the others at once
+        group = group.sort_by([("central", "descending"), ("rid", "ascending")])
         rids = group.column("rid").to_pylist()
         sets = [_tokens(x) for x in group.column("tokens").to_pylist()]
         forest, found = Forest(len(rids)), []
@@ -284,7 +300,7 @@ def open_own(member_sets: DataFrame, percent: int) -> DataFrame:
                     found.append((rids[i], rids[j]))
         return _edges(found)
 
-    return written(member_sets.groupBy("key", "part").applyInArrow(run, "a long, b long"), "tgm-own-links")
+    return written(member_sets.groupBy("seed", "key", "part").applyInArrow(run, "a long, b long"), "tgm-own-links")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -306,7 +322,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def prefixes(classes: DataFrame, percent: int) -> DataFrame:
-    """(rid, n, token): of each class, the first tokens by frequency of which any link shares one; written."""
+    """(rid, n, prefix, central) of classes that share a token; written.
+
+    ``prefix``: the first tokens by frequency, of which any link shares one;
+    ``central``: the mean number of classes that have one of the class's tokens.
+    """
 
     def explode(batches):
         for batch in batches:
@@ -326,21 +346,27 @@ def prefixes(classes: DataFrame, percent: int) -> DataFrame:
     often = written(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "tgm-frequencies")
     # tokens of one class come first in the order and link with nothing: only the rest of the prefix counts
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    alone = F.col("n") - F.size("shared")
+    left = F.greatest(first - alone, F.lit(0)).cast("int")
     return written(
         rows.join(often, "token")
         .groupBy("rid", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
-        .withColumn("left", first - (F.col("n") - F.size("shared")))
-        .where("left > 0")
-        .select("rid", "n", F.explode(F.slice("shared", F.lit(1), F.col("left").cast("int"))).alias("s"))
-        .select("rid", "n", F.col("s.token").alias("token")),
+        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"), F.sum("df").alias("weight"))
+        .select(
+            "rid",
+            "n",
+            F.transform(F.slice("shared", F.lit(1), left), lambda x: x["token"]).alias("prefix"),
+            ((F.col("weight") + alone) / F.col("n")).alias("central"),
+        ),
         "tgm-prefixes",
     )
 
 
-def sweep(classes: DataFrame, grouped: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def sweep(classes: DataFrame, prefixed: DataFrame, grouped: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Links between groups that join components (forests, per task): matrix, bound, open."""
-    labelled = written(prefixes(classes, percent).join(labels, "rid"), "tgm-labelled")
+    grouped = grouped.where("seed = 0").select("key", "part", "rid")
+    probing = prefixed.select("rid", "n", F.explode("prefix").alias("token"))
+    labelled = written(probing.join(labels, "rid"), "tgm-labelled")
     open_tokens = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
     probes = written(labelled.join(written(open_tokens, "tgm-open"), "token"), "tgm-probes")
     homes = grouped.join(labels, "rid")
@@ -401,10 +427,11 @@ def jaccard_components(
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("rid").alias("row")))
     copies = written(may.groupBy("digest").agg(F.min("rid").alias("rid"), first.alias("least")), "tgm-copies")
     classes = prune(may.join(copies.select("rid"), "rid"), percent)
-    grouped = groups(classes)
+    prefixed = prefixes(classes, percent)
+    grouped = groups(classes, prefixed)
     links = open_own(grouped.join(classes.select("rid", "tokens"), "rid"), percent)
     labels = components(classes.select("rid"), links)
-    more = sweep(classes, grouped, labels, percent)
+    more = sweep(classes, prefixed, grouped, labels, percent)
     labels = components(classes.select("rid"), links.unionByName(more))
     of_class = copies.join(labels, "rid", "left").select("digest", F.coalesce("label", "rid").alias("label"), "least")
     of_class = written(of_class, "tgm-of-class")

@@ -243,26 +243,19 @@ def bpe_encoder(ranks_path: str, pattern: str) -> Memo:
     return kept(("bitmap", ranks_path, pattern), lambda: Memo(spaced_keys, BitmapBPE(ranks_path, pattern).words))
 
 
-def encode_documents(
-    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """doc_id and ``ids`` (little-endian unsigned 32-bit) of every whole text."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-
+def _encoding(ranks_path: str, pattern: str):
     def run(batches):
         bpe = bpe_encoder(ranks_path, pattern)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, 1 << 21):
                 ids = bpe.encode(texts[a:b])
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return base.mapInArrow(run, "doc_id long, ids binary")
+    return run
 
 
-def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """doc_id, ids and ``decoded``: the bytes that the ids stand for."""
-
+def _decoding(ranks_path: str):
     def table() -> list[bytes]:
         ranks = read_ranks(ranks_path)
         out = [b""] * (max(ranks.values()) + 1)
@@ -277,4 +270,30 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
             decoded = [b"".join(map(piece, array("I", x.as_py()))) for x in ids]
             yield pa.record_batch([batch.column(0), ids, pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return run
+
+
+def _texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
+
+
+def encode_documents(
+    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """doc_id and ``ids`` (little-endian unsigned 32-bit) of every whole text."""
+    return _texts(docs, id_col, text).mapInArrow(_encoding(ranks_path, pattern), "doc_id long, ids binary")
+
+
+def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
+    """doc_id, ids and ``decoded``: the bytes that the ids stand for."""
+    return encoded.select("doc_id", "ids").mapInArrow(_decoding(ranks_path), "doc_id long, ids binary, decoded binary")
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """encode_documents() and decode_documents() in one pass over a task's batches, hence one worker a task."""
+    encode, decode = _encoding(ranks_path, pattern), _decoding(ranks_path)
+
+    def run(batches):
+        yield from decode(encode(batches))
+
+    return _texts(docs, id_col, text).mapInArrow(run, "doc_id long, ids binary, decoded binary")

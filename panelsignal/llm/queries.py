@@ -37,8 +37,7 @@ def op3_wrapper_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bitmap_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, split = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bitmap_bpe.encode_documents(table(spark, sf_dir, "documents"), path, split)
-    return bitmap_bpe.decode_documents(encoded, path).select(
+    return bitmap_bpe.round_trip(table(spark, sf_dir, "documents"), path, split).select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -13,7 +13,7 @@ import os
 import re
 from array import array
 
-MEMO = 200_000
+MEMO = 150_000
 MEMO_CHARS = 64
 
 # The code points with the Unicode property White_Space, as a class body.

@@ -140,6 +140,8 @@ def test_bitmap_bpe(spark):
     path, plain = reference_bpe()
     enc = bitmap_bpe.encode_documents(table(spark), path, P.PATTERN)
     out = bitmap_bpe.decode_documents(enc, path).collect()
+    both = bitmap_bpe.round_trip(table(spark), path, P.PATTERN).collect()
+    assert sorted(map(str, both)) == sorted(map(str, out))
     got = sorted(((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in out), key=key)
     want = sorted(((d, array("I", plain(text_of(t))).tobytes(), text_of(t).encode()) for d, t in ROWS), key=key)
     assert got == want

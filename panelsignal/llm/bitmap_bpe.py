@@ -33,9 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelsignal.llm.common import text_or_empty
-from panelsignal.llm.tokens import MEMO, MEMO_CHARS, Memo, explicit_white, kept, slices, spaced_keys, spaced_text
+from panelsignal.llm.tokens import MEMO_CHARS, Memo, explicit_white, kept, slices, spaced_keys, spaced_text
 
 LONG = 512
+#: Words and pre-tokens remembered, each; less than the default as the merge arrays need room too.
+WORDS_KEPT = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -233,14 +235,14 @@ class BitmapBPE:
                 queued.append(p)
         found.update(zip(queued, self.merge_many([p.encode() for p in queued])))
         out = [b"".join([known[p] if p in known else found[p] for p in ps]) for ps in parts]
-        if len(known) + len(found) > MEMO:
+        if len(known) + len(found) > WORDS_KEPT:
             known.clear()
         known.update((p, ids) for p, ids in found.items() if len(p) <= MEMO_CHARS)
         return out
 
 
 def bpe_encoder(ranks_path: str, pattern: str) -> Memo:
-    return kept(("bitmap", ranks_path, pattern), lambda: Memo(spaced_keys, BitmapBPE(ranks_path, pattern).words))
+    return kept(("bitmap", ranks_path, pattern), lambda: Memo(spaced_keys, BitmapBPE(ranks_path, pattern).words, WORDS_KEPT))
 
 
 def _encoding(ranks_path: str, pattern: str):

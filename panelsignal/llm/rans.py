@@ -40,14 +40,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelsignal.llm.common import text_or_empty, written
-from panelsignal.llm.tokens import bare_encoder, kept, slices
+from panelsignal.llm.tokens import bare_encoder, slices
 
 END_ID = 1
 SCALE_BITS = 20
 LANES = 512
 STEPS = 128
 BLOCK_TOKENS = LANES * STEPS * 4
-TOKENS_PER_PART = 1 << 24
+TOKENS_PER_PART = 1 << 22
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 _MASK = np.uint64(0xFFFFFFFF)
@@ -307,7 +307,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/blocks")
 
     def run(batches):
-        table = kept(("rans", path), lambda: Table(freq))
+        table = Table(freq)
         for batch in batches:
             for content in batch.column(0):
                 rows = []

@@ -13,7 +13,7 @@ import os
 import re
 from array import array
 
-MEMO = 150_000
+MEMO = 500_000
 MEMO_CHARS = 64
 
 # The code points with the Unicode property White_Space, as a class body.
@@ -65,8 +65,8 @@ def bare_keys(text: str) -> list[bytes]:
 class Memo:
     """Ids of words, little-endian unsigned 32-bit; ``learn`` computes those of new words."""
 
-    def __init__(self, keys, learn):
-        self.keys, self.learn = keys, learn
+    def __init__(self, keys, learn, limit: int = MEMO):
+        self.keys, self.learn, self.limit = keys, learn, limit
         self.young: dict = {}
         self.old: dict = {}
 
@@ -85,7 +85,7 @@ class Memo:
         for k in unknown:
             if len(k[0] if type(k) is tuple else k) > MEMO_CHARS:
                 del young[k]
-        if len(young) > MEMO:
+        if len(young) > self.limit:
             self.old, self.young = young, {}
         return out
 
@@ -115,7 +115,7 @@ class LibraryWords:
         if out is None:
             out = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
             if len(piece) <= MEMO_CHARS:
-                if len(self.pieces) >= MEMO:
+                if len(self.pieces) >= MEMO // 2:
                     self.pieces.clear()
                 self.pieces[piece] = out
         return out
@@ -174,7 +174,7 @@ def spaced_encoder(path: str, pattern: str) -> Memo:
 
 
 def bare_encoder(path: str) -> Memo:
-    return kept(("bare", path), lambda: Memo(bare_keys, BareWords(path)))
+    return kept(("bare", path), lambda: Memo(bare_keys, BareWords(path), 3 * MEMO // 5))
 
 
 def slices(texts: list[str], chars: int = 1 << 22):

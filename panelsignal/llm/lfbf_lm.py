@@ -9,20 +9,23 @@ after level until one is missing.  The probability of a word after another is
 with q the lower bound of the level found (never over c(h)), c the exact word
 counts, N and V the number of training tokens and of distinct ones.
 
-The filter's size is ``BITS_PER_TOKEN`` bits a training token, rounded up to a
-power of two and never over ``max_filter_bytes``: that is the proven bound of
-what is broadcast and of what the driver holds.  (Where the bound is reached,
-more bigrams mean more false positives, so raise it with the corpus; words
-never seen in training are not probed and cannot be false positives.)
+The filter is cut into slices by the top bits of a bigram's hash.  A slice has
+``BITS_PER_ENTRY`` bits for each (bigram, level) it holds, whatever the size of the
+corpus, so its rate of false positives does not grow.  Slices, not the filter,
+are bounded (about ``max_filter_bytes`` each): a larger corpus has more of them.  No
+process holds more than the slice it works on; nothing is broadcast or collected.
+Bigrams are told apart by at least 40 bits of hash, and by ten more than the
+number of training tokens has.  (Words never seen in training are not looked up
+and cannot be false positives.)
 
 Flow, all in blobs of about ``CHUNK_CHARS`` characters of text:
 
 1. texts become chunks of word numbers with the chunk's own word list (written);
 2. word lists meet by shards of the words' hash: exact counts go back to each
    chunk.  A chunk sends a word once, so a frequent word is one entry a chunk;
-3. bigram hashes meet by shards of their top bits, packed as sorted
-   differences; each shard fills its own part of the filter;
-4. each chunk meets its counts and scores its documents with the broadcast filter.
+3. bigram hashes meet by slices, packed as sorted differences; each slice fills its
+   part of the filter, reads it and sends the level of each hash back to its chunk;
+4. each chunk meets its counts and levels and scores its documents.
 
 Defined results: null and empty texts are one end token; a null id counts as
 training; repeated rows are scored each for itself; extra columns are ignored;
@@ -38,17 +41,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelsignal.llm.blobs import BitShards, mix, shards_of, sum_counts
+from panelsignal.llm.blobs import BitShards, mix, shards_of, sum_counts, unpack_counts
 from panelsignal.llm.common import text_or_empty, written
 
 MU = 500.0
 PROBES = 3
-BITS_PER_TOKEN = 8
-MAX_FILTER_BYTES = 128 << 20
+BITS_PER_ENTRY = 16
+#: Of one slice of the filter.
+MAX_FILTER_BYTES = 8 << 20
 MAX_LEVELS = 48
 CHUNK_CHARS = 5 << 20
-#: Low bits of a bigram's hash that are not used.
-DROP = np.uint64(24)
+#: Least bits of a bigram's hash, and bits it has over those of the number of training tokens.
+HASH_BITS, SPARE_BITS = 40, 10
 
 _LOWER = bytes(range(256)).lower()
 #: Numbers 0 and 1 of every chunk's word list; blanks cannot stand in a word.
@@ -142,9 +146,14 @@ class Chunk:
         return np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
 
 
-def bigram_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    # 40 bits tell apart as many bigrams as the filter can hold, and cost the shuffle three bytes less each
-    return mix(left * np.uint64(0x9DDFEA08EB382D69) + right) >> DROP << DROP
+def hash_bits(n: int) -> int:
+    """Bits that tell apart the bigrams of ``n`` tokens; each byte less is one less in the shuffle."""
+    return min(64, max(HASH_BITS, n.bit_length() + SPARE_BITS))
+
+
+def bigram_hash(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
+    drop = np.uint64(64 - bits)
+    return mix(left * np.uint64(0x9DDFEA08EB382D69) + right) >> drop << drop
 
 
 def word_counts(chunked: DataFrame, shard_bits: int) -> DataFrame:
@@ -201,63 +210,74 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(counts.astype(np.float64))[1], MAX_LEVELS).astype(np.int64)
 
 
-def build_filter(chunked: DataFrame, shard_bits: int, filter_bits: int) -> np.ndarray:
-    """The filter as (shards, words); ``filter_bits`` bounds what is collected."""
-    shard_size = filter_bits >> shard_bits
+def fill(hashes: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """A slice of the filter that holds each hash once per level up to its own."""
+    size, places = max(64, -(-BITS_PER_ENTRY * int(level.sum()) // 64) * 64), [np.array([], np.uint64)]
+    for j in range(1, int(level.max(initial=0)) + 1):
+        hashes, level = hashes[level >= j], level[level >= j]
+        places += [BitShards.places(hashes, j * PROBES + p, size) for p in range(PROBES)]
+    return BitShards.fill(size, np.concatenate(places))
+
+
+def probe(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The level that a slice has for each hash; 0: none."""
+    found = np.zeros(len(hashes), np.uint8)
+    at = np.arange(len(hashes))
+    for j in range(1, MAX_LEVELS + 1):
+        for p in range(PROBES):
+            place = BitShards.places(hashes[at], j * PROBES + p, len(words) * 64)
+            at = at[(words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
+        if not len(at):
+            break
+        found[at] = j
+    return found
+
+
+def bigram_levels(chunked: DataFrame, slice_bits: int, bits: int) -> DataFrame:
+    """(chunk, slice, levels): the levels of a chunk's distinct bigram hashes, in the hashes' order."""
 
     def send(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 c = Chunk(row)
-                train = np.repeat(~c.held, c.lengths)
                 h = c.hashes()
-                hashes, counts = np.unique(bigram_hash(h[c.before()[train]], h[c.tokens[train]]), return_counts=True)
-                rows = list(shards_of(hashes, counts, shard_bits))
+                hashes, at = np.unique(bigram_hash(h[c.before()], h[c.tokens], bits), return_inverse=True)
+                # held-out texts' bigrams are asked for, but not counted
+                counts = np.bincount(at[np.repeat(~c.held, c.lengths)], minlength=len(hashes))
+                rows = list(shards_of(hashes, counts, slice_bits))
                 if rows:
                     yield pa.record_batch(
-                        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "blob"]
+                        [
+                            pa.array([r[0] for r in rows], pa.int64()),
+                            pa.array([row["chunk"]] * len(rows), pa.int64()),
+                            pa.array([r[1] for r in rows], pa.binary()),
+                        ],
+                        names=["slice", "chunk", "blob"],
                     )
 
     def meet(group: pa.Table) -> pa.Table:
-        hashes, counts = sum_counts(group.column("blob").to_pylist())
-        level, places = levels(counts), []
-        for j in range(1, int(level.max(initial=0)) + 1):
-            hashes, level = hashes[level >= j], level[level >= j]
-            places += [BitShards.places(hashes, j * PROBES + p, shard_size) for p in range(PROBES)]
-        words = BitShards.fill(shard_size, np.concatenate(places))
-        return pa.table({"shard": group.column("shard")[:1], "words": pa.array([words.tobytes()], pa.binary())})
-
-    sent = chunked.mapInArrow(send, "shard long, blob binary")
-    out = np.zeros((1 << shard_bits, shard_size // 64), np.uint64)
-    filled = sent.groupBy("shard").applyInArrow(meet, "shard long, words binary")
-    for r in filled.toLocalIterator(prefetchPartitions=False):
-        out[r["shard"]] = np.frombuffer(r["words"], "<u8")
-    return out
-
-
-def probe(table: BitShards, hashes: np.ndarray) -> np.ndarray:
-    """The quantised count's lower bound of each hash: 0, 1, 2, 4, ..."""
-    found = np.zeros(len(hashes), np.float64)
-    at = np.arange(len(hashes))
-    for j in range(1, MAX_LEVELS + 1):
-        for p in range(PROBES):
-            at = at[table.has(hashes[at], j * PROBES + p)]
-        if not len(at):
-            break
-        found[at] = 2.0 ** (j - 1)
-    return found
+        blobs = group.column("blob").to_pylist()
+        hashes, counts = sum_counts(blobs)
+        found = probe(fill(hashes, levels(counts)), hashes)
+        z = zstandard.ZstdCompressor(level=3).compress
+        back = [z(found[np.searchsorted(hashes, unpack_counts(b)[0])].tobytes()) for b in blobs]
+        return pa.table({"chunk": group.column("chunk"), "slice": group.column("slice"), "levels": pa.array(back, pa.binary())})
 
+    sent = chunked.mapInArrow(send, "slice long, chunk long, blob binary")
+    return sent.groupBy("slice").applyInArrow(meet, "chunk long, slice long, levels binary")
 
-def score_chunk(c: Chunk, count: np.ndarray, n: int, v: int, table: BitShards, mu: float) -> dict:
-    """Per document of a chunk; ``count``: the exact training count of each word number."""
+
+def score_chunk(c: Chunk, count: np.ndarray, n: int, v: int, level: np.ndarray, mu: float) -> dict:
+    """Per document of a chunk; ``count``: the exact training count of each word number;
+    ``level``: that of each distinct bigram hash, in the hashes' order."""
     left, right = c.before(), c.tokens
     p0 = (count[right] + 1.0) / (n + v + 1.0)
     h = c.hashes()
     pairs, at = np.unique(left * len(c.words) + right, return_inverse=True)
     pl, pr = np.divmod(pairs, len(c.words))
-    q = np.zeros(len(pairs))
-    worth = np.flatnonzero((count[pl] > 0) & (count[pr] > 0))
-    q[worth] = probe(table, bigram_hash(h[pl[worth]], h[pr[worth]]))
+    level = level[np.unique(bigram_hash(h[pl], h[pr], hash_bits(n)), return_inverse=True)[1]]
+    # the quantised count's lower bound: 0, 1, 2, 4, ...
+    q = np.where((level > 0) & (count[pl] > 0) & (count[pr] > 0), np.exp2(level - 1.0), 0.0)
     q = np.minimum(q, np.minimum(count[pl], count[pr]))
     p = (q[at] + mu * p0) / (count[left] + mu)
     total = lambda x: np.add.reduceat(x, c.starts)
@@ -281,7 +301,6 @@ def score_documents(
     max_filter_bytes: int = MAX_FILTER_BYTES,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; ``held_out``: a Boolean column."""
-    spark = docs.sparkSession
     chunked = chunks(docs, held_out, id_col, text)
     # shards grow with the chunks, so that a shard's task holds about as much as a chunk
     shard_bits = max(4, min(14, chunked.select("chunk").count().bit_length()))
@@ -290,17 +309,24 @@ def score_documents(
     for r in counts.where("chunk = -1").select("counts").toLocalIterator():
         n, v = np.array([n, v]) + np.frombuffer(r["counts"], "<i8")
     n, v = int(n), int(v)
-    filter_bits = min(8 * max_filter_bytes, max(1 << (shard_bits + 6), 1 << (BITS_PER_TOKEN * n).bit_length()))
-    shared = spark.sparkContext.broadcast(build_filter(chunked, shard_bits, filter_bits))
+    # entries are no more than tokens
+    slice_bits = max(shard_bits, (BITS_PER_ENTRY * n // (8 * max_filter_bytes)).bit_length())
+    found = bigram_levels(chunked, slice_bits, hash_bits(n))
 
     def score(group: pa.Table, back: pa.Table) -> pa.Table:
         c = Chunk(group.to_pylist()[0])
         count = np.zeros(len(c.words), np.int64)
-        for numbers, values in zip(back.column("numbers").to_pylist(), back.column("counts").to_pylist()):
-            count[np.frombuffer(numbers, "<u4")] = np.frombuffer(values, "<i8")
-        return pa.table(score_chunk(c, count, n, v, BitShards(shard_bits, shared.value), mu))
+        level = []
+        for k, numbers, values in zip(*(back.column(x).to_pylist() for x in ("slice", "numbers", "counts"))):
+            if k is None:
+                count[np.frombuffer(numbers, "<u4")] = np.frombuffer(values, "<i8")
+            else:
+                level.append((k, _unz(values)))
+        level = np.frombuffer(b"".join(x for _, x in sorted(level)), np.uint8)
+        return pa.table(score_chunk(c, count, n, v, level, mu))
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return (
-        chunked.groupBy("chunk").cogroup(counts.where("chunk >= 0").groupBy("chunk")).applyInArrow(score, schema)
-    )
+    none = F.lit(None)
+    back = counts.where("chunk >= 0").select("chunk", none.cast("long").alias("slice"), "numbers", "counts")
+    back = back.union(found.select("chunk", "slice", none.cast("binary"), "levels"))
+    return chunked.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(score, schema)

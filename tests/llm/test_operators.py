@@ -418,6 +418,14 @@ def test_scores(spark):
     assert lfbf_lm.score_documents(table(spark, []), held_out()).collect() == []
 
 
+def test_scores_whatever_the_bound_of_a_slice(spark):
+    check_scores(ROWS, lfbf_lm.score_documents(table(spark), held_out(), max_filter_bytes=256).collect(), 0.1)
+
+
+def test_hashes_grow_with_the_corpus():
+    assert [lfbf_lm.hash_bits(n) for n in (0, 1 << 29, 5 << 30, 1 << 60)] == [40, 40, 43, 64]
+
+
 @needs_data
 def test_scores_of_the_table_beat_the_base_on_held_out_texts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")

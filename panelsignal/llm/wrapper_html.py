@@ -49,7 +49,18 @@ INLINE = frozenset(
     "output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|template|noscript|iframe|textarea|select|svg|math|object|title|head"
+#: Their content is no markup, up to their own end tag or the end of the page.
+RAW = frozenset("script style textarea title iframe".split())
+#: Elements that are left out with their content; they end where an element around them ends.
+OMITTED = frozenset("template noscript select svg math object head".split())
+HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
+FOREIGN = frozenset("svg math".split())
+#: Inside these, HTML stands in a drawing or formula; elsewhere a tag of BREAKOUT ends it.
+INTEGRATION = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu "
+    "meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 ENDS_P = frozenset(
     "address article aside blockquote center details dialog div dl fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dt dd tr td th tbody thead".split()
@@ -74,11 +85,12 @@ MAIN_WORDS = frozenset("article articlebody main content entry post story".split
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 
 _TOKENS = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)"
     r"|<[/]?[a-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|<[/]?[a-z][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)|[^<]+|<",
     re.S | re.I,
 )
-_NAME = re.compile(r"<(/?)([a-z][a-z0-9:-]*)", re.I)
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I) for name in RAW}
+_NAME = re.compile(r"<(/?)([a-z][^\s/>]*)", re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 
@@ -123,12 +135,34 @@ def _element(tag: str, name: str) -> Node:
     return Node(f"{name}.{'.'.join(sorted(mark.split()))}" if mark else name, boiler, main)
 
 
+def _leaves(omitted: list[str], name: str, token: str, around: list[str]) -> bool:
+    """Takes a tag inside an element that is left out; True: the tag stands after it."""
+    if token[1] == "/":
+        if name in omitted:
+            del omitted[len(omitted) - 1 - omitted[::-1].index(name) :]
+        elif name in around:
+            omitted.clear()
+            return True
+        return False
+    if (
+        (name == "body" and "template" not in omitted)
+        or (omitted == ["head"] and name not in HEAD)
+        or (omitted[0] in FOREIGN and name in BREAKOUT and INTEGRATION.isdisjoint(omitted))
+    ):
+        omitted.clear()
+        return True
+    if name not in VOID and not token.endswith("/>"):
+        omitted.append(name)
+    return False
+
+
 def parse(source: str) -> Node:
     """A page's block-level tree; its texts are raw (references not decoded)."""
     root = Node("")
     stack, names = [root], [""]
     inside_link = 0
     pending: list[str] = []
+    omitted: list[str] = []  # open elements from the one that is left out on
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(pending)).split()) if pending else ""
@@ -142,15 +176,29 @@ def parse(source: str) -> Node:
         flush()
         del stack[at:], names[at:]
 
-    for m in _TOKENS.finditer(source):
-        token = m[0]
+    here = 0
+    while here < len(source):
+        token = _TOKENS.match(source, here)[0]
+        here += len(token)
         if token[0] != "<" or token == "<":
-            pending.append(token)
+            if omitted == ["head"] and token.strip():
+                omitted.clear()
+            if not omitted:
+                pending.append(token)
             continue
         found = _NAME.match(token)
-        if not found or m[1]:
+        if not found:
             continue
         name = found[2].lower()
+        if name in RAW and not found[1] and not (token.endswith("/>") and not FOREIGN.isdisjoint(omitted)):
+            here = _RAW_END[name].search(source, here).end()
+            continue
+        if omitted and not _leaves(omitted, name, token, names):
+            continue
+        if name in OMITTED:
+            if not found[1] and not token.endswith("/>"):
+                omitted.append(name)
+            continue
         if name in INLINE:
             if name == "a":
                 if not "".join(pending).strip():

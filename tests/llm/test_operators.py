@@ -514,6 +514,31 @@ def test_main_text(spark):
     assert {(100, ""), (101, ""), (None, "plain text"), (102, "deep"), (102, "twice")} <= out
 
 
+def text_of_page(source):
+    return wrapper_html.main_text(source, None)
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<html><head><meta charset=utf-8><title>t</title><body><p>one<p>two", "one\ntwo"),
+        ("<head><title>t</title><noscript><style>x</style></noscript><p>one</p>", "one"),
+        ("<head><script>var a</script></head><body>one", "one"),
+        ("<body><p>one <svg class='i'/>two</p><p>three</p>", "one two\nthree"),
+        ("<body><p>one <svg><title/><g><text>x</text></g></svg>two</p>", "one two"),
+        ("<body><div><p>one <svg><path d=1></p></div><p>two</p>", "one\ntwo"),
+        ("<body><div>one<svg><path><p>two</p></div>", "one\ntwo"),
+        ("<body><div>one<math><mi>x</mi></math></div><div>two</div>", "one\ntwo"),
+        ("<body><svg-icon></svg-icon><template-x><p>one</p></template-x><p>two", "one\ntwo"),
+        ("<body><div><select><option>x<option>y</div><p>one</p>", "one"),
+        ("<body><object data=x><p>other</p></object><template><p>x</p></template><p>one", "one"),
+        ("<body><p>one</p><script>'<p>x</p>'</script ><p>two</p><style>p{", "one\ntwo"),
+    ],
+)
+def test_elements_that_are_left_out_end(source, text):
+    assert text_of_page(source) == text
+
+
 def test_wrapper_is_union_free():
     def page(items, ad):
         cells = "".join(f"<dt>k{i}<dd>v{i}" for i in range(items))

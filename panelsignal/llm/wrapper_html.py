@@ -8,10 +8,11 @@ host are aligned with the wrapper so far one after another: equal neighbours
 becomes optional, differing texts become a slot.  Every node adds up the text
 it has seen, in all and inside links.
 
-The wrapper then names the host's main region: its article or main element, or
-else the innermost element that still holds most of the text outside menus, headers,
-footers, sidebars, notices, adverts, forms and comments.  Pages are cut to
-that region; a page without it (an optional part) is decided by its own stream.
+The wrapper then names the host's main region: its outermost article or main
+element, or else the whole page, and goes down from there as long as all that is
+left out is shown to be boilerplate: menus, headers, footers, sidebars, notices,
+adverts, forms and comments, what is nearly all links, and texts that are the same
+on most of the host's pages.  Pages are cut to that region; a page without it (an optional part) is decided by its own stream.
 
 Alignment folds in any order, so it runs as partial aggregation: each map task
 folds its pages into one wrapper a host, distinct wrappers are folded in
@@ -335,30 +336,40 @@ def _weight(n: Node) -> int:
 
 def region(wrapper: Node) -> list[str]:
     """Labels from the root to the main region."""
-    best: list = []
+    best: list = [0, [], wrapper]
 
     def explicit(n: Node, path: list[str]) -> None:
         if n.boiler:
             return
         if n.main:
-            w = _weight(n)
-            # an inner region beside little else is the better one
-            if w and (not best or w > best[0] or (10 * w >= 9 * best[0] and path[: len(best[1])] == best[1])):
-                best[:] = [w, path]
+            # the outermost one, whole
+            if (w := _weight(n)) > best[0]:
+                best[:] = [w, path, n]
+            return
         for k in n.kids:
             explicit(k, path if k.label == "()" else [*path, k.label])
 
     explicit(wrapper, [])
-    if best:
-        return best[1]
-    path, node = [], wrapper
+    path, node = best[1:]
     while True:
         kids = [g for k in node.kids for g in (k.kids if k.label == "()" else [k])]
-        boxes = [k for k in kids if k.kids and not k.repeated and not k.boiler]
-        heavy = max(boxes, key=_weight, default=None)
-        if heavy is None or 10 * _weight(heavy) < 7 * _weight(node) or not any(g.label != "#" for g in heavy.kids):
+        inner = [k for k in kids if not _is_boilerplate(k, wrapper.pages)]
+        if not inner or any(k.label != inner[0].label for k in inner) or not inner[0].kids:
+            return path
+        if len(inner) > 1 or not any(g.label != "#" for g in inner[0].kids):
             return path
-        path, node = [*path, heavy.label], heavy
+        path, node = [*path, inner[0].label], inner[0]
+
+
+def _is_boilerplate(n: Node, pages: int) -> bool:
+    """Shown to be no main text: flagged, empty, nearly all links, or the same text on most of the host's pages."""
+    return n.boiler or 10 * n.links >= 9 * n.chars or (pages >= 3 and _is_constant(n, pages))
+
+
+def _is_constant(n: Node, pages: int) -> bool:
+    if n.label == "#":
+        return n.text is not None and 2 * n.pages > pages
+    return all(_is_constant(k, pages) for k in n.kids)
 
 
 def texts(node: Node, out: list[str]) -> None:

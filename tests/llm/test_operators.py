@@ -539,6 +539,31 @@ def test_elements_that_are_left_out_end(source, text):
     assert text_of_page(source) == text
 
 
+def cut_pages(sources):
+    """Each page's main text by the wrapper of all."""
+    w = None
+    for x in sources:
+        page = wrapper_html.generalise(wrapper_html.parse(x))
+        w = page if w is None else wrapper_html.merge(w, page)
+    return [wrapper_html.main_text(x, wrapper_html.region(w)) for x in sources]
+
+
+def test_articles_stay_whole():
+    body = "word " * 200
+    inner = [f"<h1>T{n}</h1><p>lead {n}</p><div class=entry-content><p>{n} {body}</p></div><p>end {n}</p>" for n in range(4)]
+    want = [f"T{n}\nlead {n}\n{n} {body.strip()}\nend {n}" for n in range(4)]
+    assert cut_pages([f"<body><nav>menu</nav><article>{x}</article>" for x in inner]) == want
+    # without an article or main element; a short page keeps what little it has
+    inner.append("<h1>T</h1><p>lead</p><div class=box><p>x</p></div>")
+    boxes = [x.replace("entry-content", "box") for x in inner]
+    assert cut_pages([f"<body><nav>menu</nav><div class=page>{x}</div>" for x in boxes]) == [*want, "T\nlead\nx"]
+
+
+def test_regions_leave_out_what_is_shown_to_be_boilerplate():
+    pages = [f"<body><div>same line</div><div class=l><a href=1>a{n}</a></div><div class=t><h1>T{n}</h1><p>text {n}</p></div>" for n in range(4)]
+    assert cut_pages(pages) == [f"T{n}\ntext {n}" for n in range(4)]
+
+
 def test_wrapper_is_union_free():
     def page(items, ad):
         cells = "".join(f"<dt>k{i}<dd>v{i}" for i in range(items))

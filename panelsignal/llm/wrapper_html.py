@@ -23,7 +23,8 @@ host as a plain shuffle join, whose skewed partitions adaptive execution splits.
 Defined results: null and empty pages have an empty text; pages without a host
 share the host ''; repeated rows are each extracted for themselves; extra columns
 are ignored; an empty table gives an empty result.  Nesting beyond ``DEPTH`` is
-flattened (texts stay in order).  White space is what Unicode calls so; ``br``
+flattened: texts stay in order, end tags close what they would without the
+limit, and boilerplate is still left out.  White space is what Unicode calls so; ``br``
 is white space.
 """
 
@@ -32,6 +33,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 
 import pyarrow as pa
 import zstandard
@@ -136,12 +138,12 @@ def _element(tag: str, name: str) -> Node:
     return Node(f"{name}.{'.'.join(sorted(mark.split()))}" if mark else name, boiler, main)
 
 
-def _leaves(omitted: list[str], name: str, token: str, around: list[str]) -> bool:
+def _leaves(omitted: list[str], name: str, token: str, around: Counter) -> bool:
     """Takes a tag inside an element that is left out; True: the tag stands after it."""
     if token[1] == "/":
         if name in omitted:
             del omitted[len(omitted) - 1 - omitted[::-1].index(name) :]
-        elif name in around:
+        elif around[name]:
             omitted.clear()
             return True
         return False
@@ -161,6 +163,7 @@ def parse(source: str) -> Node:
     """A page's block-level tree; its texts are raw (references not decoded)."""
     root = Node("")
     stack, names = [root], [""]
+    is_open = Counter(names)
     inside_link = 0
     pending: list[str] = []
     omitted: list[str] = []  # open elements from the one that is left out on
@@ -175,8 +178,15 @@ def parse(source: str) -> Node:
 
     def close(at: int) -> None:
         flush()
+        is_open.subtract(names[at:])
         del stack[at:], names[at:]
 
+    def last(name: str) -> int:
+        at = len(names) - 1
+        while names[at] != name:
+            at -= 1
+        return at
+
     here = 0
     while here < len(source):
         token = _TOKENS.match(source, here)[0]
@@ -194,7 +204,7 @@ def parse(source: str) -> Node:
         if name in RAW and not found[1] and not (token.endswith("/>") and not FOREIGN.isdisjoint(omitted)):
             here = _RAW_END[name].search(source, here).end()
             continue
-        if omitted and not _leaves(omitted, name, token, names):
+        if omitted and not _leaves(omitted, name, token, is_open):
             continue
         if name in OMITTED:
             if not found[1] and not token.endswith("/>"):
@@ -211,30 +221,33 @@ def parse(source: str) -> Node:
                 pending.append(" ")
             continue
         if found[1]:
-            if name in names:
-                at = len(names) - 1 - names[::-1].index(name)
-                close(at)
+            if is_open[name]:
+                close(last(name))
             inside_link = 0
             continue
         flush()
         inside_link = 0
-        if name in ENDS_P and "p" in names:
-            at = len(names) - 1 - names[::-1].index("p")
+        if name in ENDS_P and is_open["p"]:
+            at = last("p")
             if not set(names[at:]) & {"table", "button"}:
                 close(at)
         if name in SAME_LEVEL:
             ends, walls = SAME_LEVEL[name]
-            for at in range(len(names) - 1, 0, -1):
+            for at in range(len(names) - 1, 0, -1) if any(map(is_open.__getitem__, ends)) else ():
                 if names[at] in walls:
                     break
                 if names[at] in ends:
                     close(at)
                     break
         node = _element(token, name)
-        stack[-1].kids.append(node)
-        if name not in VOID and not token.endswith("/>") and len(stack) < DEPTH:
+        if len(stack) >= DEPTH and (stack[-1].boiler or not node.boiler):
+            node = stack[-1]  # flattened: its texts go to the element around it until its end tag
+        else:
+            stack[-1].kids.append(node)
+        if name not in VOID and not token.endswith("/>"):
             stack.append(node)
             names.append(name)
+            is_open[name] += 1
     flush()
     return root
 

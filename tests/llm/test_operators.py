@@ -564,6 +564,16 @@ def test_regions_leave_out_what_is_shown_to_be_boilerplate():
     assert cut_pages(pages) == [f"T{n}\ntext {n}" for n in range(4)]
 
 
+def test_end_tags_beyond_the_depth_close_what_they_opened():
+    deep = wrapper_html.DEPTH
+    nest = lambda inner: "<div>" * deep + inner + "</div>" * deep
+    page = f"<body><nav>menu</nav><article><h1>T</h1><div>{nest('deep <nav><div>menu</div>more</nav> <p>after')}<p>one</div><p>two</article><footer>x</footer>"
+    assert text_of_page(page) == "T\ndeep\nafter\none\ntwo"
+    tables = "<table><tr><td>" * deep + "deep" + "</table>" * deep
+    assert text_of_page(f"<body><article><div>{tables}</div><p>one</article><p>beside") == "deep\none"
+    assert text_of_page("<div>" * 50_000 + "deep" + "</div>" * 50_000 + "<p>after") == "deep\nafter"
+
+
 def test_wrapper_is_union_free():
     def page(items, ad):
         cells = "".join(f"<dt>k{i}<dd>v{i}" for i in range(items))

@@ -48,7 +48,7 @@ class Rule:
 
 #: length, symbol, stop-word and line thresholds; metrics are those of metric_columns().
 RULES = (
-    Rule("n_words", low=50, high=100_000),
+    Rule("n_words", low=50),
     Rule("mean_word_chars", low=3.0, high=10.0),
     Rule("symbols_per_word", high=0.1),
     Rule("exclamations_per_word", high=0.1),

@@ -234,6 +234,12 @@ def test_quality(spark):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted(r.doc_id or 0 for r in marked.collect())
 
 
+def test_quality_keeps_clean_texts_of_any_length(spark):
+    docs = table(spark, [(1, " ".join(f"the item{i}" for i in range(50_001))), (2, "the item " * 50_001)])
+    assert [(r.doc_id, r.n_words, r.kept) for r in quality.quality_report(docs).sort("doc_id").collect()] == [(1, 100_002, True), (2, 100_002, False)]
+    assert [r.doc_id for r in quality.filter_documents(docs).collect()] == [1]
+
+
 @needs_data
 def test_quality_of_the_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")

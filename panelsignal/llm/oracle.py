@@ -107,4 +107,50 @@ def oracle_sql() -> dict[str, str]:
                 sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
             FROM f GROUP BY doc_id
         """,
+        "op13_block_runs": rf"""
+            WITH t AS (
+                SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '{_WS}+'), lambda x: x <> '') AS ws,
+                    xor(list_reduce(
+                        list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+                            lambda x: CAST(ascii(x) AS BIGINT))),
+                        lambda c, b: list_reduce(list_prepend(xor(c, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+                            lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) AS h
+                FROM documents
+            ),
+            g AS (
+                SELECT doc_id, ws, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN h // 10 END AS g FROM t
+            ),
+            d AS (
+                SELECT doc_id, ws, n, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM g
+            ),
+            i AS (SELECT doc_id, ws, n, a, p, unnest(range(n)) AS i FROM d),
+            w AS (
+                SELECT doc_id, n, i, ws[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END] AS w FROM i
+            ),
+            e AS (
+                SELECT x.doc_id, x.i, y.i - x.i AS q FROM w x JOIN w y
+                ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND y.i <= x.i + x.n // 4
+            ),
+            r AS (
+                SELECT doc_id, q, min(i) AS s, count(*) + q AS l
+                FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e)
+                GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)
+            ),
+            u AS (SELECT doc_id, s, l, min(q) AS q FROM r GROUP BY doc_id, s, l),
+            f AS (
+                SELECT doc_id, count(*) AS n_runs, arg_min(struct_pack(s := s, l := l, q := q), (-l, s, q)) AS longest,
+                    string_agg(concat(s, ',', l, ',', q, chr(10)), '' ORDER BY s, q) AS lines
+                FROM u GROUP BY doc_id
+            ),
+            k AS (
+                SELECT w.doc_id, string_agg(w, ' ' ORDER BY i) AS kept FROM w
+                ANTI JOIN (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM u) x
+                ON x.doc_id = w.doc_id AND x.i = w.i GROUP BY w.doc_id
+            )
+            SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(longest.s AS BIGINT) AS start,
+                CAST(longest.l AS BIGINT) AS length, CAST(longest.q AS BIGINT) AS period,
+                CAST(1000 * longest.l // longest.q AS BIGINT) AS exponent_milli,
+                sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+            FROM d LEFT JOIN f USING (doc_id) LEFT JOIN k USING (doc_id)
+        """,
     }

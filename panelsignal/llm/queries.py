@@ -9,8 +9,20 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import public_tokenizers
 
-from panelsignal.llm import arc_convert, bitmap_bpe, lfbf_lm, line_dedup, packing, quality, rans, stream_dedup, tgm_join, wrapper_html
-from panelsignal.llm.common import scratch_path, table
+from panelsignal.llm import (
+    arc_convert,
+    bitmap_bpe,
+    lfbf_lm,
+    line_dedup,
+    packing,
+    periodic,
+    quality,
+    rans,
+    stream_dedup,
+    tgm_join,
+    wrapper_html,
+)
+from panelsignal.llm.common import WS, scratch_path, table, text_or_empty
 
 
 def op1_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +92,38 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def periodic_tails(docs: DataFrame) -> DataFrame:
+    """doc_id and text; of documents whose crc32(doc_id) is a multiple of ten, the words from some word on repeat with some period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    d = docs.select("doc_id", text_or_empty().alias("text"), h.alias("h"), F.floor(h / 10).alias("g"))
+    d = d.withColumn("words", F.when(F.col("h") % 10 == 0, F.filter(F.split("text", f"[{WS}]+"), lambda w: w != "")))
+    d = d.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    d = d.withColumn("p", F.floor((F.col("n") - F.col("a")) / (F.col("g") % 8 + 3)) + 1)
+    tail = F.expr(
+        """concat_ws(' ', slice(words, 1, int(a)),
+        slice(flatten(array_repeat(slice(words, int(a + 1), int(p)), int(ceil((n - a) / p)))), 1, int(n - a)))"""
+    )
+    return d.select("doc_id", F.when(F.col("a").isNotNull(), tail).otherwise(F.col("text")).alias("text"))
+
+
+def op13_block_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.find_runs(periodic_tails(table(spark, sf_dir, "documents")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r.length).alias("l"), r.start.alias("s"), r.period.alias("p"))))
+    lines = F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r.start, r.length, r.period))
+    out = out.withColumn("longest", longest)
+    length = -F.col("longest.l")
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("longest.s").alias("start"),
+        length.alias("length"),
+        F.col("longest.p").alias("period"),
+        F.floor(length * 1000 / F.col("longest.p")).alias("exponent_milli"),
+        F.sha2(F.encode(F.array_join(lines, ""), "UTF-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -97,6 +141,7 @@ QUERIES = {
         op8_quality_rules,
         op9_tgm_jaccard,
         op10_line_dedup,
+        op13_block_runs,
         pipeline,
     )
 }

@@ -36,9 +36,15 @@ def own(prefix: str) -> str:
     return f"__{prefix}_{uuid.uuid4().hex[:8]}"
 
 
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` that ``names`` would not replace (in any case of letters, as withColumn has it)."""
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
 def split_count(n_rows: int, per_group: int) -> int:
     """How many groups of about ``per_group`` rows ``n_rows`` rows make."""
     return max(1, -(-int(n_rows) // per_group))
 
 
-__all__ = ["WS", "own", "scratch_path", "shared_dir", "split_count", "table", "text_or_empty", "written"]
+__all__ = ["WS", "others", "own", "scratch_path", "shared_dir", "split_count", "table", "text_or_empty", "written"]

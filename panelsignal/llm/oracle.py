@@ -107,6 +107,35 @@ def oracle_sql() -> dict[str, str]:
                 sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
             FROM f GROUP BY doc_id
         """,
+        "op12_prefix_contamination": r"""
+            WITH d AS (
+                SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+                FROM documents
+            ),
+            b AS (
+                SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+                FROM benchmark
+            ),
+            i AS (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, least(len(ws), 1)) + 1)) AS i FROM b),
+            v AS (SELECT DISTINCT item_id, ws[i:i + 9] AS w FROM i),
+            l AS (SELECT DISTINCT len(w) AS l FROM v),
+            p AS (SELECT doc_id, ws, l, unnest(range(1, len(ws) - l + 2)) AS p FROM d, l),
+            g AS (SELECT doc_id, p, l, ws[p:p + l - 1] AS w FROM p),
+            h AS (SELECT doc_id, p, l, item_id FROM g JOIN v USING (w)),
+            n AS (
+                SELECT doc_id, count(DISTINCT k) AS n_hit
+                FROM (SELECT doc_id, unnest(range(p, p + l)) AS k FROM h) GROUP BY doc_id
+            ),
+            t AS (
+                SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+                FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id
+            )
+            SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+            FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
+        """,
         "op13_block_runs": rf"""
             WITH t AS (
                 SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '{_WS}+'), lambda x: x <> '') AS ws,

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelsignal.llm.common import own
+from panelsignal.llm.common import others, own
 from panelsignal.llm.tokens import slices
 
 #: 15 * 2**27 + 1: products fit 64 bits, and transforms reach 2**27 points.
@@ -248,14 +248,13 @@ def find_runs(docs: DataFrame, text: str = "text", runs: str = "runs", collapsed
 
     A row per row of ``docs``, whatever its other columns hold.  Null and empty texts have no
     words, no runs and an empty collapsed text; repeated rows get equal results; an
-    empty table gives an empty one.  ``runs`` and ``collapsed`` must not be columns of ``docs``.
+    empty table gives an empty one.  Columns of ``docs`` named as the two new ones are replaced.
     """
-    if clash := {runs, collapsed_text} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} exist already: name others")
     body = own("text")
-    source = docs.withColumn(body, F.col(text).cast("string"))
-    schema = T.StructType([*docs.schema.fields, T.StructField(runs, RUNS), T.StructField(collapsed_text, T.StringType())])
-    n, names = len(docs.columns), [*docs.columns, runs, collapsed_text]
+    kept = docs.select(*others(docs, runs, collapsed_text))
+    source = docs.select(*kept.columns, F.col(text).cast("string").alias(body))
+    schema = T.StructType([*kept.schema.fields, T.StructField(runs, RUNS), T.StructField(collapsed_text, T.StringType())])
+    n, names = len(kept.columns), [*kept.columns, runs, collapsed_text]
 
     def run(batches):
         for batch in batches:

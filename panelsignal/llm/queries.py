@@ -12,6 +12,7 @@ import public_tokenizers
 from panelsignal.llm import (
     arc_convert,
     bitmap_bpe,
+    decontaminate,
     lfbf_lm,
     line_dedup,
     packing,
@@ -92,6 +93,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op12_prefix_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
+    return out.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 def periodic_tails(docs: DataFrame) -> DataFrame:
     """doc_id and text; of documents whose crc32(doc_id) is a multiple of ten, the words from some word on repeat with some period."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -141,6 +155,7 @@ QUERIES = {
         op8_quality_rules,
         op9_tgm_jaccard,
         op10_line_dedup,
+        op12_prefix_contamination,
         op13_block_runs,
         pipeline,
     )

@@ -111,8 +111,8 @@ def test_awkward_rows_and_clashing_columns(spark):
     assert all(len(set(map(tuple, v))) == 1 for v in by_text.values())
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert periodic.find_runs(empty).collect() == []
-    with pytest.raises(ValueError):
-        periodic.find_runs(df.withColumnRenamed("words", "runs"))
+    replaced = periodic.find_runs(df.withColumnRenamed("words", "Runs"))
+    assert replaced.columns == ["doc_id", "text", "runs", "collapsed"] and replaced.count() == len(EDGE)
 
 
 def test_query_columns(spark, tmp_path):

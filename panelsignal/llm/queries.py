@@ -10,6 +10,7 @@ import corpus_pipeline
 import public_tokenizers
 
 from panelsignal.llm import (
+    align,
     arc_convert,
     bitmap_bpe,
     decontaminate,
@@ -93,6 +94,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op11_fragment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    out = align.align_tokenizers(
+        table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), public_tokenizers.PATTERN, path("piece_bpe_32k.model")
+    )
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.encode("groups", "UTF-8"), 256))
+    figures = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+    return out.select("doc_id", *figures, digest.alias("groups_sha256"))
+
+
 def op12_prefix_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
@@ -155,6 +166,7 @@ QUERIES = {
         op8_quality_rules,
         op9_tgm_jaccard,
         op10_line_dedup,
+        op11_fragment_alignment,
         op12_prefix_contamination,
         op13_block_runs,
         pipeline,

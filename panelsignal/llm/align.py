@@ -33,7 +33,9 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +49,9 @@ from panelsignal.llm.tokens import _unicode_bytes, kept, slices
 CHUNK = 1 << 16
 FAN = 16
 MOST_SHARED = 4096
-KEPT = 300_000
+KEPT = 250_000
 BLOCK_PAIRS = 4_000_000
-SLICE_CHARS = 1 << 22
+SLICE_CHARS = 1 << 21
 #: Characters handed to the libraries at once.
 JOINED = 1 << 16
 #: (pair, documents) entries a task holds before it sums them up.
@@ -65,6 +67,12 @@ FRAGMENT = (
 )
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers."""
+    x = np.sort(x)
+    return x[np.concatenate((np.ones(min(len(x), 1), bool), x[1:] != x[:-1]))]
+
+
 def stretches(text: str) -> list:
     """Keys of the stretches of `` text``: ``word`` for `` word``, ``\\nword`` for itself, ``(s,)`` for any other ``s``."""
     if not _TWO_WHITE(" " + text[:1]) and not _TWO_WHITE(text):
@@ -122,7 +130,8 @@ class TwoTokenizers:
             bytes([int(m[1], 16)]) if (m := hexadecimal(p)) else p.replace("▁", " ").encode() for p in pieces
         ]
         self.a_size, self.b_size = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
-        self.a_text, self.b_text = ([str(i) for i in range(len(x))] for x in (self.a_bytes, self.b_bytes))
+        # a token's decimal id with the mark behind it: inside a group's ids, at their end, at a text's end
+        self.marked = [f"{i}{m}" for x, ms in ((self.a_bytes, ",|"), (self.b_bytes, (",", ";", ""))) for m in ms for i in range(len(x))]
         self.base = len(pieces)
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
@@ -136,18 +145,27 @@ class TwoTokenizers:
 
     def links(self, a, b, a_ends, b_ends) -> tuple[np.ndarray, np.ndarray]:
         """Ends of the overlaps, in order, and their id pairs as numbers."""
-        ends = np.union1d(a_ends, b_ends)
+        ends = distinct(np.concatenate((a_ends, b_ends)))
         return ends, a[np.searchsorted(a_ends, ends)] * self.base + b[np.searchsorted(b_ends, ends)]
 
-    def group_texts(self, a, b, a_ends, b_ends, cuts) -> list[str]:
-        """``a1,a2|b1`` for the tokens up to each cut."""
-        at, bt = list(map(self.a_text.__getitem__, a.tolist())), list(map(self.b_text.__getitem__, b.tolist()))
-        i = k = 0
-        out = []
-        for j, m in zip(np.searchsorted(a_ends, cuts, side="right").tolist(), np.searchsorted(b_ends, cuts, side="right").tolist()):
-            out.append(",".join(at[i:j]) + "|" + ",".join(bt[k:m]))
-            i, k = j, m
-        return out
+    def texts(self, a, b, a_ends, b_ends, cuts, last) -> list[str]:
+        """``a1,a2|b1;a3|b2,b3`` for the tokens up to each text's last cut; ``last``: numbers of those among the cuts."""
+        if not len(last):
+            return []
+        # first token behind each cut
+        to_a, to_b = np.searchsorted(a_ends, cuts, side="right"), np.searchsorted(b_ends, cuts, side="right")
+        a_mark, b_mark = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        a_mark[to_a - 1] = 1
+        b_mark[to_b - 1] = 1
+        b_mark[to_b[last] - 1] = 2
+        a_many, b_many = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        # a group's second ids stand behind its first ones
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.repeat(to_b - b_many, a_many)] = a + a_mark * len(self.a_bytes)
+        order[np.arange(len(b)) + np.repeat(to_a, b_many)] = b + b_mark * len(self.b_bytes) + 2 * len(self.a_bytes)
+        parts = list(map(self.marked.__getitem__, order.tolist()))
+        ends = (to_a + to_b)[last].tolist()
+        return ["".join(parts[i:j]) for i, j in zip([0, *ends], ends)]
 
 
 def two_tokenizers(a_path: str, pattern: str, b_path: str) -> TwoTokenizers:
@@ -204,7 +222,7 @@ def fragment_of(two: TwoTokenizers, text: str, lo: int, hi: int) -> Fragment:
     a, a_ends, b, b_ends = a[ina], a_ends[ina], b[inb], b_ends[inb]
     if len(cuts) > 1:
         out.n_groups = len(cuts) - 1
-        out.groups = [";".join(two.group_texts(a, b, a_ends, b_ends, cuts[1:]))]
+        out.groups = two.texts(a, b, a_ends, b_ends, cuts[1:], np.array([len(cuts) - 2]))
         out.pairs, out.times = np.unique(two.links(a, b, a_ends, b_ends)[1], return_counts=True)
     return out
 
@@ -212,7 +230,7 @@ def fragment_of(two: TwoTokenizers, text: str, lo: int, hi: int) -> Fragment:
 def _with_group(two: TwoTokenizers, at: Fragment, a: np.ndarray, b: np.ndarray) -> tuple[str, np.ndarray]:
     """Text and linked pairs of one closed group."""
     a_ends, b_ends = np.cumsum(two.a_size[a]), np.cumsum(two.b_size[b])
-    return two.group_texts(a, b, a_ends, b_ends, a_ends[-1:])[0], two.links(a, b, a_ends, b_ends)[1]
+    return two.texts(a, b, a_ends, b_ends, a_ends[-1:], np.zeros(1, np.int64))[0], two.links(a, b, a_ends, b_ends)[1]
 
 
 def joined(two: TwoTokenizers, parts: list[Fragment]) -> Fragment:
@@ -353,6 +371,14 @@ def _long_fragments(long: DataFrame, chunk: int, args: tuple) -> DataFrame:
 # ---------------------------------------------------------------- short texts
 
 
+class _Numbers(dict):
+    """Keys get numbers in the order they are first asked for."""
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        return n
+
+
 class Stretches:
     """Ids, groups and links of the stretches met, by number.
 
@@ -365,7 +391,7 @@ class Stretches:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict = {}
+        self.number = _Numbers()
         self.stats = np.empty((6, 0), np.int64)  # n_a, n_b, n_groups, n_best, count_sum, bad
         self.links = _none()
         self.first = np.zeros(1, np.int64)
@@ -375,31 +401,30 @@ class Stretches:
         """Numbers of the stretches of all texts, and how many each text has; empty texts have none."""
         if len(self.number) > KEPT:
             self.clear()
-        keys = [stretches(t) if t else [] for t in texts]
-        number = self.number
-        new = [k for k in dict.fromkeys(k for ks in keys for k in ks) if k not in number]
-        if new:
-            self.add(new)
-        per = [np.fromiter(map(number.__getitem__, ks), np.int64, len(ks)) for ks in keys]
-        return np.concatenate(per) if per else _none(), np.array([len(p) for p in per], np.int64)
+        before = len(self.number)
+        sizes, per = [], []
+        for t in texts:
+            keys = stretches(t) if t else []
+            sizes.append(len(keys))
+            per.append(np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys)))
+        if len(self.number) > before:
+            self.add(list(islice(self.number, before, None)))
+        return np.concatenate(per) if per else _none(), np.array(sizes, np.int64)
 
     def add(self, new: list) -> None:
         stats, links, sizes = [self.stats], [self.links], [np.diff(self.first)]
-        for k in new:
-            self.number[k] = len(self.number)
-        at = 0
-        while at < len(new):
-            part, size = [], 0
-            while at + len(part) < len(new) and size < JOINED:
-                part.append(stretch_text(new[at + len(part)]))
-                size += len(part[-1])
-                if part[-1][-1].isspace():  # a text's end: nothing may follow it
-                    break
-            at += len(part)
-            for s, pairs, n, texts in self.analysed(part):
+        new = list(map(stretch_text, new))
+        # nothing may follow a stretch that ends in white space: it is the end of its text
+        cuts = [i + 1 for i, s in enumerate(new) if s[-1].isspace()]
+        length = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))
+        cuts += np.searchsorted(length, np.arange(JOINED, int(length[-1]) + JOINED, JOINED)).tolist()
+        cuts = sorted({0, len(new), *(c for c in cuts if c < len(new))})
+        for a, b in zip(cuts, cuts[1:]):
+            for s, pairs, n, texts in self.analysed(new[a:b]):
                 stats.append(s)
-                links.append(pairs)
                 sizes.append(n)
+                if self.block is None:
+                    links.append(pairs)
                 self.texts += texts
         self.stats, self.links = np.concatenate(stats, axis=1), np.concatenate(links)
         self.first = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
@@ -433,12 +458,7 @@ class Stretches:
             hit = known[row] == pairs if len(known) else np.zeros(len(pairs), bool)
             at = overlap[hit]
             stats[3], stats[4] = count(at, best[row[hit]]), count(at, docs[row[hit]])
-        texts = []
-        if self.with_texts:
-            groups, i = two.group_texts(a, b, a_ends, b_ends, cuts), 0
-            for k in stats[2].tolist():
-                texts.append(";".join(groups[i : i + k]))
-                i += k
+        texts = two.texts(a, b, a_ends, b_ends, cuts, np.cumsum(stats[2]) - 1) if self.with_texts else []
         yield stats, pairs, count(overlap), texts
 
     def document_pairs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -446,15 +466,16 @@ class Stretches:
         rows, sizes = self.rows(texts)
         text = np.repeat(np.arange(len(texts)), sizes)
         bad = np.unique(text[self.stats[5][rows] > 0])
-        at = np.unique((text << 32) | rows)
+        at = distinct((text << 32) | rows)
         text, rows = at >> 32, at & 0xFFFFFFFF
         if len(bad):
             good = ~np.isin(text, bad)
             text, rows = text[good], rows[good]
         many = self.first[rows + 1] - self.first[rows]
         entry = np.repeat(self.first[rows] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-        codes, pair = np.unique(self.links[entry], return_inverse=True)
-        held = np.unique(np.repeat(text, many) * max(len(codes), 1) + pair) % max(len(codes), 1)
+        codes = distinct(self.links[entry])
+        pair = np.searchsorted(codes, self.links[entry])
+        held = distinct(np.repeat(text, many) * max(len(codes), 1) + pair) % max(len(codes), 1)
         return codes, np.bincount(held, minlength=len(codes))
 
     def figures(self, texts: list[str]) -> tuple[np.ndarray, list[str]]:
@@ -521,10 +542,11 @@ def align_tokenizers(
     b_path: str,
     *,
     text: str = "text",
+    columns: Sequence[str] | None = None,
     chunk: int = CHUNK,
     block_pairs: int = BLOCK_PAIRS,
 ) -> DataFrame:
-    """``docs`` with n_a, n_b, n_groups, n_links, n_best, count_sum (longs) and ``groups``
+    """``columns`` of ``docs`` (all if not given) with n_a, n_b, n_groups, n_links, n_best, count_sum (longs) and ``groups``
     (``a1,a2|b1;a3|b2,b3``: the ids of each group).
 
     ``a_path``: a byte-level vocabulary of the tokenizers library, which encodes a space and the text; ``pattern``: its
@@ -538,7 +560,7 @@ def align_tokenizers(
     """
     args = (a_path, pattern, b_path)
     new = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
-    names = others(docs, *new)
+    names = others(docs if columns is None else docs.select(*columns), *new)
     base = two_tokenizers(*args).base
     carried = docs.select(F.struct(*names).alias("row"), text_or_empty(text).alias("body"))
     is_long = F.length("body") > chunk

@@ -96,9 +96,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_fragment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path
-    out = align.align_tokenizers(
-        table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), public_tokenizers.PATTERN, path("piece_bpe_32k.model")
-    )
+    docs, split = table(spark, sf_dir, "documents"), public_tokenizers.PATTERN
+    out = align.align_tokenizers(docs, path("byte_bpe_50k.json"), split, path("piece_bpe_32k.model"), columns=["doc_id"])
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.encode("groups", "UTF-8"), 256))
     figures = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     return out.select("doc_id", *figures, digest.alias("groups_sha256"))

@@ -13,9 +13,7 @@ so no iterative solver is needed.  Everything reduces to per-date sums:
   sum(a_j alpha / d)  over each date, a 2x2 (at most) solve in Column
   arithmetic, and a broadcast join of the one-row-per-date result back to
   the rows;
-* factor risk S = X F X' + D: Woodbury,  S^-1 v = D^-1 v - D^-1 X (F^-1 + X'D^-1X)^-1 X'D^-1 v;
-  the K x K system per date is built by partial aggregation and solved
-  in a scalar pandas UDF over the one-row-per-date table.
+* factor risk S = X F X' + D with a full F per date: :mod:`panelsignal.operators.factor_risk`.
 
 Dates are independent, so Spark parallelises over dates and over the
 rows of each date; no date is ever funnelled through a single task.
@@ -25,11 +23,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from panelsignal.functions.columns import finite_or_null, safe_div
 from panelsignal.operators.windows import ASSET, DATE
@@ -48,12 +43,16 @@ def constraint_coefficient(name: str, beta: str = "predicted_beta") -> Column:
     return F.lit(1.0) if CONSTRAINTS[name] is None else F.col(beta)
 
 
-def _usable(alphas: DataFrame, constraints: Sequence[str], alpha: str, risk: str, beta: str) -> DataFrame:
+def _usable_column(constraints: Sequence[str], alpha: str, risk: str, beta: str) -> Column:
     # NaN passes isNotNull and > 0: one such row would turn a whole date's sums into NaN
     cond = finite_or_null(alpha).isNotNull() & (finite_or_null(risk) > 0)
     if "ZeroBeta" in constraints:
         cond = cond & finite_or_null(beta).isNotNull()
-    return alphas.where(cond)
+    return cond
+
+
+def _usable(alphas: DataFrame, constraints: Sequence[str], alpha: str, risk: str, beta: str) -> DataFrame:
+    return alphas.where(_usable_column(constraints, alpha, risk, beta))
 
 
 def _lambda_columns(m: list[list[Column]], b: list[Column], det_tol: float) -> tuple[list[Column], Column]:
@@ -175,49 +174,43 @@ def wide_mvo_weights(
     return rows.select(*others, *weights)
 
 
-# ------------------------------------------------------------- factor risk
+# ------------------------------------------------------------------ status
+
+
+def mvo_status(
+    alphas: DataFrame,
+    constraints: Sequence[str] = ("ZeroBeta", "ZeroInvestment"),
+    *,
+    alpha: str = "alpha",
+    risk: str = "specific_risk",
+    beta: str = "predicted_beta",
+    keys: Sequence[str] = (DATE,),
+    det_tol: float = 1e-9,
+) -> DataFrame:
+    """Per key (every input date) what :func:`mvo_weights` does with it: n_rows, n_usable, status
+    (``solved``, ``no usable rows`` or ``degenerate constraints``)."""
+    constraints = list(dict.fromkeys(constraints))
+    d = F.col(risk) * F.col(risk)
+    coef = [constraint_coefficient(c, beta) for c in constraints]
+    usable = F.coalesce(_usable_column(constraints, alpha, risk, beta), F.lit(False))
+    aggs = [F.count(F.lit(1)).alias("n_rows"), F.count_if(usable).alias("n_usable")]
+    for j, cj in enumerate(coef):
+        aggs += [F.sum(F.when(usable, cj * coef[k] / d)).alias(f"__m{j}{k}") for k in range(j, len(coef))]
+    sums = alphas.groupBy(*keys).agg(*aggs)
+    m = [[F.col(f"__m{min(j, k)}{max(j, k)}") for k in range(len(coef))] for j in range(len(coef))]
+    _, ok = _lambda_columns(m, [F.lit(0.0)] * len(coef), det_tol)
+    status = F.when(F.col("n_usable") == 0, "no usable rows").when(ok, "solved").otherwise("degenerate constraints")
+    return sums.select(*keys, "n_rows", "n_usable", status.alias("status"))
 
 
-def _woodbury_udf(k: int, n_vec: int):
-    """Per-date solve of (F^-1 + X'D^-1X) z = u for ``n_vec`` right-hand sides."""
-    fields = [T.StructField(f"z{v}_{i}", T.DoubleType()) for v in range(n_vec) for i in range(k)]
-    schema = T.StructType(fields)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-
-    @F.pandas_udf(schema)
-    def solve(s: pd.DataFrame) -> pd.DataFrame:
-        a = s.to_numpy(dtype="float64", na_value=np.nan)
-        m = a.shape[0]
-        mat = np.zeros((m, k, k))
-        pos = 0
-        for i, j in pairs:
-            mat[:, i, j] = a[:, pos]
-            mat[:, j, i] = a[:, pos]
-            pos += 1
-        finv = a[:, pos : pos + k]
-        pos += k
-        rhs = a[:, pos : pos + k * n_vec].reshape(m, n_vec, k).transpose(0, 2, 1)
-        idx = np.arange(k)
-        mat[:, idx, idx] += finv
-        out = np.full((m, k, n_vec), np.nan)
-        good = np.isfinite(mat).all((1, 2)) & np.isfinite(rhs).all((1, 2))
-        if good.any():
-            with np.errstate(all="ignore"):
-                cond = np.linalg.cond(mat[good])
-            sel = np.flatnonzero(good)[np.isfinite(cond) & (cond < 1e12)]
-            if sel.size:
-                out[sel] = np.linalg.solve(mat[sel], rhs[sel])
-        flat = out.transpose(0, 2, 1).reshape(m, n_vec * k)
-        return pd.DataFrame(flat, columns=[f.name for f in fields])
-
-    return solve
+# ------------------------------------------------------------- factor risk
 
 
 def mvo_weights_factor_risk(
     alphas: DataFrame,
     exposures: DataFrame,
-    factor_variance: dict[str, float],
-    gamma: float,
+    factor_covariance: dict[str, float] | DataFrame,
+    gamma: float | str | Column,
     constraints: Sequence[str] = ("ZeroBeta", "ZeroInvestment"),
     *,
     alpha: str = "alpha",
@@ -225,74 +218,29 @@ def mvo_weights_factor_risk(
     beta: str = "predicted_beta",
     max_keys: int | None = None,
     det_tol: float = 1e-9,
+    carry: Sequence[str] = (),
+    materialize_as: str | None = "checkpoint",
 ) -> DataFrame:
-    """Closed-form weights with S = X diag(factor_variance) X' + diag(risk^2).
+    """Closed-form weights with S = X F X' + diag(risk^2); see :mod:`panelsignal.operators.factor_risk`.
 
-    ``exposures`` is long (date, asset_id, factor, exposure); it is pivoted
-    to one column per factor with the factor list given, so no job is run
-    to discover the factors.  Missing exposures count as 0.
+    ``exposures`` is long (date, asset_id, factor, exposure).  ``factor_covariance``:
+    a table (date, factor_i, factor_j, value), or one constant variance per factor.  Exposures to a factor
+    it doesn't list raise.  The per-date solutions are written once (``materialize_as``); to see the
+    status of every date, call the two steps themselves.
     """
-    factors = list(factor_variance)
-    k = len(factors)
-    constraints = list(dict.fromkeys(constraints))
-    df = _usable(alphas, constraints, alpha, risk, beta)
-    wide = (
-        exposures.where(F.col("factor").isin(factors))
-        .groupBy(DATE, ASSET)
-        .pivot("factor", factors)
-        .agg(F.first("exposure"))
-    )
-    wide = wide.select(DATE, ASSET, *[F.coalesce(F.col(f), F.lit(0.0)).alias(f"__x{i}") for i, f in enumerate(factors)])
-    df = df.join(wide, [DATE, ASSET], "left").fillna(0.0, subset=[f"__x{i}" for i in range(k)])
-    d = F.col(risk) * F.col(risk)
-    vecs = {"__v0": F.col(alpha)}
-    for j, c in enumerate(constraints):
-        vecs[f"__v{j + 1}"] = constraint_coefficient(c, beta)
-    df = df.withColumns(vecs)
-    n_vec = len(vecs)
-    x = [F.col(f"__x{i}") for i in range(k)]
-
-    # X'D^-1X and X'D^-1v per date (partial aggregation)
-    aggs = [F.sum(x[i] * x[j] / d).alias(f"__s{i}_{j}") for i in range(k) for j in range(i, k)]
-    aggs += [F.sum(x[i] * F.col(v) / d).alias(f"__u{vi}_{i}") for vi, v in enumerate(vecs) for i in range(k)]
-    sums = df.groupBy(DATE).agg(*aggs)
-    finv = [F.lit(1.0 / factor_variance[f]) for f in factors]
-    packed = F.struct(
-        *[F.col(f"__s{i}_{j}") for i in range(k) for j in range(i, k)],
-        *[c.alias(f"__f{i}") for i, c in enumerate(finv)],
-        *[F.col(f"__u{vi}_{i}") for vi in range(n_vec) for i in range(k)],
+    from panelsignal.operators.factor_risk import constant_covariances, factor_names, factor_risk_solution, factor_risk_weights
+    from panelsignal.plans.materialize import materialize
+
+    if isinstance(factor_covariance, DataFrame):
+        covariances, factors = factor_covariance, factor_names(factor_covariance)
+    else:
+        covariances, factors = constant_covariances(alphas, factor_covariance), list(factor_covariance)
+    names = {"alpha": alpha, "risk": risk, "beta": beta}
+    solution = factor_risk_solution(alphas, exposures, covariances, constraints, factors=factors, det_tol=det_tol, **names)
+    solution = materialize(solution, materialize_as)
+    return factor_risk_weights(
+        alphas, exposures, solution, gamma, constraints, factors=factors, carry=carry, max_keys=max_keys, **names
     )
-    # nondeterministic: else the optimizer copies the solve into every use of its fields
-    solve = _woodbury_udf(k, n_vec).asNondeterministic()
-    z = sums.select(DATE, solve(packed).alias("__z")).select(DATE, "__z.*")
-    z = z.select(DATE, *[finite_or_null(c).alias(c) for c in z.columns if c != DATE])
-    df = join_per_key(df, z, on=[DATE], how="inner", max_rows=max_keys)
-
-    # S^-1 v per row
-    sinv = {}
-    for vi, v in enumerate(vecs):
-        proj = sum((x[i] * F.col(f"z{vi}_{i}") for i in range(k)), F.lit(0.0))
-        sinv[f"__q{vi}"] = (F.col(v) - proj) / d
-    df = df.withColumns(sinv)
-    if not constraints:
-        return df.select(DATE, ASSET, (F.col("__q0") / F.lit(float(gamma))).alias("weight"))
-
-    nc = len(constraints)
-    aggs = []
-    for j in range(nc):
-        aggs.append(F.sum(F.col(f"__v{j + 1}") * F.col("__q0")).alias(f"__b{j}"))
-        for kk in range(j, nc):
-            aggs.append(F.sum(F.col(f"__v{j + 1}") * F.col(f"__q{kk + 1}")).alias(f"__m{j}{kk}"))
-    sums2 = df.groupBy(DATE).agg(*aggs)
-    m = [[F.col(f"__m{min(a, b)}{max(a, b)}") for b in range(nc)] for a in range(nc)]
-    b = [F.col(f"__b{j}") for j in range(nc)]
-    lams, ok = _lambda_columns(m, b, det_tol)
-    lam = sums2.where(ok).select(DATE, *[lv.alias(f"__l{j}") for j, lv in enumerate(lams)])
-    df = join_per_key(df, lam, on=[DATE], how="inner", max_rows=max_keys)
-    adj = F.col("__q0")
-    for j in range(nc):
-        adj = adj - F.col(f"__l{j}") * F.col(f"__q{j + 1}")
-    return df.select(DATE, ASSET, (adj / F.lit(float(gamma))).alias("weight"))
 
 
 def calibrate_gamma(summary: DataFrame, gamma: float, target_vol: float = 0.05, by: Sequence[str] = ()) -> DataFrame:

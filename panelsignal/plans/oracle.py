@@ -657,6 +657,115 @@ panel AS (
     return sql.replace(PANEL, f"{clean},{dirty}", 1).replace(rnd("weight", 10), rnd("weight", 7))
 
 
+STYLES = ("size", "activity", "discount")
+# Fixed values of the test risk model (upper triangle in the order of STYLES)
+STYLE_F = ((0.0004, 0.00006, -0.00004), (0.00006, 0.0001, 0.00003), (-0.00004, 0.00003, 0.0002))
+
+
+def _inverse3(m) -> list[list[str]]:
+    """Entries of the inverse of a 3 x 3 matrix of SQL expressions (or numbers), by cofactors."""
+    e = [[f"({x})" for x in row] for row in m]
+
+    def cof(r: int, c: int) -> str:
+        (a, b), (x, y) = [i for i in range(3) if i != r], [j for j in range(3) if j != c]
+        sign = "-" if (r + c) % 2 else ""
+        return f"{sign}({e[a][x]} * {e[b][y]} - {e[a][y]} * {e[b][x]})"
+
+    det = " + ".join(f"{e[0][c]} * ({cof(0, c)})" for c in range(3))
+    return [[f"(({cof(c, r)}) / ({det}))" for c in range(3)] for r in range(3)]
+
+
+def style_weight_ctes() -> list[str]:
+    """``fw``: weights with S = X F X' + D by (F^-1 + X'D^-1X)^-1 written out for three factors."""
+    inv_f = _inverse3([[f"{v}::DOUBLE" for v in row] for row in STYLE_F])
+    vs = ("alpha", "predicted_beta", "1.0")
+    sums = [f"sum(x{i} * x{j} / d) AS g{i}{j}" for i in range(3) for j in range(i, 3)]
+    sums += [f"sum(x{i} * {v} / d) AS u{i}_{n}" for i in range(3) for n, v in enumerate(vs)]
+    sums += [f"sum({vs[a]} * {vs[b]} / d) AS v{a}{b}" for a in range(3) for b in range(a, 3)]
+    g = [[f"{inv_f[i][j]} / s + g{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+    inv = ", ".join(f"{c} AS n{i}{j}" for i, row in enumerate(_inverse3([[f"m{i}{j}" for j in range(3)] for i in range(3)])) for j, c in enumerate(row))
+    z = ", ".join(f"{' + '.join(f'n{i}{j} * u{j}_{n}' for j in range(3))} AS z{i}_{n}" for i in range(3) for n in range(3))
+
+    def inner(a: int, b: int) -> str:
+        return f"v{min(a, b)}{max(a, b)} - (" + " + ".join(f"u{i}_{a} * z{i}_{b}" for i in range(3)) + ")"
+
+    return [
+        PANEL,
+        *staged(momentum_stage()),
+        f"""
+sx AS (SELECT CAST(l_shipdate AS DATE) AS date, CAST(l_suppkey AS BIGINT) AS asset_id,
+              round(ln(sum(l_extendedprice) / sum(l_quantity)), 10) AS x0,
+              round(avg(l_quantity) / 50.0::DOUBLE, 10) AS x1, round(avg(l_discount) * 20.0::DOUBLE, 10) AS x2
+       FROM lineitem GROUP BY 1, 2),
+fb AS (SELECT al.date, al.asset_id, alpha, predicted_beta, specific_risk, specific_risk * specific_risk AS d, x0, x1, x2
+       FROM al JOIN sx USING (date, asset_id) WHERE alpha IS NOT NULL AND specific_risk > 0),
+fs AS (SELECT date, 1.0::DOUBLE + 0.1::DOUBLE * (date_diff('day', DATE '1970-01-01', date) % 7) AS s, {', '.join(sums)}
+       FROM fb GROUP BY date),
+fm AS (SELECT *, {', '.join(f'{g[i][j]} AS m{i}{j}' for i in range(3) for j in range(3))} FROM fs),
+fi AS (SELECT *, {inv} FROM fm),
+fz AS (SELECT *, {z} FROM fi),
+fl AS (SELECT *, {inner(1, 1)} AS a11, {inner(1, 2)} AS a12, {inner(2, 2)} AS a22, {inner(1, 0)} AS b1, {inner(2, 0)} AS b2 FROM fz),
+fd AS (SELECT *, (a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12) AS l1, (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) AS l2
+       FROM fl WHERE a11 * a22 - a12 * a12 > 1e-9 * a11 * a22),
+fw AS (SELECT date, asset_id, specific_risk, s, x0, x1, x2,
+              (alpha - l1 * predicted_beta - l2
+               - ({' + '.join(f'x{i} * (z{i}_0 - l1 * z{i}_1 - l2 * z{i}_2)' for i in range(3))})) / ({GAMMA} * d) AS weight
+       FROM fb JOIN (SELECT date, s, l1, l2, {', '.join(f'z{i}_{n}' for i in range(3) for n in range(3))} FROM fd) USING (date))""",
+    ]
+
+
+def mvo_factor_risk_full_sql() -> str:
+    return with_ctes(*style_weight_ctes()) + f"""
+SELECT date, asset_id, {rnd('weight', 8)} AS weight FROM fw"""
+
+
+def mvo_factor_risk_status_sql() -> str:
+    return with_ctes(PANEL, *staged(momentum_stage())) + """
+SELECT date, n_assets,
+       CASE WHEN n_assets = 0 THEN 'no usable rows' WHEN k = 0 THEN 'no covariance' WHEN k = 1 THEN 'bad covariance'
+            WHEN betas < 2 THEN 'degenerate constraints' ELSE 'solved' END AS status
+FROM (SELECT date, date_diff('day', DATE '1970-01-01', date) % 6 AS k,
+             count(*) FILTER (WHERE ok) AS n_assets, count(DISTINCT predicted_beta) FILTER (WHERE ok) AS betas
+      FROM (SELECT *, alpha IS NOT NULL AND specific_risk > 0 AS ok FROM al) GROUP BY date)"""
+
+
+def mvo_status_dirty_sql() -> str:
+    sql = mvo_dirty_sql()
+    return sql[: sql.index("\ns AS (")].rstrip().rstrip(",") + """
+SELECT date, count(*) AS n_rows, count(*) FILTER (WHERE ok) AS n_usable,
+       CASE WHEN count(*) FILTER (WHERE ok) = 0 THEN 'no usable rows'
+            WHEN count(DISTINCT predicted_beta) FILTER (WHERE ok) < 2 THEN 'degenerate constraints' ELSE 'solved' END AS status
+FROM (SELECT *, "return" * specific_risk IS NOT NULL AND specific_risk > 0 AND predicted_beta IS NOT NULL AS ok FROM panel)
+GROUP BY date"""
+
+
+def ex_ante_risk_full_sql() -> str:
+    q = " + ".join(f"{STYLE_F[i][j]}::DOUBLE * s * e{i} * e{j}" for i in range(3) for j in range(3))
+    return with_ctes(*style_weight_ctes()) + f"""
+SELECT date, {rnd(f'sqrt(252.0 * ({q} + v))', 7)} AS active_risk
+FROM (SELECT date, any_value(s) AS s, sum(weight * x0) AS e0, sum(weight * x1) AS e1, sum(weight * x2) AS e2,
+             sum(weight * weight * specific_risk * specific_risk) AS v FROM fw GROUP BY date)"""
+
+
+def gamma_ex_ante_sql() -> str:
+    ctes = [PANEL, *staged(momentum_stage()), *weights_ctes(("ZeroBeta", "ZeroInvestment"))]
+    return with_ctes(*ctes) + f"""
+SELECT date, {rnd('r')} AS active_risk, {rnd(f'{GAMMA} * r / 0.05')} AS gamma_star
+FROM (SELECT date, sqrt(252.0 * sum(weight * weight * specific_risk * specific_risk)) AS r
+      FROM wts JOIN panel USING (date, asset_id) GROUP BY date)"""
+
+
+def gamma_ex_ante_by_signal_sql() -> str:
+    ctes = [
+        *long_ctes(),
+        *weights_ctes(("ZeroBeta", "ZeroInvestment"), src="lal", keys="date, signal", gamma=gamma_case()),
+    ]
+    return with_ctes(*ctes) + f"""
+SELECT signal, {rnd('avg(r)')} AS active_risk, {rnd('avg(r) / 0.05')} AS gamma_star
+FROM (SELECT date, signal, sqrt(252.0 * sum(weight * weight * specific_risk * specific_risk)) AS r
+      FROM wts JOIN panel USING (date, asset_id) GROUP BY date, signal) GROUP BY signal"""
+
+
 def subsample_summary_by_signal_sql() -> str:
     rng = "date BETWEEN DATE '1999-01-01' AND DATE '2000-12-31'"
     ctes = [
@@ -738,4 +847,10 @@ def oracle_sql() -> dict[str, str]:
         "gamma_calibration_by_signal": gamma_calibration_by_signal_sql(),
         "factor_regression_capm_by_signal": regression_capm_by_signal_sql(),
         "mvo_diag_both_dirty": mvo_dirty_sql(),
+        "mvo_factor_risk_full": mvo_factor_risk_full_sql(),
+        "mvo_factor_risk_status": mvo_factor_risk_status_sql(),
+        "mvo_status_dirty": mvo_status_dirty_sql(),
+        "ex_ante_risk_full": ex_ante_risk_full_sql(),
+        "gamma_ex_ante": gamma_ex_ante_sql(),
+        "gamma_ex_ante_by_signal": gamma_ex_ante_by_signal_sql(),
     }

@@ -35,7 +35,8 @@ from panelsignal.operators.evaluate import (
 )
 from panelsignal.operators.ic import add_cumulative_ic, add_rolling_ic, information_coefficient
 from panelsignal.operators.ols import add_rolling_ols
-from panelsignal.operators.optimize import calibrate_gamma, mvo_weights, mvo_weights_factor_risk, wide_mvo_weights
+from panelsignal.operators.factor_risk import ex_ante_gamma, ex_ante_risk, factor_names, factor_risk_solution
+from panelsignal.operators.optimize import calibrate_gamma, mvo_status, mvo_weights, mvo_weights_factor_risk, wide_mvo_weights
 from panelsignal.operators.signals import (
     CAPM,
     FF3,
@@ -48,6 +49,7 @@ from panelsignal.operators.signals import (
 )
 from panelsignal.sources.fixtures import (
     FIXTURE_SPAN,
+    covariances_from_lineitem,
     exposures_from_lineitem,
     factors_from_lineitem,
     panel_from_lineitem,
@@ -477,6 +479,68 @@ def _mvo_factor_risk(fx: Fixture) -> DataFrame:
     return finish(w, fine=WEIGHT_DIGITS)
 
 
+STYLES = ("size", "activity", "discount")
+
+
+def style_risk(fx: Fixture) -> tuple[DataFrame, DataFrame]:
+    """Style exposures, and a full covariance matrix of the styles per date."""
+    nation, supplier = (read_table(fx.spark, fx.sf_dir, t) for t in ("nation", "supplier"))
+    exposures = exposures_from_lineitem(fx.lineitem, supplier, nation).where(F.col("factor").isin(*STYLES) & fx.span.where())
+    return exposures, covariances_from_lineitem(fx.lineitem).where(fx.span.where())
+
+
+def style_weights(fx: Fixture, carry=()) -> DataFrame:
+    al = fx.alphas(fx.spec("momentum"), keep=("specific_risk",))
+    return mvo_weights_factor_risk(al, *style_risk(fx), GAMMA, max_keys=fx.span.days, carry=carry)
+
+
+@register("mvo_factor_risk_full")
+def _mvo_factor_risk_full(fx: Fixture) -> DataFrame:
+    """C6 with S = X F X' + D, F a full matrix of its own on every date."""
+    return finish(style_weights(fx), 8)
+
+
+@register("mvo_factor_risk_status")
+def _mvo_factor_risk_status(fx: Fixture) -> DataFrame:
+    """What became of every date where a third of them has no covariance, or one that is no covariance."""
+    al = fx.alphas(fx.spec("momentum"), keep=("specific_risk",))
+    exposures, f = style_risk(fx)
+    day = F.pmod(F.unix_date("date"), F.lit(6))
+    broken = (F.col("factor_i") == "size") & (F.col("factor_j") == "size") & (day == 1)
+    f = f.where(day != 0).withColumn("value", F.when(broken, -F.col("value")).otherwise(F.col("value")))
+    return factor_risk_solution(al, exposures, f, factors=factor_names(f)).select("date", "n_assets", "status")
+
+
+@register("mvo_status_dirty")
+def _mvo_status_dirty(fx: Fixture) -> DataFrame:
+    """C6, diagonal risk: rows, usable rows and status of every date of a panel with bad fields."""
+    panel = load_assets(dirty(panel_from_lineitem(fx.lineitem)), fx.span)
+    alphas = panel.withColumn("alpha", F.col("return") * F.col("specific_risk"))
+    return mvo_status(alphas)
+
+
+@register("ex_ante_risk_full")
+def _ex_ante_risk_full(fx: Fixture) -> DataFrame:
+    """C13 before the fact: w'(XFX' + D)w per date of the factor-risk weights, annualised."""
+    risk = ex_ante_risk(style_weights(fx, carry=("specific_risk",)), *style_risk(fx))
+    return finish(risk.select("date", "active_risk"), 7)
+
+
+@register("gamma_ex_ante")
+def _gamma_ex_ante(fx: Fixture) -> DataFrame:
+    """C13 before the fact: per date the gamma for 5 % active risk under diagonal risk."""
+    al = fx.alphas(fx.spec("momentum"), keep=("specific_risk",))
+    w = mvo_weights(al, GAMMA, max_keys=fx.span.days, carry=("specific_risk",))
+    return finish(ex_ante_gamma(ex_ante_risk(w), GAMMA), 6)
+
+
+@register("gamma_ex_ante_by_signal")
+def _gamma_ex_ante_by_signal(fx: Fixture) -> DataFrame:
+    """C13 before the fact for all ten signals: mean active risk, and gamma for 5 % per unit of the one used."""
+    risk = ex_ante_risk(long_weights(fx), by=("signal",))
+    return finish(ex_ante_gamma(risk, 1.0, by=("signal",)), 6)
+
+
 # ------------------------------------------------------- IC per signal
 
 

@@ -21,6 +21,15 @@ from panelsignal.sources.schema import Span
 FIXTURE_SPAN = Span(dt.date(1995, 1, 1), dt.date(2001, 12, 31))
 RISK_FREE = 0.0001
 ROUND = 10
+#: Covariances of three style factors, upper triangle; every date scales them by 1 + 0.1 * (day number mod 7).
+STYLE_COVARIANCE = {
+    ("size", "size"): 0.0004,
+    ("size", "activity"): 0.00006,
+    ("size", "discount"): -0.00004,
+    ("activity", "activity"): 0.0001,
+    ("activity", "discount"): 0.00003,
+    ("discount", "discount"): 0.0002,
+}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,3 +120,14 @@ def exposures_from_lineitem(lineitem: DataFrame, supplier: DataFrame, nation: Da
         "date", "asset_id", F.col("region").alias("factor"), F.lit(1.0).alias("exposure")
     )
     return long_style.unionByName(one_hot)
+
+
+def covariances_from_lineitem(lineitem: DataFrame) -> DataFrame:
+    """A full style covariance matrix per ship date: (date, factor_i, factor_j, value), upper triangle."""
+    entries = F.array(
+        *[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(v).alias("v")) for (i, j), v in STYLE_COVARIANCE.items()]
+    )
+    dates = lineitem.select(F.to_date("l_shipdate").alias("date")).distinct()
+    scale = F.lit(1.0) + F.lit(0.1) * F.pmod(F.unix_date("date"), F.lit(7))
+    e = dates.select("date", scale.alias("scale"), F.explode(entries).alias("e"))
+    return e.select("date", F.col("e.i").alias("factor_i"), F.col("e.j").alias("factor_j"), (F.col("e.v") * F.col("scale")).alias("value"))

@@ -12,62 +12,107 @@ ties.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelsignal.functions.columns import safe_div
 from panelsignal.operators.windows import ASSET, DATE
+from panelsignal.plans.materialize import materialize
 
-TIE_DIGITS = 10
-# order-preserving value ranges of the rank: steps per power of two of a value's size
-STEPS_PER_OCTAVE = 16
-# copies of the rank table a row side's hot value is spread over
-SALTS = 4
-
-
-def value_range(value: Column) -> Column:
-    """A coarse bucket of a double that keeps the order: sign, then steps of its logarithm.
-
-    Depends on the value alone, so no bounds have to be looked up (or broadcast).
-    """
-    # doubles reach down to 2**-1074: the shift keeps steps positive, so the sign decides first
-    steps = F.floor(F.log2(F.abs(value)) * F.lit(STEPS_PER_OCTAVE)) + F.lit(1080 * STEPS_PER_OCTAVE)
-    return F.when(value == 0, F.lit(0)).when(value > 0, steps).otherwise(-steps).cast("long")
-
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-def add_average_rank(df: DataFrame, value: str, out: str, keys: Sequence[str] = (DATE,)) -> DataFrame:
+TIE_DIGITS = 10
+_BELOW, _EQUAL, _PART = "__rk_below", "__rk_equal", "__rk_part"
+
+
+def _local_counts(keys: Sequence[str], value: str):
+    """Per row of a sorted partition: how many of its key are smaller there, and how many equal."""
+
+    def run(batches):
+        table = pa.Table.from_batches(list(batches))
+        n = table.num_rows
+        if not n:
+            return
+        part = TaskContext.get().partitionId()
+        columns = [table.column(c).combine_chunks() for c in (*keys, value)]
+        new = np.zeros(n, bool)  # rows that begin a key
+        for c in columns[:-1]:
+            new[1:] |= pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, n - 1)), True).to_numpy(zero_copy_only=False)
+        new[0] = True
+        null = columns[-1].is_null().to_numpy(zero_copy_only=False)
+        v = columns[-1].fill_null(0.0).to_numpy(zero_copy_only=False)
+        other = new.copy()  # rows that begin a value
+        other[1:] |= (v[1:] != v[:-1]) | (null[1:] != null[:-1])
+        at = np.arange(n)
+        key_first = np.maximum.accumulate(np.where(new, at, 0))
+        first = np.flatnonzero(other)
+        many = np.diff(np.append(first, n))
+        # NULLs come first and don't count
+        nulls = np.concatenate(([0], np.cumsum(null)))
+        below = np.repeat(first, many) - key_first - (nulls[np.repeat(first, many)] - nulls[key_first])
+        equal = np.repeat(many, many)
+        out = table.append_column(_BELOW, pa.array(below)).append_column(_EQUAL, pa.array(equal))
+        yield from out.append_column(_PART, pa.array(np.full(n, part, np.int32))).to_batches(max_chunksize=1 << 16)
+
+    return run
+
+
+def add_average_rank(
+    df: DataFrame, value: str, out: str, keys: Sequence[str] = (DATE,), materialize_as: str | None = "checkpoint"
+) -> DataFrame:
     """Exact 1-based average rank of ``value`` within ``keys`` (ties share the mean rank).
 
-    A window rank would sort each key group in one task; here, at every size,
-    no group is handled whole:
-
-    1. distinct values with their multiplicity: map-side partial aggregation
-       collapses repeated (hot) values;
-    2. counts per (key, value range) and their running offsets: one row per
-       key and range;
-    3. running counts inside each (key, range);
-    4. the (key, value) ranks join back to the rows, whose hot values are
-       spread over ``SALTS`` copies of the rank table.
+    The rows move once, by ranges of (keys, value, hash of the row): neither a key nor
+    a value that holds a large share of all rows lies in one task.  Each sorted partition
+    counts by itself; it is written (``materialize_as``), as the ranges are drawn from a sample and must
+    not be drawn twice.  What partitions need of one another is one row per
+    (partition, key): its rows, and the counts of its least and greatest
+    value, the only ones that a neighbour can share.  There are fewer of these rows than partitions and
+    keys together, and they are joined back.
 
     Rows with a NULL value get a NULL rank.
     """
-    keys = list(keys)
-    c, b, off, salt = "__rk_c", "__rk_b", "__rk_off", "__rk_salt"
-    vc = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(c))
-    vc = vc.withColumn(b, value_range(F.col(value)))
-    per_range = vc.groupBy(*keys, b).agg(F.sum(c).alias("__rk_bc"))
-    wb = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    per_range = per_range.select(*keys, b, F.coalesce(F.sum("__rk_bc").over(wb), F.lit(0)).alias(off))
-    vc = vc.join(per_range, keys + [b])
-    wv = Window.partitionBy(*keys, b).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.col(off) + F.coalesce(F.sum(c).over(wv), F.lit(0))
-    ranks = vc.select(*keys, value, (below + (F.col(c) + F.lit(1)) / F.lit(2.0)).alias(out))
-    ranks = ranks.withColumn(salt, F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
-    others = [x for x in df.columns if x not in keys and x != value]
-    spread = F.pmod(F.xxhash64(*others) if others else F.lit(0).cast("long"), F.lit(SALTS)).cast("long")
-    return df.withColumn(salt, spread).join(ranks, keys + [value, salt], "left").drop(salt)
+    keys, names = list(keys), df.columns
+    typed = df.withColumn(value, F.col(value).cast("double") + F.lit(0.0))  # -0.0 equals 0.0
+    salt = F.xxhash64(*names)
+    cut = typed.repartitionByRange(*keys, value, salt).sortWithinPartitions(*keys, value)
+    schema = T.StructType(
+        [*cut.schema.fields, T.StructField(_BELOW, T.LongType()), T.StructField(_EQUAL, T.LongType()), T.StructField(_PART, T.IntegerType())]
+    )
+    local = materialize(cut.mapInArrow(_local_counts(keys, value), schema), materialize_as)
+
+    v, off = F.col(value), "__rk_off"
+    ends = local.where(v.isNotNull()).groupBy(_PART, *keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.struct(f(value).alias("v"), by(_EQUAL, value).alias("eq"), by(_BELOW, value).alias("lt")).alias(e)
+          for e, f, by in (("lo", F.min, F.min_by), ("hi", F.max, F.max_by))],
+    )
+    before = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn(off, F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # a value at an end: rows below it and rows that have it, over all partitions
+    both = F.when(F.col("lo.v") == F.col("hi.v"), F.array("lo")).otherwise(F.array("lo", "hi"))
+    shared = ends.select(_PART, *keys, off, F.explode(both).alias("e")).select(
+        _PART, *keys, off, F.col("e.v").alias("v"), F.col("e.eq").alias("eq"), (F.col(off) + F.col("e.lt")).alias("lt")
+    )
+    same = Window.partitionBy(*keys, "v")
+    rank = (F.min("lt").over(same) + (F.sum("eq").over(same) + F.lit(1)) / F.lit(2.0)).alias("rank")
+    shared = shared.select(_PART, *keys, off, "v", rank).groupBy(_PART, *keys, off)
+    table = shared.agg(
+        F.min("v").alias("__rk_lo"), F.min_by("rank", "v").alias("__rk_lor"), F.max("v").alias("__rk_hi"), F.max_by("rank", "v").alias("__rk_hir")
+    )
+    inner = F.col(off) + F.col(_BELOW) + (F.col(_EQUAL) + F.lit(1)) / F.lit(2.0)
+    rank = F.when(v == F.col("__rk_lo"), F.col("__rk_lor")).when(v == F.col("__rk_hi"), F.col("__rk_hir")).when(v.isNotNull(), inner)
+    if out in names:
+        names = [c for c in names if c != out]
+    return local.join(table, [_PART, *keys], "left").select(*names, rank.alias(out))
 
 
 def guarded_corr(a: str, b: str) -> Column:
@@ -88,8 +133,8 @@ def information_coefficient(
 
     ``returns`` (date, asset_id, ``ret``) is joined on (date, asset_id); without
     it ``alphas`` holds ``ret`` already.  Only rows with both values take part.
-    The rank IC reads its input several times: hand in a written or
-    checkpointed frame (nothing is written here, and no job runs).
+    The rank IC samples its input before it moves it: hand in a written or
+    checkpointed frame.
     """
     if method not in ("rank", "pearson"):
         raise ValueError(f"unknown IC method {method!r}")

@@ -132,6 +132,37 @@ def test_split_rank_matches_pandas_with_hot_date_and_hot_value(spark):
     np.testing.assert_allclose(m["r"].astype(float), m["exp"].astype(float), equal_nan=True)
 
 
+def test_rank_spreads_a_hot_key_and_a_hot_value(spark):
+    """One date holds most rows and one value a third of all: no partition gets more than a few times its share."""
+    from panelsignal.operators import ic
+
+    rng = np.random.default_rng(6)
+    rows = [(0, a, 0.25 if a % 3 == 0 else float(np.round(rng.normal(), 2))) for a in range(12_000)]
+    rows += [(d, a, None if a == 3 else float(a % 4)) for d in range(1, 30) for a in range(40)]
+    df = panel_df(spark, rows, ("date", "asset_id", "v"))
+    kept, plain = [], ic.materialize
+
+    def keep(frame, how):
+        kept.append(plain(frame, how))
+        return kept[-1]
+
+    ic.materialize = keep
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few bytes are one partition
+    try:
+        got = ic.add_average_rank(df, "v", "r").toPandas()
+    finally:
+        ic.materialize = plain
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in kept[0].groupBy("__rk_part").count().collect()]
+    hot = [r["count"] for r in kept[0].where("v = 0.25").groupBy("__rk_part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * len(rows) / 8 and len(hot) > 1
+    pdf = pd.DataFrame(rows, columns=["d", "asset_id", "v"])
+    pdf["exp"] = pdf.groupby("d")["v"].rank(method="average")
+    m = got.merge(pdf.assign(date=pdf.d.map(day)), on=["date", "asset_id"])
+    assert len(m) == len(rows)
+    np.testing.assert_allclose(m["r"].astype(float), m["exp"].astype(float), equal_nan=True)
+
+
 def test_rolling_and_cumulative_ic(spark):
     rows = [(d, float(d) / 10) for d in range(6)]
     ics = spark.createDataFrame([(day(d), v) for d, v in rows], "date date, ic double")

@@ -1,33 +1,32 @@
 """Regressions: rolling multivariate OLS per series (W11), residuals (P13),
 and full-sample OLS with classical t-statistics (A5, A6).
 
-Rolling OLS is built from rolling cross-product sums (prefix form, one
-shared count guard, see :func:`rolling_ols_sum_columns`).  With one regressor
-the slope and intercept are closed-form Column arithmetic and never leave
-the JVM.  With more regressors the centred k x k normal equations are
-solved by a scalar pandas UDF on Arrow batches (numpy batched solve):
-only the sums of complete windows travel to Python, and an ill-conditioned
-or singular window yields NULL coefficients instead of failing the task.
-The UDF is marked nondeterministic, so that a filter on a coefficient is not
-pushed below it with a second copy of the solve.  This module's functions are
-shipped to the workers by value: executors need numpy and pandas only.
+Rolling OLS is built from rolling cross-product sums with one shared count
+guard.  The centred, standardised k x k normal equations are then solved by
+Gauss-Jordan elimination written out as Column expressions, one projection a
+pivot (:func:`solve_rolling_ols`): nothing leaves the JVM, and the asset
+partitioning of the windows before holds for the windows after.  The steps of several
+regressions share projections.  A constant regressor or a pivot within
+rounding of zero yields NULL coefficients instead of failing the task.  Only
+the full-sample regressions' small solves run in Python; their functions are shipped to the workers
+by value: executors need numpy and pandas only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import sys
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelsignal.functions.columns import finite_or_null, safe_div, sum_skip_nulls
-from panelsignal.operators.windows import ASSET, DATE, _tmp
+from panelsignal.operators.windows import ASSET, DATE, _tmp, add_rolling_totals, quoted
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -44,163 +43,122 @@ def _coef_fields(xs: Sequence[str], prefix: str) -> list[str]:
     return [f"{prefix}{CONST}"] + [f"{prefix}{x}" for x in xs]
 
 
-def solve_centered(
-    n: np.ndarray,
-    sx: np.ndarray,
-    sy: np.ndarray,
-    sxx: np.ndarray,
-    sxy: np.ndarray,
-    cond_max: float = 1e10,
-) -> np.ndarray:
-    """Batched OLS with intercept from raw sums.
+@dataclass(frozen=True)
+class RollingRegression:
+    """One rolling regression: its cleaned inputs, its series to be summed, and the names of the sums."""
 
-    Shapes: n (m,), sx (m,k), sy (m,), sxx (m,k,k), sxy (m,k).  Returns
-    (m, k+1) = [intercept, slopes...]; rows that are incomplete or whose
-    standardised centred cross-product matrix has condition number above
-    ``cond_max`` are NaN (turned into NULL by the caller).
-    """
-    m, k = sx.shape
-    out = np.full((m, k + 1), np.nan)
-    ok = np.isfinite(n) & (n > k) & np.isfinite(sx).all(1) & np.isfinite(sy)
-    ok &= np.isfinite(sxx).all((1, 2)) & np.isfinite(sxy).all(1)
-    if not ok.any():
-        return out
-    nn = n[ok][:, None]
-    mx = sx[ok] / nn
-    c = sxx[ok] - nn[:, :, None] * mx[:, :, None] * mx[:, None, :]
-    b = sxy[ok] - mx * sy[ok][:, None]
-    var = np.diagonal(c, axis1=1, axis2=2)
-    raw = np.diagonal(sxx[ok], axis1=1, axis2=2)
-    # a regressor that is constant in the window leaves only rounding noise
-    # in its centred sum of squares: treat that as zero variance
-    good = (var > REL_VAR_TOL * raw).all(1)
-    d = np.sqrt(np.clip(var, 0.0, None))
-    scale = np.where(d > 0, d, 1.0)
-    cs = c / (scale[:, :, None] * scale[:, None, :])
-    # symmetric: eigenvalues are cheaper than the SVD behind np.linalg.cond
-    cs = np.where(np.isfinite(cs), cs, 0.0)
-    ev = np.linalg.eigvalsh(cs)
-    with np.errstate(all="ignore"):
-        cond = ev[:, -1] / ev[:, 0]
-    good &= (ev[:, 0] > 0) & np.isfinite(cond) & (cond < cond_max)
-    beta = np.full((cs.shape[0], k), np.nan)
-    if good.any():
-        z = np.linalg.solve(cs[good], (b[good] / scale[good])[:, :, None])[:, :, 0]
-        beta[good] = z / scale[good]
-    const = (sy[ok] - (beta * sx[ok]).sum(1)) / n[ok]
-    res = np.column_stack([const, beta])
-    res[~good] = np.nan
-    out[ok] = res
-    return out
-
-
-def _solver_udf(xs: Sequence[str], prefix: str, cond_max: float):
+    xs: tuple[str, ...]
+    window: int
+    prefix: str
+    clean: dict[str, Column]
+    series: dict[str, str]
+    wanted: dict[str, tuple[str, int]]
+    names: dict[str, str]
+    cond_max: float
+
+    @property
+    def fields(self) -> list[str]:
+        return _coef_fields(self.xs, self.prefix)
+
+
+def rolling_regression(
+    y: str, xs: Sequence[str], window: int, *, prefix: str = "B_", cond_max: float = 1e10
+) -> RollingRegression:
+    """The expressions of one regression.  A row counts only if y and every x are present and finite."""
     k = len(xs)
-    fields = _coef_fields(xs, prefix)
-    schema = T.StructType([T.StructField(f, T.DoubleType(), True) for f in fields])
-    pairs = _pairs(k)
-
-    @F.pandas_udf(schema)
-    def solve(sums: pd.Series) -> pd.DataFrame:
-        out = np.full((len(sums), k + 1), np.nan)
-        at = np.flatnonzero(sums.notna())
-        if not len(at):
-            return pd.DataFrame(out, columns=fields)
-        a = np.stack(sums.iloc[at].to_numpy()).astype("float64")
-        m = a.shape[0]
-        n = a[:, 0]
-        sy = a[:, 1]
-        sx = a[:, 2 : 2 + k]
-        sxy = a[:, 2 + k : 2 + 2 * k]
-        sxx = np.empty((m, k, k))
-        for p, (i, j) in enumerate(pairs):
-            v = a[:, 2 + 2 * k + p]
-            sxx[:, i, j] = v
-            sxx[:, j, i] = v
-        out[at] = solve_centered(n, sx, sy, sxx, sxy, cond_max)
-        return pd.DataFrame(out, columns=fields)
-
-    # nondeterministic: else a filter on a coefficient is pushed down with a second copy of the solve
-    return solve.asNondeterministic()
-
-
-def rolling_ols_sum_columns(
-    y: str,
-    xs: Sequence[str],
-    window: int,
+    if k < 1:
+        raise ValueError("need at least one regressor")
+    y_, x_, ok = _tmp("y"), [_tmp(f"x{i}") for i in range(k)], _tmp("ok")
+    clean = {y_: finite_or_null(y), **{c: finite_or_null(x) for c, x in zip(x_, xs)}}
+    exprs = {"sy": y_}
+    for i in range(k):
+        exprs[f"sx{i}"], exprs[f"sxy{i}"] = x_[i], f"{x_[i]} * {y_}"
+    exprs |= {f"sxx{i}_{j}": f"{x_[i]} * {x_[j]}" for i, j in _pairs(k)}
+    tag = _tmp("r")
+    names = {e: f"{tag}_{e}" for e in ("n", *exprs)}
+    valid = " AND ".join(f"{c} IS NOT NULL" for c in (y_, *x_))
+    series = {names["n"]: f"CASE WHEN {valid} THEN 1 ELSE 0 END"}
+    series |= {names[e]: f"CASE WHEN {valid} THEN {x} ELSE 0D END" for e, x in exprs.items()}
+    wanted = {f"{s}_sum": (s, window) for s in series}
+    return RollingRegression(tuple(xs), window, prefix, clean, series, wanted, names, cond_max)
+
+
+def _elimination(r: RollingRegression) -> list[dict[str, str]]:
+    """The projections (SQL) that lead from the sums to the coefficients; each uses columns of the ones before."""
+    k, n = len(r.xs), f"{r.window}D"
+    total = lambda e: f"{r.names[e]}_sum"
+    name = lambda e: f"{r.names['n']}_{e}"
+    entry = lambda i, j: name(f"a{i}_{j}")
+    # centred; a regressor that is constant in the window leaves only rounding noise there: no variance
+    first = {name(f"g{i}"): f"{total(f'sxy{i}')} - {total(f'sx{i}')} * {total('sy')} / {n}" for i in range(k)}
+    for i, j in _pairs(k):
+        c = f"{total(f'sxx{i}_{j}')} - {total(f'sx{i}')} * {total(f'sx{j}')} / {n}"
+        if i == j:
+            c = f"CASE WHEN {total('n')} = {r.window} AND {c} > {REL_VAR_TOL}D * {total(f'sxx{i}_{i}')} THEN sqrt({c}) END"
+        first[name(f"d{i}" if i == j else f"c{i}_{j}")] = c
+    # standardised: ones on the diagonal; a[i][k] is the right-hand side
+    d = [name(f"d{i}") for i in range(k)]
+    there = " AND ".join(f"{x} IS NOT NULL" for x in d)
+    second = {}
+    for i in range(k):
+        second[entry(i, i)] = f"CASE WHEN {there} THEN 1D END"
+        second[entry(i, k)] = f"CASE WHEN {there} THEN {name(f'g{i}')} / {d[i]} END"
+        for j in range(i + 1, k):
+            x = f"CASE WHEN {there} THEN {name(f'c{i}_{j}')} / ({d[i]} * {d[j]}) END"
+            second[entry(i, j)] = second[entry(j, i)] = x
+    steps = [first, second]
+    # the matrix's condition is at most k over its least pivot
+    least = f"{k / r.cond_max}D"
+    for p in range(k):
+        pivot = f"CASE WHEN {entry(p, p)} > {least} THEN {entry(p, p)} END"
+        now = {name(f"p{p}"): pivot}
+        for i in range(k):
+            for j in range(p + 1, k + 1):
+                if i != p:
+                    now[f"{entry(i, j)}"] = f"{entry(i, j)} - {entry(i, p)} * {entry(p, j)} / ({pivot})"
+        steps.append(now)
+    steps.append({name(f"b{i}"): f"{entry(i, k)} / ({name(f'p{i}')} * {d[i]})" for i in range(k)})
+    b = [name(f"b{i}") for i in range(k)]
+    # a task's number is never negative; but a filter on a coefficient isn't pushed below a projection that
+    # reads it, where it would become the whole elimination, written out again at every use of an entry
+    ok = " AND ".join([*(f"{x} IS NOT NULL" for x in b), "spark_partition_id() >= 0"])
+    const = f"({total('sy')} - " + " - ".join(f"{x} * {total(f'sx{i}')}" for i, x in enumerate(b)) + f") / {n}"
+    steps.append({f: f"CASE WHEN {ok} THEN {x} END" for f, x in zip(r.fields, [const, *b])})
+    return steps
+
+
+def solve_rolling_ols(df: DataFrame, regressions: Sequence[RollingRegression]) -> DataFrame:
+    """Coefficients of all regressions from their rolling sums; drops the sums and the cleaned inputs."""
+    kept = [c for c in df.columns if not any(c in r.wanted or c in r.clean for r in regressions)]
+    steps = [_elimination(r) for r in regressions]
+    columns = df.columns
+    # the last projection of each belongs with the last of all
+    most = max(len(s) for s in steps)
+    for i in range(most):
+        now = {}
+        for s in steps:
+            if i >= most - len(s):
+                now |= s[i - (most - len(s))]
+        df = df.selectExpr(*[quoted(c) for c in columns if c not in now], *[f"{e} AS {quoted(c)}" for c, e in now.items()])
+        columns = [*[c for c in columns if c not in now], *now]
+    return df.select(*map(quoted, [*kept, *[f for r in regressions for f in r.fields]]))
+
+
+def add_rolling_regressions(
+    df: DataFrame,
+    regressions: Sequence[RollingRegression],
     *,
-    prefix: str = "B_",
     key: str = ASSET,
     order: str = DATE,
     by: Sequence[str] = (),
     exact: bool = False,
-    cond_max: float = 1e10,
-) -> tuple[dict[str, Column], dict[str, Column], dict]:
-    """Column expressions for the rolling sums of one regression.
-
-    Returns (clean columns, rolling-sum columns, pending solve spec).  The
-    clean columns null NaN/inf once per input; the sums are plain window
-    expressions with one shared count guard (a row counts only if y and
-    every x are present), so the sums of several regressions can be added
-    in one ``withColumns`` and evaluated in one Window operator.
-    """
-    k = len(xs)
-    if k < 1:
-        raise ValueError("need at least one regressor")
-    clean_y = _tmp("y")
-    clean_x = [_tmp(f"x{i}") for i in range(k)]
-    clean = {clean_y: finite_or_null(y), **{c: finite_or_null(x) for c, x in zip(clean_x, xs)}}
-    yc = F.col(clean_y)
-    xc = [F.col(c) for c in clean_x]
-    valid = yc.isNotNull()
-    for c in xc:
-        valid = valid & c.isNotNull()
-
-    cnt = _tmp("n")
-    sy = _tmp("sy")
-    sx = [_tmp(f"sx{i}") for i in range(k)]
-    sxy = [_tmp(f"sxy{i}") for i in range(k)]
-    sxx = {(i, j): _tmp(f"sxx{i}{j}") for i, j in _pairs(k)}
-    exprs: dict[str, Column] = {sy: yc}
-    for i in range(k):
-        exprs[sx[i]] = xc[i]
-        exprs[sxy[i]] = xc[i] * yc
-    for (i, j), name in sxx.items():
-        exprs[name] = xc[i] * xc[j]
-
-    w = Window.partitionBy(*by, key).orderBy(order)
-    if exact:
-        frame = w.rowsBetween(-(window - 1), Window.currentRow)
-
-        def rolling(e: Column) -> Column:
-            return F.sum(e).over(frame)
-
-    else:
-        now = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        prev = w.rowsBetween(Window.unboundedPreceding, -window)
-
-        def rolling(e: Column) -> Column:
-            return F.sum(e).over(now) - F.coalesce(F.sum(e).over(prev), F.lit(0))
-
-    count = rolling(F.when(valid, 1).otherwise(0))
-    sums = {cnt: count}
-    for name, e in exprs.items():
-        sums[name] = F.when(count == window, rolling(F.coalesce(F.when(valid, e), F.lit(0.0))))
-    pending = {
-        "k": k,
-        "window": window,
-        "prefix": prefix,
-        "cnt": cnt,
-        "sy": sy,
-        "sx": sx,
-        "sxy": sxy,
-        "sxx": sxx,
-        "temps": [cnt, sy, *sx, *sxy, *sxx.values(), clean_y, *clean_x],
-        "fields": _coef_fields(xs, prefix),
-        "xs": list(xs),
-        "cond_max": cond_max,
-    }
-    return clean, sums, pending
+) -> DataFrame:
+    """The coefficients of several regressions: their sums in one pass, their solves side by side."""
+    df = df.withColumns({c: e for r in regressions for c, e in r.clean.items()})
+    series = {s: e for r in regressions for s, e in r.series.items()}
+    wanted = {o: w for r in regressions for o, w in r.wanted.items()}
+    df = add_rolling_totals(df, series, wanted, key=key, order=order, by=by, exact=exact)
+    return solve_rolling_ols(df, regressions)
 
 
 def add_rolling_ols(
@@ -219,48 +177,11 @@ def add_rolling_ols(
     """Add ``{prefix}const`` and ``{prefix}<x>`` rolling OLS coefficients.
 
     Window and minimum periods are both ``window`` rows: a coefficient
-    exists only where all rows of the window have y and every x.
-
-    k > 1 is solved by a batched numpy solve in a pandas UDF (~2 us per row on
-    Arrow batches; Spark does not carry the asset partitioning through the UDF
-    node, so per-asset windows after it re-shuffle once).  See
-    :func:`rolling_ols_sum_columns` and :func:`solve_rolling_ols` to share one
-    window pass and one re-shuffle among several regressions.
+    exists only where all rows of the window have y and every x.  ``cond_max`` bounds
+    the condition of the standardised regressors' matrix, by its least pivot.
     """
-    clean, sums, pending = rolling_ols_sum_columns(
-        y, xs, window, prefix=prefix, key=key, order=order, by=by, exact=exact,
-        cond_max=cond_max,
-    )
-    df = df.withColumns(clean).withColumns(sums)
-    return solve_rolling_ols(df, pending)
-
-
-def solve_rolling_ols(df: DataFrame, p: dict) -> DataFrame:
-    """Second half of :func:`add_rolling_ols`: coefficients from the rolling sums."""
-    k, window, cnt, sy, sx = p["k"], p["window"], p["cnt"], p["sy"], p["sx"]
-    sxy, sxx, temps, fields, xs = p["sxy"], p["sxx"], p["temps"], p["fields"], p["xs"]
-    prefix, cond_max = p["prefix"], p["cond_max"]
-
-    if k == 1:
-        n = F.lit(float(window))
-        sxx_c = F.col(sxx[(0, 0)]) - F.col(sx[0]) * F.col(sx[0]) / n
-        sxy_c = F.col(sxy[0]) - F.col(sx[0]) * F.col(sy) / n
-        slope = F.when(sxx_c > F.lit(REL_VAR_TOL) * F.col(sxx[(0, 0)]), safe_div(sxy_c, sxx_c))
-        df = df.withColumn(fields[1], slope)
-        df = df.withColumn(fields[0], (F.col(sy) - F.col(fields[1]) * F.col(sx[0])) / n)
-        return df.drop(*temps)
-
-    solve = _solver_udf(xs, prefix, cond_max)
-    # an incomplete window is one NULL: its sums don't travel to Python
-    packed = F.when(
-        F.col(sy).isNotNull(),
-        F.array(F.col(cnt).cast("double"), F.col(sy), *[F.col(c) for c in (*sx, *sxy, *sxx.values())]),
-    )
-    coef = _tmp("coef")
-    df = df.withColumn(coef, solve(packed))
-    df = df.withColumns({f: F.col(f"{coef}.{f}") for f in fields})
-    df = df.withColumns({f: F.when(~F.isnan(F.col(f)), F.col(f)) for f in fields})
-    return df.drop(coef, *temps)
+    regression = rolling_regression(y, xs, window, prefix=prefix, cond_max=cond_max)
+    return add_rolling_regressions(df, [regression], key=key, order=order, by=by, exact=exact)
 
 
 def add_residual(

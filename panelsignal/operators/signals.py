@@ -4,13 +4,10 @@ A signal is declared by a :class:`SignalSpec`; :func:`add_signals`
 stages the window columns the given signals need on the per-asset window.
 Windows cannot nest inside one Spark expression, so the work is staged:
 (1) the rolling cross-product sums of every distinct regression, in one
-Window operator; (2) all regression solves (one Python node); (3) the
-residuals; (4) every signal's rolling sum / rolling std in one Window
-operator; (5) every skip-lag (plus previous price and forward return) in
-a second one.  All stages share ``partitionBy(asset).orderBy(date)``:
-one exchange and sort for plain signals, and one more after the solves
-for residual signals (Spark does not carry partitioning through the
-Python node).
+pass; (2) all regression solves, side by side in projections; (3) the
+residuals; (4) every signal's rolling sums in one pass; (5) every skip-lag (plus previous price
+and forward return) in one Window operator.  All stages share
+``partitionBy(asset)``: one exchange, whatever the number of signals.
 """
 
 from __future__ import annotations
@@ -23,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelsignal.functions.columns import finite_or_null, log1p_or_null, safe_div
-from panelsignal.operators.ols import add_residual, rolling_ols_sum_columns, solve_rolling_ols
+from panelsignal.operators.ols import add_residual, add_rolling_regressions, rolling_regression
 from panelsignal.operators.windows import (
     ASSET,
     DATE,
@@ -31,8 +28,11 @@ from panelsignal.operators.windows import (
     add_lags,
     add_rolling_std,
     add_rolling_sums,
-    rolling_std_col,
-    rolling_sum_col,
+    add_rolling_totals,
+    anchor_column,
+    deviation_series,
+    std_from_totals,
+    with_sql,
 )
 from panelsignal.plans.joins import bounded_broadcast
 from panelsignal.sources.schema import Span
@@ -159,11 +159,7 @@ def add_signals(
     """
     residuals: dict[tuple, str] = {}
     drop: list[str] = []
-    # 1) rolling sums of every distinct regression (one window pass), then
-    # 2) all solves together, 3) residuals, 4) momentum windows.  The solves
-    # sit between two window stages once, so the plan re-shuffles at most
-    # once however many regressions there are.
-    pending = []
+    regressions, made = [], []
     for spec in specs:
         if not spec.is_residual:
             continue
@@ -175,50 +171,53 @@ def add_signals(
         prefix = "B_" if single else f"__B{len(residuals)}_"
         name = "residual" if single else _tmp(f"res{len(residuals)}")
         residuals[key] = name
-        clean, sums, p = rolling_ols_sum_columns(
-            "return_rf", spec.factors, spec.ols_window, prefix=prefix, exact=exact
-        )
-        pending.append((spec, prefix, name, p, clean, sums))
-    if pending:
-        df = df.withColumns({c: e for *_, clean, _s in pending for c, e in clean.items()})
-        df = df.withColumns({c: e for *_, sums in pending for c, e in sums.items()})
-    pending = [item[:4] for item in pending]
-    for spec, prefix, name, p in pending:
-        df = solve_rolling_ols(df, p)
-    for spec, prefix, name, p in pending:
+        regressions.append(rolling_regression("return_rf", spec.factors, spec.ols_window, prefix=prefix))
+        made.append((spec, prefix, name))
+    if regressions:
+        df = add_rolling_regressions(df, regressions, exact=exact)
+    for spec, prefix, name in made:
         df = add_residual(df, "return_rf", spec.factors, name, prefix=prefix, warmup=spec.warmup)
         if not (keep_intermediate and len(specs) == 1):
             drop += [f"{prefix}const"] + [f"{prefix}{x}" for x in spec.factors] + [name]
-    # every signal's rolling sum and rolling std in one withColumns (one
-    # Window operator), then every skip-lag in a second one
-    stage, lags, temps = {}, {}, []
-    clean = {}
+    # every signal's rolling sum and deviation in one pass, then every skip-lag in one Window operator
+    source = {}
     for spec in specs:
-        series = spec.series
-        if spec.is_residual:
-            series = residuals[(tuple(spec.factors), spec.ols_window, spec.warmup)]
-        if series not in clean:
-            clean[series] = _tmp("v")
-    df = df.withColumns({c: finite_or_null(src) for src, c in clean.items()})
+        source[spec.name] = residuals[(tuple(spec.factors), spec.ols_window, spec.warmup)] if spec.is_residual else spec.series
+    clean = {c: _tmp("v") for c in dict.fromkeys(source.values())}
+    df = df.withColumns({v: finite_or_null(c) for c, v in clean.items()})
+    scaled = dict.fromkeys(clean[source[s.name]] for s in specs if s.vol_window)
+    anchor = {v: _tmp("anchor") for v in scaled}
+    if anchor and not exact:
+        df = df.withColumns({a: anchor_column(v) for v, a in anchor.items()})
+    logs = {v: _tmp("log") for v in clean.values()}
+    df = df.withColumns({c: log1p_or_null(F.col(v)) for v, c in logs.items()})
+    series, wanted, value, temps = {}, {}, {}, []
     for spec in specs:
-        series = spec.series
-        if spec.is_residual:
-            series = residuals[(tuple(spec.factors), spec.ols_window, spec.warmup)]
-        v = F.col(clean[series])
-        rs = _tmp("rs")
-        stage[rs] = rolling_sum_col(log1p_or_null(v), spec.lookback, exact=exact, finite=True)
-        value = F.col(rs)
-        temps.append(rs)
-        if spec.vol_window:
+        v = clean[source[spec.name]]
+        series |= {f"l {v}": f"coalesce({logs[v]}, 0D)", f"ln {v}": f"CASE WHEN {logs[v]} IS NULL THEN 0 ELSE 1 END"}
+        total, count = _tmp("sum"), _tmp("n")
+        wanted |= {total: (f"l {v}", spec.lookback), count: (f"ln {v}", spec.lookback)}
+        value[spec.name] = f"CASE WHEN {count} = {spec.lookback} THEN {total} END"
+        if not spec.vol_window:
+            continue
+        if exact:
             sd = _tmp("sd")
-            stage[sd] = rolling_std_col(v, spec.vol_window, exact=exact, finite=True)
-            value = safe_div(value, F.col(sd))
+            df = add_rolling_std(df, v, spec.vol_window, sd, exact=True)
             temps.append(sd)
-        lags[spec.name] = (value, spec.skip)
-    lags.update(extra_lags or {})
-    df = df.withColumns(stage)
-    df = add_lags(df, lags).drop(*temps, *clean.values())
-    return df.drop(*drop) if drop else df
+        else:
+            parts = deviation_series(v, anchor[v])
+            series |= parts
+            names = {x: _tmp("dev") for x in parts}
+            wanted |= {names[x]: (x, spec.vol_window) for x in parts}
+            sd = std_from_totals(spec.vol_window, *names.values())
+        value[spec.name] = f"try_divide({value[spec.name]}, {sd})"
+    if specs:
+        df = add_rolling_totals(df, series, wanted, exact=exact)
+    ready = {n: _tmp("ready") for n in value}
+    df = with_sql(df, {ready[n]: v for n, v in value.items()})
+    df = df.drop(*wanted, *temps, *clean.values(), *logs.values(), *anchor.values(), *drop)
+    lags = {spec.name: (ready[spec.name], spec.skip) for spec in specs}
+    return add_lags(df, lags | (extra_lags or {})).drop(*ready.values())
 
 
 def add_signal(

@@ -5,12 +5,13 @@ optionally inside a ``signal``/other key) ordered by date.  All of them
 share one ``Window.partitionBy(key).orderBy(date)`` spec, so Spark plans a
 single exchange + sort for any number of them in a row.
 
-Rolling sums are evaluated in *prefix form* by default: a running sum
-over ``unboundedPreceding..currentRow`` minus the running sum over
-``unboundedPreceding..-n`` (both growing frames, one Window operator).
-Spark evaluates a sliding frame by re-aggregating every frame
-(O(rows x window)); the prefix form is O(rows).  ``exact=True`` keeps
-the sliding-frame form (used as a cross-check in tests).
+Rolling sums are *anchored in blocks* by default (:func:`add_rolling_totals`): a
+running sum that starts again every ``n`` rows, and of the row n back what its
+own block still had to come.  Spark evaluates a sliding frame by
+re-aggregating every frame (O(rows x window)); this form is O(rows), reaches
+back over one array whatever the number of sums, and its rounding errors are
+those of a few hundred additions however long the series is.  ``exact=True``
+keeps the sliding-frame form (used as a cross-check in tests).
 
 A rolling value exists only when the whole window is present: a frame
 with fewer than ``n`` valid values is NULL (the count guard).
@@ -59,66 +60,69 @@ def add_lags(
     return df.withColumns(cols)
 
 
-def rolling_sum_col(
-    expr: ColumnOrName,
-    n: int,
-    *,
-    key: str = ASSET,
-    order: str = DATE,
-    by: Sequence[str] = (),
-    finite: bool = False,
-    exact: bool = False,
-) -> Column:
-    """Count-guarded rolling sum over ``n`` rows as one Column (prefix form).
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
-    Being a plain expression over window functions, many of them can be
-    added in a single ``withColumns`` and Spark evaluates them all in one
-    Window operator.  ``exact=True``: sliding frame instead.
-    """
-    w = series_window(key, order, by)
-    if exact:
-        v = col(expr) if finite else finite_or_null(expr)
-        frame = w.rowsBetween(-(n - 1), Window.currentRow)
-        return F.when(F.count(v).over(frame) == n, F.sum(v).over(frame))
-    now = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    prev = w.rowsBetween(Window.unboundedPreceding, -n)
-    v = col(expr) if finite else finite_or_null(expr)
 
-    def rolling(e: Column) -> Column:
-        return F.sum(e).over(now) - F.coalesce(F.sum(e).over(prev), F.lit(0))
+def with_sql(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """``df`` and more columns given as SQL text.
 
-    cnt = rolling(F.when(v.isNotNull(), 1).otherwise(0))
-    return F.when(cnt == n, rolling(F.coalesce(v, F.lit(0.0))))
+    Built from Python, an expression costs a call for each of its operators; as text it costs one: for stages of
+    hundreds of generated expressions that is the greater part of the time to plan them.
+    """
+    return df.selectExpr("*", *[f"{e} AS {quoted(c)}" for c, e in columns.items()])
 
 
-def rolling_std_col(
-    x: ColumnOrName,
-    n: int,
+def add_rolling_totals(
+    df: DataFrame,
+    series: Mapping[str, str],
+    wanted: Mapping[str, tuple[str, int]],
     *,
     key: str = ASSET,
     order: str = DATE,
     by: Sequence[str] = (),
-    finite: bool = False,
     exact: bool = False,
-) -> Column:
-    """Count-guarded rolling sample std (ddof 1) as one Column (prefix form).
+) -> DataFrame:
+    """``out -> (series, n)``: the sum of that series over the current and ``n - 1`` previous rows, as a double.
 
-    A zero (or rounding-noise) variance yields NULL.  Prefix differences
-    leave noise of either sign where the true variance is zero; the noise
-    scales with the running sum of squares, hence the relative bound.
+    A series is SQL text without NULLs (a row that doesn't count is 0).  Rows before the first count
+    as 0, too: guard a sum by a count.  Any number of series and window lengths
+    share three Window operators: row numbers, sums inside blocks of as many rows as the
+    longest window has, and one look back per length, at an array of all sums.
     """
-    v = col(x) if finite else finite_or_null(x)
+    if any(n < 1 for _, n in wanted.values()):
+        raise ValueError("window must be >= 1 row")
+    given, keys, o = df.columns, ", ".join(map(quoted, (*by, key))), quoted(order)
+    over = f"PARTITION BY {keys} ORDER BY {o}"
+    used = {s: _tmp("s") for s, _ in wanted.values()}
+    df = with_sql(df, {t: f"CAST({series[s]} AS DOUBLE)" for s, t in used.items()})
     if exact:
-        frame = series_window(key, order, by).rowsBetween(-(n - 1), Window.currentRow)
-        sd = F.stddev_samp(v).over(frame)
-        return F.when((F.count(v).over(frame) == n) & (sd > 0), sd)
-    s1 = rolling_sum_col(v, n, key=key, order=order, by=by, finite=True)
-    s2 = rolling_sum_col(v * v, n, key=key, order=order, by=by, finite=True)
-    w = series_window(key, order, by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run2 = F.sum(F.coalesce(v * v, F.lit(0.0))).over(w)
-    var = (s2 - s1 * s1 / F.lit(float(n))) / F.lit(float(n - 1))
-    noise = F.lit(1e-12) * run2 / F.lit(float(n))
-    return F.when(var > noise, F.sqrt(var))
+        sums = {out: f"sum({used[s]}) OVER ({over} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for out, (s, n) in wanted.items()}
+        return with_sql(df, sums).select(*map(quoted, given), *wanted)
+
+    size = max(n for _, n in wanted.values())
+    row, block, packed = _tmp("row"), _tmp("block"), _tmp("packed")
+    df = with_sql(df, {row: f"row_number() OVER ({over})"})
+    df = with_sql(df, {block: f"CAST(({row} - 1) DIV {size} AS DOUBLE)"})
+    run, total = {s: _tmp("run") for s in used}, {s: _tmp("total") for s in used}
+    inside, frame = f"PARTITION BY {keys}, {block} ORDER BY {o}", "ROWS BETWEEN UNBOUNDED PRECEDING AND"
+    sums = {run[s]: f"sum({t}) OVER ({inside} {frame} CURRENT ROW)" for s, t in used.items()}
+    sums |= {total[s]: f"sum({t}) OVER ({inside} {frame} UNBOUNDED FOLLOWING)" for s, t in used.items()}
+    df = with_sql(df, sums)
+    # what a row n back has to tell: its block, what was still to come in that, and what there was so far
+    told = [block, *[f"{total[s]} - {run[s]}" for s in used], *[run[s] for s in used]]
+    lengths = {n for _, n in wanted.values()}
+    df = with_sql(df, {packed: f"array({', '.join(told if lengths != {size} else told[: 1 + len(used)])})"})
+    back = {n: _tmp("back") for n in lengths}
+    df = with_sql(df, {b: f"lag({packed}, {n}) OVER ({over})" for n, b in back.items()})
+    at, sums = {s: i + 1 for i, s in enumerate(used)}, {}
+    for out, (s, n) in wanted.items():
+        b = back[n]
+        earlier = f"coalesce({b}[{at[s]}], 0D)"
+        if n < size:  # then the row n back may lie in the same block
+            earlier = f"CASE WHEN {b}[0] = {block} THEN -{b}[{len(used) + at[s]}] ELSE {earlier} END"
+        sums[out] = f"{run[s]} + {earlier}"
+    return with_sql(df, sums).select(*map(quoted, given), *wanted)
 
 
 def add_rolling_sums(
@@ -143,49 +147,37 @@ def add_rolling_sums(
     regressor are present.  ``finite=True`` declares the expressions free
     of NaN/inf already (they are then not wrapped again).
     """
-    if n < 1:
-        raise ValueError("window must be >= 1 row")
-    w = series_window(key, order, by)
-    names = list(exprs)
-    vals = {}
-    for name in names:
-        v = col(exprs[name]) if finite else finite_or_null(exprs[name])
-        vals[name] = F.when(valid, v) if valid is not None else v
-    if exact:
-        frame = w.rowsBetween(-(n - 1), Window.currentRow)
-        out = {}
-        if valid is not None:
-            cnt = F.sum(F.when(valid, 1).otherwise(0)).over(frame)
-            for name in names:
-                out[name] = F.when(cnt == n, F.sum(vals[name]).over(frame))
-            if count_out:
-                out[count_out] = cnt
-        else:
-            for name in names:
-                out[name] = F.when(
-                    F.count(vals[name]).over(frame) == n, F.sum(vals[name]).over(frame)
-                )
-        return df.withColumns(out)
-
-    # prefix form: running sum to the current row minus running sum to the
-    # row n back.  Both are growing frames of the same window spec, so Spark
-    # evaluates them in one Window operator in a single pass (a lag of the
-    # running sum would add a second, much slower offset-frame operator).
-    now = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    prev = w.rowsBetween(Window.unboundedPreceding, -n)
-
-    def rolling(e: Column) -> Column:
-        return F.sum(e).over(now) - F.coalesce(F.sum(e).over(prev), F.lit(0))
-
-    out = {}
+    clean = {name: _tmp("v") for name in exprs}
+    given = df.columns
+    df = df.withColumns({c: col(exprs[x]) if finite else finite_or_null(exprs[x]) for x, c in clean.items()})
+    shared = _tmp("ok")
     if valid is not None:
-        cnt = rolling(F.when(valid, 1).otherwise(0))
-        if count_out:
-            out[count_out] = cnt
-    for name in names:
-        c = cnt if valid is not None else rolling(F.when(vals[name].isNotNull(), 1).otherwise(0))
-        out[name] = F.when(c == n, rolling(F.coalesce(vals[name], F.lit(0.0))))
-    return df.withColumns(out)
+        df = df.withColumn(shared, F.coalesce(valid, F.lit(False)))
+    series, wanted = {}, {}
+    for name, c in clean.items():
+        mask = shared if valid is not None else f"{c} IS NOT NULL"
+        series[name], series[f"n {name}"] = f"CASE WHEN {mask} THEN coalesce({c}, 0D) ELSE 0D END", f"CASE WHEN {mask} THEN 1 ELSE 0 END"
+        wanted[f"{c}_sum"], wanted[f"{c}_n"] = (name, n), (f"n {name}", n)
+    df = add_rolling_totals(df, series, wanted, key=key, order=order, by=by, exact=exact)
+    out = {x: F.when(F.col(f"{c}_n") == n, F.col(f"{c}_sum")) for x, c in clean.items()}
+    if count_out and valid is not None:
+        out[count_out] = F.col(f"{next(iter(clean.values()))}_n").cast("long")
+    return df.withColumns(out).select(*[quoted(c) for c in dict.fromkeys([*given, *out])])
+
+
+def anchor_column(v: ColumnOrName, *, key: str = ASSET, order: str = DATE, by: Sequence[str] = ()) -> Column:
+    """The series' first valid value: what is far from zero gets near to it less this (a window expression)."""
+    w = series_window(key, order, by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return F.first(v, ignorenulls=True).over(w)
+
+
+def std_from_totals(n: int, count: str, total: str, squares: str) -> str:
+    """Sample deviation (ddof 1) of a full window, as SQL, from the sums of the values less their anchor.
+
+    A variance of zero, or within the rounding of the sums, yields NULL, so a later ratio is NULL rather than inf.
+    """
+    var = f"({squares} - {total} * {total} / {n}D) / {max(n - 1, 1)}D"
+    return f"CASE WHEN {count} = {n} AND {var} > 1e-13D * {squares} THEN sqrt({var}) END"
 
 
 def add_rolling_std(
@@ -199,15 +191,26 @@ def add_rolling_std(
     by: Sequence[str] = (),
     exact: bool = False,
 ) -> DataFrame:
-    """Sample standard deviation (ddof 1) of ``x`` over ``n`` rows, count-guarded.
-
-    A zero (or rounding-noise) variance yields NULL, so a later ratio is
-    NULL rather than inf.
-    """
-    xv = _tmp("x")
-    df = df.withColumn(xv, finite_or_null(x))
-    df = df.withColumn(out, rolling_std_col(xv, n, key=key, order=order, by=by, finite=True, exact=exact))
-    return df.drop(xv)
+    """Sample standard deviation (ddof 1) of ``x`` over ``n`` rows, count-guarded; NULL where it is zero."""
+    v = _tmp("x")
+    df = df.withColumn(v, finite_or_null(x))
+    if exact:
+        frame = series_window(key, order, by).rowsBetween(-(n - 1), Window.currentRow)
+        sd = F.stddev_samp(v).over(frame)
+        return df.withColumn(out, F.when((F.count(v).over(frame) == n) & (sd > 0), sd)).drop(v)
+    anchor = _tmp("anchor")
+    df = df.withColumn(anchor, anchor_column(v, key=key, order=order, by=by))
+    series = deviation_series(v, anchor)
+    names = {x: _tmp("dev") for x in series}
+    df = add_rolling_totals(df, series, {names[x]: (x, n) for x in series}, key=key, order=order, by=by)
+    df = df.withColumn(out, F.expr(std_from_totals(n, *names.values())))
+    return df.drop(v, anchor, *names.values())
+
+
+def deviation_series(v: str, anchor: str) -> dict[str, str]:
+    """Count, sum and sum of squares that a rolling deviation of column ``v`` needs, as series of SQL."""
+    d = f"coalesce({v} - {anchor}, 0D)"
+    return {f"n {v}": f"CASE WHEN {v} IS NULL THEN 0 ELSE 1 END", f"s {v}": d, f"q {v}": f"{d} * {d}"}
 
 
 def cross_section_stats(

@@ -26,6 +26,8 @@ LOCAL_CONF = {
     "spark.ui.enabled": "false",
     "spark.driver.memory": "16g",
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
+    # the JVM compiles no method over 8000 bytes: stages of many generated expressions run split instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # reclaim checkpoint files once their DataFrames are gone
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }

@@ -133,20 +133,21 @@ def test_solve_needs_no_package_on_the_workers():
 
     from pyspark import cloudpickle
 
-    from panelsignal.operators.ols import ols_table_from_sums, solve_centered
+    from panelsignal.operators.factor_risk import solve_date
+    from panelsignal.operators.ols import ols_table_from_sums
 
-    sent = cloudpickle.dumps((solve_centered, ols_table_from_sums))
+    sent = cloudpickle.dumps((solve_date, ols_table_from_sums))
     assert pickle.loads(sent)
     code = "import pickle, sys; sys.modules['panelsignal'] = None; pickle.loads(sys.stdin.buffer.read())"
     subprocess.run([sys.executable, "-c", code], input=sent, check=True, cwd="/")
 
 
-def test_one_python_node_for_a_filtered_regression(spark):
+def test_no_python_node_for_a_filtered_regression(spark):
     from panelsignal.plans.inspect import plan_summary
 
     df = E.queries()["rolling_ols_ff5"](spark, "/root/testdata/sf0.001")
     df.collect()
-    assert plan_summary(df)["python_nodes"] == 1
+    assert plan_summary(df)["python_nodes"] == 0
 
 
 def test_ten_signals_join_per_date_tables_by_broadcast_over_the_whole_span(spark):

@@ -93,3 +93,34 @@ def test_vol_scaled_momentum_matches_pandas(spark):
     s = pd.Series(r)
     exp = (np.log1p(s).rolling(10).sum() / s.rolling(10).std()).shift(2)
     np.testing.assert_allclose(got, exp, atol=1e-12, equal_nan=True)
+
+
+def test_price_levels_over_a_long_series_are_as_exact_as_sliding_frames(spark):
+    """Errors don't grow with the series, and a level far from zero costs no digits of the deviation."""
+    rng = np.random.default_rng(8)
+    level = 1000.0 + np.cumsum(rng.normal(0, 0.5, 7000))
+    df = panel_df(spark, [(i, 1, float(v)) for i, v in enumerate(level)])
+    out = {}
+    for exact in (False, True):
+        d = add_rolling_sums(df, {"s": F.col("return")}, 230, exact=exact)
+        d = add_rolling_std(d, "return", 230, "sd", exact=exact)
+        out[exact] = d.orderBy("date").toPandas()[["s", "sd"]].astype(float)
+    np.testing.assert_allclose(out[False], out[True], rtol=1e-9, equal_nan=True)
+    exp = pd.Series(level).rolling(230).std()
+    np.testing.assert_allclose(out[False]["sd"], exp, rtol=1e-9, equal_nan=True)
+
+
+def test_windows_of_several_lengths_share_one_pass(spark):
+    from panelsignal.operators.windows import add_rolling_totals
+
+    rng = np.random.default_rng(9)
+    values = rng.normal(size=(3, 50))
+    df = panel_df(spark, [(i, a, float(values[a, i])) for a in range(3) for i in range(50)])
+    wanted = {"a": ("x", 1), "b": ("x", 4), "c": ("x", 13), "d": ("y", 7), "e": ("y", 13)}
+    got = add_rolling_totals(df, {"x": "`return`", "y": "`return` * 2"}, wanted)
+    assert got.columns == [*df.columns, *wanted]
+    got = got.toPandas().sort_values(["asset_id", "date"])
+    for a, g in got.groupby("asset_id"):
+        for out, (s, n) in wanted.items():
+            exp = pd.Series(values[a] * (2 if s == "y" else 1)).rolling(n, min_periods=1).sum()
+            np.testing.assert_allclose(g[out], exp, atol=1e-12)

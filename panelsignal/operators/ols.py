@@ -216,23 +216,22 @@ def add_residual(
 
 
 def ols_sums(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """One pass: all cross-product sums per group (partial aggregation)."""
-    k = len(xs)
+    """One pass: count, means and centred moments per group (merged pairwise by partial aggregation, so
+    values far from zero cost no digits)."""
     valid = F.col(y).isNotNull()
     for x in xs:
         valid = valid & F.col(x).isNotNull()
-    v = lambda e: F.when(valid, e)
-    aggs = [F.count(v(F.lit(1))).cast("double").alias("n"), F.sum(v(F.col(y))).alias("sy")]
-    aggs.append(F.sum(v(F.col(y) * F.col(y))).alias("syy"))
-    aggs += [F.sum(v(F.col(x))).alias(f"sx{i}") for i, x in enumerate(xs)]
-    aggs += [F.sum(v(F.col(x) * F.col(y))).alias(f"sxy{i}") for i, x in enumerate(xs)]
-    aggs += [F.sum(v(F.col(xs[i]) * F.col(xs[j]))).alias(f"sxx{i}{j}") for i, j in _pairs(k)]
+    v = [F.when(valid, F.col(c)) for c in (*xs, y)]
+    names = [*(str(i) for i in range(len(xs))), "y"]
+    aggs = [F.count(F.when(valid, 1)).cast("double").alias("n")]
+    aggs += [F.avg(c).alias(f"m_{i}") for i, c in zip(names, v)]
+    aggs += [F.covar_pop(v[i], v[j]).alias(f"c_{names[i]}_{names[j]}") for i, j in _pairs(len(v))]
     g = df.groupBy(*keys) if keys else df.groupBy()
     return g.agg(*aggs)
 
 
 def ols_table_from_sums(sums: pd.DataFrame, xs: Sequence[str], intercept: str = "Intercept") -> pd.DataFrame:
-    """Coefficients and classical t-stats from the sums of one group.
+    """Coefficients and classical t-stats from the moments of one group.
 
     s^2 = RSS / (n - k - 1), t_j = b_j / sqrt(s^2 (X'X)^-1_jj), intercept
     included (statsmodels formula defaults).  Degenerate fits -> NaN.
@@ -244,23 +243,20 @@ def ols_table_from_sums(sums: pd.DataFrame, xs: Sequence[str], intercept: str =
     nan = pd.DataFrame({"variable": names, "coefficient": np.nan, "tstat": np.nan})
     if not np.isfinite(n) or n <= k + 1:
         return nan
-    xtx = np.empty((k + 1, k + 1))
-    xty = np.empty(k + 1)
-    xtx[0, 0] = n
-    xty[0] = r["sy"]
-    for i in range(k):
-        xtx[0, i + 1] = xtx[i + 1, 0] = r[f"sx{i}"]
-        xty[i + 1] = r[f"sxy{i}"]
+    mean = np.array([r[f"m_{i}"] for i in range(k)], dtype=float)
+    c = np.empty((k, k))
     for i, j in _pairs(k):
-        xtx[i + 1, j + 1] = xtx[j + 1, i + 1] = r[f"sxx{i}{j}"]
+        c[i, j] = c[j, i] = n * float(r[f"c_{i}_{j}"])
+    cy = n * np.array([r[f"c_{i}_y"] for i in range(k)], dtype=float)
     try:
-        inv = np.linalg.inv(xtx)
+        inv = np.linalg.inv(c)
     except np.linalg.LinAlgError:
         return nan
-    b = inv @ xty
-    rss = float(r["syy"]) - float(b @ xty)
-    s2 = rss / (n - k - 1)
-    se = np.sqrt(np.clip(s2 * np.diag(inv), 0.0, None))
+    slopes = inv @ cy
+    s2 = (n * float(r["c_y_y"]) - float(slopes @ cy)) / (n - k - 1)
+    spread = np.concatenate(([1.0 / n + mean @ inv @ mean], np.diag(inv)))
+    se = np.sqrt(np.clip(s2 * spread, 0.0, None))
+    b = np.concatenate(([float(r["m_y"]) - float(slopes @ mean)], slopes))
     with np.errstate(all="ignore"):
         t = np.where(se > 0, b / se, np.nan)
     return pd.DataFrame({"variable": names, "coefficient": b, "tstat": t})

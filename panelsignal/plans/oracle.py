@@ -411,13 +411,13 @@ SELECT {GAMMA}::DOUBLE AS gamma, {rnd('vol', 8)} AS volatility, 0.05::DOUBLE AS
 FROM (SELECT stddev_samp("return") * sqrt(252.0) AS vol FROM pr)"""
 
 
-def _regression_data(xs: list[str]) -> str:
+def _regression_data(xs: list[str], by: str = "") -> str:
     leads = ", ".join(f"lead({c}, 1) OVER (ORDER BY date) AS {c}" for c in [*xs, "rf"])
     xsel = ", ".join(f"sf.{x} * 100 AS {x}" for x in xs)
     nn = " AND ".join(f"{x} IS NOT NULL" for x in ["y", *xs])
     return f"""
 sf AS (SELECT date, {leads} FROM factors),
-rd0 AS (SELECT (pr."return" - sf.rf) * 100 AS y, {xsel}
+rd0 AS (SELECT {by}(pr."return" - sf.rf) * 100 AS y, {xsel}
         FROM pr LEFT JOIN sf ON pr.date = sf.date WHERE pr."return" IS NOT NULL),
 rd AS (SELECT * FROM rd0 WHERE {nn})"""
 
@@ -440,9 +440,10 @@ def _minor(m: list[list[str]], r: int, c: int) -> list[list[str]]:
     return [[m[i][j] for j in range(len(m)) if j != c] for i in range(len(m)) if i != r]
 
 
-def regression_multi_sql(xs: list[str]) -> str:
+def regression_multi_sql(xs: list[str], by_signal: bool = False) -> str:
     """OLS with intercept and classical t-stats by Cramer's rule on centred moments."""
     k = len(xs)
+    by, group = ("signal, ", " GROUP BY signal") if by_signal else ("", "")
     mom = ["count(*) AS n", "avg(y) AS my", "var_pop(y) AS vy"]
     for i, x in enumerate(xs):
         mom.append(f"avg({x}) AS m_{i}")
@@ -466,19 +467,19 @@ def regression_multi_sql(xs: list[str]) -> str:
         f"{'2 * ' if i != j else ''}m_{i} * m_{j} * a_{i}_{j}" for i in range(k) for j in range(i, k)
     )
     const = "my - (" + " + ".join(f"b_{i} * m_{i}" for i in range(k)) + ")"
-    ctes = [*_momentum_portfolio(), FACTORS, _regression_data(xs)]
+    ctes = [*(_long_portfolio() if by_signal else [*_momentum_portfolio(), FACTORS]), _regression_data(xs, by)]
     ctes.append(f"""
-mo AS (SELECT {', '.join(mom)} FROM rd),
+mo AS (SELECT {by}{', '.join(mom)} FROM rd{group}),
 md AS (SELECT *, {det} AS det FROM mo),
 mb AS (SELECT *, {', '.join(betas)}, {', '.join(adj)} FROM md),
 ms AS (SELECT *, n * (vy - ({fit})) / (n - {k} - 1) AS s2, {const} AS b_c FROM mb)""")
     rows_ = [
-        f"SELECT 'Intercept' AS variable, {rnd('b_c')} AS coefficient, "
+        f"SELECT {by}'Intercept' AS variable, {rnd('b_c')} AS coefficient, "
         f"{rnd(f'b_c / NULLIF(sqrt(s2 * (1.0 / n + ({quad}) / det / n)), 0)')} AS tstat FROM ms"
     ]
     for i, x in enumerate(xs):
         rows_.append(
-            f"SELECT '{x}', {rnd(f'b_{i}')}, {rnd(f'b_{i} / NULLIF(sqrt(s2 * a_{i}_{i} / det / n), 0)')} FROM ms"
+            f"SELECT {by}'{x}', {rnd(f'b_{i}')}, {rnd(f'b_{i} / NULLIF(sqrt(s2 * a_{i}_{i} / det / n), 0)')} FROM ms"
         )
     return with_ctes(*ctes) + "\n" + "\nUNION ALL\n".join(rows_)
 
@@ -755,6 +756,17 @@ FROM (SELECT date, sqrt(252.0 * sum(weight * weight * specific_risk * specific_r
       FROM wts JOIN panel USING (date, asset_id) GROUP BY date)"""
 
 
+def weights_by_pairs_sql() -> str:
+    weights = weights_ctes(("ZeroBeta", "ZeroInvestment"), src="lal", keys="date, signal", gamma=gamma_case())
+    return with_ctes(*long_ctes(), *weights) + f"""
+SELECT date, signal, asset_id, {rnd('weight', 8)} AS weight FROM wts"""
+
+
+def panel_scan_universe_sql() -> str:
+    return with_ctes(PANEL) + f"""
+SELECT date, asset_id, {rnd('price', 10)} AS price, {rnd('"return"', 8)} AS "return" FROM panel WHERE price >= {PRICE_MIN}"""
+
+
 def gamma_ex_ante_by_signal_sql() -> str:
     ctes = [
         *long_ctes(),
@@ -853,4 +865,8 @@ def oracle_sql() -> dict[str, str]:
         "ex_ante_risk_full": ex_ante_risk_full_sql(),
         "gamma_ex_ante": gamma_ex_ante_sql(),
         "gamma_ex_ante_by_signal": gamma_ex_ante_by_signal_sql(),
+        "weights_by_pairs": weights_by_pairs_sql(),
+        "panel_scan_universe": panel_scan_universe_sql(),
+        "summary_roundtrip": summary_by_signal_sql(),
+        "factor_regression_ff5_by_signal": regression_multi_sql(FF5, by_signal=True),
     }

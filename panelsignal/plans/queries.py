@@ -56,7 +56,7 @@ from panelsignal.sources.fixtures import (
     read_table,
 )
 from panelsignal.session import scratch_path
-from panelsignal.sources.io import read_alphas, read_weights, write_alphas, write_weights
+from panelsignal.sources.io import read_alphas, read_weights, write_alphas, write_result, write_weights
 from panelsignal.sources.schema import Span, load_assets, load_factors
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -441,6 +441,43 @@ def _portfolio_stored(fx: Fixture) -> DataFrame:
     return finish(portfolio_returns(w, forward_return_panel(fx.panel)), 10)
 
 
+@register("weights_by_pairs")
+def _weights_by_pairs(fx: Fixture) -> DataFrame:
+    """Weights of all ten signals, each with its own gamma, stored with one portfolio more; the ten read back."""
+    root = scratch_path(fx.spark, "weights")
+    gammas = [(n, s.gamma) for n, s in STUDY_SIGNALS.items()]
+    w = long_weights(fx).select("date", "signal", "asset_id", "weight")
+    gamma = F.element_at(F.create_map(*[F.lit(x) for n, g in gammas for x in (n, float(g))]), F.col("signal"))
+    own = (F.col("signal") == "momentum") & (gamma != 60.0)
+    # the stray portfolio has a signal and a gamma that others are asked for
+    stray = F.when(own, F.array(gamma, F.lit(60.0))).otherwise(F.array(gamma))
+    write_weights(w.withColumn("gamma", F.explode(stray)), root)
+    back = read_weights(fx.spark, root, pairs=gammas)
+    return finish(back.select("date", "signal", "asset_id", "weight"), 8)
+
+
+@register("panel_scan_universe")
+def _panel_scan_universe(fx: Fixture) -> DataFrame:
+    """The panel's rows inside the universe flag, with a column list."""
+    source = panel_from_lineitem(fx.lineitem).withColumn("in_universe", F.col("price") >= PRICE_MIN)
+    columns = ["date", "asset_id", "price", "return"]
+    return finish(load_assets(source, fx.span, columns, in_universe="in_universe"), fine=FRACTIONS)
+
+
+@register("summary_roundtrip")
+def _summary_roundtrip(fx: Fixture) -> DataFrame:
+    """The per-signal summary written as a result table and read back."""
+    path = scratch_path(fx.spark, "summary")
+    write_result(performance_summary(long_portfolio(fx), by=("signal",)), path)
+    return finish(fx.spark.read.parquet(path), 8)
+
+
+@register("factor_regression_ff5_by_signal")
+def _reg_ff5_by_signal(fx: Fixture) -> DataFrame:
+    """A5/C10 for all ten signals: FF5 regression of each portfolio with classical t-stats."""
+    return finish(factor_regression(long_portfolio(fx), fx.factors, FF5, by=("signal",), max_dates=fx.span.days))
+
+
 @register("distinct_years")
 def _distinct_years(fx: Fixture) -> DataFrame:
     """Distinct years present in the alphas."""

@@ -9,6 +9,8 @@ overwrite one another (dynamic partition overwrite).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,16 +19,22 @@ from panelsignal.sources.schema import DATE
 
 
 def write_alphas(alphas: DataFrame, path: str, signal: str | None = None) -> None:
-    """Alphas partitioned by signal."""
+    """Alphas partitioned by signal / year, sorted by (date, asset) as :func:`write_weights` does."""
     df = alphas if signal is None else alphas.withColumn("signal", F.lit(signal))
     (
-        df.write.mode("overwrite")
+        _laid_out(df.withColumn("year", F.year(DATE)), "signal", DATE, "asset_id")
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("signal")
+        .partitionBy("signal", "year")
         .parquet(path)
     )
 
 
+def _laid_out(df: DataFrame, *order: str) -> DataFrame:
+    """Rows in the given order over all files: ranges of it to tasks, sorted inside them."""
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def write_weights(weights: DataFrame, path: str, signal: str | None = None, gamma: float | None = None) -> None:
     """Weights partitioned by signal / gamma / year (dynamic overwrite).
 
@@ -43,7 +51,7 @@ def write_weights(weights: DataFrame, path: str, signal: str | None = None, gamm
         df = df.withColumn("gamma", F.lit(float(gamma)))
     df = df.withColumn("year", F.year(DATE))
     (
-        df.repartitionByRange("signal", "gamma", DATE, "asset_id")
+        _laid_out(df, "signal", "gamma", DATE, "asset_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("signal", "gamma", "year")
@@ -58,9 +66,18 @@ def read_weights(
     gammas: Sequence[float] | None = None,
     start=None,
     end=None,
+    *,
+    pairs: Sequence[tuple[str, float]] | None = None,
 ) -> DataFrame:
-    """One partitioned read; signal/gamma/date filters prune partitions."""
+    """One partitioned read; signal/gamma/date filters prune partitions.
+
+    ``pairs``: the (signal, gamma) portfolios wanted, each with its own gamma (``signals`` and ``gammas`` filter
+    independently of one another, so they'd also return a signal stored with another one's gamma).
+    """
     df = spark.read.parquet(path)
+    if pairs is not None:
+        wanted = [(F.col("signal") == s) & (F.col("gamma") == F.lit(float(g))) for s, g in pairs]
+        df = df.where(reduce(or_, wanted, F.lit(False)))
     if signals is not None:
         df = df.where(F.col("signal").isin(list(signals)))
     if gammas is not None:
@@ -73,15 +90,15 @@ def read_weights(
 
 
 def read_alphas(spark: SparkSession, path: str, signals: Sequence[str] | None = None, start=None, end=None) -> DataFrame:
-    """Stored alphas of some or all signals; the signal filter prunes folders, the dates row groups."""
+    """Stored alphas of some or all signals; signals and years prune folders, the dates row groups."""
     df = spark.read.parquet(path)
     if signals is not None:
         df = df.where(F.col("signal").isin(list(signals)))
     if start is not None:
-        df = df.where(F.col(DATE) >= F.lit(start))
+        df = df.where((F.col(DATE) >= F.lit(start)) & (F.col("year") >= F.lit(start.year)))
     if end is not None:
-        df = df.where(F.col(DATE) <= F.lit(end))
-    return df
+        df = df.where((F.col(DATE) <= F.lit(end)) & (F.col("year") <= F.lit(end.year)))
+    return df.drop("year")
 
 
 def write_result(df: DataFrame, path: str) -> None:

@@ -22,7 +22,7 @@ def write_alphas(alphas: DataFrame, path: str, signal: str | None = None) -> Non
     """Alphas partitioned by signal / year, sorted by (date, asset) as :func:`write_weights` does."""
     df = alphas if signal is None else alphas.withColumn("signal", F.lit(signal))
     (
-        _laid_out(df.withColumn("year", F.year(DATE)), "signal", DATE, "asset_id")
+        _laid_out(df.withColumn("year", F.year(DATE)), "signal", "year", DATE, "asset_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("signal", "year")
@@ -31,7 +31,8 @@ def write_alphas(alphas: DataFrame, path: str, signal: str | None = None) -> Non
 
 
 def _laid_out(df: DataFrame, *order: str) -> DataFrame:
-    """Rows in the given order over all files: ranges of it to tasks, sorted inside them."""
+    """Rows in the given order over all files: ranges of it to tasks, sorted inside them (folder columns first:
+    a writer that finds another order sorts again, by those alone)."""
     return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
@@ -51,7 +52,7 @@ def write_weights(weights: DataFrame, path: str, signal: str | None = None, gamm
         df = df.withColumn("gamma", F.lit(float(gamma)))
     df = df.withColumn("year", F.year(DATE))
     (
-        _laid_out(df, "signal", "gamma", DATE, "asset_id")
+        _laid_out(df, "signal", "gamma", "year", DATE, "asset_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("signal", "gamma", "year")

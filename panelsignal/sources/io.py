@@ -19,10 +19,11 @@ from panelsignal.sources.schema import DATE
 
 
 def write_alphas(alphas: DataFrame, path: str, signal: str | None = None) -> None:
-    """Alphas partitioned by signal / year, sorted by (date, asset) as :func:`write_weights` does."""
+    """Alphas partitioned by signal / year, in files of date ranges as :func:`write_weights` has them."""
     df = alphas if signal is None else alphas.withColumn("signal", F.lit(signal))
     (
-        _laid_out(df.withColumn("year", F.year(DATE)), "signal", "year", DATE, "asset_id")
+        df.withColumn("year", F.year(DATE))
+        .repartitionByRange("signal", DATE, "asset_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("signal", "year")
@@ -30,12 +31,6 @@ def write_alphas(alphas: DataFrame, path: str, signal: str | None = None) -> Non
     )
 
 
-def _laid_out(df: DataFrame, *order: str) -> DataFrame:
-    """Rows in the given order over all files: ranges of it to tasks, sorted inside them (folder columns first:
-    a writer that finds another order sorts again, by those alone)."""
-    return df.repartitionByRange(*order).sortWithinPartitions(*order)
-
-
 def write_weights(weights: DataFrame, path: str, signal: str | None = None, gamma: float | None = None) -> None:
     """Weights partitioned by signal / gamma / year (dynamic overwrite).
 
@@ -52,7 +47,7 @@ def write_weights(weights: DataFrame, path: str, signal: str | None = None, gamm
         df = df.withColumn("gamma", F.lit(float(gamma)))
     df = df.withColumn("year", F.year(DATE))
     (
-        _laid_out(df, "signal", "gamma", "year", DATE, "asset_id")
+        df.repartitionByRange("signal", "gamma", DATE, "asset_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("signal", "gamma", "year")
@@ -69,11 +64,13 @@ def read_weights(
     end=None,
     *,
     pairs: Sequence[tuple[str, float]] | None = None,
+    ordered: bool = False,
 ) -> DataFrame:
     """One partitioned read; signal/gamma/date filters prune partitions.
 
     ``pairs``: the (signal, gamma) portfolios wanted, each with its own gamma (``signals`` and ``gammas`` filter
     independently of one another, so they'd also return a signal stored with another one's gamma).
+    ``ordered`` (O2): rows come by (date, asset); a range sort, so no task holds a whole date.
     """
     df = spark.read.parquet(path)
     if pairs is not None:
@@ -87,7 +84,7 @@ def read_weights(
         df = df.where((F.col(DATE) >= F.lit(start)) & (F.col("year") >= F.lit(start.year)))
     if end is not None:
         df = df.where((F.col(DATE) <= F.lit(end)) & (F.col("year") <= F.lit(end.year)))
-    return df
+    return df.orderBy(DATE, "asset_id") if ordered else df
 
 
 def read_alphas(spark: SparkSession, path: str, signals: Sequence[str] | None = None, start=None, end=None) -> DataFrame:

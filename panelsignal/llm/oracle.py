@@ -52,7 +52,7 @@ def oracle_sql() -> dict[str, str]:
                 FROM w LEFT JOIN cov USING (doc_id)
             )
             SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-                NOT base_failed AND n_words BETWEEN 50 AND 100000
+                NOT base_failed
                 AND word_chars / n1 BETWEEN 3.0 AND 10.0
                 AND n_symbols / n1 <= 0.1 AND n_excl / n1 <= 0.1
                 AND n_stop / n1 >= 0.06

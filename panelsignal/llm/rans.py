@@ -31,12 +31,14 @@ result (and a table file only).
 
 from __future__ import annotations
 
+import json
+import math
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelsignal.llm.common import text_or_empty, written
@@ -235,6 +237,19 @@ def frequencies(ids: DataFrame) -> np.ndarray:
     return Table.scaled(counts)
 
 
+def cuts_below(column: str, cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` are at or below the column: looked up in two steps of about their square root."""
+    if not cuts:
+        return F.lit(0)
+    size = math.isqrt(len(cuts)) + 1
+    runs = [cuts[i : i + size] for i in range(0, len(cuts), size)]
+    table = F.from_json(F.lit(json.dumps(runs)), "array<array<bigint>>")
+    heads = F.from_json(F.lit(json.dumps([r[0] for r in runs])), "array<bigint>")
+    before = F.size(F.filter(heads, lambda c: c <= F.col(column)))
+    inside = F.size(F.filter(F.get(table, before - 1), lambda c: c <= F.col(column)))
+    return F.when(before == 0, 0).otherwise((before - 1) * size + inside)
+
+
 def write_ids(
     docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text: str = "text"
 ) -> None:
@@ -248,18 +263,11 @@ def write_ids(
     total = ids.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total // TOKENS_PER_PART))
     cuts = ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
-    cuts = np.array(sorted({int(c) for c in cuts}), np.int64)
-
-    def place_in_part(batches):
-        for batch in batches:
-            at = np.searchsorted(cuts, batch.column(0).fill_null(0).to_numpy(), side="right")
-            part = np.where(batch.column(0).is_null().to_numpy(zero_copy_only=False), 0, at).astype(np.int64)
-            yield pa.record_batch([*batch.columns, pa.array(part)], names=[*batch.schema.names, "part"])
+    cuts = sorted({int(c) for c in cuts})
 
-    def parted(*columns: str) -> DataFrame:
-        return ids.select(*columns).mapInArrow(place_in_part, ", ".join(f"{c} {k}" for c, k in ids.select(*columns).dtypes) + ", part long")
+    parted = ids.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(cuts_below("doc_id", cuts)).cast("long"))
 
-    sums = {r["part"]: r["n"] for r in parted("doc_id", "n").groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    sums = {r["part"]: r["n"] for r in parted.groupBy("part").agg(F.sum("n").alias("n")).collect()}
     firsts, at = {}, 0
     for p in sorted(sums):
         firsts[p], at = at, at + sums[p]
@@ -291,8 +299,7 @@ def write_ids(
             yield block()
 
     blocks = (
-        parted("doc_id", "n", "ids")
-        .select("part", "doc_id", "n", "ids")
+        parted.select("part", "doc_id", "n", "ids")
         .repartitionByRange(max(1, len(firsts)), "part")
         .sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids")
         .mapInArrow(run, "block binary")

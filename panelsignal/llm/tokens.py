@@ -5,12 +5,18 @@ split reaches over a blank that stands before a word; so a text's ids are
 those of its words, each with the blank before it, in order.  A worker keeps
 the ids of the words it has met (two generations of at most ``MEMO`` words, so
 that frequent words stay) and computes only new ones, batch by batch.
+
+A text that holds the string of one of a vocabulary's added tokens (such as
+``<|endoftext|>``) goes through the library whole, as such strings are cut out
+before anything else happens to a text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 from array import array
 
 MEMO = 500_000
@@ -71,6 +77,14 @@ class Memo:
         self.old: dict = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        whole = getattr(self.learn, "whole", None)  # words of a library's vocabulary know their added tokens
+        apart = {i: whole(t) for i, t in enumerate(texts) if self.learn.holds_added(t)} if whole else {}
+        if not apart:
+            return self._by_words(texts)
+        rest = iter(self._by_words([t for i, t in enumerate(texts) if i not in apart]))
+        return [apart[i] if i in apart else next(rest) for i in range(len(texts))]
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
         young, old = self.young, self.old
         parts = [self.keys(t) for t in texts]
         unknown = []
@@ -81,7 +95,8 @@ class Memo:
             else:
                 young[k] = ids
         young.update(zip(unknown, self.learn(unknown)))
-        out = [b"".join(map(young.__getitem__, p)) for p in parts]
+        get = young.__getitem__
+        out = [b"".join(map(get, p)) for p in parts]
         for k in unknown:
             if len(k[0] if type(k) is tuple else k) > MEMO_CHARS:
                 del young[k]
@@ -105,15 +120,34 @@ class LibraryWords:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.pieces: dict[str, bytes] = {}
+        self.alphabet = _unicode_bytes()
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        self.added_normalised = [t.content for t in added if t.normalized]
+
+    def holds_added(self, text: str) -> bool:
+        if any(a in text for a in self.added):
+            return True
+        if not self.added_normalised or self.tokenizer.normalizer is None:
+            return False
+        normal = self.tokenizer.normalizer.normalize_str
+        return any(normal(a) in normal(text) for a in self.added_normalised)
+
+    def whole(self, text: str) -> bytes:
+        """A whole text's ids at the library's defaults."""
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _model_ids(self, piece: str) -> bytes:
+        """Ids of one split part, given in the byte-level alphabet."""
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def _ids(self, piece: str) -> bytes:
-        """Ids of one split part, given in the byte-level alphabet."""
+        """Ids of one split part."""
         out = self.pieces.get(piece)
         if out is None:
-            out = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+            out = self._model_ids(piece.encode().decode("latin-1").translate(self.alphabet))
             if len(piece) <= MEMO_CHARS:
                 if len(self.pieces) >= MEMO // 2:
                     self.pieces.clear()
@@ -129,33 +163,64 @@ class SpacedWords(LibraryWords):
         import regex
 
         self.split = regex.compile(explicit_white(pattern)).findall
-        self.alphabet = _unicode_bytes()
 
     def __call__(self, keys: list) -> list[bytes]:
-        ids, split, alphabet = self._ids, self.split, self.alphabet
-        return [
-            b"".join([ids(p.encode().decode("latin-1").translate(alphabet)) for p in split(spaced_text(k))])
-            for k in keys
-        ]
+        ids, split = self._ids, self.split
+        return [b"".join(map(ids, split(spaced_text(k)))) for k in keys]
 
 
 class BareWords(LibraryWords):
-    """For a vocabulary with a normaliser and word ends."""
+    """For a vocabulary with a normaliser (NFC, lower case) and word ends, whose split drops white space.
+
+    ``_SETTLED`` are letters and marks whose case and composition are the same in
+    every edition of Unicode in use and don't depend on their place; the split is
+    the vocabulary's own.  Words with others go through the library's normaliser and split.
+    """
+
+    _SETTLED = re.compile("[!-~\xa1-\u0377\u0384-\u03a2\u03a4-\u0481\u048a-\u0523\u1e00-\u1ef9\n]+").fullmatch
+    _MARKS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        import regex
+
+        # The normaliser's steps whose outcome ``_lower`` gives for settled words.
+        parts = json.loads(self.tokenizer.to_str())
+        steps = [n["type"] for n in (parts["normalizer"] or {}).get("normalizers", [])]
+        splits = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.settles = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"]
+        if self.settles:
+            self.split = regex.compile(explicit_white(splits[0]["pattern"]["Regex"])).findall
 
-    #: ASCII words with ASCII marks around them: lower case and this split are all that happens to them.
-    _plain = re.compile(r"[!-&(-/:-~]+").fullmatch
-    _plain_parts = re.compile(r"[a-z]+|[^a-z]+").findall
+    @staticmethod
+    def _lower(lines: str) -> str:
+        return (lines if lines.isascii() else unicodedata.normalize("NFC", lines)).lower()
 
     def __call__(self, keys: list[bytes]) -> list[bytes]:
-        ids, out = self._ids, []
-        normal, split = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
-        for k in keys:
-            w = k.decode()
-            if self._plain(w):
-                parts = self._plain_parts(w.lower())
+        if not keys:
+            return []
+        lines = b"\n".join(keys).decode()
+        words = lines.split("\n")
+        out = [b""] * len(words)
+        if not self.settles:
+            together = []
+        elif self._SETTLED(lines):
+            together = range(len(words))
+        else:
+            together = [i for i, w in enumerate(words) if self._SETTLED(w)]
+            lines = "\n".join([words[i] for i in together])
+        ids, marks, split = self._ids, self._MARKS, getattr(self, "split", None)
+        for i, w in zip(together, self._lower(lines).split("\n")):
+            if w.isalpha():
+                out[i] = ids(w)
+            elif w[-1] in marks and w[:-1].isalpha():
+                out[i] = ids(w[:-1]) + ids(w[-1])
             else:
-                parts = [p for p, _ in split(normal(w))]
-            out.append(b"".join(map(ids, parts)))
+                out[i] = b"".join(map(ids, split(w)))
+        if len(together) < len(words):
+            normal, cut = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
+            for i in sorted(set(range(len(words))).difference(together)):
+                out[i] = b"".join([self._model_ids(p) for p, _ in cut(normal(words[i]))])
         return out
 
 

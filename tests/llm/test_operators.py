@@ -13,7 +13,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from panelsignal.llm import arc_convert, bitmap_bpe, lfbf_lm, line_dedup, packing, quality, rans, stream_dedup, tgm_join, wrapper_html
+from panelsignal.llm import arc_convert, bitmap_bpe, lfbf_lm, line_dedup, packing, quality, rans, stream_dedup, tgm_join, tokens, wrapper_html
 from panelsignal.session import scratch_path
 
 SF = "/root/testdata/sf0.001"
@@ -69,7 +69,6 @@ def library_ids(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text_of(text), add_special_tokens=False).ids
 
 
@@ -115,6 +114,22 @@ def test_packing_leaves_little_padding(spark):
     assert check_packing(rows, out) < 0.01
 
 
+#: Strings of added tokens in every company, and words whose case or composition is not settled letter by letter.
+HARD = [
+    "a  <|endoftext|>b <|endoftext|>  <|startoftext|>\n\n<|ENDOFTEXT|> <|endoftext|",
+    "<|endoftext|>",
+    "ΑΣ Σ İI ǅ ẞ ﬁ ½ ² \u0378 e\u0301 \u0301x \u212b Å a\x1cb \x85z \ufeffq 中文 '\u00b7'",
+    "don't DON'T I'LL 'S1 x'' (word). a-b it's'",
+]
+
+
+@pytest.mark.parametrize("name, encoder", [("byte_bpe_50k.json", "spaced"), ("word_bpe_49k.json", "bare")])
+def test_ids_are_the_librarys(name, encoder):
+    enc = tokens.spaced_encoder(P.path(name), P.PATTERN) if encoder == "spaced" else tokens.bare_encoder(P.path(name))
+    ids, texts = library_ids(name), [t or "" for _, t in ROWS] + HARD + ["".join(HARD), " ".join(HARD)]
+    assert [array("I", x).tolist() for x in enc.encode(texts)] == [ids(t) for t in texts]
+
+
 def test_first_fit_decreasing_is_first_fit():
     sizes = sorted(((i * 37) % 100 + 1 for i in range(200)), reverse=True)
     bins, plain = packing.first_fit_decreasing(sizes, 100), []
@@ -184,6 +199,13 @@ def test_rans_files_of_the_table(spark, monkeypatch):
     check_files(spark, real(spark), spark.read.parquet(f"{SF}/documents.parquet"), monkeypatch)
 
 
+def test_cuts_below(spark):
+    ids = [None, -5, 0, 3, 7, 10**15]
+    for cuts in ([], [3], [-5, 0, 7], list(range(-3, 9)), [10**15]):
+        rows = spark.createDataFrame([(i,) for i in ids], "d long").select("d", rans.cuts_below("d", cuts).alias("p")).collect()
+        assert {r.d: r.p for r in rows if r.d is not None} == {i: sum(c <= i for c in cuts) for i in ids if i is not None}
+
+
 def test_rans_finds_a_changed_byte():
     import numpy as np
 

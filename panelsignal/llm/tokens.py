@@ -19,6 +19,10 @@ import re
 import unicodedata
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 MEMO = 500_000
 MEMO_CHARS = 64
 
@@ -63,11 +67,6 @@ def spaced_text(key) -> str:
     return key if key[0] == "\n" else " " + key
 
 
-def bare_keys(text: str) -> list[bytes]:
-    """Words for vocabularies that drop white space (cut at ASCII blanks; others stay inside a word)."""
-    return text.encode().split()
-
-
 class Memo:
     """Ids of words, little-endian unsigned 32-bit; ``learn`` computes those of new words."""
 
@@ -105,6 +104,63 @@ class Memo:
         return out
 
 
+class BareMemo(Memo):
+    """For vocabularies that drop white space: texts are cut at ASCII blanks (others stay inside a word).
+
+    Words and their ids lie in flat arrays, looked up a batch at a time; past
+    ``limit`` words those longest out of use make room.
+    """
+
+    def __init__(self, learn, limit: int = MEMO):
+        super().__init__(None, learn, limit)
+        self.words = pa.array([], pa.large_string())
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.used, self.clock = np.zeros(0, np.int64), 0
+        self.flat = np.zeros(0, "<u4")
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        words = lists.flatten().dictionary_encode()
+        place = self._places(words.dictionary)[words.indices.to_numpy()]
+        sizes = self.sizes[place]
+        ends = np.cumsum(sizes)
+        cuts = np.concatenate(([0], ends))[lists.offsets.to_numpy()].tolist()
+        at = np.repeat(self.starts[place] - (ends - sizes), sizes)
+        at += np.arange(len(at))
+        ids = self.flat[at]
+        self._forget()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where the distinct ``words`` stand in the memo, after learning those it lacks."""
+        self.clock += 1
+        place = pc.index_in(words, self.words).fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            unknown = words.take(pa.array(new))
+            ids = self.learn(unknown.to_pylist())
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            place[new] = len(self.words) + np.arange(len(new))
+            self.words = pa.concat_arrays([self.words, unknown])
+            self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
+            self.sizes = np.concatenate((self.sizes, sizes))
+            self.used = np.concatenate((self.used, np.zeros(len(new), np.int64)))
+            self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(ids), "<u4")))
+        self.used[place] = self.clock
+        return place
+
+    def _forget(self) -> None:
+        if len(self.words) <= self.limit and len(self.flat) <= 8 * self.limit:
+            return
+        short = np.flatnonzero(self.sizes <= MEMO_CHARS)
+        stay = np.sort(short[np.argsort(-self.used[short], kind="stable")[: self.limit // 2]])
+        self.words, sizes = self.words.take(pa.array(stay)), self.sizes[stay]
+        starts = np.cumsum(sizes) - sizes
+        at = np.repeat(self.starts[stay] - starts, sizes)
+        at += np.arange(len(at))
+        self.flat, self.starts, self.sizes, self.used = self.flat[at], starts, sizes, self.used[stay]
+
+
 def _unicode_bytes() -> dict[int, str]:
     """The byte-level alphabet: printable Latin-1 stands for itself, other bytes for code points from 256 on."""
     shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -196,12 +252,10 @@ class BareWords(LibraryWords):
     def _lower(lines: str) -> str:
         return (lines if lines.isascii() else unicodedata.normalize("NFC", lines)).lower()
 
-    def __call__(self, keys: list[bytes]) -> list[bytes]:
-        if not keys:
-            return []
-        lines = b"\n".join(keys).decode()
-        words = lines.split("\n")
+    def __call__(self, words: list[str]) -> list[bytes]:
         out = [b""] * len(words)
+        words = [w or " " for w in words]  # a blank at a text's end leaves an empty word
+        lines = "\n".join(words)
         if not self.settles:
             together = []
         elif self._SETTLED(lines):
@@ -239,7 +293,7 @@ def spaced_encoder(path: str, pattern: str) -> Memo:
 
 
 def bare_encoder(path: str) -> Memo:
-    return kept(("bare", path), lambda: Memo(bare_keys, BareWords(path), 3 * MEMO // 5))
+    return kept(("bare", path), lambda: BareMemo(BareWords(path)))
 
 
 def slices(texts: list[str], chars: int = 1 << 22):

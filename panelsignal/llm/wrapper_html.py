@@ -13,6 +13,13 @@ element, or else the whole page, and goes down from there as long as all that is
 left out is shown to be boilerplate: menus, headers, footers, sidebars, notices,
 adverts, forms and comments, what is nearly all links, and texts that are the same
 on most of the host's pages.  Pages are cut to that region; a page without it (an optional part) is decided by its own stream.
+Inside the region, slots whose text is the same on nearly all of the host's pages (at least four) are left
+out too, but for headings and cells, and never half of a page's text or more.
+
+Flags read whole class names: ``site-header`` and ``comments-section`` are
+boilerplate, ``no-sidebar``, ``section-header`` and ``notice-board`` are not.
+``html``, ``body`` and ``main`` are never flagged, nor what holds the ``main``
+element, a ``header`` inside an article, or a form that frames a page.
 
 Alignment folds in any order, so it runs as partial aggregation: each map task
 folds its pages into one wrapper a host, distinct wrappers are folded in
@@ -34,6 +41,7 @@ import html
 import json
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -84,6 +92,23 @@ BOILER_WORDS = frozenset(
     "pager pagination popup promo promoted recommended related respond share sharing sidebar social sponsor "
     "sponsored subscribe subscription toolbar widget".split()
 )
+#: What may stand before or after those words in a class name of boilerplate.
+BOILER_BEFORE = frozenset(
+    "site page main global top bottom left right primary secondary sticky floating fixed mobile desktop js gdpr email "
+    "user google mega".split()
+)
+BOILER_AFTER = frozenset(
+    "section box block wrapper wrap container bar area list links link posts articles stories items item form overlay "
+    "modal slot unit zone top bottom left right buttons button icons panel region inner outer".split()
+)
+#: An article's own parts: its comments, shares and footer are left out, its header is not.
+ARTICLE_BEFORE = frozenset("article entry post story".split())
+HEADER_WORDS = frozenset("header banner masthead notice notices".split())
+NEVER_FLAGGED = frozenset("html body main".split())
+#: A form that holds one of these is a page's frame.
+FRAMED = frozenset("main article nav h1".split())
+#: Labels and cells recur by nature.
+RECURRING = frozenset("h1 h2 h3 h4 h5 h6 th td dt dd li caption figcaption pre".split())
 MAIN_WORDS = frozenset("article articlebody main content entry post story".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 
@@ -127,11 +152,28 @@ class Node:
         return inner + "+" * self.repeated + "?" * self.optional
 
 
-def _element(tag: str, name: str) -> Node:
+@lru_cache(1 << 14)
+def _flagged(name: str) -> bool:
+    """Whether a whole class name or id says boilerplate."""
+    words = [w for w in _SPLIT.split(name) if w]
+    at = [i for i, w in enumerate(words) if w in BOILER_WORDS]
+    if not at:
+        return False
+    before, inside, after = words[: at[0]], words[at[0] : at[-1] + 1], words[at[-1] + 1 :]
+    if before and before[0] in ARTICLE_BEFORE and HEADER_WORDS.isdisjoint(inside):
+        before = before[1:]
+    return len(inside) == len(at) and BOILER_BEFORE.issuperset(before) and BOILER_AFTER.issuperset(after)
+
+
+def _element(tag: str, name: str, in_article: bool) -> Node:
     attributes = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(tag)} if " " in tag else {}
     words = set(_SPLIT.split(" ".join(attributes.get(k, "") for k in ("class", "id"))))
     role = attributes.get("role", "")
-    boiler = name in BOILER_TAGS or bool(words & BOILER_WORDS) or role in BOILER_ROLES
+    by_class = any(map(_flagged, " ".join(attributes.get(k, "") for k in ("class", "id")).split()))
+    if name == "article":
+        by_class = by_class and not words & ARTICLE_BEFORE
+    by_tag = name in BOILER_TAGS and not (name == "header" and in_article)
+    boiler = name not in NEVER_FLAGGED and (by_tag or by_class or role in BOILER_ROLES)
     explicit = name in ("article", "main") or role in ("main", "article") or "articlebody" in attributes.get("itemprop", "")
     main = not boiler and (explicit or (name in ("div", "section") and bool(words & MAIN_WORDS)))
     mark = re.sub(r"\d+", "0", attributes.get("class") or attributes.get("id") or "")
@@ -239,7 +281,11 @@ def parse(source: str) -> Node:
                 if names[at] in ends:
                     close(at)
                     break
-        node = _element(token, name)
+        node = _element(token, name, bool(is_open["article"] or is_open["main"]))
+        if name in FRAMED and is_open["form"] or name == "main":
+            for n, k in zip(stack, names):
+                if k == "form" or (name == "main" and k not in BOILER_TAGS):
+                    n.boiler = False
         if len(stack) >= DEPTH and (stack[-1].boiler or not node.boiler):
             node = stack[-1]  # flattened: its texts go to the element around it until its end tag
         else:
@@ -318,7 +364,7 @@ def align(a: list[Node], b: list[Node]) -> list[Node]:
 
 def merge(a: Node, b: Node, same_page: bool = False) -> Node:
     """The wrapper of what either node matches."""
-    out = Node(a.label, a.boiler, a.main)
+    out = Node(a.label, a.boiler and b.boiler, a.main or b.main)
     out.repeated, out.optional = a.repeated or b.repeated, a.optional or b.optional
     out.pages = max(a.pages, b.pages) if same_page else a.pages + b.pages
     out.chars, out.links = a.chars + b.chars, a.links + b.links
@@ -385,35 +431,60 @@ def _is_constant(n: Node, pages: int) -> bool:
     return all(_is_constant(k, pages) for k in n.kids)
 
 
-def texts(node: Node, out: list[str]) -> None:
-    if node.label == "#":
-        out.append(node.text)
-    elif not node.boiler:
-        for k in node.kids:
-            texts(k, out)
+def constants(wrapper: Node, path: list[str]) -> list[list[str]]:
+    """Labels from the main region down to each slot that is the same on nearly all pages, and its text."""
+    out: list[list[str]] = []
+
+    def go(n: Node, labels: list[str]) -> None:
+        if n.label == "#":
+            tag = labels[-1].split(".")[0] if labels else ""
+            if n.text is not None and 10 * n.pages >= 9 * wrapper.pages and tag not in RECURRING:
+                out.append([*labels, n.text])
+        elif not n.boiler:
+            for k in n.kids:
+                go(k, labels if k.label in ("#", "()") else [*labels, k.label])
+
+    if wrapper.pages >= 4:
+        for n in _nodes_at(wrapper, path):
+            for k in n.kids:
+                go(k, [] if k.label in ("#", "()") else [k.label])
+    return out
+
+
+def texts(node: Node, out: list[tuple[str, bool]], constant: frozenset = frozenset(), labels: tuple = ()) -> None:
+    """(text, whether it is one of the host's constants) below a node, in page order."""
+    for k in node.kids:
+        if k.label == "#":
+            out.append((k.text, bool(constant) and (*labels, k.text) in constant))
+        elif not k.boiler:
+            texts(k, out, constant, (*labels, k.label) if constant else ())
 
 
 def _nodes_at(node: Node, path: list[str]) -> list[Node]:
     found = [node]
     for label in path:
-        found = [k for n in found if not n.boiler for k in n.kids if k.label == label]
-    return found
+        kids = (g for n in found if not n.boiler for k in n.kids for g in (k.kids if k.label == "()" else [k]))
+        found = [k for k in kids if k.label == label]
+    return [n for n in found if not n.boiler]
 
 
-def main_text(source: str, path: list[str] | None) -> str:
-    """A page's main text, cut to its host's region; None, or a page without it: to its own."""
+def main_text(source: str, path: list[str] | None, constant: frozenset = frozenset()) -> str:
+    """A page's main text, cut to its host's region without its host's ``constant`` slots; None, or a page without it: to its own."""
     page = parse(source)
     nodes = _nodes_at(page, path) if path is not None else []
     if not any(map(_has_text, nodes)):
-        nodes = _nodes_at(page, region(generalise(parse(source))))
-    out: list[str] = []
+        nodes, constant = _nodes_at(page, region(generalise(parse(source)))), frozenset()
+    out: list[tuple[str, bool]] = []
     for n in nodes:
-        texts(n, out)
-    return "\n".join(out)
+        texts(n, out, constant)
+    own = [t for t, c in out if not c]
+    if 2 * sum(map(len, own)) <= sum(len(t) for t, _ in out):
+        own = [t for t, _ in out]
+    return "\n".join(own)
 
 
 def _has_text(n: Node) -> bool:
-    out: list[str] = []
+    out: list = []
     texts(n, out)
     return bool(out)
 
@@ -459,12 +530,17 @@ def wrappers(pages: DataFrame, url: str = "url", html_col: str = "html") -> Data
 
 
 def regions(inferred: DataFrame) -> DataFrame:
-    """(host, region as JSON) of each host's wrapper; written."""
+    """(host, region and its constant slots as JSON) of each host's wrapper; written."""
+
+    def cut_by(s: str) -> str:
+        wrapper = load(s)
+        path = region(wrapper)
+        return json.dumps([path, constants(wrapper, path)])
 
     def run(batches):
         for batch in batches:
-            paths = [json.dumps(region(load(w))) for w in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(paths, pa.string())], names=["host", "region"])
+            found = [cut_by(w) for w in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.string())], names=["host", "region"])
 
     return written(inferred.select("host", "wrapper").mapInArrow(run, "host string, region string"), "regions")
 
@@ -490,10 +566,11 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url: str = "url", h
         known: dict = {}
         for batch in batches:
             out = []
-            for packed, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if path is not None and path not in known:
-                    known[path] = json.loads(path)
-                out.append(main_text(unz(packed).decode(), known.get(path)))
+            for packed, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if found is not None and found not in known:
+                    path, constant = json.loads(found)
+                    known[found] = path, frozenset(map(tuple, constant))
+                out.append(main_text(unz(packed).decode(), *known.get(found, (None,))))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     shrunk = base.mapInArrow(shrink, "page_id long, url string, host string, html binary")

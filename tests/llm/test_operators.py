@@ -573,7 +573,9 @@ def cut_pages(sources):
     for x in sources:
         page = wrapper_html.generalise(wrapper_html.parse(x))
         w = page if w is None else wrapper_html.merge(w, page)
-    return [wrapper_html.main_text(x, wrapper_html.region(w)) for x in sources]
+    path = wrapper_html.region(w)
+    constant = frozenset(map(tuple, wrapper_html.constants(w, path)))
+    return [wrapper_html.main_text(x, path, constant) for x in sources]
 
 
 def test_articles_stay_whole():
@@ -592,6 +594,49 @@ def test_regions_leave_out_what_is_shown_to_be_boilerplate():
     assert cut_pages(pages) == [f"T{n}\ntext {n}" for n in range(4)]
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<body class='single no-sidebar'><p>one</p></body>", "one"),
+        ("<body class=sidebar><main class='main-content has-sidebar'><p>one</p></main><aside>x</aside>", "one"),
+        ("<div class='content has-sidebar'><p>one</p><div class=sidebar>x</div></div>", "one"),
+        ("<article class='post comment-open'><p>one</p><div class=post-comments><article class=comment>x</article></div></article>", "one"),
+        ("<body><form id=aspnetForm><h1>T</h1><p>one</p><form class=search-form><input>x</form></form>", "T\none"),
+        ("<form><nav>menu</nav><div><p>one</p></div><footer>x</footer></form>", "one"),
+        ("<body><header>site</header><article><header><h1>T</h1></header><p>one</p><footer>x</footer></article>", "T\none"),
+        ("<article><h2 class='section-header'>S</h2><p class='notice-board'>one</p></article>", "S\none"),
+        ("<div class=banner><main><p>one</p></main></div>", "one"),
+        ("<div class='site-header js'>x</div><div id=cookie_banner>x</div><p>one</p><div class='comments-section'>x</div><div class=ad-300>x</div>", "one"),
+        ("<p>one</p><form><label>mail</label></form><div class='related-posts widget'>x</div>", "one"),
+    ],
+)
+def test_flags_read_whole_class_names(source, text):
+    assert text_of_page(source) == text
+
+
+def test_constant_slots_of_a_region_are_left_out():
+    page = "<body><article><div class=tagline>Your daily source</div><h2>Summary</h2><p>text {n}</p><ul><li>Tags</li></ul><div class=end>All rights</div></article>"
+    pages = [page.format(n=f"{n} " + "word " * 20) for n in range(5)]
+    want = [f"Summary\ntext {n} {'word ' * 20}".strip() + "\nTags" for n in range(5)]
+    assert cut_pages(pages) == want
+    assert cut_pages(pages[:3])[0].startswith("Your daily source")  # too few pages to tell
+    # copies of one page, and pages that say little of their own, stay whole
+    assert cut_pages(pages[:1] * 5) == [f"Your daily source\n{want[0]}\nAll rights"] * 5
+    assert cut_pages([page.format(n=n) for n in range(5)])[2] == "Your daily source\nSummary\ntext 2\nTags\nAll rights"
+
+
+@needs_data
+def test_pages_by_brute_force(spark):
+    """Every page against its host's wrapper, folded in one loop."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = pages.select("page_id", wrapper_html.host(F.col("url")).alias("host"), "html").collect()
+    want = {}
+    for h in {r.host for r in rows}:
+        own = [r for r in rows if r.host == h]
+        want.update(zip([r.page_id for r in own], cut_pages([r.html or "" for r in own])))
+    assert {r.page_id: r.text for r in wrapper_html.extract_pages(pages).collect()} == want
+
+
 def test_end_tags_beyond_the_depth_close_what_they_opened():
     deep = wrapper_html.DEPTH
     nest = lambda inner: "<div>" * deep + inner + "</div>" * deep

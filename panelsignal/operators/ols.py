@@ -184,6 +184,13 @@ def add_rolling_ols(
     return add_rolling_regressions(df, [regression], key=key, order=order, by=by, exact=exact)
 
 
+def check_warmup(modes: Sequence[str]) -> None:
+    """Raise for a warm-up mode that doesn't exist."""
+    for warmup in modes:
+        if warmup not in ("raw_excess", "strict"):
+            raise ValueError(f"unknown warmup mode {warmup!r}")
+
+
 def add_residual(
     df: DataFrame,
     y: str,
@@ -199,6 +206,7 @@ def add_residual(
     coefficients do not exist yet, so the residual equals ``y`` there;
     ``'strict'`` makes the residual NULL until coefficients exist.
     """
+    check_warmup([warmup])
     fields = _coef_fields(xs, prefix)
     terms = [F.col(fields[0])] + [F.col(f) * F.col(x) for f, x in zip(fields[1:], xs)]
     resid = F.col(y) - sum_skip_nulls(terms)
@@ -207,8 +215,6 @@ def add_residual(
         for f in fields:
             have = have & F.col(f).isNotNull()
         resid = F.when(have, resid)
-    elif warmup != "raw_excess":
-        raise ValueError(f"unknown warmup mode {warmup!r}")
     return df.withColumn(out, resid)
 
 

@@ -7,7 +7,8 @@ Windows cannot nest inside one Spark expression, so the work is staged:
 pass; (2) all regression solves, side by side in projections; (3) the
 residuals; (4) every signal's rolling sums in one pass; (5) every skip-lag (plus previous price
 and forward return) in one Window operator.  All stages share
-``partitionBy(asset)``: one exchange, whatever the number of signals.
+``partitionBy(asset)``: one exchange, whatever the number of signals.  With a regression
+among them all of it is one pass over the sorted rows in numpy (:mod:`panelsignal.operators.series`).
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from panelsignal.functions.columns import finite_or_null, log1p_or_null, safe_div
 from panelsignal.operators.ols import add_residual, add_rolling_regressions, rolling_regression
+from panelsignal.operators.series import add_series_signals
 from panelsignal.operators.windows import (
     ASSET,
     DATE,
@@ -156,7 +158,13 @@ def add_signals(
     ``vol_scaled_ff3_momentum`` run one FF3 regression.  Residual signals
     need ``return_rf`` and the factor columns (:func:`join_factors`,
     :func:`add_excess_return`).
+
+    With a residual signal among them the stage runs in numpy over rows dealt and sorted by asset
+    (:mod:`panelsignal.operators.series`); ``exact`` and ``keep_intermediate`` keep the window operators,
+    as do signals without a regression.
     """
+    if any(s.is_residual for s in specs) and not exact and not (keep_intermediate and len(specs) == 1):
+        return add_series_signals(df, specs, lags=extra_lags)
     residuals: dict[tuple, str] = {}
     drop: list[str] = []
     regressions, made = [], []

@@ -4,8 +4,9 @@ cumulative IC series (A7, W12, W13).
 Pearson IC is a grouped aggregate (covariance / product of standard
 deviations, all partial-aggregation friendly).  Rank IC ranks alpha and
 forward return inside each date with average ranks for ties, then takes
-the same guarded correlation.  The ranking never handles a date whole (see
-:func:`add_average_rank`).  Values are rounded to 1e-10
+the same guarded correlation.  Keys of at most ``KEY_ROWS`` rows are ranked in
+one group each, from values packed before they move (:func:`ranked_correlation`); a wider
+key is never handled whole (see :func:`add_average_rank`).  Values are rounded to 1e-10
 before ranking so float noise from summation order cannot create or break
 ties.
 """
@@ -14,6 +15,8 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,9 @@ from panelsignal.plans.materialize import materialize
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TIE_DIGITS = 10
+#: A key with more rows is ranked by ranges of its values.
+KEY_ROWS = 1 << 21
+PACK_ROWS = 1 << 19
 _BELOW, _EQUAL, _PART = "__rk_below", "__rk_equal", "__rk_part"
 
 
@@ -115,6 +121,98 @@ def add_average_rank(
     return local.join(table, [_PART, *keys], "left").select(*names, rank.alias(out))
 
 
+def _pack(keys: Sequence[str], rows: int):
+    """Batches to a row per key and chunk of the task: the keys, how many rows, and their values one after another."""
+
+    def pack(waiting):
+        table = pa.Table.from_batches(waiting).combine_chunks()
+        code = np.zeros(table.num_rows, np.int64)
+        for c in keys:
+            coded = table.column(c).combine_chunks().dictionary_encode("encode")
+            code = code * len(coded.dictionary) + coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        cuts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        ends = np.append(cuts, len(code))[1:]
+        columns = [table.column(c).take(pa.array(order[cuts])) for c in keys]
+        columns.append(pa.array(ends - cuts))
+        for c in ("__a", "__r"):
+            v = table.column(c).to_numpy()[order] + 0.0  # -0.0 equals 0.0
+            columns.append(pa.array([v[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()))
+        return pa.table(columns, names=[*keys, "n", "__a", "__r"]).to_batches(max_chunksize=1 << 12)
+
+    def run(batches):
+        waiting, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                waiting.append(batch)
+                n += batch.num_rows
+            if n >= rows:
+                yield from pack(waiting)
+                waiting, n = [], 0
+        if waiting:
+            yield from pack(waiting)
+
+    return run
+
+
+def average_ranks(v: np.ndarray) -> np.ndarray:
+    """1-based ranks; ties share the mean rank, and NaNs are ties."""
+    order = np.argsort(v, kind="stable")
+    s = v[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) & ~(np.isnan(s[1:]) & np.isnan(s[:-1]))
+    first = np.flatnonzero(new)
+    many = np.diff(np.append(first, len(s)))
+    out = np.empty(len(s))
+    out[order] = np.repeat(first + (many + 1) / 2.0, many)
+    return out
+
+
+def _rank_ic(keys: Sequence[str]):
+    def run(group: pa.Table) -> pa.Table:
+        a, r = (average_ranks(np.frombuffer(b"".join(group.column(c).to_pylist()))) for c in ("__a", "__r"))
+        a, r = a - a.mean(), r - r.mean()
+        spread = float(np.sqrt((a @ a) * (r @ r)))
+        ic = float(a @ r) / spread if spread > 0 else None
+        columns = [group.column(c).slice(0, 1) for c in keys]
+        return pa.table([*columns, pa.array([len(a)], pa.int64()), pa.array([ic], pa.float64())], names=[*keys, "n", "ic"])
+
+    return run
+
+
+def _by_ranges(d: DataFrame, keys: Sequence[str]) -> DataFrame:
+    d = add_average_rank(d, "__a", "__ra", keys)
+    d = add_average_rank(d, "__r", "__rr", keys)
+    return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), guarded_corr("__ra", "__rr").alias("ic"))
+
+
+def ranked_correlation(
+    d: DataFrame, keys: Sequence[str], *, key_rows: int = KEY_ROWS, pack_rows: int = PACK_ROWS, materialize_as: str | None = "parquet"
+) -> DataFrame:
+    """keys..., n, ic: the rank correlation of ``__a`` and ``__r`` (doubles, not NULL) within ``keys``.
+
+    A map task sends one row per key and chunk, so that values move once, unsorted and as plain bytes.  The
+    packs are written first (``materialize_as``): their counts name the keys of more than ``key_rows`` rows,
+    whose rows go by ranges of values instead.
+    """
+    keys = list(keys)
+    d = d.select(*keys, F.col("__a").cast("double"), F.col("__r").cast("double"))
+    types = {f.name: f.dataType for f in d.schema.fields}
+    key_fields = [T.StructField(k, types[k]) for k in keys]
+    packed = [T.StructField("n", T.LongType()), T.StructField("__a", T.BinaryType()), T.StructField("__r", T.BinaryType())]
+    packs = materialize(d.mapInArrow(_pack(keys, pack_rows), T.StructType([*key_fields, *packed])), materialize_as)
+    out = T.StructType([*key_fields, T.StructField("n", T.LongType()), T.StructField("ic", T.DoubleType())])
+    wide = packs.groupBy(*keys).agg(F.sum("n").alias("__n")).where(F.col("__n") > key_rows).drop("__n")
+    if wide.isEmpty():
+        return packs.groupBy(*keys).applyInArrow(_rank_ic(keys), out)
+    named = wide.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    # at most one wide key per key_rows rows
+    few = packs.join(named, same, "left_anti").groupBy(*keys).applyInArrow(_rank_ic(keys), out)
+    return few.unionByName(_by_ranges(d.join(named, same, "left_semi"), keys))
+
+
 def guarded_corr(a: str, b: str) -> Column:
     """Sample correlation, NULL when n < 2 or either side is constant."""
     return safe_div(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
@@ -133,8 +231,8 @@ def information_coefficient(
 
     ``returns`` (date, asset_id, ``ret``) is joined on (date, asset_id); without
     it ``alphas`` holds ``ret`` already.  Only rows with both values take part.
-    The rank IC samples its input before it moves it: hand in a written or
-    checkpointed frame.
+    The rank IC reads its input again for keys of more than ``KEY_ROWS`` rows: hand in a
+    written or checkpointed frame.
     """
     if method not in ("rank", "pearson"):
         raise ValueError(f"unknown IC method {method!r}")
@@ -146,9 +244,7 @@ def information_coefficient(
         F.round(F.col(ret), TIE_DIGITS).alias("__r"),
     )
     if method == "rank":
-        d = add_average_rank(d, "__a", "__ra", keys)
-        d = add_average_rank(d, "__r", "__rr", keys)
-        d = d.select(*keys, F.col("__ra").alias("__a"), F.col("__rr").alias("__r"))
+        return ranked_correlation(d, keys)
     return d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         guarded_corr("__a", "__r").alias("ic"),

@@ -375,7 +375,7 @@ def ten_alphas(fx: Fixture) -> DataFrame:
         ic=IC,
         days=fx.span.days,
         keep=("fwd_return",),
-        materialize_as="checkpoint",
+        materialize_as="parquet",
     )
 
 

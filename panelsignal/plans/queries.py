@@ -55,6 +55,7 @@ from panelsignal.sources.fixtures import (
     panel_from_lineitem,
     read_table,
 )
+from panelsignal.plans.materialize import materialize
 from panelsignal.session import scratch_path
 from panelsignal.sources.io import read_alphas, read_weights, write_alphas, write_result, write_weights
 from panelsignal.sources.schema import Span, load_assets, load_factors
@@ -91,6 +92,10 @@ class Fixture:
     def lineitem(self) -> DataFrame:
         return read_table(self.spark, self.sf_dir, "lineitem")
 
+    @cached_property
+    def style_risk(self) -> tuple[DataFrame, DataFrame]:
+        return style_risk(self)
+
     @property
     def panel(self) -> DataFrame:
         return load_assets(panel_from_lineitem(self.lineitem), self.span)
@@ -383,12 +388,14 @@ def long_alphas(fx: Fixture) -> DataFrame:
     return unpivot_alphas(ten_alphas(fx), list(STUDY_SIGNALS))
 
 
-def long_weights(fx: Fixture) -> DataFrame:
-    """Weights of all signals, each with its own gamma: (date, signal, asset_id, weight, fwd_return)."""
+def long_weights(fx: Fixture, materialize_as: str | None = None) -> DataFrame:
+    """Weights of all signals, each with its own gamma: (date, signal, asset_id, weight, fwd_return).
+
+    ``materialize_as`` writes them once, a row per (date, asset), for a consumer that reads them twice."""
     gammas = {n: s.gamma for n, s in STUDY_SIGNALS.items()}
     wide = wide_mvo_weights(ten_alphas(fx), gammas, days=fx.span.days)
     # a weight exists where the multipliers and the alpha do
-    wide = wide.withColumns({f"in_{n}": F.col(n).isNotNull() for n in gammas})
+    wide = materialize(wide, materialize_as).withColumns({f"in_{n}": F.col(n).isNotNull() for n in gammas})
     return unpivot_alphas(wide, list(gammas), value="weight")
 
 
@@ -446,7 +453,8 @@ def _weights_by_pairs(fx: Fixture) -> DataFrame:
     """Weights of all ten signals, each with its own gamma, stored with one portfolio more; the ten read back."""
     root = scratch_path(fx.spark, "weights")
     gammas = [(n, s.gamma) for n, s in STUDY_SIGNALS.items()]
-    w = long_weights(fx).select("date", "signal", "asset_id", "weight")
+    # ranges are drawn from a sample, which would compute every weight once more
+    w = long_weights(fx, "parquet").select("date", "signal", "asset_id", "weight")
     gamma = F.element_at(F.create_map(*[F.lit(x) for n, g in gammas for x in (n, float(g))]), F.col("signal"))
     own = (F.col("signal") == "momentum") & (gamma != 60.0)
     # the stray portfolio has a signal and a gamma that others are asked for
@@ -523,12 +531,13 @@ def style_risk(fx: Fixture) -> tuple[DataFrame, DataFrame]:
     """Style exposures, and a full covariance matrix of the styles per date."""
     nation, supplier = (read_table(fx.spark, fx.sf_dir, t) for t in ("nation", "supplier"))
     exposures = exposures_from_lineitem(fx.lineitem, supplier, nation).where(F.col("factor").isin(*STYLES) & fx.span.where())
-    return exposures, covariances_from_lineitem(fx.lineitem).where(fx.span.where())
+    # the solution, the weights and the risk each read them
+    return materialize(exposures, "parquet"), covariances_from_lineitem(fx.lineitem).where(fx.span.where())
 
 
 def style_weights(fx: Fixture, carry=()) -> DataFrame:
     al = fx.alphas(fx.spec("momentum"), keep=("specific_risk",))
-    return mvo_weights_factor_risk(al, *style_risk(fx), GAMMA, max_keys=fx.span.days, carry=carry)
+    return mvo_weights_factor_risk(al, *fx.style_risk, GAMMA, max_keys=fx.span.days, carry=carry)
 
 
 @register("mvo_factor_risk_full")
@@ -559,7 +568,7 @@ def _mvo_status_dirty(fx: Fixture) -> DataFrame:
 @register("ex_ante_risk_full")
 def _ex_ante_risk_full(fx: Fixture) -> DataFrame:
     """C13 before the fact: w'(XFX' + D)w per date of the factor-risk weights, annualised."""
-    risk = ex_ante_risk(style_weights(fx, carry=("specific_risk",)), *style_risk(fx))
+    risk = ex_ante_risk(style_weights(fx, carry=("specific_risk",)), *fx.style_risk)
     return finish(risk.select("date", "active_risk"), 7)
 
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import os
 import random
 
 import pytest
@@ -111,3 +112,16 @@ def test_tasks_need_no_package(spark):
     finally:
         type(df).sortWithinPartitions = sort
     assert b"panelsignal.operators.signals" not in cloudpickle.dumps(made["run"])
+
+
+def test_what_is_read_twice_is_written_once(spark):
+    from panelsignal.plans.queries import Fixture, long_weights
+
+    path = "/root/testdata/sf0.001"
+    if not os.path.exists(path):
+        pytest.skip("driver test data not present")
+    fx = Fixture(spark, path)
+    assert fx.style_risk is fx.style_risk
+    for df in (fx.style_risk[0], long_weights(fx, "parquet")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Scan parquet" in plan and "Aggregate" not in plan and "Exchange" not in plan, plan

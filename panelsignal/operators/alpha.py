@@ -194,8 +194,8 @@ def unpivot_alphas(wide: DataFrame, signals: Sequence[str], value: str = "alpha"
     rows = F.array(
         *[F.struct(F.lit(s).alias("signal"), F.col(s).alias(value), F.col(f"in_{s}").alias("inside")) for s in signals]
     )
-    long = wide.select(*ids, F.inline(F.filter(rows, lambda r: r["inside"])))
-    return long.drop("inside")
+    # filtered as rows: a lambda over the array is interpreted, element by element
+    return wide.select(*ids, F.inline(rows)).where("inside").drop("inside")
 
 
 def forward_returns(panel: DataFrame, ret: str = "return", out: str = "fwd_return") -> DataFrame:

@@ -125,3 +125,13 @@ def test_what_is_read_twice_is_written_once(spark):
     for df in (fx.style_risk[0], long_weights(fx, "parquet")):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Scan parquet" in plan and "Aggregate" not in plan and "Exchange" not in plan, plan
+
+
+def test_unpivot_keeps_null_alphas_inside_and_runs_compiled(spark):
+    from panelsignal.operators.alpha import unpivot_alphas
+
+    rows = [(1, 0.5, None, True, True), (2, None, 2.0, False, True), (3, None, None, False, False)]
+    wide = spark.createDataFrame(rows, "asset_id long, a double, b double, in_a boolean, in_b boolean")
+    long = unpivot_alphas(wide, ["a", "b"])
+    assert sorted(map(tuple, long.collect()), key=str) == [(1, "a", 0.5), (1, "b", None), (2, "b", 2.0)]
+    assert "lambda" not in long._jdf.queryExecution().executedPlan().toString()

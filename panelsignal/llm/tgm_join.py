@@ -17,9 +17,10 @@ and their members compared exactly.  The result is the linked components:
    in groups of about ``GROUP`` members that share the key's most central member.  Each
    group is opened for its own members; a pair already connected is not compared again.
 4. Matrix and bound: tokens are ordered by document frequency; a set that links
-   must share one of the first few (its prefix).  Tokens whose documents are all
-   in one component are done with.  The rest give (document, group) candidates;
-   groups already in the document's component are skipped, the union bounds
+   must share one of the first few (its prefix), and from the first shared one on both
+   sets must have the whole overlap left.  Tokens whose documents are all
+   in one component are done with.  The rest give (document, group) candidates, groups
+   split by component; those in the document's component are skipped, the union bounds
    the overlap, and qualifying groups are opened.
 5. Components by contraction: every round replaces each end of a link by the
    least label beside it, until no link is left.
@@ -322,9 +323,10 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def prefixes(classes: DataFrame, percent: int) -> DataFrame:
-    """(rid, n, prefix, central) of classes that share a token; written.
+    """(rid, n, alone, prefix, central) of classes that share a token; written.
 
-    ``prefix``: the first tokens by frequency, of which any link shares one;
+    ``prefix``: the first tokens by frequency, of which any link shares one; in that order
+    ``alone`` tokens of the class's own come before them;
     ``central``: the mean number of classes that have one of the class's tokens.
     """
 
@@ -355,6 +357,7 @@ def prefixes(classes: DataFrame, percent: int) -> DataFrame:
         .select(
             "rid",
             "n",
+            alone.alias("alone"),
             F.transform(F.slice("shared", F.lit(1), left), lambda x: x["token"]).alias("prefix"),
             ((F.col("weight") + alone) / F.col("n")).alias("central"),
         ),
@@ -363,53 +366,63 @@ def prefixes(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def sweep(classes: DataFrame, prefixed: DataFrame, grouped: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Links between groups that join components (forests, per task): matrix, bound, open."""
-    grouped = grouped.where("seed = 0").select("key", "part", "rid")
-    probing = prefixed.select("rid", "n", F.explode("prefix").alias("token"))
-    labelled = written(probing.join(labels, "rid"), "tgm-labelled")
-    open_tokens = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    probes = written(labelled.join(written(open_tokens, "tgm-open"), "token"), "tgm-probes")
-    homes = grouped.join(labels, "rid")
-    of_group = homes.groupBy("key", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    """Links between groups that join components (forests, per task): matrix, bound, open.
+
+    The members of a group that are in one component (``home``) are a group of their own here.
+    A class's ``room`` at a token is what a link may take there: sets of n and m that link share
+    at least percent * (n + m) / (100 + percent) tokens, and from their first common token on
+    neither has fewer left; so percent * m is at most the n's room, and percent * n the m's.
+    """
+    homes = grouped.where("seed = 0").select("key", "part", "rid").join(labels.withColumnRenamed("label", "home"), "rid")
+    left = F.col("n") - F.col("alone") - F.col("place")
+    room = ((100 + percent) * left - percent * F.col("n")).alias("room")
+    placed = prefixed.select("rid", "n", "alone", F.posexplode("prefix").alias("place", "token"))
+    labelled = written(placed.select("rid", "n", "token", room).join(labels, "rid"), "tgm-labelled")
+    extremes = labelled.groupBy("token").agg(F.min("n").alias("least"), F.max("room").alias("widest"))
+    fits = (F.col("least") * percent <= F.col("room")) & (F.col("n") * percent <= F.col("widest"))
+    fitting = written(labelled.join(written(extremes, "tgm-extremes"), "token").where(fits).select(*labelled.columns), "tgm-fitting")
+    open_tokens = fitting.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+    probes = written(fitting.join(written(open_tokens, "tgm-open"), "token"), "tgm-probes")
     matrix = (
-        probes.join(grouped, "rid")
-        .groupBy("token", "key", "part")
-        .agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rid").alias("last"))
-        .join(of_group, ["key", "part"])
+        probes.join(homes, "rid")
+        .groupBy("token", "key", "part", "home")
+        .agg(F.min("n").alias("least"), F.max("room").alias("widest"), F.max("rid").alias("last"))
     )
     candidates = written(
         probes.join(written(matrix, "tgm-matrix"), "token")
-        .where("NOT (lo = label AND hi = label) AND rid < last")
-        .where((F.col("n") * percent <= F.col("most") * 100) & (F.col("least") * percent <= F.col("n") * 100))
-        .select("rid", "label", "key", "part")
+        .where("home <> label AND rid < last")
+        .where(fits)
+        .select("rid", "label", "key", "part", "home")
         .distinct(),
         "tgm-candidates",
     )
-    counts = candidates.groupBy("key", "part").agg(F.ceil(F.count("*") / QUERIES).alias("blocks"))
+    group = ["key", "part", "home"]
+    counts = candidates.groupBy(*group).agg(F.ceil(F.count("*") / QUERIES).alias("blocks"))
     counts = written(counts, "tgm-blocks")
     block = F.pmod(F.xxhash64("rid"), "blocks").alias("block")
-    asked = candidates.join(counts, ["key", "part"]).select("key", "part", block, "rid", "label").join(classes.select("rid", "tokens"), "rid")
-    spread = counts.select("key", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    offered = spread.join(homes.select("key", "part", "rid", "label"), ["key", "part"]).join(classes.select("rid", "tokens"), "rid")
+    asked = candidates.join(counts, group).select(*group, block, "rid", "label").join(classes.select("rid", "tokens"), "rid")
+    spread = counts.select(*group, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    offered = spread.join(homes, group).join(classes.select("rid", "tokens"), "rid")
 
     def run(queries: pa.Table, members: pa.Table) -> pa.Table:
         sets = [_tokens(x) for x in members.column("tokens").to_pylist()]
         union = np.unique(np.concatenate(sets))
-        rids, homes = members.column("rid").to_pylist(), members.column("label").to_pylist()
+        other = members.column("home")[0].as_py()
         joined, found = set(), []
         for q, home, x in zip(*(queries.column(c).to_pylist() for c in ("rid", "label", "tokens"))):
+            if home in joined:
+                continue
             s = _tokens(x)
             at = np.searchsorted(union, s)
             at[at == len(union)] = 0
             if 100 * int((union[at] == s).sum()) < percent * len(s):
                 continue  # the bound: no member can link
-            for rid, other, t in zip(rids, homes, sets):
-                if other != home and (home, other) not in joined and linked(s, t, percent):
-                    joined.add((home, other))
-                    found.append((home, other))
+            if any(linked(s, t, percent) for t in sets):
+                joined.add(home)
+                found.append((home, other))
         return _edges(found)
 
-    keys = ("key", "part", "block")
+    keys = (*group, "block")
     asked, offered = asked.toDF(*asked.columns), offered.toDF(*offered.columns)  # both sides hold classes' columns
     return written(asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInArrow(run, "a long, b long"), "tgm-links")
 

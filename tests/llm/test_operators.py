@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import os
+import random
 import re
 import zlib
 from array import array
@@ -392,6 +393,29 @@ def test_components(spark, words, percent, monkeypatch):
     assert sum(r.kept for r in out) == n
 
 
+def test_few_groups_are_opened_in_a_crowd_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(tgm_join, "GROUP", 8)
+    rng, rows = random.Random(3), []
+    for k in range(240):  # copies of one text, two thirds of them too far from the others to link
+        w = [f"w{i}" for i in range(150)]
+        for i in rng.sample(range(150), 1 + 2 * (k % 3)):
+            w[i] = f"x{rng.randrange(60)}"
+        rows.append((k, " ".join(w)))
+    made = {}
+
+    def counted(df, name):
+        made[name] = (out := written(df, name)).count()
+        return out
+
+    written = tgm_join.written
+    monkeypatch.setattr(tgm_join, "written", counted)
+    out = tgm_join.jaccard_components(table(spark, rows), 4, 85).collect()
+    want, n = brute_components(rows, 4, 85)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == sorted(want)
+    assert 40 < n < 200
+    assert made["tgm-candidates"] <= 2 * len(rows)
+
+
 def test_near_copies_removed(spark):
     kept = tgm_join.dedup_near(table(spark))
     assert kept.columns == ["doc_id", "text", *EXTRA]

@@ -33,6 +33,9 @@ SEQUENCE = 1024
 END_ID = 0
 DOCS_PER_GROUP = 1024
 MIN_GAP = 8
+#: Bounds what a worker, and the JVM beside it, hold besides a group: characters tokenised at once, pieces sent at once.
+SLICE_CHARS = 1 << 19
+SEND = 256
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, padded_to long, ids binary"
 _ARROW = pa.schema(
@@ -131,6 +134,11 @@ def pack_group(docs: list[tuple], capacity: int, min_gap: int) -> list[list[tupl
     return full + pack_rests(rests, capacity, min_gap)
 
 
+def small_batches(rows: pa.Table, size: int = SEND) -> pa.Table:
+    """The same rows as batches, which Spark receives one at a time."""
+    return pa.Table.from_batches(rows.to_batches(max_chunksize=size), rows.schema)
+
+
 def pack_documents(
     docs: DataFrame,
     tokenizer: str,
@@ -158,7 +166,7 @@ def pack_documents(
         texts, doc_ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
         group = batch.column("group")[0].as_py()
         enc = spaced_encoder(tokenizer, pattern)
-        ids = [x + end for a, b in slices(texts) for x in enc.encode(texts[a:b])]
+        ids = [x + end for a, b in slices(texts, SLICE_CHARS) for x in enc.encode(texts[a:b])]
         sequences = pack_group([(i, len(x) // 4) for i, x in enumerate(ids)], capacity, min_gap)
         cols: list[list] = [[] for _ in _ARROW]
         for k, seq in enumerate(sequences):
@@ -168,7 +176,8 @@ def pack_documents(
                 for c, v in zip(cols, row):
                     c.append(v)
                 offset += n
-        return pa.table([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
+        rows = pa.table([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
+        return small_batches(rows)
 
     return base.groupBy("group").applyInArrow(pack, SCHEMA)
 

@@ -22,8 +22,11 @@ from array import array
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 
 MEMO = 500_000
+#: Words that carry the blank before them, a generation: Python's own objects, of some 150 bytes each.
+SPACED_MEMO = 300_000
 MEMO_CHARS = 64
 
 # The code points with the Unicode property White_Space, as a class body.
@@ -282,14 +285,22 @@ _KEPT: dict = {}
 
 
 def kept(key: tuple, make):
-    """A worker's table, made once and kept from task to task."""
-    if key not in _KEPT:
-        _KEPT[key] = make()
-    return _KEPT[key]
+    """A worker's table, made once and kept from task to task; a task that makes one drops those only earlier tasks used."""
+    context = TaskContext.get()
+    task = context and context.taskAttemptId()
+    if key in _KEPT:
+        table = _KEPT[key][0]
+    else:
+        for k in [k for k, (_, last) in _KEPT.items() if last != task]:
+            del _KEPT[k]
+        pa.default_memory_pool().release_unused()
+        table = make()
+    _KEPT[key] = table, task
+    return table
 
 
 def spaced_encoder(path: str, pattern: str) -> Memo:
-    return kept(("spaced", path, pattern), lambda: Memo(spaced_keys, SpacedWords(path, pattern)))
+    return kept(("spaced", path, pattern), lambda: Memo(spaced_keys, SpacedWords(path, pattern), SPACED_MEMO))
 
 
 def bare_encoder(path: str) -> Memo:

@@ -11,6 +11,7 @@ import zlib
 from array import array
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +132,29 @@ def test_ids_are_the_librarys(name, encoder):
     assert [array("I", x).tolist() for x in enc.encode(texts)] == [ids(t) for t in texts]
 
 
+def test_a_task_drops_tables_of_earlier_tasks_only(monkeypatch):
+    from types import SimpleNamespace
+
+    task = lambda i: monkeypatch.setattr(tokens.TaskContext, "get", lambda: SimpleNamespace(taskAttemptId=lambda: i))
+    monkeypatch.setattr(tokens, "_KEPT", {})
+    task(1)
+    first = tokens.kept(("a",), list)
+    tokens.kept(("b",), list)
+    assert tokens.kept(("a",), list) is first
+    task(2)
+    assert tokens.kept(("a",), list) is first
+    tokens.kept(("c",), list)
+    assert set(tokens._KEPT) == {("a",), ("c",)}
+
+
+def test_packing_holds_few_words_and_sends_few_pieces(monkeypatch):
+    monkeypatch.setattr(tokens, "_KEPT", {})
+    assert tokens.spaced_encoder(P.path("byte_bpe_50k.json"), P.PATTERN).limit < tokens.MEMO
+    rows = pa.table({"n": list(range(2 * packing.SEND + 1))})
+    sent = packing.small_batches(rows)
+    assert [b.num_rows for b in sent.to_batches()] == [packing.SEND, packing.SEND, 1] and sent.equals(rows)
+
+
 def test_first_fit_decreasing_is_first_fit():
     sizes = sorted(((i * 37) % 100 + 1 for i in range(200)), reverse=True)
     bins, plain = packing.first_fit_decreasing(sizes, 100), []

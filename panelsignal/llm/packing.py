@@ -34,8 +34,8 @@ END_ID = 0
 DOCS_PER_GROUP = 1024
 MIN_GAP = 8
 #: Bounds what a worker, and the JVM beside it, hold besides a group: characters tokenised at once, pieces sent at once.
-SLICE_CHARS = 1 << 19
-SEND = 256
+SLICE_CHARS = 1 << 20
+SEND = 512
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, padded_to long, ids binary"
 _ARROW = pa.schema(

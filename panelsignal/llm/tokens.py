@@ -26,7 +26,7 @@ from pyspark import TaskContext
 
 MEMO = 500_000
 #: Words that carry the blank before them, a generation: Python's own objects, of some 150 bytes each.
-SPACED_MEMO = 300_000
+SPACED_MEMO = 400_000
 MEMO_CHARS = 64
 
 # The code points with the Unicode property White_Space, as a class body.

@@ -171,6 +171,11 @@ def _unicode_bytes() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: Letters and marks whose category, case and composition are the same in every edition of Unicode in use and don't depend on their place.
+_SETTLED = re.compile("[!-~\xa1-\u0377\u0384-\u03a2\u03a4-\u0481\u048a-\u0523\u1e00-\u1ef9\n]+").fullmatch
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class LibraryWords:
     """New words by the tokenizers library: its normaliser and split, then its model."""
 
@@ -206,7 +211,10 @@ class LibraryWords:
         """Ids of one split part."""
         out = self.pieces.get(piece)
         if out is None:
-            out = self._model_ids(piece.encode().decode("latin-1").translate(self.alphabet))
+            if piece.isascii() and piece.isprintable():  # the alphabet changes only the blank
+                out = self._model_ids(piece.replace(" ", self.alphabet[32]))
+            else:
+                out = self._model_ids(piece.encode().decode("latin-1").translate(self.alphabet))
             if len(piece) <= MEMO_CHARS:
                 if len(self.pieces) >= MEMO // 2:
                     self.pieces.clear()
@@ -215,17 +223,33 @@ class LibraryWords:
 
 
 class SpacedWords(LibraryWords):
-    """For a byte-level vocabulary; ``pattern`` is its split."""
+    """For a byte-level vocabulary; ``pattern`` is its split.
+
+    Under ``_LETTERS_OR_MARKS`` a blank with settled letters is one part, and ASCII
+    marks up to the word's end are the next; other words go through the pattern.
+    """
+
+    # The split whose parts are known without running it.
+    _LETTERS_OR_MARKS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, path: str, pattern: str):
         super().__init__(path)
         import regex
 
         self.split = regex.compile(explicit_white(pattern)).findall
+        self.settles = pattern == self._LETTERS_OR_MARKS
 
     def __call__(self, keys: list) -> list[bytes]:
-        ids, split = self._ids, self.split
-        return [b"".join(map(ids, split(spaced_text(k)))) for k in keys]
+        ids, split, settles, out = self._ids, self.split, self.settles, []
+        for k in keys:
+            head = k.rstrip(_MARKS) if settles and type(k) is str else ""
+            if not head.isalpha() or not (head.isascii() or _SETTLED(head)):
+                out.append(b"".join(map(ids, split(spaced_text(k)))))
+            elif len(head) == len(k):
+                out.append(ids(" " + k))
+            else:
+                out.append(ids(" " + head) + ids(k[len(head) :]))
+        return out
 
 
 class BareWords(LibraryWords):
@@ -236,8 +260,8 @@ class BareWords(LibraryWords):
     the vocabulary's own.  Words with others go through the library's normaliser and split.
     """
 
-    _SETTLED = re.compile("[!-~\xa1-\u0377\u0384-\u03a2\u03a4-\u0481\u048a-\u0523\u1e00-\u1ef9\n]+").fullmatch
-    _MARKS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    _SETTLED = staticmethod(_SETTLED)
+    _MARKS = frozenset(_MARKS)
 
     def __init__(self, path: str):
         super().__init__(path)

@@ -132,6 +132,19 @@ def test_ids_are_the_librarys(name, encoder):
     assert [array("I", x).tolist() for x in enc.encode(texts)] == [ids(t) for t in texts]
 
 
+def test_plain_words_are_learnt_without_the_pattern():
+    ids, words = library_ids("byte_bpe_50k.json"), tokens.SpacedWords(P.path("byte_bpe_50k.json"), P.PATTERN)
+    plain = ["word", "word.", "Wort$$$", "été", "naïveté),", "ΑΒ", "don'", "it''", "Ж!?", "ª", "x" * 70]
+    hard = ["ΑΣ", "don't", "'ll", "a-b", "x1", "²", "e\u0301", "中文", "中.", "\u0378", "ﬁ", "\nword.", "\n'", "...", "a\tb", ("word.",), ("  ",)]
+    asked, split = [], words.split
+    words.split = lambda text: asked.append(text) or split(text)
+    expected = [ids(tokens.spaced_text(k)) for k in plain + hard]
+    assert [array("I", x).tolist() for x in words(plain + hard)] == expected
+    assert asked == [tokens.spaced_text(k) for k in hard]
+    other = tokens.SpacedWords(P.path("byte_bpe_50k.json"), P.PATTERN.replace(r" ?\p{L}+", r" ?\p{L}"))
+    assert not other.settles
+
+
 def test_a_task_drops_tables_of_earlier_tasks_only(monkeypatch):
     from types import SimpleNamespace
 
